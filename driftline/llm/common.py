@@ -17,8 +17,8 @@ from pyspark.sql import types as T
 
 #: Bytes that separate words: the space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
-_WHITE = np.zeros(256, dtype=bool)
-_WHITE[[0x20, *range(0x09, 0x0E)]] = True
+WHITE = np.zeros(256, dtype=bool)
+WHITE[[0x20, *range(0x09, 0x0E)]] = True
 
 _SHIPPED: set[str] = set()
 _MULT = 0x9E3779B97F4A7C15 | 1
@@ -159,7 +159,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix64(raw + (ends - starts).astype(np.uint64) * np.uint64(_MULT))
 
 
-def words(data: np.ndarray, separators: np.ndarray = _WHITE) -> tuple[np.ndarray, np.ndarray]:
+def words(data: np.ndarray, separators: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of bytes that aren't separators."""
     inside = np.zeros(len(data) + 2, dtype=np.int8)
     inside[1:-1] = ~separators[data]
@@ -167,7 +167,7 @@ def words(data: np.ndarray, separators: np.ndarray = _WHITE) -> tuple[np.ndarray
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def word_hashes(texts: list[bytes], separators: np.ndarray = _WHITE) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes], separators: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the lower-cased (A-Z) texts, and offsets: the
     words of text i are ``hashes[offsets[i]:offsets[i + 1]]``."""
     data = np.frombuffer(b"\n".join(texts).lower() + b"\n", dtype=np.uint8)
@@ -178,17 +178,32 @@ def word_hashes(texts: list[bytes], separators: np.ndarray = _WHITE) -> tuple[np
 
 
 class HashTable:
-    """Read-only map from uint64 keys to numbers, probed for whole arrays."""
+    """Map from uint64 keys to numbers, probed and filled by whole arrays."""
 
     EMPTY = np.uint64(_MASK)
 
     def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
-        self.bits = max(4, int(np.ceil(np.log2(1.35 * max(1, len(keys))))))
+        self.size = 0
+        self._room(len(keys), values.dtype)
+        self.add(keys, values)
+
+    def _room(self, n: int, dtype: np.dtype) -> None:
+        self.bits = max(4, int(np.ceil(np.log2(1.35 * max(1, n)))))
         self.keys = np.full(1 << self.bits, self.EMPTY, dtype=np.uint64)
-        self.values = np.zeros(1 << self.bits, dtype=values.dtype)
-        self.size = len(keys)
-        left = np.arange(len(keys))
-        slot = self._slot(keys)
+        self.values = np.zeros(1 << self.bits, dtype=dtype)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(_MULT)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Put in distinct keys that aren't there yet."""
+        if 1.3 * (self.size + len(keys)) > len(self.keys):
+            full = self.keys != self.EMPTY
+            keys, values = np.concatenate([self.keys[full], keys]), np.concatenate([self.values[full], values])
+            self.size = 0
+            self._room(2 * len(keys), self.values.dtype)
+        self.size += len(keys)
+        left, slot = np.arange(len(keys)), self._slot(keys)
         while len(left):
             free = self.keys[slot] == self.EMPTY
             self.keys[slot[free]] = keys[left[free]]
@@ -196,21 +211,22 @@ class HashTable:
             self.values[slot[placed]] = values[left[placed]]
             left, slot = left[~placed], (slot[~placed] + 1) & ((1 << self.bits) - 1)
 
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys * np.uint64(_MULT)) >> np.uint64(64 - self.bits)).astype(np.int64)
-
     def get(self, keys: np.ndarray, default: float) -> tuple[np.ndarray, np.ndarray]:
         """Values, and where the keys were found."""
-        out = np.full(len(keys), default, dtype=self.values.dtype)
-        found = np.zeros(len(keys), dtype=bool)
-        at, slot = np.arange(len(keys)), self._slot(keys)
+        slot = self._slot(keys)
+        have = self.keys[slot]
+        found = have == keys
+        out = np.where(found, self.values[slot], np.asarray(default, dtype=self.values.dtype))
+        at = np.flatnonzero(~found & (have != self.EMPTY))
+        slot = slot[at]
         while len(at):
+            slot = (slot + 1) & ((1 << self.bits) - 1)
             have = self.keys[slot]
             hit = have == keys[at]
             out[at[hit]] = self.values[slot[hit]]
             found[at[hit]] = True
             more = ~hit & (have != self.EMPTY)
-            at, slot = at[more], (slot[more] + 1) & ((1 << self.bits) - 1)
+            at, slot = at[more], slot[more]
         return out, found
 
 

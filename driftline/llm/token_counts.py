@@ -39,7 +39,9 @@ class Counter:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.proven = self._prove()
+        # Two generations: what is still in use moves on when one is full.
         self.kept: dict[bytes, int] = {}
+        self.old: dict[bytes, int] = {}
         self.limit = limit
 
     def _prove(self) -> dict[bytes, int]:
@@ -63,7 +65,8 @@ class Counter:
     def count(self, texts: list[bytes]) -> list[int]:
         proven, kept, out = self.proven, self.kept, [0] * len(texts)
         if len(kept) > self.limit:
-            kept.clear()
+            self.old, self.kept = kept, {}
+            kept = self.kept
         split: dict[int, list[bytes]] = {}
         missing: set[bytes] = set()
         for i, text in enumerate(texts):
@@ -78,7 +81,8 @@ class Counter:
                 split[i] = rest = [w for w in words if w not in proven]
                 missing.update(set(rest).difference(kept))
         if missing:
-            new = list(missing)
+            kept.update((w, self.old[w]) for w in missing if w in self.old)
+            new = list(missing.difference(kept))
             got = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
             kept.update(zip(new, (len(e.ids) for e in got), strict=True))
         for i, rest in split.items():

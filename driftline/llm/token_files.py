@@ -4,7 +4,8 @@ One record a document, framed so that a reader can stream, check and resume::
 
     u64 length | u32 masked crc of those 8 bytes | payload | u32 masked crc of the payload
 
-all little-endian. The payload is ``u8 has_id | i64 doc_id | u32 n | u32 * n``.
+all little-endian. The payload is ``u8 flags | i64 doc_id | u32 n | n ids``;
+flag 1: there is a doc_id; flag 2: ids take two bytes each, else four.
 A masked checksum is the CRC-32 rotated right by 15 bits plus a constant, so
 that a checksum over bytes that hold checksums stays sound. Beside each data
 file lies an index of fixed-width entries (u64 offset, u32 frame length, u32
@@ -23,17 +24,18 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import batch_of, map_batches, open_read, open_write, partitions, scratch_path, slices
+from driftline.llm.common import WHITE, HashTable, batch_of, map_batches, open_read, open_write, partitions, scratch_path, slices, span_hashes
 
 END_ID = 2
 _HEAD = struct.Struct("<QI")
-_META = struct.Struct("<?qI")
+_META = struct.Struct("<BqI")
 _CRC = struct.Struct("<I")
 _ENTRY = struct.Struct("<QII")
 _DELTA = 0xA282EAD8  # the mask's constant; fixed value of the format
@@ -62,23 +64,41 @@ def unframe(data: bytes) -> bytes:
     return payload
 
 
+def pack_record(doc_id: int | None, ids: np.ndarray) -> tuple[bytes, int]:
+    narrow = not len(ids) or int(ids.max()) < 1 << 16
+    flags = (doc_id is not None) | narrow << 1
+    return frame(_META.pack(flags, doc_id or 0, len(ids)) + ids.astype("<u2" if narrow else "<u4").tobytes()), len(ids)
+
+
+def unpack_record(data: bytes) -> tuple[int | None, np.ndarray]:
+    payload = unframe(data)
+    flags, doc_id, n = _META.unpack_from(payload)
+    ids = np.frombuffer(payload, dtype="<u2" if flags & 2 else "<u4", offset=_META.size)
+    if len(ids) != n:
+        raise ValueError("damaged record: its count and ids disagree")
+    return (doc_id if flags & 1 else None), ids.astype("<u4")
+
+
 class Encoder:
-    """Ids of whole texts as the library gives them, as little-endian bytes.
+    """Ids of whole texts as the library gives them.
 
     The library splits texts before it merges, and no piece crosses from a
-    visible character to white space, or from a letter to a mark that can't
-    begin a contraction. So a text's ids are those of such runs, and each
-    distinct run is encoded by the library once and kept while there is room. Texts with white space beyond the six ASCII
-    characters, or with a string of the special tokens, are encoded whole.
+    visible character to white space, or from a letter to a plain mark. So a
+    text's ids are those of its runs that begin at such places. Runs are found
+    and hashed for whole batches at once; each distinct run is encoded by the
+    library once and its ids kept, up to ``limit`` runs. Texts with white space
+    beyond the six ASCII characters or with a special token's string are
+    encoded whole.
     """
 
-    # White space, then letters up to a plain mark or a space; or marks up to a
-    # space; or whatever is visible. White space alone ends a text.
-    _W, _M = r"\t\n\v\f\r ", r",.!?;:|%$#*&"
-    _RUN = re.compile(rf"[{_W}]*(?:[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[{_M}{_W}]|\Z)|[{_M}]+(?=[{_W}]|\Z)|[^{_W}]+)|[{_W}]+")
-    _ODD = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200b\\u2028\\u2029\\u202f\\u205f\\u2060\\u3000\\ufeff]")
+    _WIDE = r"\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"
+    _RARE = re.compile(rf"[{_WIDE}]")
+    _MARK = np.zeros(256, dtype=bool)
+    _MARK[list(b",.!?;:|%$#*&")] = True
+    _LETTER = np.zeros(256, dtype=bool)
+    _LETTER[[*range(65, 91), *range(97, 123)]] = True
 
-    def __init__(self, path: str, limit: int = 600_000) -> None:
+    def __init__(self, path: str, limit: int = 2_000_000) -> None:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -86,29 +106,74 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache: dict[str, bytes] = {}
         self.limit = limit
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in got]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cache, out, runs_of = self.cache, [b""] * len(texts), {}
-        missing: set[str] = set()
-        if len(cache) > self.limit:
-            cache.clear()
-        for i, text in enumerate(texts):
-            if self._ODD.search(text) or any(s in text for s in self.special):
-                out[i] = self._library([text])[0]
-            else:
-                runs_of[i] = runs = self._RUN.findall(text)
-                missing.update(set(runs).difference(cache))
-        if missing:
-            new = list(missing)
-            cache.update(zip(new, self._library(new), strict=True))
-        for i, runs in runs_of.items():
-            out[i] = b"".join(map(cache.__getitem__, runs))
+        self._clear()
+
+    def _clear(self) -> None:
+        """Forget all runs: number n has ids[bounds[n]:bounds[n + 1]]."""
+        self.numbers = HashTable(np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32))
+        self.ids = np.zeros(1 << 16, dtype="<u4")
+        self.bounds = np.zeros(1 << 15, dtype=np.int64)
+
+    def _library(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _keep(self, keys: np.ndarray, runs: list[str]) -> None:
+        n = self.numbers.size
+        got = self._library(runs)
+        lengths = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
+        end = self.bounds[n] + np.cumsum(lengths)
+        if n + len(runs) + 1 > len(self.bounds):
+            self.bounds = np.resize(self.bounds, 2 * (n + len(runs) + 1))
+        if len(end) and end[-1] > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * int(end[-1]))
+        self.ids[self.bounds[n] : self.bounds[n] + lengths.sum()] = np.fromiter(chain.from_iterable(got), dtype="<u4", count=int(lengths.sum()))
+        self.bounds[n + 1 : n + 1 + len(runs)] = end
+        self.numbers.add(keys, np.arange(n, n + len(runs), dtype=np.int32))
+
+    def _by_runs(self, texts: list[bytes]) -> list[np.ndarray]:
+        if self.numbers.size > self.limit:
+            self._clear()
+        text = b"".join(texts)
+        data = np.frombuffer(text, dtype=np.uint8)
+        at = np.zeros(len(texts) + 1, dtype=np.int64)
+        np.cumsum([len(t) for t in texts], out=at[1:])
+        begins = WHITE[data]
+        begins[1:] &= ~WHITE[data[:-1]]
+        letter = self._LETTER[data]
+        accented = (data[1:] >= 0x80) & (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+        letter[1:] |= accented
+        begins[1:] |= self._MARK[data[1:]] & letter[:-1]
+        begins[at[:-1][at[:-1] < len(data)]] = True
+        starts = np.flatnonzero(begins)
+        ends = np.append(starts[1:], len(data)) if len(starts) else starts
+        keys = span_hashes(data, starts, ends)
+        number, found = self.numbers.get(keys, -1)
+        if not found.all():
+            lost = np.flatnonzero(~found)
+            new, first = np.unique(keys[lost], return_index=True)
+            first = lost[first]
+            self._keep(new, [text[a:b].decode() for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
+            number[lost] = self.numbers.get(keys[lost], -1)[0]
+        low = self.bounds[number]
+        lengths = self.bounds[number + 1] - low
+        done = np.zeros(len(lengths) + 1, dtype=np.int64)
+        np.cumsum(lengths, out=done[1:])
+        ids = self.ids[np.arange(done[-1]) + np.repeat(low - done[:-1], lengths)]
+        cut = done[np.searchsorted(starts, at)]
+        return [ids[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of UTF-8 texts as unsigned 32-bit integers."""
+        whole = []
+        for i, raw in enumerate(texts):
+            text = raw.decode()
+            if self._RARE.search(text) or any(s in text for s in self.special):
+                whole.append(i)
+        skip = set(whole)
+        out = self._by_runs([b"" if i in skip else t for i, t in enumerate(texts)] if whole else texts)
+        for i in whole:
+            out[i] = np.array(self._library([texts[i].decode()])[0], dtype="<u4")
         return out
 
 
@@ -130,17 +195,15 @@ def _write_shard(tokenizer: str, folder: str, end_id: int, batches: Iterator[pa.
     task = TaskContext.get()
     shard = task.partitionId()
     file = f"{folder}/shard-{shard:06d}-{task.taskAttemptId()}"
-    end = np.array([end_id], dtype="<u4").tobytes()
+    end = np.uint32(end_id)
     at = docs = tokens = 0
     data = index = None
     for batch, texts in slices(batches, "text"):
         if data is None:
             data, index = open_write(f"{file}.records"), open_write(f"{file}.index")
-        encoded = encoder(tokenizer).encode([t.decode("utf-8", "replace") for t in texts])
+        encoded = encoder(tokenizer).encode(texts)
         for doc_id, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
-            ids += end
-            n = len(ids) // 4
-            record = frame(_META.pack(doc_id is not None, doc_id or 0, n) + ids)
+            record, n = pack_record(doc_id, np.append(ids, end))
             data.write(record)
             index.write(_ENTRY.pack(at, len(record), n))
             at, docs, tokens = at + len(record), docs + 1, tokens + n
@@ -173,7 +236,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
     return TokenFiles(folder, tuple((m.file, m.docs, m.tokens) for m in sorted(manifest, key=lambda m: m.shard)))
 
 
-def read_records(file: str, order: np.ndarray | None = None, entries: bool = False) -> Iterator[tuple]:
+def read_records(file: str, order: np.ndarray | None = None) -> Iterator[tuple]:
     """(doc_id, ids) of one shard, checked. Without an order the file is
     streamed; an order is a list of record numbers, read through the index."""
     with open_read(f"{file}.index") as f:
@@ -182,12 +245,10 @@ def read_records(file: str, order: np.ndarray | None = None, entries: bool = Fal
         for i in range(len(index)) if order is None else order:
             if order is not None:
                 f.seek(int(index["offset"][i]))
-            payload = unframe(f.read(int(index["length"][i])))
-            has, doc_id, n = _META.unpack_from(payload)
-            ids = payload[_META.size :]
-            if len(ids) != 4 * n or n != index["n"][i]:
+            doc_id, ids = unpack_record(f.read(int(index["length"][i])))
+            if len(ids) != index["n"][i]:
                 raise ValueError("record and index disagree")
-            yield (doc_id if has else None), np.frombuffer(ids, dtype="<u4")
+            yield doc_id, ids
 
 
 _DIGEST = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
