@@ -9,9 +9,9 @@
    map-side aggregate.
 3. Band buckets choose a leader: the member whose bands meet most others. All
    members meet the leader, not one another, so a bucket of n gives n - 1
-   candidates. Members whose component isn't the leader's then meet the next
-   leader, along with everything outside their component, until no bucket has
-   members that did not meet.
+   candidates. A second leader follows for buckets still of several components.
+   Where components still share a bucket, the members outside its largest one
+   meet all others in tiles of bounded size, which return links only.
 4. The population count of the XOR of two odd sketches estimates the
    similarity sharply where it is high, and drops candidates far below the
    threshold (six standard deviations of slack).
@@ -37,8 +37,8 @@ from driftline.llm.components import connected_components
 
 BANDS, ROWS = 28, 4
 SKETCH_WORDS = 8  # of 64 bits
-#: Bucket members compared with one another in a block when leaders are done.
-BLOCK = 512
+#: Shingles on either side of a tile, where leaders left members unmet.
+TILE = 400_000
 _GOLD = 0x9E3779B97F4A7C15
 
 _rng = np.random.RandomState(20240601)
@@ -98,11 +98,11 @@ def estimated_similarity(differing_bits: int) -> float:
 
 def widest_xor(threshold: float) -> int:
     """The most differing bits that a pair at the threshold shows, with six
-    standard deviations of slack for the samples and again for the bitmap."""
+    standard deviations of slack for the samples and the bitmap together."""
     bits, k = SKETCH_WORDS * 64, BANDS * ROWS
-    differ = k * (1 - threshold) + 6 * np.sqrt(k * threshold * (1 - threshold))
-    ones = bits / 2 * (1 - (1 - 2 / bits) ** (2 * min(differ, k)))
-    return int(np.ceil(ones + 6 * np.sqrt(max(ones, 1)) / 2))
+    ones = bits / 2 * (1 - (1 - 2 / bits) ** (2 * k * (1 - threshold)))
+    deviation = np.sqrt(4 * k * threshold * (1 - threshold) + ones / 4)
+    return int(np.ceil(ones + 6 * deviation))
 
 
 _SIGNATURE = pa.schema(
@@ -167,25 +167,34 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(F.lit(100) * F.col("same") >= F.lit(percent) * union).select("a", "b")
 
 
-def _block_pairs(limit: int):
-    """Pairs of one block of a bucket's members with its strays, by sketch."""
+def _tile_links(percent: int):
+    """Links of a tile's strays with its members, on full sets: for each stray
+    one link into every component that it touches."""
 
-    def run(block: pa.Table) -> pa.Table:
-        ids, comps = block["id"].to_numpy(), block["component"].to_numpy()
-        stray = block["stray"].to_numpy(zero_copy_only=False)
-        sketch = np.asarray(block["sketch"].combine_chunks().flatten()).view(np.uint64).reshape(len(ids), SKETCH_WORDS)
+    def run(tile: pa.Table) -> pa.Table:
+        ids, comps, stray = (tile[c].to_numpy(zero_copy_only=False) for c in ("id", "component", "stray"))
+        sets = tile["shingles"].combine_chunks()
+        sets = sets.chunk(0) if isinstance(sets, pa.ChunkedArray) else sets
+        bounds = sets.offsets.to_numpy() - sets.offsets[0].as_py()
+        dense = np.unique(sets.flatten().to_numpy(), return_inverse=True)[1]
+        size = np.diff(bounds)
+        flag = np.zeros(len(dense) + 1, dtype=bool)
         out_a, out_b = [], []
         for i in np.flatnonzero(stray):
-            near = np.bitwise_count(sketch ^ sketch[i]).sum(axis=1) <= limit
-            near &= ~stray & (comps != comps[i])
-            out_a.append(np.full(near.sum(), ids[i])), out_b.append(ids[near])
-        a, b = np.concatenate([*out_a, np.zeros(0, np.int64)]), np.concatenate([*out_b, np.zeros(0, np.int64)])
+            own = dense[bounds[i] : bounds[i + 1]]
+            flag[own] = True
+            same = np.add.reduceat(flag[dense], bounds[:-1], dtype=np.int64)
+            flag[own] = False
+            linked = np.flatnonzero(~stray & (comps != comps[i]) & (100 * same >= percent * (size + size[i] - same)))
+            linked = linked[np.unique(comps[linked], return_index=True)[1]]
+            out_a.append(np.full(len(linked), ids[i])), out_b.append(ids[linked])
+        a, b = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (out_a, out_b))
         return pa.table({"a": a, "b": b})
 
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, rounds: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, rounds: int = 2) -> DataFrame:
     """Components of documents whose k-word shingle sets are similar.
 
     Links pairs with ``100 * intersection >= percent * union``. Returns one row
@@ -226,7 +235,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def meet(pairs: DataFrame) -> None:
         """Filter by sketch, confirm, and renew the components."""
-        nonlocal links, sets, component, done
+        nonlocal sets, done
         sa = sketches.select(F.col("id").alias("a"), F.col("sketch").alias("ka"))
         sb = sketches.select(F.col("id").alias("b"), F.col("sketch").alias("kb"))
         pairs = pairs.join(sa, "a").join(sb, "b").where(_xor_bits("ka", "kb") <= limit).select("a", "b")
@@ -237,7 +246,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if pairs.isEmpty():
             return
         sets = _with_sets(sets, pairs, docs, k)
-        found = materialize(_confirmed(pairs, sets, percent), "dedup-links")
+        join_up(materialize(_confirmed(pairs, sets, percent), "dedup-links"))
+
+    def join_up(found: DataFrame) -> None:
+        nonlocal links, component
         links = found if links is None else links.unionByName(found)
         joined = connected_components(links)
         component = sketches.select("id").join(joined, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
@@ -258,20 +270,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if met.isEmpty():
             break
     else:
-        # The rest of each bucket meets in blocks: every member outside the
-        # largest component (a stray) with every member of another component.
+        # What is left of the buckets meets in tiles. Buckets with the same
+        # largest component are one group, so no pair meets once a band. In a
+        # group, members outside that component (strays) meet all members.
         sizes = met.groupBy(*bucket, "component").agg(F.count("*").alias("size"))
-        main = sizes.groupBy(*bucket).agg(F.max_by("component", F.struct("size", -F.col("component"))).alias("main"), F.sum("size").alias("members"))
-        rest = met.join(main, bucket).withColumn("stray", F.col("component") != F.col("main")).withColumn("blocks", F.ceil(F.col("members") / BLOCK))
-        rest = rest.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks"))).join(sketches.select("id", "sketch"), "id")
-        rows = rest.groupBy(*bucket).agg(F.collect_set(F.when(F.col("stray"), F.col("own"))).alias("rows"))
-        base = [*bucket, "id", "component", "sketch"]
+        main = sizes.groupBy(*bucket).agg(F.max_by("component", F.struct("size", -F.col("component"))).alias("main"))
+        group = met.join(main, bucket).select("main", "id", "component").distinct().withColumn("stray", F.col("component") != F.col("main"))
+        group = materialize(group.join(firsts.select("id", "n"), "id"), "dedup-groups")
+        ends = group.select(F.col("id").alias("a"), F.col("id").alias("b")).distinct()
+        sets = _with_sets(sets, ends, docs, k)
+        wide = group.groupBy("main").agg(
+            F.ceil(F.sum("n") / TILE).alias("xs"), F.ceil(F.sum(F.when(F.col("stray"), F.col("n"))) / TILE).alias("ys")
+        )
+        spread = group.join(wide, "main").withColumn("deal", F.xxhash64("id"))
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
         # Tile (x, y) holds the members of block x and the strays of block y.
-        hosts = rest.join(rows, bucket).select(*base, F.lit(False).alias("stray"), F.col("own").alias("x"), F.explode("rows").alias("y"))
-        guests = rest.where("stray").select(*base, "stray", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("x"), F.col("own").alias("y"))
-        tiles = hosts.unionByName(guests).groupBy(*bucket, "x", "y")
-        pairs = tiles.applyInArrow(_block_pairs(limit), "a long, b long")
-        meet(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        hosts = spread.select("main", "id", "component", F.lit(False).alias("stray"), F.pmod("deal", "xs").alias("x"), every("ys").alias("y"))
+        guests = spread.where("stray").select("main", "id", "component", "stray", every("xs").alias("x"), F.pmod("deal", "ys").alias("y"))
+        tiles = hosts.unionByName(guests).join(sets, "id").groupBy("main", "x", "y")
+        join_up(materialize(tiles.applyInArrow(_tile_links(percent), "a long, b long"), "dedup-links"))
 
     result = member.join(component.select(F.col("id").alias("first"), "component"), "first", "left")
     # The smallest id of a component is the smallest of its classes' first ids.
