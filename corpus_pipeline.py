@@ -1,12 +1,60 @@
-"""A corpus in stages: each takes what its predecessor kept."""
+"""A training corpus in five stages, each on what its predecessor kept.
+
+Quality classifier, near-duplicates, benchmark decontamination, mixing to
+target weights, token files. Every stage is written as Parquet in the shared
+folder and read again, so a lost executor costs one stage at most.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from driftline.llm import decontaminate, mixing, near_dedup, quality_crf, token_files
+from driftline.llm.common import materialize, table
+from driftline.llm.queries import tokenizer_path
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier doesn't reject."""
+    return quality_crf.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (five words, 0.8)."""
+    return near_dedup.drop_near_duplicates(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: documents once or twice, in the order of the queue."""
+    return mixing.mixed(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files, and what they hold: one row a record."""
+    files = token_files.write_token_files(docs, tokenizer_path("byte_bpe_50k.json"))
+    return token_files.read_digests(spark, files)
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("MinHash near-dedup", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("mixing to target weights", mix),
+    ("token-ID output", tokens),
+]
+
+#: No stage but the third can be put in SQL; the tests compare the whole with a
+#: plain reimplementation instead.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), "stage-" + name.split()[0].lower())
+    return docs

@@ -294,3 +294,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # The smallest id of a component is the smallest of its classes' first ids.
     out = result.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "first").alias("component_id"))
     return out.withColumn("kept", F.col(id_col) == F.col("component_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` with one document of each component: the one with
+    the smallest id. Of rows that repeat an id one stays; rows without an id
+    can't be told apart and all stay."""
+    found = near_duplicates(docs, id_col, text_col, k, percent)
+    gone = materialize(found.where(~F.col("kept")).select(id_col), "dedup-gone")
+    repeated = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1")
+    if not repeated.isEmpty():
+        named = docs.where(F.col(id_col).isNotNull())
+        docs = named.orderBy(F.col(text_col).desc_nulls_last()).dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
+    # Ids alone are sent to all tasks, and only up to 16 MB of them.
+    return docs.join(F.broadcast(gone) if gone.count() <= 2_000_000 else gone, id_col, "left_anti").select(*docs.columns)
+
+
+ORACLE_SQL = """
+WITH RECURSIVE spelled AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents),
+shingle AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + least(len(w), 3) - 1], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM spelled WHERE len(w) > 0)),
+size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+common AS (SELECT s FROM shingle GROUP BY s HAVING count(*) > 1),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS same
+  FROM (SELECT * FROM shingle SEMI JOIN common USING (s)) a JOIN shingle b USING (s) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (
+  SELECT a, b FROM shared JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b
+  WHERE 100 * same >= 85 * (x.n + y.n - same)),
+reach(a, b) AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+lowest AS (SELECT a AS doc_id, min(b) AS low FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(low, d.doc_id)) AS component_id,
+       d.doc_id = least(d.doc_id, coalesce(low, d.doc_id)) AS kept
+FROM documents d LEFT JOIN size USING (doc_id) LEFT JOIN lowest USING (doc_id)
+"""
