@@ -188,7 +188,7 @@ class HashTable:
         self.add(keys, values)
 
     def _room(self, n: int, dtype: np.dtype) -> None:
-        self.bits = max(4, int(np.ceil(np.log2(1.35 * max(1, n)))))
+        self.bits = max(4, int(np.ceil(np.log2(1.25 * max(1, n)))))
         self.keys = np.full(1 << self.bits, self.EMPTY, dtype=np.uint64)
         self.values = np.zeros(1 << self.bits, dtype=dtype)
 
@@ -197,7 +197,7 @@ class HashTable:
 
     def add(self, keys: np.ndarray, values: np.ndarray) -> None:
         """Put in distinct keys that aren't there yet."""
-        if 1.3 * (self.size + len(keys)) > len(self.keys):
+        if 1.2 * (self.size + len(keys)) > len(self.keys):
             full = self.keys != self.EMPTY
             keys, values = np.concatenate([self.keys[full], keys]), np.concatenate([self.values[full], values])
             self.size = 0

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from driftline.llm.common import HashTable, batch_of, map_batches, materialize, partitions, segment_sum, slices, word_hashes
 
 DEPTH = 5  # context bytes; a pair fits 8 * (DEPTH + 1) bits
-BLOCK = 8_000_000
+BLOCK = 4_000_000
 FOLDS, HELD_OUT = 5, 1
 _END = b"\n"
 _LOG10 = np.log(10.0)
@@ -65,7 +65,7 @@ def pair_codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 class _Tally:
     """Counts of keys, merged whenever they fill the buffer."""
 
-    def __init__(self, limit: int = 3_000_000) -> None:
+    def __init__(self, limit: int = 1_500_000) -> None:
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
         self.held, self.limit = 0, limit
 
@@ -130,7 +130,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for out, text in zip(batch.column(1).to_pylist(), texts, strict=True):
             buffers[out].append(text)
             held[out] += len(text)
-            if held[out] > 1 << 22:
+            if held[out] > 1 << 20:
                 flush(out)
         for kind in tallies:
             if tallies[kind].full():
@@ -304,10 +304,10 @@ _SUMMED = ("n_known", "base", "score")
 _END_KEY = np.uint64(0)  # the end token's place in the table of words
 
 
-def _lookup(tables, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _lookup(pair_table, word_table, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums over one block of the tables: tokens found, their log10 counts plus
     1/2 less log10 of 1/2, and the log10 probabilities of pairs."""
-    pairs, counts = tables.value
+    pairs, counts = pair_table.value, word_table.value
     end, end_found = counts.get(np.array([_END_KEY]), 0)
     gain = float(np.log10(end[0] + 0.5) - np.log10(0.5))
     for batch, texts in slices(batches, "text"):
@@ -337,6 +337,23 @@ def pair_probabilities(counts: DataFrame) -> DataFrame:
     return materialize(map_batches(pairs, partial(_pair_scores, root), "key long, logp double"), "ctw-pairs")
 
 
+def _broadcast_pairs(model: DataFrame):
+    got = model.toArrow()
+    table = HashTable(got["key"].to_numpy().view(np.uint64), got["logp"].to_numpy().astype(np.float32))
+    del got
+    return model.sparkSession.sparkContext.broadcast(table)
+
+
+def _broadcast_words(words: DataFrame, ends: int):
+    got = words.select("key", "n").toArrow()
+    keys, n = got["key"].to_numpy().view(np.uint64), got["n"].to_numpy()
+    n = n.astype(np.float64 if max(ends, n.max(initial=0)) >= 1 << 31 else np.int32)
+    del got
+    if ends:
+        keys, n = np.append(keys, _END_KEY), np.append(n, np.array([ends], dtype=n.dtype))
+    return words.sparkSession.sparkContext.broadcast(HashTable(keys, n))
+
+
 def score_texts(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """Code lengths of all texts under a model learned from the training texts.
 
@@ -361,17 +378,8 @@ def score_texts(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     parts = []
     for i in range(blocks):
         own = F.pmod(F.xxhash64("key"), F.lit(blocks)) == i
-        got = model.where(own).toArrow()
-        pairs = HashTable(got["key"].to_numpy().view(np.uint64), got["logp"].to_numpy().astype(np.float32))
-        got = words.where(own).select("key", "n").toArrow()
-        keys, n = got["key"].to_numpy().view(np.uint64), got["n"].to_numpy()
-        if i == 0 and ends:
-            keys, n = np.append(keys, _END_KEY), np.append(n, ends)
-        known = HashTable(keys, n.astype(np.float64) if len(n) and n.max() > 1 << 31 else n.astype(np.int32))
-        del got, keys, n
-        tables = spark.sparkContext.broadcast((pairs, known))
-        del pairs, known
-        parts.append(map_batches(identified, partial(_lookup, tables), _OUT_SQL))
+        tables = [_broadcast_pairs(model.where(own)), _broadcast_words(words.where(own), ends if i == 0 else 0)]
+        parts.append(map_batches(identified, partial(_lookup, *tables), _OUT_SQL))
     if blocks == 1:
         scored = parts[0]
     else:  # rows meet again by their id and text; equal rows have equal sums

@@ -29,7 +29,7 @@ from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.llm.common import batch_of, list_column, map_batches, materialize, mix64, slices, word_hashes
@@ -304,8 +304,10 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     gone = materialize(found.where(~F.col("kept")).select(id_col), "dedup-gone")
     repeated = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1")
     if not repeated.isEmpty():
-        named = docs.where(F.col(id_col).isNotNull())
-        docs = named.orderBy(F.col(text_col).desc_nulls_last()).dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
+        again = docs.join(repeated.select(id_col), id_col, "left_semi").select(*docs.columns)
+        last = F.row_number().over(Window.partitionBy(id_col).orderBy(F.col(text_col).desc_nulls_last()))
+        once = again.withColumn("_nth", last).where("_nth = 1").drop("_nth")
+        docs = docs.join(repeated.select(id_col), id_col, "left_anti").select(*docs.columns).unionByName(once)
     # Ids alone are sent to all tasks, and only up to 16 MB of them.
     return docs.join(F.broadcast(gone) if gone.count() <= 2_000_000 else gone, id_col, "left_anti").select(*docs.columns)
 
