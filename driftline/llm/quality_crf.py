@@ -11,6 +11,7 @@ curve fitted on the same documents.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -152,14 +153,14 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def fit(texts: list[bytes], good: np.ndarray) -> QualityModel:
-    """Fit to documents and their labels. Without both labels present, the
-    field is flat and every score is the share of good labels (0.5 if none)."""
+def fit(x: np.ndarray, length: np.ndarray, offsets: np.ndarray, good: np.ndarray) -> QualityModel:
+    """Fit to the lines of documents and their labels. Without both labels
+    present, the field is flat and every score is the share of good labels (0.5
+    if there are none)."""
     good = np.asarray(good, dtype=float)
     base = float(np.clip(good.mean(), 0.01, 0.99)) if len(good) else 0.5
     if not len(good) or good.min() == good.max():
         return QualityModel(np.zeros(FEATURES), np.zeros((2, 2)), 0.0, float(np.log(base / (1 - base))))
-    x, length, offsets = line_features(texts)
     n = np.diff(offsets)
     doc_bad = np.repeat(1 - good, n)
     label = doc_bad.copy()
@@ -200,6 +201,7 @@ def fit(texts: list[bytes], good: np.ndarray) -> QualityModel:
     return model
 
 
+_LINES = pa.schema([("label", pa.int32()), ("place", pa.int64()), ("x", pa.list_(pa.float32())), ("length", pa.list_(pa.float64()))])
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64())])
 
 
@@ -208,20 +210,25 @@ def _score(model: QualityModel, batches: Iterator[pa.RecordBatch]) -> Iterator[p
         yield batch_of(_OUT, [batch.column(0), batch.column(1), model.score(texts)])
 
 
-def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> QualityModel:
-    """The driver gets at most ``limit`` labelled texts."""
-    sample = labelled_sample(docs, labels, "quality", limit).toArrow()
-    texts = [(t or "").encode() for t in sample["text"].to_pylist()]
-    good = sample["label"].to_numpy()
-    order = np.argsort(np.array([hash_of(t) for t in texts], dtype=np.uint64), kind="stable")
-    return fit([texts[i] for i in order], good[order])
-
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, texts in slices(batches, "text"):
+        x, length, offsets = line_features(texts)
+        wide = pa.array(offsets * FEATURES, pa.int32())
+        columns = [pa.ListArray.from_arrays(wide, pa.array(x.ravel())), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(length))]
+        order = [zlib.crc32(t) << 32 | len(t) for t in texts]
+        yield batch_of(_LINES, [batch.column(1), order, *columns])
 
-def hash_of(text: bytes) -> int:
-    """A number for sorting: fits don't depend on the order of rows."""
-    import zlib
 
-    return zlib.crc32(text) << 32 | len(text)
+def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> QualityModel:
+    """The driver gets the line features of at most ``limit`` documents."""
+    sample = map_batches(labelled_sample(docs, labels, "quality", limit), _lines, "label int, place long, x array<float>, length array<double>").toArrow()
+    if not sample.num_rows:
+        return fit(np.zeros((0, FEATURES)), np.zeros(0), np.zeros(1, np.int64), np.zeros(0))
+    # A fixed order of documents: sums depend on it in the last digits.
+    sample = sample.sort_by([("place", "ascending"), ("label", "ascending")]).combine_chunks()
+    x, length = sample["x"].combine_chunks(), sample["length"].combine_chunks()
+    offsets = np.append(0, np.cumsum(np.diff(length.offsets.to_numpy())))
+    return fit(x.flatten().to_numpy().reshape(-1, FEATURES), length.flatten().to_numpy(), offsets, sample["label"].to_numpy())
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, limit: int = SAMPLE) -> DataFrame:
