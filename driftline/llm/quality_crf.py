@@ -215,7 +215,7 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x, length, offsets = line_features(texts)
         wide = pa.array(offsets * FEATURES, pa.int32())
         columns = [pa.ListArray.from_arrays(wide, pa.array(x.ravel())), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(length))]
-        order = [zlib.crc32(t) << 32 | len(t) for t in texts]
+        order = [zlib.crc32(t) << 31 | len(t) & 0x7FFFFFFF for t in texts]
         yield batch_of(_LINES, [batch.column(1), order, *columns])
 
 
