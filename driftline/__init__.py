@@ -1,0 +1 @@
+"""Snapshot reconciliation on Spark: ingest event grids, diff, apply, keep state."""
