@@ -1,2 +1,336 @@
-QUERIES = {}
-ORACLE_SQL = {}
+"""Queries of the engine's operators on the star-schema tables, with SQL.
+
+The tables hold no calendar, so every operator runs on an analogous column.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from driftline.functions import parsing
+from driftline.operators import ingest, keys, reconcile, sqltext, state
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+# -- reconcile -----------------------------------------------------------------
+
+_SNAPSHOTS = """
+WITH ex AS (SELECT o_orderkey, o_custkey, o_orderpriority, o_totalprice FROM orders WHERE o_orderkey % 10 <> 0),
+nw AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 7 = 0 THEN '9-CHANGED' ELSE o_orderpriority END AS o_orderpriority, o_totalprice
+       FROM orders WHERE o_orderkey % 10 <> 1),
+plan AS (
+  SELECT coalesce(ex.o_orderkey, nw.o_orderkey) AS o_orderkey,
+         CASE WHEN ex.o_orderkey IS NULL THEN 'insert' WHEN nw.o_orderkey IS NULL THEN 'delete'
+              WHEN ex.o_orderpriority IS NOT DISTINCT FROM nw.o_orderpriority AND ex.o_totalprice IS NOT DISTINCT FROM nw.o_totalprice THEN 'noop'
+              ELSE 'update' END AS action,
+         ex.o_orderpriority AS old_priority, nw.o_orderpriority AS new_priority
+  FROM ex FULL OUTER JOIN nw ON ex.o_orderkey = nw.o_orderkey)
+"""
+
+
+def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    orders = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_totalprice")
+    changed = F.when(F.col("o_orderkey") % 7 == 0, "9-CHANGED").otherwise(F.col("o_orderpriority"))
+    return orders.where("o_orderkey % 10 <> 0"), orders.where("o_orderkey % 10 <> 1").withColumn("o_orderpriority", changed)
+
+
+def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    same = F.col("ex.o_orderpriority").eqNullSafe(F.col("nw.o_orderpriority")) & F.col("ex.o_totalprice").eqNullSafe(F.col("nw.o_totalprice"))
+    return reconcile.diff(*_snapshots(spark, sf_dir), ["o_orderkey"], same)
+
+
+@_query(_SNAPSHOTS + "SELECT action, count(*) AS n FROM plan GROUP BY action")
+def reconcile_actions(spark, sf_dir):
+    return _plan(spark, sf_dir).groupBy("action").agg(F.count("*").alias("n"))
+
+
+@_query(_SNAPSHOTS + "SELECT * FROM plan")
+def reconcile_plan(spark, sf_dir):
+    return _plan(spark, sf_dir).select("o_orderkey", "action", F.col("ex.o_orderpriority").alias("old_priority"), F.col("nw.o_orderpriority").alias("new_priority"))
+
+
+@_query(_SNAPSHOTS + "SELECT o_orderkey, o_totalprice FROM nw WHERE NOT EXISTS (SELECT 1 FROM ex WHERE ex.o_orderkey = nw.o_orderkey)")
+def reconcile_inserts(spark, sf_dir):
+    ex, nw = _snapshots(spark, sf_dir)
+    return nw.join(ex, "o_orderkey", "left_anti").select("o_orderkey", "o_totalprice")
+
+
+@_query(_SNAPSHOTS + "SELECT o_orderkey, o_totalprice FROM ex WHERE NOT EXISTS (SELECT 1 FROM nw WHERE ex.o_orderkey = nw.o_orderkey)")
+def reconcile_deletes(spark, sf_dir):
+    ex, nw = _snapshots(spark, sf_dir)
+    return ex.join(nw, "o_orderkey", "left_anti").select("o_orderkey", "o_totalprice")
+
+
+@_query(_SNAPSHOTS + """SELECT count(*) FILTER (action = 'insert') AS created, count(*) FILTER (action = 'update') AS updated,
+  count(*) FILTER (action = 'delete') AS deleted, count(*) FILTER (action = 'noop') AS unchanged FROM plan""")
+def sync_stats(spark, sf_dir):
+    return reconcile.stats(_plan(spark, sf_dir))
+
+
+@_query(_SNAPSHOTS + """SELECT printf('Sync completed: %d created, %d updated, %d deleted', count(*) FILTER (action = 'insert'),
+  count(*) FILTER (action = 'update'), count(*) FILTER (action = 'delete')) AS message FROM plan""")
+def sync_message(spark, sf_dir):
+    s = reconcile.stats(_plan(spark, sf_dir))
+    return s.select(reconcile.message(F.col("created"), F.col("updated"), F.col("deleted")).alias("message"))
+
+
+@_query("""
+WITH old AS (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate <= TIMESTAMP '1996-12-31'),
+new AS (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 <> 1 AND o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate <= TIMESTAMP '1996-12-31')
+SELECT 'delete' AS action, count(*) AS n FROM old UNION ALL SELECT 'insert', count(*) FROM new""")
+def full_replace_range(spark, sf_dir):
+    orders = _read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    scoped = orders.where((F.col("o_orderdate") >= F.lit("1996-01-01").cast("timestamp_ntz")) & (F.col("o_orderdate") <= F.lit("1996-12-31").cast("timestamp_ntz")))
+    gone = scoped.where("o_orderkey % 3 <> 0").select(F.lit("delete").alias("action"))
+    new = scoped.where("o_orderkey % 3 <> 1").select(F.lit("insert").alias("action"))
+    return gone.unionByName(new).groupBy("action").agg(F.count("*").alias("n"))
+
+
+@_query("SELECT '1996-05-01' AS range_start, strftime(max(o_orderdate), '%Y-%m-%d') AS range_end FROM orders")
+def range_defaults(spark, sf_dir):
+    orders = _read(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("start_date"), F.to_date("o_orderdate").alias("end_date"))
+    return reconcile.range_defaults(orders, "1996-05-01", "")
+
+
+@_query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate + INTERVAL 1 DAY > TIMESTAMP '1998-01-01' AND o_orderdate < TIMESTAMP '1998-12-31 23:59:59'")
+def range_scan(spark, sf_dir):
+    orders = _read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    start = F.col("o_orderdate")
+    # The day's length is moved to the constant: the bound reaches the scan.
+    low = F.lit("1997-12-31 00:00:00").cast("timestamp_ntz")
+    return orders.where((start > low) & (start < F.lit("1998-12-31 23:59:59").cast("timestamp_ntz")))
+
+
+@_query("""SELECT user_id, event_type, event_id, value FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS nth FROM events) WHERE nth = 1""")
+def last_write_wins(spark, sf_dir):
+    events = _read(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "ts", "value")
+    return keys.last_write_wins(events, ["user_id", "event_type"], "ts", "event_id").drop("ts")
+
+
+_REMOTE = """
+WITH remote AS (SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE '  ' || o_orderpriority || ' ' END AS summary,
+  CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '+09:00' END AS stamp, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders)
+"""
+
+
+@_query(_REMOTE + "SELECT o_orderkey, trim(coalesce(summary, ''), ' ') AS title, left(coalesce(nullif(stamp, ''), day, ''), 10) AS start_date, left(coalesce(nullif(stamp, ''), day, ''), 10) AS end_date FROM remote")
+def match_key(spark, sf_dir):
+    orders = _read(spark, sf_dir, "orders")
+    at = F.when(F.col("o_orderkey") % 3 == 0, "").otherwise(F.concat(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+09:00")))
+    moment = F.struct(at.alias("dateTime"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"))
+    summary = F.when(F.col("o_orderkey") % 4 != 0, F.concat(F.lit("  "), "o_orderpriority", F.lit(" ")))
+    return orders.select("o_orderkey", summary.alias("summary"), moment.alias("start"), moment.alias("end")).select("o_orderkey", *keys.remote_key())
+
+
+@_query("""SELECT o_orderkey, o_orderpriority AS summary, '' AS description, o_orderstatus AS location,
+  strftime(o_orderdate, '%Y-%m-%d') || 'T' || CASE WHEN o_orderkey % 2 = 0 THEN '09:30:00' ELSE '00:00:00' END AS start_at,
+  strftime(o_orderdate, '%Y-%m-%d') || 'T23:59:59' AS end_at, 'Asia/Seoul' AS zone, 'c' || o_custkey || '@x' AS mail, 1 AS people FROM orders""")
+def to_payload(spark, sf_dir):
+    o = _read(spark, sf_dir, "orders")
+    rows = o.select(
+        "o_orderkey",
+        F.col("o_orderpriority").alias("title"),
+        F.to_date("o_orderdate").alias("start_date"),
+        F.to_date("o_orderdate").alias("end_date"),
+        F.lit(None).cast("string").alias("description"),
+        F.col("o_orderstatus").alias("location"),
+        F.array(F.concat(F.lit("c"), F.col("o_custkey").cast("string"), F.lit("@x"))).alias("attendees"),
+        F.when(F.col("o_orderkey") % 2 == 0, "09:30:00").alias("start_time"),
+        F.lit("").alias("end_time"),
+    )
+    p = rows.select("o_orderkey", reconcile.remote_payload().alias("p"))
+    return p.select("o_orderkey", "p.summary", "p.description", "p.location", F.col("p.start.dateTime").alias("start_at"), F.col("p.end.dateTime").alias("end_at"), F.col("p.start.timeZone").alias("zone"), F.col("p.attendees")[0]["email"].alias("mail"), F.size("p.attendees").alias("people"))
+
+
+@_query("""WITH l AS (SELECT user_id, list(event_type ORDER BY event_id) AS a, list(event_type ORDER BY event_id DESC) AS b FROM events GROUP BY user_id)
+SELECT user_id, list_sort(a) = list_sort(b) AS equal, len(a)::INT AS n FROM l""")
+def sorted_list_equal(spark, sf_dir):
+    pairs = _read(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_list("event_type").alias("a"))
+    return pairs.select("user_id", (F.array_sort("a") == F.array_sort(F.reverse("a"))).alias("equal"), F.size("a").alias("n"))
+
+
+# -- parsing -------------------------------------------------------------------
+
+
+@_query("SELECT o_orderkey, o_orderdate::DATE AS parsed FROM orders")
+def parse_dates(spark, sf_dir):
+    orders = _read(spark, sf_dir, "orders")
+    # Month first wins, so day-first forms are used where they can't be misread.
+    late = F.dayofmonth("o_orderdate") > 12
+    forms = ["yyyy-M-d", "yyyy/MM/dd", "MM/dd/yyyy", "M-d-yyyy", "yyyy.M.d", "yyyyMMdd", "yyyy-MM-dd HH:mm:ss", "MM.dd.yyyy"]
+    shown: Column = F.date_format("o_orderdate", "yyyy-MM-dd")
+    for i, f in enumerate(forms):
+        shown = F.when(F.col("o_orderkey") % 11 == i, F.date_format("o_orderdate", f)).otherwise(shown)
+    shown = F.when((F.col("o_orderkey") % 11 == 8) & late, F.date_format("o_orderdate", "d/M/yyyy")).otherwise(shown)
+    shown = F.when((F.col("o_orderkey") % 11 == 9) & late, F.date_format("o_orderdate", "d.M.yyyy")).otherwise(shown)
+    return orders.select("o_orderkey", parsing.date(F.concat(F.lit(" "), shown, F.lit(" "))).alias("parsed"))
+
+
+@_query("SELECT event_id, CASE event_id % 4 WHEN 1 THEN strftime(ts, '%H:%M:00') WHEN 3 THEN strftime(ts, '%H:%M:00') ELSE strftime(ts, '%H:%M:%S') END AS parsed FROM events")
+def parse_times(spark, sf_dir):
+    e = _read(spark, sf_dir, "events")
+    shown: Column = F.date_format("ts", "HH:mm:ss")
+    for i, f in ((1, "H:m"), (2, "hh:mm:ss a"), (3, "h:mm  a")):
+        shown = F.when(F.col("event_id") % 4 == i, F.date_format("ts", f)).otherwise(shown)
+    return e.select("event_id", parsing.time(shown).alias("parsed"))
+
+
+@_query("""SELECT doc_id, CASE WHEN len(p) > 0 THEN len(p)::INT END AS people FROM (SELECT doc_id,
+  list_filter(regexp_split_to_array(coalesce(text, ''), '[,\\n;]+'), lambda x: contains(x, '@')) AS p FROM documents)""")
+def split_list(spark, sf_dir):
+    people = parsing.people(F.col("text"))
+    return _read(spark, sf_dir, "documents").select("doc_id", F.when(people.isNotNull(), F.size(people)).alias("people"))
+
+
+@_query("""SELECT reason, count(*) AS n FROM (SELECT CASE WHEN event_id % 5 = 0 THEN 'title is required' WHEN event_id % 7 = 0 THEN 'bad start_date'
+  WHEN event_id % 11 = 0 THEN 'bad end_date' END AS reason FROM events) WHERE reason IS NOT NULL GROUP BY reason""")
+def row_rejects(spark, sf_dir):
+    e = _read(spark, sf_dir, "events")
+    grid = e.select(
+        F.when(F.col("event_id") % 5 != 0, F.col("event_type")).alias("제목"),
+        F.when(F.col("event_id") % 7 != 0, F.date_format("ts", "yyyy-MM-dd")).otherwise("soon").alias("Start-Date"),
+        F.when(F.col("event_id") % 11 != 0, F.date_format("ts", "MM/dd/yyyy")).alias("종료일"),
+        F.col("event_id").alias("_row_no"),
+    )
+    return ingest.sheet_events(grid, "events")[1].groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@_query("""SELECT event_id AS ordinal, event_type AS title, ts::DATE AS start_date, ts::DATE AS end_date FROM events WHERE event_id % 5 <> 0""")
+def sheet_ingest(spark, sf_dir):
+    e = _read(spark, sf_dir, "events")
+    day = F.date_format("ts", "yyyy.MM.dd")
+    grid = e.select(F.when(F.col("event_id") % 5 != 0, F.concat(F.lit(" "), "event_type")).alias("Subject"), day.alias("FROM"), day.alias("to"), F.col("event_id").alias("_row_no"))
+    return ingest.sheet_events(grid, "events")[0].select("ordinal", "title", "start_date", "end_date")
+
+
+@_query("""SELECT c_custkey, regexp_full_match(u, '[a-zA-Z0-9@._-]+') AS user_ok, regexp_full_match(u, '[a-zA-Z0-9@._+-]+') AS mail_ok
+FROM (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN c_name WHEN 1 THEN replace(c_name, '#', '.') ELSE replace(c_name, '#', '+') END AS u FROM customer)""")
+def id_regex(spark, sf_dir):
+    k = F.col("c_custkey") % 3
+    name = F.when(k == 0, F.col("c_name")).when(k == 1, F.replace("c_name", F.lit("#"), F.lit("."))).otherwise(F.replace("c_name", F.lit("#"), F.lit("+")))
+    rows = _read(spark, sf_dir, "customer").select("c_custkey", name.alias("u"))
+    return rows.select("c_custkey", parsing.valid_user_id(F.col("u")).alias("user_ok"), parsing.valid_email(F.col("u")).alias("mail_ok"))
+
+
+@_query("""SELECT page_id, nullif(regexp_extract(CASE WHEN page_id % 2 = 0 THEN 'https://x/spreadsheets/d/k_' || page_id || '-z/edit' ELSE url END, '/d/([A-Za-z0-9_-]+)', 1), '') AS sheet
+FROM pages""")
+def url_id(spark, sf_dir):
+    url = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("https://x/spreadsheets/d/k_"), F.col("page_id").cast("string"), F.lit("-z/edit"))).otherwise(F.col("url"))
+    return _read(spark, sf_dir, "pages").select("page_id", parsing.spreadsheet_id(url).alias("sheet"))
+
+
+@_query("""SELECT doc_id, md5(replace(replace(replace(replace(replace(text, chr(0), ''), '\\', '\\\\'), '''', ''''''), chr(13), ' '), chr(10), ' ')) AS digest FROM documents""")
+def sql_escape(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", F.md5(parsing.sql_escape(F.col("text"))).alias("digest"))
+
+
+# -- state ---------------------------------------------------------------------
+
+
+@_query("""
+WITH t AS (SELECT c_custkey, c_name, c_acctbal, 'old' AS created FROM customer WHERE c_custkey % 4 <> 0),
+s AS (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE upper(c_name) END AS c_name, c_acctbal, 'new' AS created FROM customer WHERE c_custkey % 3 = 0)
+SELECT coalesce(s.c_custkey, t.c_custkey) AS c_custkey, CASE WHEN s.c_custkey IS NOT NULL THEN s.c_name ELSE t.c_name END AS c_name,
+       coalesce(s.c_acctbal, t.c_acctbal) AS c_acctbal, coalesce(t.created, s.created) AS created
+FROM t FULL OUTER JOIN s ON t.c_custkey = s.c_custkey""")
+def upsert_merge(spark, sf_dir):
+    c = _read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
+    target = c.where("c_custkey % 4 <> 0").withColumn("created", F.lit("old"))
+    name = F.when(F.col("c_custkey") % 5 == 0, "").otherwise(F.upper("c_name"))
+    return state.upsert(target, c.where("c_custkey % 3 = 0").withColumn("c_name", name).withColumn("created", F.lit("new")), "c_custkey", keep=["created"])
+
+
+@_query("SELECT c_custkey, CASE WHEN c_custkey = 42 THEN 'renamed' ELSE c_name END AS c_name FROM customer")
+def update_by_key(spark, sf_dir):
+    return state.update_by_key(_read(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey", 42, {"c_name": "renamed"})
+
+
+@_query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IS DISTINCT FROM 42")
+def delete_by_key(spark, sf_dir):
+    return state.delete_by_key(_read(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey", 42)
+
+
+def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "events").select("event_id", "user_id", (F.col("ts") + F.expr("INTERVAL '24' HOUR")).alias("expires_at"))
+
+
+_NOW = F.to_timestamp_ntz
+_AT = "2024-01-15 12:00:00"
+
+
+@_query(f"SELECT event_id, user_id FROM events WHERE ts + INTERVAL 24 HOUR > TIMESTAMP '{_AT}'")
+def ttl_live(spark, sf_dir):
+    return state.live(_sessions(spark, sf_dir), _NOW(F.lit(_AT))).select("event_id", "user_id")
+
+
+@_query(f"SELECT count(*) AS purged FROM events WHERE ts + INTERVAL 24 HOUR < TIMESTAMP '{_AT}'")
+def ttl_expired_count(spark, sf_dir):
+    return state.purge(_sessions(spark, sf_dir), _NOW(F.lit(_AT)))[1]
+
+
+@_query(f"SELECT event_id FROM events WHERE ts + INTERVAL 24 HOUR < TIMESTAMP '{_AT}' + INTERVAL 5 MINUTE")
+def expiring_soon(spark, sf_dir):
+    return state.expiring_soon(_sessions(spark, sf_dir), "expires_at", _NOW(F.lit(_AT))).select("event_id")
+
+
+@_query("SELECT * FROM customer WHERE c_custkey = 77")
+def point_lookup(spark, sf_dir):
+    return state.point_lookup(_read(spark, sf_dir, "customer"), "c_custkey", 77)
+
+
+@_query("SELECT user_id, count(*) AS n FROM events GROUP BY user_id HAVING count(*) > 1")
+def repeated_keys(spark, sf_dir):
+    return state.repeated_keys(_read(spark, sf_dir, "events"), "user_id")
+
+
+# -- SQL text, chunks, pages ---------------------------------------------------
+
+
+@_query("SELECT to_json(nation)::VARCHAR AS json FROM nation")
+def rows_as_json(spark, sf_dir):
+    return sqltext.rows_as_json(_read(spark, sf_dir, "nation"))
+
+
+@_query("SELECT n_nationkey || '|' || n_name || '|' || n_regionkey AS line FROM nation")
+def rows_as_text(spark, sf_dir):
+    return sqltext.rows_as_text(_read(spark, sf_dir, "nation"))
+
+
+@_query("SELECT EXISTS (SELECT 1 FROM nation WHERE n_nationkey = 3) AS found")
+def row_exists(spark, sf_dir):
+    return sqltext.row_exists(_read(spark, sf_dir, "nation").where("n_nationkey = 3"))
+
+
+@_query("SELECT false AS found")
+def table_exists(spark, sf_dir):
+    return spark.range(1).select(F.lit(sqltext.table_exists(spark, "no_such_table")).alias("found"))
+
+
+@_query("SELECT (row_number() OVER (ORDER BY event_id) - 1) // 50 AS batch_no, event_id FROM events")
+def chunk_batches(spark, sf_dir):
+    return reconcile.batches(_read(spark, sf_dir, "events").select("event_id"), ["event_id"]).select("batch_no", "event_id")
+
+
+@_query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey > 500 ORDER BY o_orderkey LIMIT 250")
+def keyset_page(spark, sf_dir):
+    return _read(spark, sf_dir, "orders").where("o_orderkey > 500").orderBy("o_orderkey").limit(250).select("o_orderkey", "o_totalprice")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,12 @@ TIME_FORMATS = ("H:m:s", "H:m", "h:m a", "h:m:s a")
 _ISO = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}"
 
 
+def _once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a column that is evaluated once, however often f mentions it: the
+    plan and its generated code stay small."""
+    return F.transform(F.array(c), f)[0]
+
+
 def strip(c: Column) -> Column:
     """Without white space, Unicode's included, at either end."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -20,8 +28,7 @@ def strip(c: Column) -> Column:
 
 def text(c: Column) -> Column:
     """A cell as stripped text; a missing cell or NaN is null."""
-    s = c.cast("string")
-    return strip(F.when(s != "NaN", s))
+    return strip(F.nullif(c.cast("string"), F.lit("NaN")))
 
 
 def optional(c: Column) -> Column:
@@ -36,25 +43,28 @@ def date(c: Column) -> Column:
     """The first format that fits; offset text keeps its own wall date; a
     trailing .0 of an all-digit value is dropped; null if nothing fits."""
     s = F.regexp_replace(text(c), r"^(\d+)\.0$", "$1")
-    # Patterns of one-letter fields would read five-digit years otherwise.
-    s = F.when(~s.rlike(r"^\d{5,}[-/.]"), s)
-    tries = [_try_date(s, f) for f in DATE_FORMATS[:-1]]
-    tries.append(F.when(s.rlike(_ISO), _try_date(F.substring(s, 1, 10), "yyyy-M-d")))
-    tries.append(_try_date(s, DATE_FORMATS[-1]))
-    return F.coalesce(*tries)
+
+    def read(s: Column) -> Column:
+        tries = [_try_date(s, f) for f in DATE_FORMATS[:-1]]
+        tries.append(F.when(s.rlike(_ISO), _try_date(F.substring(s, 1, 10), "yyyy-M-d")))
+        tries.append(_try_date(s, DATE_FORMATS[-1]))
+        # Five-digit years would pass for shorter ones.
+        return F.when(~s.rlike(r"^\d{5,}[-/.]"), F.coalesce(*tries))
+
+    return _once(s, read)
 
 
 def time(c: Column) -> Column:
     """HH:mm:ss, or null where no format fits."""
     s = F.upper(F.regexp_replace(text(c), r"\s+", " "))
     s = F.regexp_replace(s, r"(\d)([AP]M)$", "$1 $2")
-    return F.coalesce(*[F.date_format(F.try_to_timestamp(s, F.lit(f)), "HH:mm:ss") for f in TIME_FORMATS])
+    return _once(s, lambda t: F.date_format(F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in TIME_FORMATS]), "HH:mm:ss"))
 
 
 def people(c: Column) -> Column:
     """Addresses of a list cell: stripped, with an @; none: null."""
     parts = F.filter(F.transform(F.split(text(c), r"[,\n;]+"), strip), lambda x: x.contains("@"))
-    return F.when(F.size(parts) > 0, parts)
+    return _once(parts, lambda p: F.when(F.size(p) > 0, p))
 
 
 def spreadsheet_id(url: Column) -> Column:

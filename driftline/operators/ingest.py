@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.functions import headers, parsing
-from driftline.schemas import EVENT, REJECT
+from driftline.schemas import EVENT, FIELDS, LINEAGE, REJECT
 
 
 def sheet_events(grid: DataFrame, sheet_name: str, sheet_no: int = 0, row_no: str | Column = "_row_no", strict_sheet: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -50,7 +50,7 @@ def sheet_events(grid: DataFrame, sheet_name: str, sheet_no: int = 0, row_no: st
     rejects = rows.where("reason is not null").select("sheet_name", "row_no", "reason")
     events = rows.where("reason is null").drop("reason")
     if strict_sheet:
-        events = events.join(rejects.select("sheet_name").distinct(), "sheet_name", "left_anti").select(*[f.name for f in EVENT])
+        events = events.join(rejects.select("sheet_name").distinct(), "sheet_name", "left_anti").select(*FIELDS, *LINEAGE)
     return events, rejects
 
 
