@@ -63,68 +63,59 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, budget_pe
 
 
 def weighted_fair_queue(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Every row of ``docs`` with its place in the queue.
-
-    Adds _size (words), _source_size, _weight, _target, _start (the source's
-    words before it, in one round) and _copies (0 to 2). A document is taken in
-    a round when more than half of it ends before the source's target, which
-    keeps every source within half a document of it. Null texts have no words;
-    a null source is a source; rows that repeat an id are separate documents.
-    Documents without words are taken with their neighbours and add nothing.
+    """Every row of ``docs``, as the struct ``doc``, with its place in the queue.
+
+    Beside it: id, size (words), source_size, weight, target, start (the
+    source's words before it, in one round) and copies (0 to 2). A document is
+    taken in a round when more than half of it ends before the source's target,
+    which keeps every source within half a document of it. Null texts have no
+    words; a null source is a source; rows that repeat an id are separate
+    documents; documents without words are taken with their neighbours and add
+    nothing; columns of any name may follow; an empty table stays empty.
     """
-    rows = docs.withColumn("_size", F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long"))
-    rows = rows.withColumn("_source", F.col(source_col)).withColumn("_key", order_key(id_col))
+    size = F.regexp_count(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(WORD)).cast("long")
+    rows = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), order_key(id_col).alias("place"))
     # The light columns, written once: everything but the last join reads these.
-    light = materialize(rows.select("_source", "_size", "_key"), "mix-sizes")
-    targets = source_targets(light.select(F.col("_source").alias("source"), F.col("_size").alias("size")))
-    targets = materialize(targets.select(*[F.col(c).alias(f"_{c}") for c in targets.columns]), "mix-targets")
+    light = materialize(rows.select("source", "size", "place"), "mix-sizes")
+    targets = materialize(source_targets(light), "mix-targets").withColumnRenamed("source", "s")
     n_sources = targets.count()
 
     # Buckets of about 20,000 rows of the largest source, in the hash order.
-    largest = light.groupBy("_source").count().agg(F.max("count")).first()[0] or 0
+    largest = light.groupBy("source").count().agg(F.max("count")).first()[0] or 0
     bits = max(4, (largest // 20_000).bit_length())
-    bucket = F.shiftright("_key", _HASH_BITS - bits)
-    before = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = light.groupBy("_source", bucket.alias("_bucket")).agg(F.sum("_size").alias("_in"))
-    offsets = offsets.select("_source", "_bucket", F.coalesce(F.sum("_in").over(before), F.lit(0)).alias("_offset"))
+    bucket = F.shiftright("place", _HASH_BITS - bits)
+    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = light.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("within"))
+    offsets = offsets.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("within").over(before), F.lit(0)).alias("offset"))
     offsets = materialize(offsets, "mix-offsets")
 
-    own = Window.partitionBy("_source", "_bucket").orderBy("_key", id_col, "_size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("_bucket", bucket).withColumn("_run", F.sum("_size").over(own))
-    small = n_sources << bits <= 200_000  # rows of a few dozen bytes
-    hint = F.broadcast if small else (lambda x: x)
-    t = targets.withColumnRenamed("_source", "_s")
-    o = offsets.select(F.col("_source").alias("_s"), F.col("_bucket").alias("_b"), "_offset")
-    rows = rows.join(hint(o), F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b"))).drop("_s", "_b")
-    rows = rows.join(hint(t), F.col("_source").eqNullSafe(F.col("_s"))).drop("_s")
-    end = F.col("_offset") + F.col("_run")
-    middle = end - F.col("_size") / 2.0
-    taken = [(middle + F.col("_source_size") * e <= F.col("_target")).cast("int") for e in range(EPOCHS)]
-    copies = taken[0] + taken[1]
-    return rows.withColumn("_copies", copies).withColumn("_start", end - F.col("_size")).drop("_bucket", "_run", "_offset", "_key", "_source")
+    own = Window.partitionBy("source", "bucket").orderBy("place", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("bucket", bucket).withColumn("run", F.sum("size").over(own))
+    # Rows of a few dozen bytes: sent to all tasks only up to this many.
+    hint = F.broadcast if n_sources << bits <= 200_000 else (lambda x: x)
+    same = F.col("source").eqNullSafe(F.col("s"))
+    rows = rows.join(hint(offsets), same & (F.col("bucket") == F.col("b"))).drop("s", "b")
+    rows = rows.join(hint(targets), same).drop("s")
+    end = F.col("offset") + F.col("run")
+    middle = end - F.col("size") / 2.0
+    copies = [(middle + F.col("source_size") * e <= F.col("target")).cast("int") for e in range(EPOCHS)]
+    return rows.select("doc", "id", "size", "source_size", "weight", "target", (end - F.col("size")).alias("start"), (copies[0] + copies[1]).alias("copies"))
 
 
 def mixing_report(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, size, source_size, target, taken (words)."""
     q = weighted_fair_queue(docs.select("doc_id", "text", "source"))
-    return q.select(
-        "doc_id",
-        F.col("_size").alias("size"),
-        F.col("_source_size").alias("source_size"),
-        F.col("_target").alias("target"),
-        (F.col("_size") * F.col("_copies")).cast("long").alias("taken"),
-    )
+    return q.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: the rows of ``docs``, taken rows once or twice, with
     their columns, range-sorted by virtual finish time and cut at the budget."""
-    q = weighted_fair_queue(docs, id_col, text_col, source_col)
-    q = q.where("_copies > 0").withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
-    finish = (F.col("_start") + F.col("_size") + F.col("_epoch") * F.col("_source_size")) / F.col("_weight")
-    q = q.withColumn("_finish", finish)
+    q = weighted_fair_queue(docs, id_col, text_col, source_col).where("copies > 0")
+    q = q.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    q = q.select("doc", "id", ((F.col("start") + F.col("size") + F.col("epoch") * F.col("source_size")) / F.col("weight")).alias("finish"))
     n = max(partitions(docs.sparkSession), 1)
-    return q.repartitionByRange(n, "_finish", id_col).sortWithinPartitions("_finish", id_col).select(*docs.columns)
+    return q.repartitionByRange(n, "finish", "id").sortWithinPartitions("finish", "id").select("doc.*")
 
 
 ORACLE_SQL = f"""

@@ -306,7 +306,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     if not repeated.isEmpty():
         again = docs.join(repeated.select(id_col), id_col, "left_semi").select(*docs.columns)
         last = F.row_number().over(Window.partitionBy(id_col).orderBy(F.col(text_col).desc_nulls_last()))
-        once = again.withColumn("_nth", last).where("_nth = 1").drop("_nth")
+        once = again.withColumn("_driftline_nth", last).where("_driftline_nth = 1").drop("_driftline_nth")
         docs = docs.join(repeated.select(id_col), id_col, "left_anti").select(*docs.columns).unionByName(once)
     # Ids alone are sent to all tasks, and only up to 16 MB of them.
     return docs.join(F.broadcast(gone) if gone.count() <= 2_000_000 else gone, id_col, "left_anti").select(*docs.columns)

@@ -155,10 +155,10 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 def fit(x: np.ndarray, length: np.ndarray, offsets: np.ndarray, good: np.ndarray) -> QualityModel:
     """Fit to the lines of documents and their labels. Without both labels
-    present, the field is flat and every score is the share of good labels (0.5
-    if there are none)."""
+    present, the field is flat and every score is the share of good labels (0.99
+    if there are none: nothing speaks against a document)."""
     good = np.asarray(good, dtype=float)
-    base = float(np.clip(good.mean(), 0.01, 0.99)) if len(good) else 0.5
+    base = float(np.clip(good.mean(), 0.01, 0.99)) if len(good) else 0.99
     if not len(good) or good.min() == good.max():
         return QualityModel(np.zeros(FEATURES), np.zeros((2, 2)), 0.0, float(np.log(base / (1 - base))))
     n = np.diff(offsets)
