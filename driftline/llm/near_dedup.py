@@ -220,12 +220,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     firsts = signatures.where("n > 0").join(member.where("id = first").select("id"), "id", "left_semi")
 
     # Bucket entries with company.
-    entries = firsts.select("id", F.posexplode("keys").alias("band", "key"))
-    crowded = entries.groupBy("band", "key").agg(F.count("*").alias("members")).where("members > 1")
-    entries = materialize(entries.join(crowded, ["band", "key"]), "dedup-buckets")
+    # A key holds its band's number, so keys of two bands don't meet.
+    entries = firsts.select("id", F.explode("keys").alias("key"))
+    crowded = entries.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    entries = materialize(entries.join(crowded, "key"), "dedup-buckets")
     centre = entries.groupBy("id").agg(F.sum("members").alias("centre"))
     sketches = materialize(firsts.select("id", "sketch").join(centre, "id"), "dedup-sketches")
-    entries = entries.select("band", "key", "id").join(sketches.select("id", "centre"), "id")
+    entries = entries.select("key", "id").join(sketches.select("id", "centre"), "id")
 
     links: DataFrame | None = None
     sets: DataFrame | None = None
@@ -255,7 +256,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         component = sketches.select("id").join(joined, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
         component = materialize(component, "dedup-components")
 
-    bucket = ["band", "key"]
+    bucket = ["key"]
     met = entries.select(*bucket, "id", "centre", F.col("id").alias("component"))
     for _ in range(rounds):
         leader = met.groupBy(*bucket).agg(F.max_by(F.struct("id", "component"), F.struct("centre", -F.col("id"))).alias("leader"))
