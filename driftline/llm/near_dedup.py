@@ -278,8 +278,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         main = sizes.groupBy(*bucket).agg(F.max_by("component", F.struct("size", -F.col("component"))).alias("main"))
         group = met.join(main, bucket).select("main", "id", "component").distinct().withColumn("stray", F.col("component") != F.col("main"))
         group = materialize(group.join(firsts.select("id", "n"), "id"), "dedup-groups")
-        ends = group.select(F.col("id").alias("a"), F.col("id").alias("b")).distinct()
-        sets = _with_sets(sets, ends, docs, k)
+        named = materialize(group.select("id").distinct(), "dedup-ends")
+        sets = _with_sets(sets, named.select(F.col("id").alias("a"), F.col("id").alias("b")), docs, k)
+        # Only these members' sets are dealt out.
+        needed = sets.join(F.broadcast(named) if named.count() <= 2_000_000 else named, "id", "left_semi")
         wide = group.groupBy("main").agg(
             F.ceil(F.sum("n") / TILE).alias("xs"), F.ceil(F.sum(F.when(F.col("stray"), F.col("n"))) / TILE).alias("ys")
         )
@@ -288,7 +290,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         # Tile (x, y) holds the members of block x and the strays of block y.
         hosts = spread.select("main", "id", "component", F.lit(False).alias("stray"), F.pmod("deal", "xs").alias("x"), every("ys").alias("y"))
         guests = spread.where("stray").select("main", "id", "component", "stray", every("xs").alias("x"), F.pmod("deal", "ys").alias("y"))
-        tiles = hosts.unionByName(guests).join(sets, "id").groupBy("main", "x", "y")
+        tiles = hosts.unionByName(guests).join(needed, "id").groupBy("main", "x", "y")
         join_up(materialize(tiles.applyInArrow(_tile_links(percent), "a long, b long"), "dedup-links"))
 
     result = member.join(component.select(F.col("id").alias("first"), "component"), "first", "left")
