@@ -208,6 +208,19 @@ def _candidates(html: str) -> tuple[list[Node], list[tuple[Node, int]]]:
     return roots or [root], subtree_hashes(roots, CONTAINERS) if roots else subtree_hashes([root], None)
 
 
+def _digest(roots: list[Node]) -> int:
+    """Of the texts of the pruned parts, in page order."""
+    h = xxhash.xxh64()
+    todo: list[Node | str] = list(reversed(roots))
+    while todo:
+        n = todo.pop()
+        if isinstance(n, str):
+            h.update(" ".join(n.split()) + " ")
+        else:
+            todo += reversed(n.children)
+    return h.intdigest() - (1 << 63)
+
+
 def main_text(html: str, template: frozenset[int] = frozenset()) -> str:
     """The article's text: declared content if there is any, else what's left
     of the page without its template."""
@@ -228,18 +241,22 @@ def main_text(html: str, template: frozenset[int] = frozenset()) -> str:
     return " ".join("".join(parts).split())
 
 
-_HASHES = pa.schema([("host", pa.string()), ("hash", pa.int64())])
+_HASHES = pa.schema([("host", pa.string()), ("page", pa.int64()), ("hash", pa.int64())])
 _OUT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The subtrees of every page, beside a digest of what may be its article;
+    a row without a hash stands for the page itself."""
     for batch in batches:
-        hosts, hashes = [], []
+        hosts, pages, hashes = [], [], []
         for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own = {h for _, h in _candidates(html or "")[1]}
+            roots, voted = _candidates(html or "")
+            own = [None, *{h for _, h in voted}]
             hosts += [host] * len(own)
+            pages += [_digest(roots)] * len(own)
             hashes += own
-        yield batch_of(_HASHES, [hosts, hashes])
+        yield batch_of(_HASHES, [hosts, pages, hashes])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,11 +269,15 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def host_templates(pages: DataFrame) -> DataFrame:
-    """(host, template array<long>): subtrees that recur on a host's pages."""
-    hashes = map_batches(pages.select("host", "html"), _subtrees, "host string, hash long")
-    counted = hashes.groupBy("host", "hash").agg(F.count("*").alias("pages"))
-    sizes = pages.groupBy("host").agg(F.count("*").alias("size"))
-    common = counted.where(F.col("pages") >= MIN_PAGES).join(sizes, "host").where(F.col("pages") >= F.lit(MIN_SHARE) * F.col("size"))
+    """(host, template array<long>): subtrees that recur on a host's pages.
+
+    Pages with the same content, as a page and its print version or a mirrored
+    path, are one page here: copies don't make an article a template.
+    """
+    hashes = map_batches(pages.select("host", "html"), _subtrees, "host string, page long, hash long").distinct()
+    counted = materialize(hashes.groupBy("host", "hash").agg(F.count("*").alias("pages")).where(F.col("hash").isNull() | (F.col("pages") >= MIN_PAGES)), "html-counts")
+    sizes = counted.where("hash is null").select("host", F.col("pages").alias("size"))
+    common = counted.where("hash is not null").join(sizes, "host").where(F.col("pages") >= F.lit(MIN_SHARE) * F.col("size"))
     # A host has at most 1 / MIN_SHARE template hashes for each element of an
     # average page, however many pages it has.
     return materialize(common.groupBy("host").agg(F.sort_array(F.collect_list("hash")).alias("template")), "html-templates")

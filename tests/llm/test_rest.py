@@ -172,3 +172,13 @@ def test_vectors(spark):
     assert 0.9 <= recall <= 1 and all(got[i].n_links <= want[i] for i in ids)
     assert all(got[3000 + i].n_links == 0 for i in range(len(odd)))
     assert embedding_dedup.near_vectors(df.limit(0)).count() == 0
+
+
+def test_copies_are_no_template(spark):
+    def page(i: int, story: str) -> tuple:
+        return (i, f"http://h.example/{i}", f"<body><div><p>Home of all</p></div><section><p>{story}</p></section></body>")
+
+    # Nine copies of one page, where nothing declares the article.
+    rows = [page(i, "The same story.") for i in range(9)] + [page(i, f"Story number {i}.") for i in range(9, 15)]
+    got = {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: "The same story." if i < 9 else f"Story number {i}." for i in range(15)}
