@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from driftline.llm.common import HashTable, batch_of, map_batches, materialize, partitions, segment_sum, slices, word_hashes
 
-DEPTH = 5  # context bytes; a pair fits 8 * (DEPTH + 1) bits
+DEPTH = 6  # context bytes; a pair fits 8 * (DEPTH + 1) bits
 BLOCK = 4_000_000
 FOLDS, HELD_OUT = 5, 1
 _END = b"\n"
