@@ -19,21 +19,23 @@ In Spark: each task reduces its texts to distinct (context, byte) pairs and
 counts; a shuffle adds them up; pairs are dealt by the last two context bytes,
 so a task holds whole subtrees, builds them bottom up and scores every distinct
 pair once; the two levels above need at most 256 * 255 sums. Texts are then
-scored by looking up their pairs, in a table that goes to the executors in
-blocks of at most ``BLOCK`` pairs: beyond that, block after block.
+scored by looking up their pairs, in a table that executors read from the shared
+folder in blocks of about ``BLOCK`` pairs: beyond that, block after block.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import HashTable, batch_of, map_batches, materialize, partitions, segment_sum, slices, word_hashes
+from driftline.llm.common import HashTable, batch_of, map_batches, materialize, open_read, partitions, scratch_path, segment_sum, slices, word_hashes
 
 DEPTH = 6  # context bytes; a pair fits 8 * (DEPTH + 1) bits
 BLOCK = 4_000_000
@@ -241,6 +243,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
 
 
 _SUMS = pa.schema([("last", pa.int32()), ("prefix", pa.int32()), ("zeros", pa.float64()), ("ones", pa.float64()), ("weighted", pa.float64())])
+_TABLES = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("value", pa.float64())])
 _SCORES = pa.schema([("key", pa.int64()), ("logp", pa.float64())])
 
 
@@ -301,22 +304,40 @@ _OUT = pa.schema(
 )
 _OUT_SQL = "doc_id long, held_out boolean, row long, n_tokens long, n_bytes long, n_known long, base double, score double"
 _SUMMED = ("n_known", "base", "score")
-_END_KEY = np.uint64(0)  # the end token's place in the table of words
-
-
-def _lookup(pair_table, word_table, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: The block of the tables that this Python worker has, kept from task to task.
+_LOADED: dict[tuple[str, ...], tuple[HashTable, HashTable]] = {}
+
+
+def _load(files: tuple[str, ...]) -> tuple[HashTable, HashTable]:
+    """Pairs and words of one block, from the shared folder."""
+    if files not in _LOADED:
+        _LOADED.clear()
+        parts = []
+        for f in files:
+            with open_read(f) as stream:
+                parts.append(pq.ParquetFile(stream).read(["kind", "key", "value"]))
+        got = pa.concat_tables(parts) if parts else _TABLES.empty_table()
+        kind, key, value = (got[c].to_numpy() for c in ("kind", "key", "value"))
+        key, pair, word = key.view(np.uint64), kind == _PAIR, kind == _WORD
+        counts = value[word]
+        counts = counts.astype(np.int32) if counts.max(initial=0) < 1 << 31 else counts
+        _LOADED[files] = HashTable(key[pair], value[pair].astype(np.float32)), HashTable(key[word], counts)
+    return _LOADED[files]
+
+
+def _lookup(files: tuple[str, ...], ends: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums over one block of the tables: tokens found, their log10 counts plus
-    1/2 less log10 of 1/2, and the log10 probabilities of pairs."""
-    pairs, counts = pair_table.value, word_table.value
-    end, end_found = counts.get(np.array([_END_KEY]), 0)
-    gain = float(np.log10(end[0] + 0.5) - np.log10(0.5))
+    1/2 less log10 of 1/2, and the log10 probabilities of pairs. ``ends`` is
+    the count of the end token, in one of the blocks."""
+    pairs, counts = _load(files)
+    gain = float(np.log10(ends + 0.5) - np.log10(0.5))
     for batch, texts in slices(batches, "text"):
         code, offsets = pair_codes(texts)
         logp, _ = pairs.get(code, 0.0)
         hashes, at = word_hashes(texts)
         c, found = counts.get(hashes, 0)
         base = segment_sum(np.log10(c + 0.5) - np.log10(0.5), at) + gain
-        known = segment_sum(found, at) + int(end_found[0])
+        known = segment_sum(found, at) + int(ends > 0)
         yield batch_of(_OUT, [batch.column(0), batch.column(1), batch.column(2), np.diff(at) + 1, np.diff(offsets), known, base, segment_sum(logp.astype(np.float64), offsets)])
 
 
@@ -337,21 +358,19 @@ def pair_probabilities(counts: DataFrame) -> DataFrame:
     return materialize(map_batches(pairs, partial(_pair_scores, root), "key long, logp double"), "ctw-pairs")
 
 
-def _broadcast_pairs(model: DataFrame):
-    got = model.toArrow()
-    table = HashTable(got["key"].to_numpy().view(np.uint64), got["logp"].to_numpy().astype(np.float32))
-    del got
-    return model.sparkSession.sparkContext.broadcast(table)
-
-
-def _broadcast_words(words: DataFrame, ends: int):
-    got = words.select("key", "n").toArrow()
-    keys, n = got["key"].to_numpy().view(np.uint64), got["n"].to_numpy()
-    n = n.astype(np.float64 if max(ends, n.max(initial=0)) >= 1 << 31 else np.int32)
-    del got
-    if ends:
-        keys, n = np.append(keys, _END_KEY), np.append(n, np.array([ends], dtype=n.dtype))
-    return words.sparkSession.sparkContext.broadcast(HashTable(keys, n))
+def _blocks(model: DataFrame, words: DataFrame, blocks: int) -> list[tuple[str, ...]]:
+    """Write both tables dealt to blocks by key; the files of each block. Only
+    their names pass through the driver."""
+    both = model.select(F.lit(_PAIR).cast("int").alias("kind"), "key", F.col("logp").alias("value"))
+    both = both.unionByName(words.select(F.lit(_WORD).cast("int").alias("kind"), "key", F.col("n").cast("double").alias("value")))
+    both = both.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
+    path = scratch_path(model.sparkSession, "ctw-tables")
+    both.repartition("block", F.pmod("key", F.lit(8))).write.partitionBy("block").parquet(path)
+    found: list[list[str]] = [[] for _ in range(blocks)]
+    for f in model.sparkSession.read.schema("kind int, key long, value double, block int").parquet(path).inputFiles():
+        if m := re.search(r"/block=(\d+)/", f):
+            found[int(m[1])].append(f)
+    return [tuple(sorted(f)) for f in found]
 
 
 def score_texts(docs: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -376,10 +395,8 @@ def score_texts(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     identified = rows.select("doc_id", "held_out", F.xxhash64("doc_id", "text").alias("row"), "text")
     blocks = -(-max(model.count(), vocabulary, 1) // block)
     parts = []
-    for i in range(blocks):
-        own = F.pmod(F.xxhash64("key"), F.lit(blocks)) == i
-        tables = [_broadcast_pairs(model.where(own)), _broadcast_words(words.where(own), ends if i == 0 else 0)]
-        parts.append(map_batches(identified, partial(_lookup, *tables), _OUT_SQL))
+    for i, files in enumerate(_blocks(model, words, blocks)):
+        parts.append(map_batches(identified, partial(_lookup, files, ends if i == 0 else 0), _OUT_SQL))
     if blocks == 1:
         scored = parts[0]
     else:  # rows meet again by their id and text; equal rows have equal sums
