@@ -67,7 +67,7 @@ def pair_codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 class _Tally:
     """Counts of keys, merged whenever they fill the buffer."""
 
-    def __init__(self, limit: int = 1_500_000) -> None:
+    def __init__(self, limit: int = 750_000) -> None:
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
         self.held, self.limit = 0, limit
 
@@ -104,6 +104,7 @@ _PAIR, _WORD, _TOKENS = 0, 1, 2
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of all texts, counted in training texts only; words of training
     texts; training tokens."""
+    _LOADED.clear()  # tables of an earlier job, if this worker had them
     tallies = {_PAIR: _Tally(), _WORD: _Tally()}
     tokens = 0
 
