@@ -182,3 +182,25 @@ def test_copies_are_no_template(spark):
     rows = [page(i, "The same story.") for i in range(9)] + [page(i, f"Story number {i}.") for i in range(9, 15)]
     got = {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {i: "The same story." if i < 9 else f"Story number {i}." for i in range(15)}
+
+
+@pytest.mark.parametrize("row_cost", [4096, 64])
+def test_vectors_of_a_hot_region(spark, monkeypatch, row_cost):
+    """A third of the vectors at pairwise cosines of 0.8 to 0.9, pairs at 0.955 among them."""
+    monkeypatch.setattr(embedding_dedup, "ROW_COST", row_cost, raising=False)
+    r = np.random.RandomState(11)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    noise = lambda n: unit(r.normal(size=(n, 64)))
+    hot = unit(unit(r.normal(size=64)) * 0.925 + noise(4000) * 0.38)
+    off = noise(300)
+    off = unit(off - (off * hot[:300]).sum(axis=1, keepdims=True) * hot[:300])
+    x = np.concatenate([hot, hot[:300] * 0.955 + off * np.sqrt(1 - 0.955**2), noise(6000)])
+    linked = x @ x.T >= 0.95
+    np.fill_diagonal(linked, False)
+    assert linked.sum() >= 600 and 0.8 < np.median(hot[:500] @ hot[500:1000].T) < 0.9
+    union = plain.Union(range(len(x)))
+    for a, b in zip(*np.nonzero(linked), strict=True):
+        union.join(int(a), int(b))
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    got = {g.vec_id: (g.n_links, g.component_id, g.kept) for g in embedding_dedup.near_vectors(df).collect()}
+    assert got == {i: (int(linked[i].sum()), union.root(i), union.root(i) == i) for i in range(len(x))}
