@@ -5,8 +5,8 @@ ends a word and a text's count is the sum over its words. Offline, before any
 text is read, every vocabulary string that ends a word is encoded alone; those
 that come back as exactly one token are proven. A pre-token in the proven set
 counts 1 without a merge. Other words are merged by the library and their count
-kept while there is room. A text that holds a special token's string goes to
-the library whole.
+kept while there is room. A text that holds a special token's string, in
+any case, goes to the library whole.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ class Counter:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.proven = self._prove()
         # Two generations: what is still in use moves on when one is full.
         self.kept: dict[bytes, int] = {}
@@ -70,11 +70,13 @@ class Counter:
         split: dict[int, list[bytes]] = {}
         missing: set[bytes] = set()
         for i, text in enumerate(texts):
-            if any(s in text for s in self.special):
+            # Words are lower-cased below, and may only then look special.
+            low = text.lower()
+            if any(s in low for s in self.special):
                 out[i] = len(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids)
                 continue
             # bytes.lower() is A-Z only: the library lower-cases the same.
-            words = text.lower().split()
+            words = low.split()
             whole = sum(map(proven.__contains__, words))
             out[i] = whole
             if whole < len(words):

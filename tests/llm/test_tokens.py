@@ -31,6 +31,12 @@ def test_counts(spark):
     assert token_counts.token_counts(df.limit(0), tokenizer_path("word_bpe_49k.json")).count() == 0
 
 
+def test_special_strings_in_other_case():
+    texts = ["a <|ENDOFTEXT|> b", "<|EndOfText|>", "x<|STARTOFTEXT|>y", "<|endoftext|>A <|ENDOFTEXT|>"]
+    got = token_counts.Counter(tokenizer_path("word_bpe_49k.json")).count([t.encode() for t in texts])
+    assert got == [len(x) for x in _library("word_bpe_49k.json", texts)]
+
+
 def test_proven_strings_are_one_token():
     c = token_counts.Counter(tokenizer_path("word_bpe_49k.json"))
     assert len(c.proven) > 30_000
