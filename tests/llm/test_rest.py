@@ -204,3 +204,21 @@ def test_vectors_of_a_hot_region(spark, monkeypatch, row_cost):
     df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
     got = {g.vec_id: (g.n_links, g.component_id, g.kept) for g in embedding_dedup.near_vectors(df).collect()}
     assert got == {i: (int(linked[i].sum()), union.root(i), union.root(i) == i) for i in range(len(x))}
+
+
+def test_vectors_of_two_lengths(spark):
+    r = np.random.RandomState(5)
+    rows = []
+    for n, length in ((60, 16), (40, 8)):
+        base = r.normal(size=(n // 4, length))
+        rows += np.concatenate([base, base * 2, base + r.normal(size=base.shape) * 0.05, r.normal(size=base.shape)]).tolist()
+    rows.append([1.0, 2.0])
+    cosine = lambda a, b: np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b) if len(a) == len(b) else 0.0
+    linked = np.array([[i != j and cosine(a, b) >= 0.95 for j, b in enumerate(rows)] for i, a in enumerate(rows)])
+    union = plain.Union(range(len(rows)))
+    for a, b in zip(*np.nonzero(linked), strict=True):
+        union.join(int(a), int(b))
+    df = spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>")
+    got = {g.vec_id: (g.n_links, g.component_id) for g in embedding_dedup.near_vectors(df).collect()}
+    assert linked[60:].sum() > 0
+    assert got == {i: (int(linked[i].sum()), union.root(i)) for i in range(len(rows))}
