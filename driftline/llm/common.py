@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -13,6 +14,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes that separate words: the space and \t \n \v \f \r.
@@ -20,7 +22,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 WHITE = np.zeros(256, dtype=bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
 
+#: Bytes that are worked on at a time, however long a text is.
+PART = 1 << 20
+_HASH_PART = 1 << 18
+
 _SHIPPED: set[str] = set()
+_OWN_ROOT: dict[str, str] = {}
 _MULT = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _INV = pow(_MULT, -1, 1 << 64)
@@ -33,14 +40,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset, as in tests on one machine, a temporary folder
-    takes its place and the setting is filled in.
+    Only where that is unset on a single machine, as in tests, a temporary
+    folder takes its place; on a cluster that is an error.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="driftline-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    if root := spark.conf.get("spark.checkpoint.dir", None):
+        return root.rstrip("/")
+    sc = spark.sparkContext
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if sc.applicationId not in _OWN_ROOT:
+        _OWN_ROOT[sc.applicationId] = tempfile.mkdtemp(prefix="driftline-")
+    return _OWN_ROOT[sc.applicationId]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -65,6 +75,33 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+class Scratch:
+    """Tables of one run; those that its result doesn't read are deleted."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def write(self, df: DataFrame, label: str) -> DataFrame:
+        self.tables.append(materialize(df, label))
+        return self.tables[-1]
+
+    def close(self, *needed: DataFrame) -> None:
+        for t in self.tables:
+            if not any(t is n for n in needed):
+                discard(t)
+        self.tables = list(needed)
+
+
+def numbered(df: DataFrame, id_col: str, *columns: str) -> tuple[DataFrame, bool]:
+    """The columns and ``node``, a number of each row's own: its id, if all ids
+    are there and differ (then False is returned too), else a row number,
+    written once so that it stays the same."""
+    ids = df.groupBy(id_col).agg(F.count("*").alias("n"))
+    if ids.where((F.col("n") > 1) | F.col(id_col).isNull()).isEmpty():
+        return df.select(*columns, F.col(id_col).alias("node")), False
+    return materialize(df.select(*columns, F.monotonically_increasing_id().alias("node")), "numbered"), True
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors' Python, once per application."""
     sc = spark.sparkContext
@@ -87,6 +124,26 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def pieces_of(df: DataFrame, piece: int = 128 << 20) -> int:
+    """Into how many tasks to deal a frame: the session's shuffle partitions,
+    or more where Spark's own estimate of its bytes asks for more."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    known = size < 1 << 62  # a plan without statistics claims the largest number
+    return max(1, partitions(df.sparkSession), -(-size // piece) if known else 0)
+
+
+#: What this Python worker keeps from task to task: one thing at a time, so
+#: that a later job's tables take the place of an earlier one's.
+_KEPT: dict[object, object] = {}
+
+
+def kept(key: object, make: Callable[[], object]) -> object:
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def map_batches(
     df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType
 ) -> DataFrame:
@@ -118,6 +175,26 @@ def slices(batches: Iterable[pa.RecordBatch], text: str, limit: int = 1 << 20) -
             yield batch.slice(start), data[start:]
 
 
+def parts(text: bytes, separators: np.ndarray = WHITE, limit: int = PART) -> Iterator[bytes]:
+    """A text in parts of about ``limit`` bytes that end after a separator: no
+    run of other bytes is cut."""
+    start, size = 0, len(text)
+    if size <= limit:
+        yield text
+        return
+    while start < size:
+        end = min(start + limit, size)
+        seen = start
+        while end < size:
+            at = np.flatnonzero(separators[np.frombuffer(text, np.uint8, end - seen, seen)])
+            if len(at):
+                end = seen + int(at[-1]) + 1
+                break
+            seen, end = end, min(end + limit, size)
+        yield text[start:end]
+        start = end
+
+
 class Powers:
     """Powers of the hash base and of its inverse, grown on demand."""
 
@@ -145,18 +222,27 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans; equal bytes give equal hashes anywhere.
+    """64-bit hashes of ascending byte spans; equal bytes give equal hashes
+    anywhere.
 
     A polynomial hash modulo 2**64 from one running sum: the base is odd, so
-    its powers can be divided out again.
+    its powers can be divided out again. Spans are taken a part of the bytes at
+    a time, so the sums stay small.
     """
-    if not len(starts):
-        return np.zeros(0, dtype=np.uint64)
-    up, down = Powers.get(len(data) + 1)
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * down[: len(data)], out=total[1:])
-    raw = (total[ends] - total[starts]) * up[starts]
-    return mix64(raw + (ends - starts).astype(np.uint64) * np.uint64(_MULT))
+    out = np.zeros(len(starts), dtype=np.uint64)
+    at = 0
+    while at < len(starts):
+        low = int(starts[at])
+        to = max(at + 1, int(np.searchsorted(starts, low + _HASH_PART)))
+        s, e = starts[at:to] - low, ends[at:to] - low
+        own = data[low : int(ends[at:to].max())]
+        up, down = Powers.get(len(own) + 1)
+        total = np.zeros(len(own) + 1, dtype=np.uint64)
+        np.cumsum((own.astype(np.uint64) + np.uint64(1)) * down[: len(own)], out=total[1:])
+        raw = (total[e] - total[s]) * up[s]
+        out[at:to] = mix64(raw + (e - s).astype(np.uint64) * np.uint64(_MULT))
+        at = to
+    return out
 
 
 def words(data: np.ndarray, separators: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray]:
@@ -170,6 +256,13 @@ def words(data: np.ndarray, separators: np.ndarray = WHITE) -> tuple[np.ndarray,
 def word_hashes(texts: list[bytes], separators: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the lower-cased (A-Z) texts, and offsets: the
     words of text i are ``hashes[offsets[i]:offsets[i + 1]]``."""
+    if len(texts) == 1 and len(texts[0]) > PART:  # as slices() gives long texts
+        found = np.concatenate([_word_hashes([p], separators)[0] for p in parts(texts[0], separators)])
+        return found, np.array([0, len(found)])
+    return _word_hashes(texts, separators)
+
+
+def _word_hashes(texts: list[bytes], separators: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(b"\n".join(texts).lower() + b"\n", dtype=np.uint8)
     starts, ends = words(data, separators)
     bounds = np.zeros(len(texts) + 1, dtype=np.int64)

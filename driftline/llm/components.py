@@ -53,7 +53,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 200, local_edges: i
     )
     edges = materialize(edges.distinct(), "cc-edges")
     if edges.count() <= local_edges:
-        return materialize(map_batches(edges.coalesce(1), _forest, "id long, component long"), "cc-label")
+        label = materialize(map_batches(edges.coalesce(1), _forest, "id long, component long"), "cc-label")
+        discard(edges)
+        return label
     # Star by star: the smallest neighbour of each vertex is its first parent.
     both = edges.select(F.col("a").alias("id"), F.col("b").alias("to")).unionByName(edges.select(F.col("b").alias("id"), F.col("a").alias("to")))
     label = materialize(
@@ -80,5 +82,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 200, local_edges: i
             discard(live)
         label, live = hooked, cross
         if done:
+            discard(edges), discard(live)
             return label
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import WHITE, batch_of, map_batches, segment_sum, slices, span_hashes, words
+from driftline.llm.common import PART, WHITE, batch_of, map_batches, parts, segment_sum, slices, span_hashes, words
 from driftline.llm.labels import adam, held_out, labelled_sample
 
 #: Labelled documents that the model is fitted on at most.
@@ -37,20 +37,17 @@ def _table(chars: bytes) -> np.ndarray:
 
 _UPPER = _table(bytes(range(65, 91)))
 _LOWER = _table(bytes(range(97, 123)))
+_LINE_END = _table(b"\n")
 _CLASSES = [_table(b"!?"), _table(b"%$#*&@^~_=+<>\\{}[]"), _table(b"|"), _table(b"0123456789"), _table(b".,;:")]
 OWN = 12
 FEATURES = OWN + 2 * 6
 
 
-def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features (lines x FEATURES), byte lengths, and line offsets by text.
-    Every text has a line at least; an empty one has length 0."""
-    data = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
+def _own_features(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every line of bytes that end with a line end: its own features, its
+    length and its hash."""
     cuts = np.flatnonzero(data == 10) + 1
     begin = np.append(0, cuts[:-1])
-    at = np.zeros(len(texts) + 1, dtype=np.int64)
-    np.cumsum([len(t) + 1 for t in texts], out=at[1:])
-    offsets = np.searchsorted(begin, at)
     bounds = np.append(begin, len(data))
 
     def share(mask: np.ndarray) -> np.ndarray:
@@ -72,14 +69,8 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     same = (hashes[1:] == hashes[:-1]) & (line_of[1:] == line_of[:-1])
     repeats = np.bincount(line_of[1:][same], minlength=len(begin))
     length = np.diff(bounds) - 1.0
-    # Lines that occur more than once in their document.
-    doc = np.repeat(np.arange(len(texts)), np.diff(offsets))
-    whole = span_hashes(data, begin, cuts - 1) ^ (doc.astype(np.uint64) << np.uint64(40))
-    _, inverse, often = np.unique(whole, return_inverse=True, return_counts=True)
-    twice = (often[inverse] > 1) & (length > 0)
-
     w = np.maximum(n_words, 1)
-    own = np.zeros((len(begin), OWN))
+    own = np.zeros((len(begin), OWN), dtype=np.float32)
     own[:, 0] = 1
     own[:, 1] = n_upper / np.maximum(letters, 1)
     for j, c in enumerate(counts[:3]):
@@ -90,14 +81,35 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     own[:, 8] = np.minimum(letters / w, 20) / 10
     own[:, 9] = np.log1p(length) / 10
     own[:, 10] = n_words < 3
-    own[:, 11] = twice
-    near = own[:, 1:7]
-    before, after = np.zeros_like(near), np.zeros_like(near)
-    inner = np.ones(len(begin), dtype=bool)
+    return own, length, span_hashes(data, begin, cuts - 1)
+
+
+def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features (lines x FEATURES), byte lengths, and line offsets by text.
+    Every text has a line at least; an empty one has length 0. A very long text
+    is taken in parts that end with a line."""
+    if len(texts) == 1 and len(texts[0]) > PART:
+        found = [_own_features(np.frombuffer(p, dtype=np.uint8)) for p in parts(texts[0] + b"\n", _LINE_END)]
+        own, length, whole = (np.concatenate(x) for x in zip(*found, strict=True))
+        offsets = np.array([0, len(own)])
+    else:
+        data = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
+        own, length, whole = _own_features(data)
+        at = np.zeros(len(texts) + 1, dtype=np.int64)
+        np.cumsum([len(t) + 1 for t in texts], out=at[1:])
+        offsets = np.searchsorted(np.append(0, np.cumsum(length + 1)), at)
+    # Lines that occur more than once in their document.
+    doc = np.repeat(np.arange(len(texts)), np.diff(offsets))
+    _, inverse, often = np.unique(whole ^ (doc.astype(np.uint64) << np.uint64(40)), return_inverse=True, return_counts=True)
+    own[:, 11] = (often[inverse] > 1) & (length > 0)
+    out = np.zeros((len(own), FEATURES), dtype=np.float32)
+    out[:, :OWN] = own
+    inner = np.ones(len(own), dtype=bool)
     inner[offsets[:-1]] = False
-    before[inner] = near[np.flatnonzero(inner) - 1]
-    after[np.flatnonzero(inner) - 1] = near[inner]
-    return np.hstack([own, before, after]).astype(np.float32), length, offsets
+    i = np.flatnonzero(inner)
+    out[i, OWN : OWN + 6] = own[i - 1, 1:7]
+    out[i - 1, OWN + 6 :] = own[i, 1:7]
+    return out, length, offsets
 
 
 def chain(scores: np.ndarray, offsets: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -234,8 +246,9 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> QualityMod
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, limit: int = SAMPLE) -> DataFrame:
     """Per row: doc_id, held_out, score (probability of label 1), predicted.
 
-    A null text is empty: one empty line. Null and repeated ids are kept row
-    for row; labels without a document are ignored; other columns are never
+    A null text is empty: one empty line. Very long texts are featured in
+    parts; the chain runs over all their lines. Null and repeated ids are kept
+    row for row; labels without a document are ignored; other columns are never
     read; an empty table stays empty.
     """
     model = train(docs, labels, limit)

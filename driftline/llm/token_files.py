@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import WHITE, HashTable, batch_of, map_batches, open_read, open_write, partitions, scratch_path, slices, span_hashes
+from driftline.llm.common import PART, WHITE, HashTable, batch_of, kept, map_batches, open_read, open_write, pieces_of, scratch_path, slices, span_hashes
 
 END_ID = 2
 _HEAD = struct.Struct("<QI")
@@ -87,8 +87,9 @@ class Encoder:
     text's ids are those of its runs that begin at such places. Runs are found
     and hashed for whole batches at once; each distinct run is encoded by the
     library once and its ids kept, up to ``limit`` runs. Texts with white space
-    beyond the six ASCII characters or with a special token's string are
-    encoded whole.
+    beyond the six ASCII characters or with a special token's string go to the
+    library as they are. Long texts are taken in parts that begin with white
+    space after a visible ASCII character, where no piece can cross.
     """
 
     _WIDE = r"\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"
@@ -98,7 +99,7 @@ class Encoder:
     _LETTER = np.zeros(256, dtype=bool)
     _LETTER[[*range(65, 91), *range(97, 123)]] = True
 
-    def __init__(self, path: str, limit: int = 2_000_000) -> None:
+    def __init__(self, path: str, limit: int = 300_000) -> None:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -163,8 +164,32 @@ class Encoder:
         cut = done[np.searchsorted(starts, at)]
         return [ids[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
+    def _safe_parts(self, text: bytes, limit: int = PART) -> Iterator[bytes]:
+        """A long text cut only before white space that follows a visible
+        ASCII character."""
+        start, size = 0, len(text)
+        while size - start > limit:
+            end = seen = start
+            cut = 0
+            while not cut and end < size:
+                end = min(end + limit, size)
+                data = np.frombuffer(text, np.uint8, end - seen, seen)
+                at = np.flatnonzero(WHITE[data[1:]] & (data[:-1] > 32) & (data[:-1] < 127))
+                cut = seen + int(at[-1]) + 1 if len(at) else 0
+                seen = end - 1
+            if not cut:
+                break
+            yield text[start:cut]
+            start = cut
+        yield text[start:]
+
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of UTF-8 texts as unsigned 32-bit integers."""
+        if any(len(t) > PART for t in texts):
+            return [np.concatenate([self._encode([p])[0] for p in self._safe_parts(t)]) for t in texts]
+        return self._encode(texts)
+
+    def _encode(self, texts: list[bytes]) -> list[np.ndarray]:
         whole = []
         for i, raw in enumerate(texts):
             text = raw.decode()
@@ -173,17 +198,13 @@ class Encoder:
         skip = set(whole)
         out = self._by_runs([b"" if i in skip else t for i, t in enumerate(texts)] if whole else texts)
         for i in whole:
-            out[i] = np.array(self._library([texts[i].decode()])[0], dtype="<u4")
+            ids = self._library([p.decode() for p in self._safe_parts(texts[i], 1 << 16)])
+            out[i] = np.array(list(chain.from_iterable(ids)), dtype="<u4")
         return out
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return kept(("encoder", path), partial(Encoder, path))
 
 
 _MANIFEST = pa.schema([("shard", pa.int32()), ("file", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())])
@@ -224,14 +245,17 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
     """Encode whole texts and write them in ascending id order.
 
     A null text is empty and yields the end id alone; null ids come first and
-    are kept as such; rows that repeat an id are separate records, by text. An
-    empty table writes no shard. Other columns are ignored. The driver gets one
-    row a shard.
+    are kept as such; rows that repeat an id are separate records, in the order
+    of a hash of their text. Very long texts are encoded in parts. An empty
+    table writes no shard. Other columns are ignored. Shards are as many as the
+    session's shuffle partitions, more for more bytes; the driver gets one row
+    a shard.
     """
     spark = docs.sparkSession
     folder = folder or scratch_path(spark, "tokens")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.repartitionByRange(max(1, partitions(spark)), "doc_id").sortWithinPartitions("doc_id", "text")
+    # The second key deals rows that share an id, or have none, to several tasks.
+    rows = rows.withColumn("h", F.xxhash64("text")).repartitionByRange(pieces_of(docs), "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
     manifest = map_batches(rows, partial(_write_shard, tokenizer, folder, end_id), "shard int, file string, docs long, tokens long").collect()
     return TokenFiles(folder, tuple((m.file, m.docs, m.tokens) for m in sorted(manifest, key=lambda m: m.shard)))
 
