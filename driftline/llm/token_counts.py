@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import batch_of, map_batches, slices
+from driftline.llm.common import PART, batch_of, kept, map_batches, open_read, open_write, parts, scratch_path, slices
 
 LIMIT = 2048
 
@@ -30,7 +30,10 @@ _BYTE_OF = {chr(b): b for b in _SHOWN} | {chr(256 + i): b for i, b in enumerate(
 
 
 class Counter:
-    def __init__(self, path: str, limit: int = 600_000) -> None:
+    """Counts of texts. ``proven`` is the result of ``prove``, made once; where
+    it isn't given it's made here."""
+
+    def __init__(self, path: str, proven: frozenset[bytes] | None = None, limit: int = 200_000) -> None:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -38,20 +41,20 @@ class Counter:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.proven = self._prove()
+        self.proven = self.prove() if proven is None else proven
         # Two generations: what is still in use moves on when one is full.
         self.kept: dict[bytes, int] = {}
         self.old: dict[bytes, int] = {}
         self.limit = limit
 
-    def _prove(self) -> dict[bytes, int]:
+    def prove(self) -> frozenset[bytes]:
         """Vocabulary strings that encode alone as themselves, as UTF-8."""
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         ends = sorted((s, i) for s, i in vocabulary.items() if s.endswith("</w>"))
         texts = [self.tokenizer.decoder.decode([s]) if self.tokenizer.decoder else self._bytes(s[:-4]) for s, _ in ends]
         pairs = [(t, i) for t, (_, i) in zip(texts, ends, strict=True) if t and t.isprintable() and " " not in t]
         encoded = self.tokenizer.encode_batch_fast([t for t, _ in pairs], add_special_tokens=False)
-        return {t.encode(): 1 for (t, i), e in zip(pairs, encoded, strict=True) if e.ids == [i]}
+        return frozenset(t.encode() for (t, i), e in zip(pairs, encoded, strict=True) if e.ids == [i])
 
     @staticmethod
     def _bytes(s: str) -> str:
@@ -92,23 +95,34 @@ class Counter:
         return out
 
 
-_COUNTERS: dict[str, Counter] = {}
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 
 
-def _count_batches(path: str, limit: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _load(path: str, proven: str) -> Counter:
+    with open_read(proven) as f:
+        return Counter(path, frozenset(f.read().split(b"\n")))
+
+
+def _count_batches(path: str, proven: str, limit: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counter = kept(("counter", path, proven), partial(_load, path, proven))
     for batch, texts in slices(batches, "text"):
-        if path not in _COUNTERS:
-            _COUNTERS[path] = Counter(path)
-        n = np.array(_COUNTERS[path].count(texts), dtype=np.int64)
+        if any(len(t) > PART for t in texts):  # white space ends a word, so parts add up
+            n = np.array([sum(counter.count([p])[0] for p in parts(t)) for t in texts], dtype=np.int64)
+        else:
+            n = np.array(counter.count(texts), dtype=np.int64)
         yield batch_of(_OUT, [batch.column(0), [len(t) for t in texts], n, n > limit])
 
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_bytes, n_tokens, over_limit (more than ``limit``).
 
-    A null text is empty: no bytes, no tokens. Null and repeated ids are kept
-    row for row; other columns are ignored; an empty table stays empty.
+    The proof is made once, here, and written to the shared folder (a line for
+    each proven string); executors read it. A null text is empty: no bytes, no
+    tokens. Very long texts are counted in parts. Null and repeated ids are
+    kept row for row; other columns are ignored; an empty table stays empty.
     """
+    proven = scratch_path(docs.sparkSession, "proven")
+    with open_write(proven) as f:
+        f.write(b"\n".join(sorted(Counter(tokenizer).proven)))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return map_batches(rows, partial(_count_batches, tokenizer, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return map_batches(rows, partial(_count_batches, tokenizer, proven, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
