@@ -1,14 +1,18 @@
 """Main text of web pages by removing site templates.
 
-A page is parsed into a tree. Elements that by their nature hold no article
-text (scripts, navigation, headers and footers of the page, asides, forms,
-comments, adverts, by tag, role or class) are cut at once. For the rest every
-element subtree is hashed, by tag and text; Spark counts, for every host, on how
-many of its pages each hash occurs. Subtrees that recur on many pages of their
-host are its template and are cut too, whatever they are called. Where a page declares its
-content by ``article`` or ``main``, the vote is on the containers within (lists,
-tables, sections, divs); its headings and paragraphs are content by declaration:
-a sentence that many articles share is still theirs.
+1. A page is parsed into a tree, without what has no text to read (scripts,
+   styles, pictures, controls).
+2. Every element subtree of the body is hashed by tag and text, and Spark
+   counts for each host on how many of its pages each hash occurs. Subtrees that
+   recur on many pages are the site's template and are deleted, whatever they
+   are called. Where a page declares its content by ``article`` or ``main``,
+   only containers within it (lists, tables, sections, divs) are put to the
+   vote: a paragraph or heading that many articles share is still theirs. What
+   holds declared content is never deleted.
+3. What the vote can't see, as a host of few pages or an advert that is on one
+   page only, goes by name: by tag, by role, or by a class or id that as a whole
+   is a known name (a part of one decides nothing), if it holds no declared
+   content.
 
 Blocks are joined in page order by one space, white space within a block is one
 space, character references are decoded.
@@ -17,22 +21,24 @@ space, character references are decoded.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import partial
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import batch_of, map_batches, materialize
+from driftline.llm.common import batch_of, kept, map_batches, materialize, open_read
 
-#: A subtree is template when it's on this many pages of its host, and on this
-#: share of them.
-MIN_PAGES, MIN_SHARE = 4, 0.1
-#: Template hashes that are sent to every task at most (8 bytes each).
-BROADCAST = 2_000_000
+#: A subtree is template when it's on ``MIN_PAGES`` pages of its host at least,
+#: and on ``MIN_SHARE`` of them or on ``MANY``, whichever is less.
+MIN_PAGES, MIN_SHARE, MANY = 4, 0.1, 50
+#: Template hashes that each Python worker reads at most (8 bytes each).
+TABLE = 2_000_000
 
 # Fixed values of the HTML standard: element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -41,18 +47,19 @@ BLOCK = frozenset(
     "address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
-CUT_TAGS = frozenset(
-    "head script style noscript template title textarea iframe object embed svg canvas audio video math select button input nav footer aside form menu dialog search".split()
-)
+NO_TEXT = frozenset("head script style noscript template title textarea iframe object embed svg canvas audio video math select button input".split())
+CUT_TAGS = frozenset("nav footer aside menu dialog search".split())
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog menu menubar toolbar".split())
-#: Words of class and id attributes that name what isn't the article.
-CUT_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs "
-    "sidebar sidenav aside header masthead topbar footer bottombar comment comments disqus reply replies respond cookie cookies consent gdpr notice notices "
-    "newsletter subscribe subscription signup login popup modal overlay share sharing social related recommended toolbar pagination pager widget skip".split()
+#: Classes and ids that as a whole name what isn't the article.
+CUT_NAMES = frozenset(
+    "ad ads ad-box adbox ad-slot ad-container ad-banner advert adverts advertisement advertising banner sponsor sponsored promo promotion "
+    "nav navbar nav-bar navigation main-nav site-nav menu menubar main-menu breadcrumb breadcrumbs sidebar side-bar sidenav masthead topbar top-bar site-header page-header "
+    "footer site-footer page-footer bottombar comment comments comment-list comments-area comment-section disqus disqus_thread reply replies respond "
+    "cookie cookies cookie-notice cookie-banner cookie-consent consent gdpr notice notices newsletter newsletter-signup subscribe subscription signup sign-up login popup modal overlay "
+    "share sharing share-buttons social social-links social-share related related-posts related-articles recommended toolbar pagination pager widget widgets skip skip-link".split()
 )
 #: What is put to the vote inside declared content.
-CONTAINERS = frozenset("center details div dl fieldset figure footer header ol section table ul".split())
+CONTAINERS = frozenset("aside center details div dl fieldset figure footer form header menu nav ol section table ul".split())
 _P_CLOSERS = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split()
 )
@@ -67,15 +74,15 @@ _IMPLIED = {
 }
 _TOKEN = re.compile(r"<(?:!--(.*?)(?:--!?>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[!?/][^>]*(?:>|\Z))", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
-_NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("attributes", "children", "tag")
+    __slots__ = ("attributes", "children", "holds", "tag")
 
     def __init__(self, tag: str, attributes: str = "") -> None:
         self.tag, self.attributes = tag, attributes
         self.children: list[Node | str] = []
+        self.holds = False  # declared content, or is it
 
 
 def parse(html: str) -> Node:
@@ -137,139 +144,205 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(raw)}
 
 
-def _is_cut(node: Node, inside: bool) -> bool:
+def _hidden(node: Node) -> bool:
+    if not node.attributes:
+        return False
+    a = _attributes(node.attributes)
+    return "hidden" in a or a.get("aria-hidden", "").lower() == "true" or bool(re.search(r"display\s*:\s*none", a.get("style", ""), re.I))
+
+
+def _is_named(node: Node, inside: bool) -> bool:
     """Named as something else than the article."""
     tag = node.tag
-    if tag in CUT_TAGS:
+    if tag in CUT_TAGS or _hidden(node):
         return True
-    if tag == "header":
-        return not inside  # an article's own header has its headline
-    if not node.attributes or tag in ("html", "body", "article", "main"):
+    if node.holds or tag in ("html", "body", "article", "main"):
         return False
-    a = _attributes(node.attributes)
-    if a.get("role", "").lower() in CUT_ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true":
+    if tag == "form" or tag == "header" and not inside:  # an article's own header has its headline
         return True
-    if re.search(r"display\s*:\s*none", a.get("style", ""), re.I):
+    if not node.attributes:
+        return False
+    a = _attributes(node.attributes)
+    if a.get("role", "").lower() in CUT_ROLES:
         return True
-    named = f"{a.get('class', '')} {a.get('id', '')}"
-    return any(p.lower() in CUT_WORDS for p in _NAME_PART.findall(named))
-
-
-def _content(root: Node) -> list[Node]:
-    """Outermost article and main elements that aren't cut."""
-    out, todo = [], [root]
-    while todo:
-        node = todo.pop()
-        for child in reversed(node.children):
-            if isinstance(child, Node):
-                if child.tag in ("article", "main") and not _is_cut(child, False):
-                    out.append(child)
-                elif not _is_cut(child, False):
-                    todo.append(child)
-    return out
+    names = f"{a.get('class', '')} {a.get('id', '')}".lower().split()
+    return any(n in CUT_NAMES or n == "header" and not inside for n in names)
 
 
-def _prune(node: Node, inside: bool) -> None:
-    todo = [(node, inside)]
+def tree(html: str) -> tuple[Node, list[Node]]:
+    """The page without what has no text, and its declared content: outermost
+    article and main elements, but for those of asides, menus and the like."""
+    root = parse(html)
+    content: list[Node] = []
+    todo: list[tuple[Node, tuple]] = [(root, ())]
     while todo:
-        n, within = todo.pop()
-        within = within or n.tag in ("article", "main")
-        n.children = [c for c in n.children if not (isinstance(c, Node) and _is_cut(c, within))]
-        todo += [(c, within) for c in n.children if isinstance(c, Node)]
-
-
-def subtree_hashes(roots: list[Node], tags: frozenset[str] | None) -> list[tuple[Node, int]]:
-    """Elements below the roots (of these tags, or all) with a hash of tag,
-    text and children. Iterative: a page may be as deep as it likes."""
+        node, above = todo.pop()
+        node.children = [c for c in node.children if isinstance(c, str) or c.tag not in NO_TEXT]
+        # Every ancestor of declared content is marked, once.
+        if node.tag in ("article", "main"):
+            content.append(node)
+            node.holds = True
+            while above and not above[0].holds:
+                above[0].holds = True
+                above = above[1]
+            above = None  # what is inside is content already
+        for c in reversed(node.children):
+            if isinstance(c, Node):
+                out = above is None or c.tag in CUT_TAGS or _hidden(c)
+                todo.append((c, None if out else (node, above)))
+                if out and c.tag in ("article", "main"):
+                    c.tag = "section"
+    return root, content
+
+
+def subtree_hashes(root: Node, content: list[Node], seed: int = 0) -> list[tuple[Node, int]]:
+    """The elements that are put to the vote, with a hash of tag, text and
+    children: all that have text and hold no declared content, and within it the
+    containers. Iterative: a page may be as deep as it likes."""
     out: list[tuple[Node, int]] = []
-    value: dict[int, int] = {}
-    todo: list[tuple[Node, bool]] = [(r, False) for r in roots]
+    value: dict[int, int | None] = {}
+    inner = {id(c) for c in content}
+    todo: list[tuple[Node, bool, bool]] = [(root, False, False)]
     while todo:
-        node, done = todo.pop()
+        node, inside, done = todo.pop()
         if not done:
-            todo.append((node, True))
-            todo += [(c, False) for c in node.children if isinstance(c, Node)]
+            todo.append((node, inside, True))
+            within = inside or id(node) in inner
+            todo += [(c, within, False) for c in node.children if isinstance(c, Node)]
             continue
-        h = xxhash.xxh64(node.tag)
+        h = xxhash.xxh64(node.tag, seed=seed)
+        some = False
         for c in node.children:
-            h.update(value[id(c)].to_bytes(8, "little") if isinstance(c, Node) else " ".join(c.split()))
-        value[id(node)] = h.intdigest()
-        if node.tag in tags if tags is not None else node.tag not in ("#root", "html", "body"):
+            if isinstance(c, Node):
+                v = value[id(c)]
+                if v is not None:
+                    some = True
+                    h.update(v.to_bytes(8, "little"))
+            elif text := " ".join(c.split()):
+                some = True
+                h.update(text)
+        value[id(node)] = h.intdigest() if some else None
+        if some and not node.holds and node.tag not in ("#root", "html", "body") and (not inside or node.tag in CONTAINERS):
             out.append((node, value[id(node)] - (1 << 63)))
     return out
 
 
-def _candidates(html: str) -> tuple[list[Node], list[tuple[Node, int]]]:
-    """The pruned parts that may hold the article, and what's put to the vote."""
-    root = parse(html)
-    roots = _content(root)
-    for r in roots or [root]:
-        _prune(r, bool(roots))
-    return roots or [root], subtree_hashes(roots, CONTAINERS) if roots else subtree_hashes([root], None)
-
-
-def _digest(roots: list[Node]) -> int:
-    """Of the texts of the pruned parts, in page order."""
-    h = xxhash.xxh64()
-    todo: list[Node | str] = list(reversed(roots))
-    while todo:
-        n = todo.pop()
-        if isinstance(n, str):
-            h.update(" ".join(n.split()) + " ")
-        else:
-            todo += reversed(n.children)
-    return h.intdigest() - (1 << 63)
-
-
-def main_text(html: str, template: frozenset[int] = frozenset()) -> str:
-    """The article's text: declared content if there is any, else what's left
-    of the page without its template."""
-    roots, voted = _candidates(html)
-    gone = {id(n) for n, h in voted if h in template}
+def _text(roots: list[Node], gone: set[int], named: bool = True) -> tuple[str, int, int]:
+    """The text below the roots without the elements in ``gone``, and without
+    those that are named; how many of either were met."""
     parts: list[str] = []
-    todo: list[Node | str] = list(reversed(roots))
+    voted = cut = 0
+    todo: list[tuple[Node | str, bool]] = [(r, False) for r in reversed(roots)]
     while todo:
-        n = todo.pop()
+        n, inside = todo.pop()
         if isinstance(n, str):
             parts.append(n)
-        elif id(n) not in gone:
-            block = n.tag in BLOCK
-            if block:
+        elif id(n) in gone:
+            voted += 1
+        elif named and _is_named(n, inside):
+            cut += 1
+        else:
+            if n.tag in BLOCK:
                 parts.append(" ")
-                todo.append(" ")
-            todo += reversed(n.children)
-    return " ".join("".join(parts).split())
+                todo.append((" ", inside))
+            inside = inside or n.tag in ("article", "main")
+            todo += [(c, inside) for c in reversed(n.children)]
+    return " ".join("".join(parts).split()), voted, cut
+
+
+def extract(html: str, is_template: Callable[[np.ndarray], np.ndarray], seed: int = 0, named: bool = True) -> tuple[str, int, int]:
+    """The article's text, the template elements deleted from the page by the
+    vote (outermost ones), and the elements of what was left that went by name."""
+    root, content = tree(html)
+    voted = subtree_hashes(root, content, seed)
+    hit = is_template(np.array([h for _, h in voted], dtype=np.int64))
+    gone = {id(n) for (n, _), t in zip(voted, hit.tolist(), strict=True) if t}
+    text, _, cut = _text(content or [root], gone, named)
+    outer, todo = 0, [root]
+    while todo:
+        n = todo.pop()
+        if id(n) in gone:
+            outer += 1
+        else:
+            todo += [c for c in n.children if isinstance(c, Node)]
+    return text, outer, cut
+
+
+def main_text(html: str, template: Iterable[int] = ()) -> str:
+    """The text of one page, given its host's template hashes."""
+    known = np.array(sorted(template), dtype=np.int64)
+    return extract(html, lambda h: np.isin(h, known))[0]
+
+
+def host_seed(host: str) -> int:
+    return xxhash.xxh64(host).intdigest()
 
 
 _HASHES = pa.schema([("host", pa.string()), ("page", pa.int64()), ("hash", pa.int64())])
-_OUT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
+_OUT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("n_template", pa.int32()), ("n_named", pa.int32())])
 
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The subtrees of every page, beside a digest of what may be its article;
     a row without a hash stands for the page itself."""
     for batch in batches:
-        hosts, pages, hashes = [], [], []
-        for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            roots, voted = _candidates(html or "")
-            own = [None, *{h for _, h in voted}]
-            hosts += [host] * len(own)
-            pages += [_digest(roots)] * len(own)
-            hashes += own
-        yield batch_of(_HASHES, [hosts, pages, hashes])
+        for start in range(0, batch.num_rows, 256):
+            hosts, pages, hashes = [], [], []
+            part = batch.slice(start, 256)
+            for host, html in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                root, content = tree(html or "")
+                own = [None, *{h for _, h in subtree_hashes(root, content, host_seed(host))}]
+                text = _text(content or [root], set())[0]
+                hosts += [host] * len(own)
+                pages += [xxhash.xxh64(text).intdigest() - (1 << 63)] * len(own)
+                hashes += own
+            yield batch_of(_HASHES, [hosts, pages, hashes])
+
+
+def _read_table(files: tuple[str, ...]) -> np.ndarray:
+    out = [np.zeros(0, np.int64)]
+    for f in files:
+        with open_read(f) as stream:
+            out.append(pq.ParquetFile(stream).read(["hash"])["hash"].to_numpy())
+    return np.sort(np.concatenate(out))
+
+
+def _among(known: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.zeros(len(hashes), dtype=bool)
+    return known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _rows(part: pa.RecordBatch, tests: Iterable) -> pa.RecordBatch:
+    hosts, html = part.column(0).to_pylist(), part.column(3).to_pylist()
+    got = [extract(x or "", test, host_seed(host)) for host, x, test in zip(hosts, html, tests, strict=True)]
+    text, voted, named = zip(*got, strict=True)
+    return batch_of(_OUT, [part.column(1), part.column(2), text, [len(t) for t in text], voted, named])
+
+
+def _extract(files: tuple[str, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, page_id, url, html) by one table for all hosts."""
+    known = kept(files, partial(_read_table, files))
     for batch in batches:
         for start in range(0, batch.num_rows, 256):
             part = batch.slice(start, 256)
-            template = part.column(3).to_pylist()
-            texts = [main_text(h or "", frozenset(t or ())) for h, t in zip(part.column(2).to_pylist(), template, strict=True)]
-            yield batch_of(_OUT, [part.column(0), part.column(1), texts, [len(t) for t in texts]])
+            yield _rows(part, [partial(_among, known)] * part.num_rows)
+
+
+def _extract_by_host(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows with their host's hashes; rows of a host follow one another."""
+    host = known = None
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1)
+            if host is None or row.column(0)[0].as_py() != host:
+                host = row.column(0)[0].as_py()
+                known = np.sort(np.array(row.column(4)[0].as_py() or [], dtype=np.int64))
+            yield _rows(row, [partial(_among, known)])
 
 
 def host_templates(pages: DataFrame) -> DataFrame:
-    """(host, template array<long>): subtrees that recur on a host's pages.
+    """(host, hash): subtrees that recur on a host's pages.
 
     Pages with the same content, as a page and its print version or a mirrored
     path, are one page here: copies don't make an article a template.
@@ -277,29 +350,29 @@ def host_templates(pages: DataFrame) -> DataFrame:
     hashes = map_batches(pages.select("host", "html"), _subtrees, "host string, page long, hash long").distinct()
     counted = materialize(hashes.groupBy("host", "hash").agg(F.count("*").alias("pages")).where(F.col("hash").isNull() | (F.col("pages") >= MIN_PAGES)), "html-counts")
     sizes = counted.where("hash is null").select("host", F.col("pages").alias("size"))
-    common = counted.where("hash is not null").join(sizes, "host").where(F.col("pages") >= F.lit(MIN_SHARE) * F.col("size"))
-    # A host has at most 1 / MIN_SHARE template hashes for each element of an
-    # average page, however many pages it has.
-    return materialize(common.groupBy("host").agg(F.sort_array(F.collect_list("hash")).alias("template")), "html-templates")
+    enough = F.col("pages") >= F.least(F.lit(MIN_SHARE) * F.col("size"), F.lit(MANY))
+    return materialize(counted.where("hash is not null").join(sizes, "host").where(enough).select("host", "hash"), "html-templates")
 
 
-def extract_text(pages: DataFrame) -> DataFrame:
-    """Per row: page_id, url, text (empty if none), n_chars.
+def extract_text(pages: DataFrame, table: int = TABLE) -> DataFrame:
+    """Per row: page_id, url, text (empty if none), n_chars, n_template and
+    n_named (elements deleted by the vote, and then by name).
 
     Null html is empty; pages without a url or host vote together as one host;
     null and repeated ids are kept row for row; other columns are ignored;
-    broken markup is read as browsers read it, as far as text goes.
+    very long pages are parsed whole; broken markup is read as browsers read
+    it, as far as text goes; an empty table stays empty.
     """
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    rows = rows.withColumn("host", host)
+    rows = rows.select(host.alias("host"), "page_id", "url", "html")
     templates = host_templates(rows)
-    total = templates.agg(F.coalesce(F.sum(F.size("template")), F.lit(0))).first()[0]
-    # Beyond the bound the pages go to their hosts' hashes, hot hosts split by
-    # a salt, instead of the hashes to all pages.
-    if total <= BROADCAST:
-        joined = rows.join(F.broadcast(templates), "host", "left")
-    else:
-        salted = templates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(31))))
-        joined = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(32)).cast("int")).join(salted, ["host", "salt"], "left")
-    return map_batches(joined.select("page_id", "url", "html", "template"), _extract, "page_id long, url string, text string, n_chars long")
+    out = "page_id long, url string, text string, n_chars long, n_template int, n_named int"
+    if templates.count() <= table:
+        return map_batches(rows, partial(_extract, tuple(sorted(templates.inputFiles()))), out)
+    # Beyond the bound pages meet their own host's hashes, hot hosts in parts.
+    by_host = templates.groupBy("host").agg(F.collect_list("hash").alias("template"))
+    salted = by_host.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(31))))
+    joined = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(32)).cast("int")).join(salted, ["host", "salt"], "left")
+    joined = joined.sortWithinPartitions("host").select("host", "page_id", "url", "html", "template")
+    return map_batches(joined, _extract_by_host, out)
