@@ -29,10 +29,10 @@ from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import batch_of, list_column, map_batches, materialize, mix64, slices, word_hashes
+from driftline.llm.common import Scratch, batch_of, list_column, map_batches, materialize, mix64, numbered, slices, word_hashes
 from driftline.llm.components import connected_components
 
 BANDS, ROWS = 28, 4
@@ -136,7 +136,7 @@ def _xor_bits(a: str, b: str):
     return reduce(lambda x, y: x + y, (F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(SKETCH_WORDS)))
 
 
-def _with_sets(sets: DataFrame | None, pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+def _with_sets(sets: DataFrame | None, pairs: DataFrame, docs: DataFrame, k: int, materialize=materialize) -> DataFrame:
     """Shingle sets of every end of the pairs, made once for each document."""
     ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     if sets is not None:
@@ -194,23 +194,11 @@ def _tile_links(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, rounds: int = 2) -> DataFrame:
-    """Components of documents whose k-word shingle sets are similar.
-
-    Links pairs with ``100 * intersection >= percent * union``. Returns one row
-    per document: ``id_col``, n_shingles, component_id (smallest id reachable,
-    itself included) and kept (``id_col == component_id``). A null or blank
-    text has the empty set and links with nothing. Rows that repeat an id are
-    one document, with the text that sorts last (null before all texts); rows
-    without an id are not documents. Other columns are ignored. An empty table
-    gives an empty result.
-    """
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
+def _components(docs: DataFrame, k: int, percent: int, rounds: int = 2) -> DataFrame:
+    """(id, n, component) of documents (id, text) with ids of their own."""
+    scratch = Scratch()
+    materialize = scratch.write
     signatures = materialize(map_batches(docs, partial(_signatures, k), "id long, n long, d0 long, d1 long, keys array<long>, sketch array<long>"), "dedup-signatures")
-    repeated = signatures.groupBy("id").count().where("count > 1")
-    if not repeated.isEmpty():
-        docs = docs.join(repeated, "id", "left_anti").unionByName(docs.join(repeated, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text")))
-        signatures = materialize(map_batches(docs, partial(_signatures, k), signatures.schema), "dedup-signatures")
 
     # Classes of equal sets.
     classes = signatures.where("n > 0").groupBy("n", "d0", "d1").agg(F.min("id").alias("first"), F.count("*").alias("copies"))
@@ -246,13 +234,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         done = pairs if done is None else done.unionByName(pairs)
         if pairs.isEmpty():
             return
-        sets = _with_sets(sets, pairs, docs, k)
+        sets = _with_sets(sets, pairs, docs, k, materialize)
         join_up(materialize(_confirmed(pairs, sets, percent), "dedup-links"))
 
     def join_up(found: DataFrame) -> None:
         nonlocal links, component
         links = found if links is None else links.unionByName(found)
         joined = connected_components(links)
+        scratch.tables.append(joined)
         component = sketches.select("id").join(joined, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
         component = materialize(component, "dedup-components")
 
@@ -279,7 +268,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         group = met.join(main, bucket).select("main", "id", "component").distinct().withColumn("stray", F.col("component") != F.col("main"))
         group = materialize(group.join(firsts.select("id", "n"), "id"), "dedup-groups")
         named = materialize(group.select("id").distinct(), "dedup-ends")
-        sets = _with_sets(sets, named.select(F.col("id").alias("a"), F.col("id").alias("b")), docs, k)
+        sets = _with_sets(sets, named.select(F.col("id").alias("a"), F.col("id").alias("b")), docs, k, materialize)
         # Only these members' sets are dealt out.
         needed = sets.join(F.broadcast(named) if named.count() <= 2_000_000 else named, "id", "left_semi")
         wide = group.groupBy("main").agg(
@@ -295,24 +284,51 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     result = member.join(component.select(F.col("id").alias("first"), "component"), "first", "left")
     # The smallest id of a component is the smallest of its classes' first ids.
-    out = result.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "first").alias("component_id"))
-    return out.withColumn("kept", F.col(id_col) == F.col("component_id"))
+    result = materialize(result.select("id", "n", F.coalesce("component", "first").alias("component")), "dedup-result")
+    scratch.close(result)
+    return result
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.struct("*").alias("doc"), F.col(id_col).cast("long").alias("given"), F.col(text_col).cast("string").alias("text"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """Components of documents whose k-word shingle sets are similar.
+
+    Links pairs with ``100 * intersection >= percent * union``. Returns one row
+    per row: ``id_col``, n_shingles, component_id (smallest id reachable, itself
+    included) and kept (``id_col == component_id``). A null or blank text has
+    the empty set and links with nothing. Every row is a document of its own,
+    also where an id repeats or is missing; a missing id is left out of the
+    smallest, and its row is kept if its component has no id at all. Ties of
+    leaders go to the smaller id and change no link. Very long texts are hashed
+    in parts; their set is held in one task. Other columns are ignored. An
+    empty table gives an empty result.
+    """
+    rows, odd = numbered(_rows(docs, id_col, text_col), "given", "given", "text")
+    out = _components(rows.select(F.col("node").alias("id"), "text"), k, percent)
+    if odd:
+        out = out.join(rows.select(F.col("node").alias("id"), "given"), "id")
+        lowest = out.groupBy("component").agg(F.min("given").alias("lowest"))
+        out = out.join(lowest, "component").select(F.col("given").alias("id"), "n", F.col("lowest").alias("component"))
+    out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` with one document of each component: the one with
-    the smallest id. Of rows that repeat an id one stays; rows without an id
-    can't be told apart and all stay."""
-    found = near_duplicates(docs, id_col, text_col, k, percent)
-    gone = materialize(found.where(~F.col("kept")).select(id_col), "dedup-gone")
-    repeated = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1")
-    if not repeated.isEmpty():
-        again = docs.join(repeated.select(id_col), id_col, "left_semi").select(*docs.columns)
-        last = F.row_number().over(Window.partitionBy(id_col).orderBy(F.col(text_col).desc_nulls_last()))
-        once = again.withColumn("_driftline_nth", last).where("_driftline_nth = 1").drop("_driftline_nth")
-        docs = docs.join(repeated.select(id_col), id_col, "left_anti").select(*docs.columns).unionByName(once)
+    the smallest id, any of them where ids repeat, one without an id only where
+    the component has no other."""
+    rows, odd = numbered(_rows(docs, id_col, text_col), "given", "doc", "given", "text")
+    found = _components(rows.select(F.col("node").alias("id"), "text"), k, percent)
+    if odd:
+        known = found.join(rows.select(F.col("node").alias("id"), "given"), "id")
+        stays = known.groupBy("component").agg(F.min(F.struct(F.col("given").isNull(), "given", "id")).alias("first"))
+        found = known.join(stays, "component").select("id", F.col("first.id").alias("component"))
+    gone = materialize(found.where("id <> component").select(F.col("id").alias("node")), "dedup-gone")
     # Ids alone are sent to all tasks, and only up to 16 MB of them.
-    return docs.join(F.broadcast(gone) if gone.count() <= 2_000_000 else gone, id_col, "left_anti").select(*docs.columns)
+    return rows.join(F.broadcast(gone) if gone.count() <= 2_000_000 else gone, "node", "left_anti").select("doc.*")
 
 
 ORACLE_SQL = """

@@ -45,14 +45,29 @@ def test_against_all_pairs(spark, seed, k, percent):
 
 
 def test_odd_cases(spark):
-    rows = [(1, "a b c d", 1.0), (1, "a b c d", 2.0), (None, "a b c d", 3.0), (2, None, None), (2, "a b c d", None), (3, "", 0.0)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, n double").withColumnsRenamed({"n": "component"})
-    got = {(r.doc_id, r.component_id) for r in m.near_duplicates(df).collect()}
-    assert got == {(1, 1), (2, 1), (3, 3)}
+    """Null and repeated ids, null and blank texts: every row is a document."""
+    rows = [(1, "a b c d", 1.0), (1, "a b c d", 2.0), (None, "a b c d", 3.0), (2, None, None), (2, "a b c d", None), (3, "", 0.0), (None, "x y z", 0.0), (None, "x y z", 1.0)]
+    df = spark.createDataFrame([(*r, 5, 6) for r in rows], "doc_id long, text string, component double, node int, id int")
+    got = sorted(str((r.doc_id, r.component_id, r.kept)) for r in m.near_duplicates(df).collect())
+    assert got == sorted(str(x) for x in [(1, 1, True)] * 2 + [(None, 1, False), (2, 2, True), (2, 1, False), (3, 3, True)] + [(None, None, True)] * 2)
     kept = m.drop_near_duplicates(df)
     assert kept.columns == df.columns
-    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "None"]
-    assert m.near_duplicates(df.limit(0)).count() == 0
+    assert sorted(str((r.doc_id, r.text)) for r in kept.collect()) == sorted(str(x) for x in [(1, "a b c d"), (2, None), (3, ""), (None, "x y z")])
+    assert m.near_duplicates(df.limit(0)).count() == 0 and m.drop_near_duplicates(df.limit(0)).count() == 0
+
+
+def test_long_texts_in_parts():
+    """The same hashes whether a text is taken whole or in parts."""
+    from driftline.llm import common
+
+    r = random.Random(1)
+    text = " ".join("".join(r.choice("abcé ") for _ in range(r.randint(1, 12))) for _ in range(60_000)).encode() + b" " + b"z" * 300_000 + b" end"
+    want, at = common.word_hashes([text])
+    pieces = list(common.parts(text, limit=10_000))
+    assert b"".join(pieces) == text and len(pieces) > 20
+    assert np.array_equal(np.concatenate([common.word_hashes([p])[0] for p in pieces]), want) and at.tolist() == [0, len(want)]
+    lower = [w.lower() for w in text.split()]
+    assert len(lower) == len(want) and len(set(lower)) == len(set(want.tolist()))
 
 
 def test_sketch_estimates():
