@@ -17,8 +17,10 @@ byte.
 
 In Spark: each task reduces its texts to distinct (context, byte) pairs and
 counts; a shuffle adds them up; pairs are dealt by the last two context bytes,
-so a task holds whole subtrees, builds them bottom up and scores every distinct
-pair once; the two levels above need at most 256 * 255 sums. Texts are then
+or by three where two are common, so a task holds whole subtrees, builds them
+bottom up and scores every distinct pair once. The levels above need at most 256
+* 255 sums, and as many again for each of at most ``SPLIT`` common pairs of
+bytes. Texts are then
 scored by looking up their pairs, in a table that executors read from the shared
 folder in blocks of about ``BLOCK`` pairs: beyond that, block after block.
 """
@@ -27,6 +29,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import partial, reduce
 
 import numpy as np
@@ -35,10 +38,13 @@ import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import HashTable, batch_of, map_batches, materialize, open_read, partitions, scratch_path, segment_sum, slices, word_hashes
+from driftline.llm.common import PART, HashTable, batch_of, kept, map_batches, materialize, open_read, partitions, parts, scratch_path, segment_sum, slices, word_hashes
 
 DEPTH = 6  # context bytes; a pair fits 8 * (DEPTH + 1) bits
 BLOCK = 4_000_000
+#: Contexts of two bytes with more than this part of all pairs are dealt finer.
+SPLIT = 512
+TASK = 500_000  # pairs in a task, on the average, at most
 FOLDS, HELD_OUT = 5, 1
 _END = b"\n"
 _LOG10 = np.log(10.0)
@@ -49,19 +55,49 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % FOLDS == HELD_OUT, F.lit(False))
 
 
+def normal_parts(text: bytes) -> Iterator[bytes]:
+    """The normal form of a text: lower-cased words (A-Z) joined by single
+    spaces and closed by a line end; a long text in parts."""
+    if len(text) <= PART:
+        yield b" ".join(text.lower().split()) + _END
+        return
+    begun = False
+    for part in parts(text):
+        if stream := b" ".join(part.lower().split()):
+            yield b" " + stream if begun else stream
+            begun = True
+    yield _END
+
+
 def pair_codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(context, byte) of every byte of the normal form of the texts, as one
     integer, and offsets by text. The context before a text is line ends."""
-    streams = [b" ".join(t.lower().split()) + _END for t in texts]
-    pad = _END * DEPTH
-    data = np.frombuffer(pad + pad.join(streams), dtype=np.uint8).astype(np.uint64)
+    streams = [b"".join(normal_parts(t)) for t in texts]
+    n = np.array([len(s) for s in streams], dtype=np.int64)
+    return _codes([_END * DEPTH] * len(streams), streams), np.append(0, np.cumsum(n))
+
+
+def _codes(before: list[bytes], streams: list[bytes]) -> np.ndarray:
+    """Codes of all bytes of the streams, each after its ``DEPTH`` bytes."""
+    data = np.frombuffer(b"".join(x for pair in zip(before, streams, strict=True) for x in pair), dtype=np.uint8).astype(np.uint64)
     n = np.array([len(s) for s in streams], dtype=np.int64)
     code = np.zeros(len(data) - DEPTH, dtype=np.uint64)
     for j in range(DEPTH + 1):
         code = (code << np.uint64(8)) | data[j : len(data) - DEPTH + j]
-    offsets = np.append(0, np.cumsum(n))
-    inside = np.arange(offsets[-1]) + np.repeat(np.arange(len(n)) * DEPTH, n)
-    return code[inside], offsets
+    inside = np.arange(n.sum()) + np.repeat(np.arange(len(n)) * DEPTH, n)
+    return code[inside]
+
+
+def code_parts(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``pair_codes`` a part at a time: (codes, offsets) of all the texts, more
+    than once where a single text is long."""
+    if len(texts) > 1 or len(texts[0]) <= PART:
+        yield pair_codes(texts)
+        return
+    before = _END * DEPTH
+    for part in normal_parts(texts[0]):
+        yield _codes([before], [part]), np.array([0, len(part)])
+        before = (before + part)[-DEPTH:]
 
 
 class _Tally:
@@ -104,7 +140,7 @@ _PAIR, _WORD, _TOKENS = 0, 1, 2
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of all texts, counted in training texts only; words of training
     texts; training tokens."""
-    _LOADED.clear()  # tables of an earlier job, if this worker had them
+    kept("counting", dict)  # lets go of an earlier job's tables
     tallies = {_PAIR: _Tally(), _WORD: _Tally()}
     tokens = 0
 
@@ -122,7 +158,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nonlocal tokens
         if not buffers[out]:
             return
-        tallies[_PAIR].add(pair_codes(buffers[out])[0], np.zeros(0) if out else None)
+        for code, _ in code_parts(buffers[out]):
+            tallies[_PAIR].add(code, np.zeros(0) if out else None)
+            if tallies[_PAIR].held > 4 * tallies[_PAIR].limit:
+                tallies[_PAIR].merge()
         if not out:
             hashes, _ = word_hashes(buffers[out])
             tallies[_WORD].add(hashes, None)
@@ -131,6 +170,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch, texts in slices(batches, "text"):
         for out, text in zip(batch.column(1).to_pylist(), texts, strict=True):
+            if len(text) > PART:  # alone, so that it's taken in parts
+                flush(out)
             buffers[out].append(text)
             held[out] += len(text)
             if held[out] > 1 << 20:
@@ -243,59 +284,95 @@ def _read(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([g[0] for g in got]).view(np.uint64), np.concatenate([g[1] for g in got])
 
 
-_SUMS = pa.schema([("last", pa.int32()), ("prefix", pa.int32()), ("zeros", pa.float64()), ("ones", pa.float64()), ("weighted", pa.float64())])
+_SUMS = pa.schema([("depth", pa.int32()), ("context", pa.int32()), ("prefix", pa.int32()), ("zeros", pa.float64()), ("ones", pa.float64()), ("weighted", pa.float64())])
 _TABLES = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("value", pa.float64())])
 _SCORES = pa.schema([("key", pa.int64()), ("logp", pa.float64())])
 
 
-def _top_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums over the depth-2 nodes of this task for each depth-1 node."""
-    code, n = _read(batches)
-    if not len(code):
-        return
-    first, bit, zeros, ones, weighted = Subtrees(code, n, 2).nodes()
-    last = ((code[first] >> np.uint64(8)) & np.uint64(255)).astype(np.int64)
-    node = last * 255 + _prefix((code[first] & np.uint64(255)).astype(np.int64), bit)
-    u, inverse = np.unique(node, return_inverse=True)
-    sums = [np.bincount(inverse, weights=w, minlength=len(u)) for w in (zeros, ones, weighted)]
-    yield batch_of(_SUMS, [(u // 255).astype(np.int32), (u % 255).astype(np.int32), *sums])
+def _split(code: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of contexts that are not common, and rows of those that are."""
+    hit = np.isin((code >> np.uint64(8)) & np.uint64(0xFFFF), common)
+    return np.flatnonzero(~hit), np.flatnonzero(hit)
 
 
-def _pair_scores(root: tuple[np.ndarray, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """log10 P(byte | context) of every pair of this task."""
-    total1, ones1, share1, total0, ones0, share0 = root
+def _top_sums(common: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums over this task's highest nodes for the nodes above them: of depth 1,
+    or of depth 2 for common contexts."""
     code, n = _read(batches)
-    if not len(code):
-        return
-    trees = Subtrees(code, n, 2)
-    byte = (code & np.uint64(255)).astype(np.int64)
-    last = ((code >> np.uint64(8)) & np.uint64(255)).astype(np.int64)
-    logp = np.zeros(len(code))
-    for bit in range(8):
-        p = _prefix(byte, np.int64(bit))
-        q, seen = trees.predict(bit)
-        own1 = (ones1[last, p] + 0.5) / (total1[last, p] + 1)
-        mix = np.where(seen, share1[last, p] * own1 + (1 - share1[last, p]) * q, own1)
-        own0 = (ones0[p] + 0.5) / (total0[p] + 1)
-        mix = np.where(total1[last, p] > 0, share0[p] * own0 + (1 - share0[p]) * mix, own0)
-        logp += np.log(np.where((byte >> (7 - bit)) & 1 == 1, mix, 1 - mix))
-    for i in range(0, len(code), 1 << 16):
-        yield batch_of(_SCORES, [code[i : i + (1 << 16)].view(np.int64), logp[i : i + (1 << 16)] / _LOG10])
-
-
-def _root(sums: pa.Table) -> tuple[np.ndarray, ...]:
-    """Depths 1 and 0 from the sums: counts and shares by (last byte, prefix)."""
-    zeros, ones, product = (np.zeros((256, 255)) for _ in range(3))
-    at = sums["last"].to_numpy(), sums["prefix"].to_numpy()
-    for grid, name in ((zeros, "zeros"), (ones, "ones"), (product, "weighted")):
-        grid[at] = sums[name].to_numpy()
-    kt1 = _log_kt(zeros, ones)
-    weighted1 = np.logaddexp(kt1, product) - np.log(2.0)
-    share1 = np.exp(np.minimum(kt1 - weighted1 - np.log(2.0), 0.0))
-    kt0 = _log_kt(zeros.sum(axis=0), ones.sum(axis=0))
-    weighted0 = np.logaddexp(kt0, weighted1.sum(axis=0)) - np.log(2.0)
-    share0 = np.exp(np.minimum(kt0 - weighted0 - np.log(2.0), 0.0))
-    return zeros + ones, ones, share1, (zeros + ones).sum(axis=0), ones.sum(axis=0), share0
+    for depth, rows in zip((1, 2), _split(code, common), strict=True):
+        if not len(rows):
+            continue
+        own = code[rows]
+        first, bit, zeros, ones, weighted = Subtrees(own, n[rows], depth + 1).nodes()
+        context = ((own[first] >> np.uint64(8)) & np.uint64((1 << 8 * depth) - 1)).astype(np.int64)
+        node = context * 255 + _prefix((own[first] & np.uint64(255)).astype(np.int64), bit)
+        u, inverse = np.unique(node, return_inverse=True)
+        sums = [np.bincount(inverse, weights=w, minlength=len(u)) for w in (zeros, ones, weighted)]
+        yield batch_of(_SUMS, [np.full(len(u), depth, dtype=np.int32), (u // 255).astype(np.int32), (u % 255).astype(np.int32), *sums])
+
+
+@dataclass
+class Root:
+    """The highest nodes: counts and shares by (context, prefix)."""
+
+    common: np.ndarray  # sorted contexts of two bytes
+    total: list[np.ndarray]  # by depth 0, 1, 2; depth 2 has rows for common contexts only
+    ones: list[np.ndarray]
+    share: list[np.ndarray]
+
+    def mix(self, depth: int, context: np.ndarray, prefix: np.ndarray, below: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The mixture with the nodes of a depth, and which of them training saw."""
+        total, ones, share = (x[depth][context, prefix] for x in (self.total, self.ones, self.share))
+        own = (ones + 0.5) / (total + 1)
+        return np.where(seen, share * own + (1 - share) * below, own), total > 0
+
+
+def _root(sums: pa.Table, common: np.ndarray) -> Root:
+    depth, context, prefix = (sums[c].to_numpy() for c in ("depth", "context", "prefix"))
+    level = {}
+    for d, rows in ((2, len(common)), (1, 256)):
+        at = np.flatnonzero(depth == d)
+        where = context[at] if d == 1 else np.searchsorted(common, context[at])
+        level[d] = [np.zeros((rows, 255)) for _ in range(3)]
+        for grid, name in zip(level[d], ("zeros", "ones", "weighted"), strict=True):
+            grid[where, prefix[at]] = sums[name].to_numpy()[at]
+
+    def weigh(zeros: np.ndarray, ones: np.ndarray, product: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        kt = _log_kt(zeros, ones)
+        weighted = np.logaddexp(kt, product) - np.log(2.0)
+        return weighted, np.exp(np.minimum(kt - weighted - np.log(2.0), 0.0))
+
+    weighted2, share2 = weigh(*level[2])
+    last = (common & 255).astype(np.int64)
+    for grid, more in zip(level[1], (level[2][0], level[2][1], weighted2), strict=True):
+        np.add.at(grid, last, more)
+    weighted1, share1 = weigh(*level[1])
+    level[0] = [level[1][0].sum(axis=0, keepdims=True), level[1][1].sum(axis=0, keepdims=True), weighted1.sum(axis=0, keepdims=True)]
+    _, share0 = weigh(*level[0])
+    return Root(common, [level[d][0] + level[d][1] for d in range(3)], [level[d][1] for d in range(3)], [share0, share1, share2])
+
+
+def _pair_scores(root: Root, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """log10 P(byte | context) of every pair of this task."""
+    all_codes, n = _read(batches)
+    for depth, rows in zip((1, 2), _split(all_codes, root.common), strict=True):
+        if not len(rows):
+            continue
+        code = all_codes[rows]
+        trees = Subtrees(code, n[rows], depth + 1)
+        byte = (code & np.uint64(255)).astype(np.int64)
+        context = ((code >> np.uint64(8)) & np.uint64(0xFFFF)).astype(np.int64)
+        logp = np.zeros(len(code))
+        for bit in range(8):
+            p = _prefix(byte, np.int64(bit))
+            mix, seen = trees.predict(bit)
+            if depth == 2:
+                mix, seen = root.mix(2, np.searchsorted(root.common, context), p, mix, seen)
+            mix, seen = root.mix(1, context & 255, p, mix, seen)
+            mix, _ = root.mix(0, np.zeros_like(p), p, mix, seen)
+            logp += np.log(np.where((byte >> (7 - bit)) & 1 == 1, mix, 1 - mix))
+        for i in range(0, len(code), 1 << 16):
+            yield batch_of(_SCORES, [code[i : i + (1 << 16)].view(np.int64), logp[i : i + (1 << 16)] / _LOG10])
 
 
 # -- scoring -------------------------------------------------------------------
@@ -305,41 +382,38 @@ _OUT = pa.schema(
 )
 _OUT_SQL = "doc_id long, held_out boolean, row long, n_tokens long, n_bytes long, n_known long, base double, score double"
 _SUMMED = ("n_known", "base", "score")
-#: The block of the tables that this Python worker has, kept from task to task.
-_LOADED: dict[tuple[str, ...], tuple[HashTable, HashTable]] = {}
 
 
 def _load(files: tuple[str, ...]) -> tuple[HashTable, HashTable]:
     """Pairs and words of one block, from the shared folder."""
-    if files not in _LOADED:
-        _LOADED.clear()
-        parts = []
-        for f in files:
-            with open_read(f) as stream:
-                parts.append(pq.ParquetFile(stream).read(["kind", "key", "value"]))
-        got = pa.concat_tables(parts) if parts else _TABLES.empty_table()
-        kind, key, value = (got[c].to_numpy() for c in ("kind", "key", "value"))
-        key, pair, word = key.view(np.uint64), kind == _PAIR, kind == _WORD
-        counts = value[word]
-        counts = counts.astype(np.int32) if counts.max(initial=0) < 1 << 31 else counts
-        _LOADED[files] = HashTable(key[pair], value[pair].astype(np.float32)), HashTable(key[word], counts)
-    return _LOADED[files]
+    parts_ = []
+    for f in files:
+        with open_read(f) as stream:
+            parts_.append(pq.ParquetFile(stream).read(["kind", "key", "value"]))
+    got = pa.concat_tables(parts_) if parts_ else _TABLES.empty_table()
+    kind, key, value = (got[c].to_numpy() for c in ("kind", "key", "value"))
+    key, pair, word = key.view(np.uint64), kind == _PAIR, kind == _WORD
+    counts = value[word]
+    counts = counts.astype(np.int32) if counts.max(initial=0) < 1 << 31 else counts
+    return HashTable(key[pair], value[pair].astype(np.float32)), HashTable(key[word], counts)
 
 
 def _lookup(files: tuple[str, ...], ends: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums over one block of the tables: tokens found, their log10 counts plus
     1/2 less log10 of 1/2, and the log10 probabilities of pairs. ``ends`` is
     the count of the end token, in one of the blocks."""
-    pairs, counts = _load(files)
+    pairs, counts = kept(files, partial(_load, files))
     gain = float(np.log10(ends + 0.5) - np.log10(0.5))
     for batch, texts in slices(batches, "text"):
-        code, offsets = pair_codes(texts)
-        logp, _ = pairs.get(code, 0.0)
+        logp, n_bytes = np.zeros(len(texts)), np.zeros(len(texts), dtype=np.int64)
+        for code, offsets in code_parts(texts):
+            logp += segment_sum(pairs.get(code, 0.0)[0].astype(np.float64), offsets)
+            n_bytes += np.diff(offsets)
         hashes, at = word_hashes(texts)
         c, found = counts.get(hashes, 0)
         base = segment_sum(np.log10(c + 0.5) - np.log10(0.5), at) + gain
         known = segment_sum(found, at) + int(ends > 0)
-        yield batch_of(_OUT, [batch.column(0), batch.column(1), batch.column(2), np.diff(at) + 1, np.diff(offsets), known, base, segment_sum(logp.astype(np.float64), offsets)])
+        yield batch_of(_OUT, [batch.column(0), batch.column(1), batch.column(2), np.diff(at) + 1, n_bytes, known, base, logp])
 
 
 def corpus_counts(docs: DataFrame) -> DataFrame:
@@ -348,14 +422,22 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
     return materialize(counted.groupBy("kind", "key").agg(F.sum("n").alias("n")), "ctw-counts")
 
 
-def pair_probabilities(counts: DataFrame) -> DataFrame:
+def pair_probabilities(counts: DataFrame, split: int = SPLIT) -> DataFrame:
     """(key, logp): log10 P(byte | context) for every pair of the corpus."""
-    n = max(1, partitions(counts.sparkSession))
-    pairs = counts.where(F.col("kind") == _PAIR).select("key", "n").repartition(n, F.shiftright("key", 8).bitwiseAND(0xFFFF))
-    sums = map_batches(pairs, _top_sums, "last int, prefix int, zeros double, ones double, weighted double")
-    # At most 256 * 255 rows.
-    sums = sums.groupBy("last", "prefix").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "weighted")])
-    root = _root(sums.orderBy("last", "prefix").toArrow())
+    pairs = counts.where(F.col("kind") == _PAIR).select("key", "n")
+    two = F.shiftright("key", 8).bitwiseAND(0xFFFF)
+    # At most 65,536 rows; the common ones among them are fewer than ``split``.
+    sizes = materialize(pairs.groupBy(two.alias("context")).agg(F.count("*").alias("pairs")), "ctw-contexts")
+    total = sizes.agg(F.sum("pairs")).first()[0] or 0
+    found = sizes.where(F.col("pairs") > total / split).select("context").toArrow()["context"].to_numpy()
+    common = np.sort(found).astype(np.uint64)
+    dealt = F.when(two.isin(common.tolist()), F.shiftright("key", 8).bitwiseAND(0xFFFFFF) + (1 << 24)).otherwise(two) if len(common) else two
+    n = max(1, partitions(counts.sparkSession), -(-total // TASK))
+    pairs = pairs.repartition(n, dealt)
+    sums = map_batches(pairs, partial(_top_sums, common), "depth int, context int, prefix int, zeros double, ones double, weighted double")
+    # At most (256 + split) * 255 rows.
+    sums = sums.groupBy("depth", "context", "prefix").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "weighted")])
+    root = _root(sums.orderBy("depth", "context", "prefix").toArrow(), common)
     return materialize(map_batches(pairs, partial(_pair_scores, root), "key long, logp double"), "ctw-pairs")
 
 
@@ -379,7 +461,7 @@ def score_texts(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
     Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score,
     score (log10 probability of the text), bits_per_byte. A null text is empty
-    and has its end only. Null ids are training rows; repeated rows are scored
+    and has its end only. Very long texts are coded in parts. Null ids are training rows; repeated rows are scored
     and learned from row for row; other columns are ignored. Without training
     rows every byte has one bit a decision; an empty table stays empty.
     """
