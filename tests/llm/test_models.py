@@ -7,7 +7,7 @@ from collections import Counter
 
 import numpy as np
 
-from driftline.llm import lm_ctw, quality_crf, toxicity_fm
+from driftline.llm import common, lm_ctw, quality_crf, toxicity_fm
 from driftline.llm.common import table
 
 from . import plain
@@ -90,9 +90,32 @@ def test_language_model(spark):
     twice = {r.doc_id: r for r in lm_ctw.score_texts(df.unionByName(df)).collect()}
     assert all(abs(blocks[i].score - twice[i].score) < 1e-6 and blocks[i].n_known == twice[i].n_known for i in twice)
     assert lm_ctw.score_texts(df.limit(0)).count() == 0
+    # Few pairs are common at 1 / 512 of all here; all or none give the same.
+    counts = lm_ctw.corpus_counts(df.select("doc_id", lm_ctw.held_out().alias("held_out"), "text"))
+    one, all_ = ({r.key: r.logp for r in lm_ctw.pair_probabilities(counts, n).collect()} for n in (1, 1 << 30))
+    assert one.keys() == all_.keys() and max(abs(one[k] - all_[k]) for k in one) < 1e-9
     assert len(lm_ctw.score_texts(df.unionByName(df), block=40).collect()) == 2 * len(out)
 
 
+def test_long_texts_in_parts(monkeypatch):
+    """Codes and line features are the same, taken whole or in parts."""
+    import random
+
+    r = random.Random(3)
+    lines = ["".join(r.choice("ab Cé. %1") for _ in range(r.randint(0, 60))) for _ in range(3000)] * 2
+    text = "\n".join(lines).encode()
+    whole = lm_ctw.pair_codes([text])
+    x, length, offsets = quality_crf.line_features([text])
+    for module in (lm_ctw, quality_crf):
+        monkeypatch.setattr(module, "PART", 5000)
+        monkeypatch.setattr(module, "parts", lambda t, s=module.WHITE if module is quality_crf else common.WHITE: common.parts(t, s, 5000))
+    got = list(lm_ctw.code_parts([text]))
+    assert len(got) > 20 and np.array_equal(np.concatenate([c for c, _ in got]), whole[0])
+    y, length_y, offsets_y = quality_crf.line_features([text])
+    assert np.array_equal(x, y) and np.array_equal(length, length_y) and np.array_equal(offsets, offsets_y)
+    assert len(x) == 6000 and x[:, 11].sum() > 5000
+
+
 def test_lgamma():
     x = np.array([0.5, 1, 1.5, 2, 7.5, 100, 1e5, 1e9])
     assert np.allclose(lm_ctw._lgamma(x), [math.lgamma(v) for v in x], rtol=1e-11, atol=1e-11)

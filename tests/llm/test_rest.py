@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from driftline.llm import decontaminate, embedding_dedup, html_text, mixing, queries
+from driftline.llm.common import table
 
 from . import plain
 
@@ -105,21 +106,50 @@ def test_decontamination(spark):
     assert decontaminate.contaminated_pairs(df, bench.limit(0)).count() == 0
 
 
-def test_wand_finds_all(monkeypatch):
+def test_wand_finds_all(spark):
     r = random.Random(2)
-    texts = [" ".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 12))).encode() for _ in range(40)]
-    index = decontaminate.build(list(range(40)), texts)
-    dense = np.zeros((len(index.posts) - 1, 40))
+    texts = [" ".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 12))) for _ in range(40)] + ["a b c d", "q", " "]
+    (path,) = decontaminate.indexes(spark.createDataFrame(list(enumerate(texts)), "item_id long, text string"))
+    index = decontaminate._read(path)
+    assert sorted(index.ids) == list(range(42))
+    dense = np.zeros((len(index.dense_of), len(index.ids)))
     for t in range(len(dense)):
-        a, b = index.posts[t], index.posts[t + 1]
+        a, b = index.posts[index.lists[t]], index.posts[index.lists[t + 1]]
         dense[t, index.items[a:b]] = index.impacts[a:b]
+    assert np.allclose(dense.sum(axis=0), 1) and {-1} < set(index.dense_of.tolist())
     for _ in range(30):
         terms = np.array(sorted(r.sample(range(len(dense)), 6)))
-        blocks = np.arange(index.bounds.shape[1])
-        got = dict(decontaminate.block_max_wand(index, terms, blocks, 0.4))
+        got = dict(decontaminate.block_max_wand(index, terms, np.arange(index.blocks), 0.4))
         score = dense[terms].sum(axis=0)
         assert set(got) == set(np.flatnonzero(score >= 0.4).tolist())
         assert all(abs(score[i] - s) < 1e-9 for i, s in got.items())
+        (open_,) = decontaminate._open_blocks(index, terms, np.array([0, 6]), 0.4)
+        assert set(np.unique(np.flatnonzero(score >= 0.4) // decontaminate.ITEM_BLOCK)) <= set(np.flatnonzero(open_))
+
+
+def test_shards_agree(spark):
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(1, 3)))
+    items = [(i, " ".join(word() for _ in range(r.randint(6, 60)))) for i in range(200)]
+    docs = []
+    for i in range(120):
+        part = items[r.randrange(200)][1].split()
+        w = [word() for _ in range(200)]
+        for _ in range(i % 5):
+            part[r.randrange(len(part))] = word()
+        w[i:i] = part
+        docs.append((i, " ".join(w)))
+    docs.append((200, " ".join([*["pad"] * 600_000, items[7][1], *["pad"] * 10])))  # longer than a window
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    shards = decontaminate.indexes(bench, 400)
+    assert len(shards) >= 12
+    one, many = (sorted(map(tuple, decontaminate.contaminated_pairs(df, bench, shard=n).collect())) for n in (1 << 20, 400))
+    assert len(one) > 40 and any(x[0] == 200 and x[1] == 7 for x in one)
+    assert [x[:4] + x[5:] for x in one] == [x[:4] + x[5:] for x in many] and np.allclose([x[4] for x in one], [x[4] for x in many], rtol=0, atol=1e-9)
+    # Not only what survives the overlap: all that is retrieved.
+    texts = [t.encode() for _, t in docs[:60]]
+    found = [sorted((t, int(index.ids[i]), round(s, 9)) for path in paths for index in [decontaminate._read(path)] for t, i, s, *_ in decontaminate.search(index, texts)) for paths in (decontaminate.indexes(bench), shards)]
+    assert found[0] == found[1]
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body>
@@ -133,6 +163,22 @@ def test_main_text():
         assert isinstance(html_text.main_text(odd), str)
     assert html_text.main_text("<div>" * 5000 + "deep") == "deep"
     assert html_text.main_text("a < b &amp; c") == "a < b & c"
+    assert len(html_text.main_text("<p>word</p>" * 200_000)) == 5 * 200_000 - 1
+
+
+@pytest.mark.parametrize(("html", "text"), [
+    ('<div class="has-sidebar"><article><p>Body text', "Body text"),
+    ('<div class="page-with-ads"><main><p>Body', "Body"),
+    ('<div class="sidebar"><main><p>Body', "Body"),
+    ('<form><article><p>Body</article><p>x</form>', "Body"),
+    ('<div id="social-history"><p>Of towns', "Of towns"),
+    ('<article><div class="post-header"><h1>Headline</h1></div><p>Body', "Headline Body"),
+    ('<p class="notice-period">Three months<p>x', "Three months x"),
+    ('<table class="related-data"><tr><td>1<td>2', "1 2"),
+    ('<p>x<div class="wide Notice">gone</div><div id="comments">gone</div><aside><article>teaser</article></aside>', "x"),
+])
+def test_names(html, text):
+    assert html_text.main_text(html) == text
 
 
 def test_templates(spark):
@@ -147,6 +193,48 @@ def test_templates(spark):
     assert by[50] == "Site namename text 50 of page more 50 Imprint"
     assert all(r.n_chars == len(r.text) for r in got)
     assert html_text.extract_text(df.limit(0)).count() == 0
+    assert sum(r.n_template for r in got) == 40
+    assert sorted(map(str, html_text.extract_text(df, table=0).collect())) == sorted(map(str, got))
+
+
+def test_votes_against_a_plain_count(spark):
+    """Templates of all pages of sf0.001 counted by dictionaries, and by the
+    vote alone; no page is changed by it where the article is declared."""
+    import re
+    from collections import Counter
+
+    rows = [r for r in table(spark, SF, "pages").collect()]
+    # Pages of three hosts, so that there is something to vote on.
+    pages = [(r.page_id, f"http://h{r.page_id % 3}.example/{r.page_id}", re.sub("</?article>", "", r.html) if r.page_id % 2 else r.html) for r in rows]
+    shared = "<section><h2>Most read</h2><ul><li>One<li>Two</ul></section>"
+    pages = [(i, u, h.replace("<footer>", shared + "<footer>") if i % 3 else h) for i, u, h in pages]
+    seen, size, digests = Counter(), Counter(), {}
+    for i, url, html in pages:
+        host = url[7:].split("/")[0]
+        root, content = html_text.tree(html)
+        text = html_text._text(content or [root], set())[0]
+        if (host, text) in digests:
+            continue
+        digests[host, text] = i
+        size[host] += 1
+
+        def walk(n, inside, content=content, host=host, own=None):
+            """Spelled out: (tag, texts and children) as nested tuples."""
+            kids = [x for x in (walk(c, inside or n in content, own=own) if not isinstance(c, str) else " ".join(c.split()) for c in n.children) if x]
+            if kids and not n.holds and n.tag not in ("#root", "html", "body") and (not inside or n.tag in html_text.CONTAINERS):
+                own.add((n.tag, *kids))
+            return (n.tag, *kids) if kids else None
+
+        own: set = set()
+        walk(root, False, own=own)
+        seen.update((host, x) for x in own)
+    want = Counter(host for (host, _), n in seen.items() if n >= max(4, min(0.1 * size[host], 50)))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    with_host = df.selectExpr("split(url, '/')[2] as host", "html")
+    got = Counter(r.host for r in html_text.host_templates(with_host).collect())
+    assert got == want and sum(want.values()) > 3
+    out = {r.page_id: r for r in html_text.extract_text(df).collect()}
+    assert all("Most read" not in out[i].text for i, _, _ in pages) and sum(out[i].n_template > 0 for i, _, _ in pages if i % 3) > 20
 
 
 def test_vectors(spark):
@@ -156,7 +244,7 @@ def test_vectors(spark):
     rows += [(1000 + i, r.normal(size=16).tolist()) for i in range(200)] + [(2000 + i, [1.0] + [0.0] * 15) for i in range(40)] + [(2100, [3.0] + [0.0] * 15)]
     odd = [None, [], [0.0] * 16, [float("nan")] * 16, [None] * 16, [float("inf")] + [1.0] * 15, [1.0, 2.0]]
     rows += [(3000 + i, v) for i, v in enumerate(odd)]
-    df = spark.createDataFrame(rows + [(None, [1.0] * 16), (2000, [1.0] + [0.0] * 15)], "vec_id long, embedding array<double>").withColumnRenamed("label", "x")
+    df = spark.createDataFrame([(*x, 1, 2) for x in rows], "vec_id long, embedding array<double>, component long, v int")
     got = {x.vec_id: x for x in embedding_dedup.near_vectors(df).collect()}
     good = {i: np.array(v) / np.linalg.norm(v) for i, v in rows if i < 3000}
     ids = sorted(good)
@@ -171,6 +259,10 @@ def test_vectors(spark):
     recall = sum(got[i].n_links for i in ids) / sum(want.values())
     assert 0.9 <= recall <= 1 and all(got[i].n_links <= want[i] for i in ids)
     assert all(got[3000 + i].n_links == 0 for i in range(len(odd)))
+    # Rows without an id, and rows that share one, are vectors of their own.
+    more = spark.createDataFrame([(None, [2.0, 1.0]), (None, [2.0, 1.0]), (7, [4.0, 2.0]), (7, [0.0, 1.0]), (9, [0.0, 2.0]), (None, [-1.0, 0.0])], "vec_id long, embedding array<double>")
+    assert sorted(map(str, (tuple(x) for x in embedding_dedup.near_vectors(more).collect()))) == sorted(map(str, [
+        (None, 2, 7, False), (None, 2, 7, False), (7, 2, 7, True), (7, 1, 7, True), (9, 1, 7, False), (None, 0, None, True)]))
     assert embedding_dedup.near_vectors(df.limit(0)).count() == 0
 
 
@@ -206,6 +298,21 @@ def test_vectors_of_a_hot_region(spark, monkeypatch, row_cost):
     assert got == {i: (int(linked[i].sum()), union.root(i), union.root(i) == i) for i in range(len(x))}
 
 
+def test_large_components(spark, monkeypatch):
+    """Components of many tiles: some settled by angles, some not."""
+    monkeypatch.setattr(embedding_dedup, "TILE", 40)
+    r = np.random.RandomState(4)
+    spread = r.normal(size=(700, 3)) * np.linspace(0.02, 0.5, 700)[:, None] + [1.0, 0, 0]
+    far = r.normal(size=(300, 3)) * 0.03 - [1.0, 0, 0]
+    x = np.concatenate([spread, far, far[:50]])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = u @ u.T >= 0.95
+    np.fill_diagonal(linked, False)
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    got = {g.vec_id: g.n_links for g in embedding_dedup.near_vectors(df).collect()}
+    assert got == dict(enumerate(linked.sum(axis=1).tolist()))
+
+
 def test_vectors_of_two_lengths(spark):
     r = np.random.RandomState(5)
     rows = []
