@@ -5,13 +5,18 @@ The tables hold no calendar, so every operator runs on an analogous column.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.functions import parsing
-from driftline.operators import ingest, keys, reconcile, sqltext, state
+from driftline.operators import apply, ingest, keys, reconcile, sqltext, state
+from driftline.plans import sync
+from driftline.schemas import SyncMode
+from driftline.sources import grid, xlsx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -71,13 +76,13 @@ def reconcile_plan(spark, sf_dir):
 @_query(_SNAPSHOTS + "SELECT o_orderkey, o_totalprice FROM nw WHERE NOT EXISTS (SELECT 1 FROM ex WHERE ex.o_orderkey = nw.o_orderkey)")
 def reconcile_inserts(spark, sf_dir):
     ex, nw = _snapshots(spark, sf_dir)
-    return nw.join(ex, "o_orderkey", "left_anti").select("o_orderkey", "o_totalprice")
+    return reconcile.missing_from(nw, ex, ["o_orderkey"]).select("o_orderkey", "o_totalprice")
 
 
 @_query(_SNAPSHOTS + "SELECT o_orderkey, o_totalprice FROM ex WHERE NOT EXISTS (SELECT 1 FROM nw WHERE ex.o_orderkey = nw.o_orderkey)")
 def reconcile_deletes(spark, sf_dir):
     ex, nw = _snapshots(spark, sf_dir)
-    return ex.join(nw, "o_orderkey", "left_anti").select("o_orderkey", "o_totalprice")
+    return reconcile.missing_from(ex, nw, ["o_orderkey"]).select("o_orderkey", "o_totalprice")
 
 
 @_query(_SNAPSHOTS + """SELECT count(*) FILTER (action = 'insert') AS created, count(*) FILTER (action = 'update') AS updated,
@@ -93,16 +98,100 @@ def sync_message(spark, sf_dir):
     return s.select(reconcile.message(F.col("created"), F.col("updated"), F.col("deleted")).alias("message"))
 
 
-@_query("""
-WITH old AS (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate <= TIMESTAMP '1996-12-31'),
-new AS (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 <> 1 AND o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate <= TIMESTAMP '1996-12-31')
-SELECT 'delete' AS action, count(*) AS n FROM old UNION ALL SELECT 'insert', count(*) FROM new""")
+# Orders as calendar events: a remote snapshot and the sheet's new events.
+
+_CALENDAR = """
+WITH o AS (SELECT o_orderkey AS k, strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderstatus AS status, o_orderpriority AS priority, 'c' || o_custkey || '@x' AS mail FROM orders),
+remote AS (SELECT *, 'r' || k AS id, 'E' || k AS title, CASE WHEN k % 4 = 0 THEN NULL ELSE priority END AS location, k % 9 = 0 AS all_day FROM o WHERE k % 10 <> 0),
+event AS (SELECT *, 'E' || k AS title, CASE WHEN k % 4 = 0 THEN '' WHEN k % 7 = 0 THEN 'R9' ELSE priority END AS location,
+  CASE WHEN k % 11 = 0 THEN '11:00:00' ELSE '10:00:00' END AS end_time FROM o WHERE k % 10 <> 1),
+plan AS (
+  SELECT coalesce(r.title, e.title) AS title, coalesce(r.day, e.day) AS day, r.id AS remote_id, e.location AS new_location, e.day || 'T' || e.end_time AS new_end,
+         CASE WHEN r.k IS NULL THEN 'insert' WHEN e.k IS NULL THEN 'delete'
+              WHEN coalesce(r.location, '') = e.location AND (r.all_day OR e.end_time = '10:00:00') THEN 'noop' ELSE 'update' END AS action
+  FROM remote r FULL OUTER JOIN event e ON r.k = e.k)
+"""
+
+
+def _calendar(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(remote, events). Texts of the remote side have white space of all kinds
+    around them, and some of its events last all day."""
+    o = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.to_date("o_orderdate").alias("day"), "o_orderstatus", "o_orderpriority", "o_custkey")
+    name = F.concat(F.lit("E"), F.col("k").cast("string"))
+    mail = F.concat(F.lit("c"), F.col("o_custkey").cast("string"), F.lit("@x"))
+    whole = F.col("k") % 9 == 0
+
+    def moment(time: str) -> Column:
+        at = F.when(~whole, F.concat(F.col("day").cast("string"), F.lit(f"T{time}+09:00")))
+        return F.struct(at.alias("dateTime"), F.when(whole, F.col("day").cast("string")).alias("date"), F.lit("Asia/Seoul").alias("timeZone"))
+
+    remote = o.where("k % 10 <> 0").select(
+        F.concat(F.lit("r"), F.col("k").cast("string")).alias("id"),
+        F.concat(F.lit(" \t"), name, F.lit("\u00a0\n")).alias("summary"),
+        F.concat(F.lit("\n"), "o_orderstatus", F.lit("\u2003")).alias("description"),
+        F.when(F.col("k") % 4 != 0, F.col("o_orderpriority")).alias("location"),
+        moment("09:00:00").alias("start"),
+        moment("10:00:00").alias("end"),
+        F.array(F.struct(mail.alias("email"))).alias("attendees"),
+    )
+    events = o.where("k % 10 <> 1").select(
+        name.alias("title"),
+        F.col("day").alias("start_date"),
+        F.col("day").alias("end_date"),
+        F.col("o_orderstatus").alias("description"),
+        F.when(F.col("k") % 4 == 0, "").when(F.col("k") % 7 == 0, "R9").otherwise(F.col("o_orderpriority")).alias("location"),
+        F.array(mail).alias("attendees"),
+        F.lit("09:00:00").alias("start_time"),
+        F.when(F.col("k") % 11 == 0, "11:00:00").otherwise("10:00:00").alias("end_time"),
+        F.lit("orders").alias("sheet_name"),
+        F.col("k").cast("int").alias("row_no"),
+        F.col("k").alias("ordinal"),
+    )
+    return remote, events
+
+
+def _incremental(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    remote, events = _calendar(spark, sf_dir)
+    return remote, sync.sync(remote, events, sync.SyncConfig(SyncMode.INCREMENTAL_UPDATE, "1990-01-01", "2030-01-01"))
+
+
+@_query(_CALENDAR + """SELECT action, title, day AS start_date, day AS end_date, remote_id, CASE WHEN action IN ('insert', 'update') THEN new_location END AS new_location,
+  CASE WHEN action IN ('insert', 'update') THEN new_end END AS new_end FROM plan""")
+def sync_incremental(spark, sf_dir):
+    p = _incremental(spark, sf_dir)[1]
+    return p.select("action", "title", "start_date", "end_date", "remote_id", F.col("payload.location").alias("new_location"), F.col("payload.end.dateTime").alias("new_end"))
+
+
+@_query(_CALENDAR + """SELECT r.id, CASE WHEN action = 'update' THEN r.title ELSE chr(32) || chr(9) || r.title || chr(160) || chr(10) END AS summary,
+  CASE WHEN action = 'update' THEN new_location ELSE location END AS location,
+  CASE WHEN action = 'update' THEN new_end WHEN NOT all_day THEN r.day || 'T10:00:00+09:00' END AS end_at
+FROM remote r JOIN plan ON r.id = remote_id WHERE action <> 'delete'
+UNION ALL SELECT sha256(title || chr(31) || day || chr(31) || day), title, new_location, new_end FROM plan WHERE action = 'insert'""")
+def applied_snapshot(spark, sf_dir):
+    remote, plan = _incremental(spark, sf_dir)
+    return apply.apply_plan(remote, plan).select("id", "summary", "location", F.col("end.dateTime").alias("end_at"))
+
+
+_OVERLAP = """((all_day AND day > '{0}' AND day <= '{1}') OR (NOT all_day AND day >= '{0}' AND day <= '{1}'))"""
+
+
+@_query(_CALENDAR + f"""SELECT 'delete' AS action, title, day AS start_date, id AS remote_id, NULL AS location FROM remote WHERE {_OVERLAP.format('1996-01-01', '1996-12-31')}
+  UNION ALL SELECT 'insert', title, day, NULL, location FROM event""")
+def sync_full_replace(spark, sf_dir):
+    p = sync.sync(*_calendar(spark, sf_dir), sync.SyncConfig(SyncMode.FULL_REPLACE, "1996-01-01", "1996-12-31"))
+    return p.select("action", "title", "start_date", "remote_id", F.col("payload.location").alias("location"))
+
+
+@_query(_CALENDAR + f"""SELECT 'delete' AS action, count(*) AS n FROM remote WHERE {_OVERLAP.format('1995-06-01', '1996-06-30')}
+  UNION ALL SELECT 'insert', count(*) FROM event""")
 def full_replace_range(spark, sf_dir):
-    orders = _read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
-    scoped = orders.where((F.col("o_orderdate") >= F.lit("1996-01-01").cast("timestamp_ntz")) & (F.col("o_orderdate") <= F.lit("1996-12-31").cast("timestamp_ntz")))
-    gone = scoped.where("o_orderkey % 3 <> 0").select(F.lit("delete").alias("action"))
-    new = scoped.where("o_orderkey % 3 <> 1").select(F.lit("insert").alias("action"))
-    return gone.unionByName(new).groupBy("action").agg(F.count("*").alias("n"))
+    remote, events = _calendar(spark, sf_dir)
+    return sync.full_replace(sync.remote_in_range(remote, "1995-06-01", "1996-06-30"), events).groupBy("action").agg(F.count("*").alias("n"))
+
+
+@_query(_CALENDAR + """SELECT title, day || ' 09:00 ~ ' || day || ' ' || left(end_time, 5) AS period, coalesce(nullif(location, ''), '-') AS location, mail AS attendees FROM event""")
+def display_rows(spark, sf_dir):
+    return reconcile.display(_calendar(spark, sf_dir)[1])
 
 
 @_query("SELECT '1996-05-01' AS range_start, strftime(max(o_orderdate), '%Y-%m-%d') AS range_end FROM orders")
@@ -111,13 +200,9 @@ def range_defaults(spark, sf_dir):
     return reconcile.range_defaults(orders, "1996-05-01", "")
 
 
-@_query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate + INTERVAL 1 DAY > TIMESTAMP '1998-01-01' AND o_orderdate < TIMESTAMP '1998-12-31 23:59:59'")
+@_query(_CALENDAR + f"SELECT id FROM remote WHERE {_OVERLAP.format('1998-01-01', '1998-12-31')}")
 def range_scan(spark, sf_dir):
-    orders = _read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
-    start = F.col("o_orderdate")
-    # The day's length is moved to the constant: the bound reaches the scan.
-    low = F.lit("1997-12-31 00:00:00").cast("timestamp_ntz")
-    return orders.where((start > low) & (start < F.lit("1998-12-31 23:59:59").cast("timestamp_ntz")))
+    return sync.remote_in_range(_calendar(spark, sf_dir)[0], "1998-01-01", "1998-12-31").select("id")
 
 
 @_query("""SELECT user_id, event_type, event_id, value FROM (
@@ -128,17 +213,17 @@ def last_write_wins(spark, sf_dir):
 
 
 _REMOTE = """
-WITH remote AS (SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE '  ' || o_orderpriority || ' ' END AS summary,
+WITH remote AS (SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE ' ' || chr(9) || o_orderpriority || chr(160) || chr(10) END AS summary,
   CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '+09:00' END AS stamp, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders)
 """
 
 
-@_query(_REMOTE + "SELECT o_orderkey, trim(coalesce(summary, ''), ' ') AS title, left(coalesce(nullif(stamp, ''), day, ''), 10) AS start_date, left(coalesce(nullif(stamp, ''), day, ''), 10) AS end_date FROM remote")
+@_query(_REMOTE + "SELECT o_orderkey, trim(coalesce(summary, ''), ' ' || chr(9) || chr(10) || chr(160)) AS title, left(coalesce(nullif(stamp, ''), day, ''), 10) AS start_date, left(coalesce(nullif(stamp, ''), day, ''), 10) AS end_date FROM remote")
 def match_key(spark, sf_dir):
     orders = _read(spark, sf_dir, "orders")
     at = F.when(F.col("o_orderkey") % 3 == 0, "").otherwise(F.concat(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+09:00")))
     moment = F.struct(at.alias("dateTime"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"))
-    summary = F.when(F.col("o_orderkey") % 4 != 0, F.concat(F.lit("  "), "o_orderpriority", F.lit(" ")))
+    summary = F.when(F.col("o_orderkey") % 4 != 0, F.concat(F.lit(" \t"), "o_orderpriority", F.lit("\u00a0\n")))
     return orders.select("o_orderkey", summary.alias("summary"), moment.alias("start"), moment.alias("end")).select("o_orderkey", *keys.remote_key())
 
 
@@ -205,14 +290,33 @@ def split_list(spark, sf_dir):
 @_query("""SELECT reason, count(*) AS n FROM (SELECT CASE WHEN event_id % 5 = 0 THEN 'title is required' WHEN event_id % 7 = 0 THEN 'bad start_date'
   WHEN event_id % 11 = 0 THEN 'bad end_date' END AS reason FROM events) WHERE reason IS NOT NULL GROUP BY reason""")
 def row_rejects(spark, sf_dir):
+    return ingest.sheet_events(_grid(spark, sf_dir), "events")[1].groupBy("reason").agg(F.count("*").alias("n"))
+
+
+def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _read(spark, sf_dir, "events")
-    grid = e.select(
+    return e.select(
         F.when(F.col("event_id") % 5 != 0, F.col("event_type")).alias("제목"),
         F.when(F.col("event_id") % 7 != 0, F.date_format("ts", "yyyy-MM-dd")).otherwise("soon").alias("Start-Date"),
         F.when(F.col("event_id") % 11 != 0, F.date_format("ts", "MM/dd/yyyy")).alias("종료일"),
         F.col("event_id").alias("_row_no"),
     )
-    return ingest.sheet_events(grid, "events")[1].groupBy("reason").agg(F.count("*").alias("n"))
+
+
+_REJECTS = """WITH r AS (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'title is required' WHEN event_id % 7 = 0 THEN 'bad start_date'
+  WHEN event_id % 11 = 0 THEN 'bad end_date' END AS reason FROM events)"""
+
+
+@_query(_REJECTS + "SELECT 'Sheet ''events'' Row ' || event_id || ': ' || reason AS error FROM r WHERE reason IS NOT NULL UNION ALL SELECT 'Sheet ''bare'': missing required columns: start_date, end_date'")
+def reject_list(spark, sf_dir):
+    bare = ingest.sheet_events(_read(spark, sf_dir, "nation").select(F.col("n_name").alias("title"), F.col("n_nationkey").alias("_row_no")), "bare", 1)[1]
+    rejects = ingest.sheet_events(_grid(spark, sf_dir), "events")[1].unionByName(bare)
+    return ingest.messages(rejects)
+
+
+@_query(_REJECTS + "SELECT false AS success, count(*) FILTER (reason IS NULL) AS events_processed, count(reason) AS errors FROM r")
+def sheet_outcome(spark, sf_dir):
+    return ingest.outcome(*ingest.sheet_events(_grid(spark, sf_dir), "events"))
 
 
 @_query("""SELECT event_id AS ordinal, event_type AS title, ts::DATE AS start_date, ts::DATE AS end_date FROM events WHERE event_id % 5 <> 0""")
@@ -247,6 +351,28 @@ def sql_escape(spark, sf_dir):
 # -- state ---------------------------------------------------------------------
 
 
+@_query("""SELECT session_id, user_id, ts AS created_at, ts + INTERVAL 24 HOUR AS expires_at FROM (SELECT 's' || event_id AS session_id, user_id, ts FROM events WHERE event_id % 2 = 0)
+UNION ALL SELECT 's' || event_id, user_id, TIMESTAMP '2024-01-15 12:00:00', TIMESTAMP '2024-01-16 12:00:00' FROM events WHERE event_id % 2 = 1""")
+def session_insert(spark, sf_dir):
+    e = _read(spark, sf_dir, "events").select(F.concat(F.lit("s"), F.col("event_id").cast("string")).alias("session_id"), "user_id", F.col("ts").alias("created_at"), (F.col("ts") + F.expr("INTERVAL '24' HOUR")).alias("expires_at"), "event_id")
+    old = e.where("event_id % 2 = 0").drop("event_id")
+    return state.insert_session(old, e.where("event_id % 2 = 1").select("session_id", "user_id"), _NOW(F.lit(_AT)))
+
+
+@_query("""SELECT 's' || event_id AS session_id, 'u' || user_id AS user_id, user_id || '@x' AS email, event_type AS name, CASE WHEN value > 50 THEN 'TRUE' ELSE 'FALSE' END AS flag FROM events""")
+def session_subset(spark, sf_dir):
+    e = _read(spark, sf_dir, "events")
+    u = F.col("user_id").cast("string")
+    flag = parsing.boolean_text(F.col("value") > 50)
+    s = e.select(F.concat(F.lit("s"), F.col("event_id").cast("string")).alias("session_id"), F.concat(F.lit("u"), u).alias("user_id"), F.concat(u, F.lit("@x")).alias("email"), F.col("event_type").alias("name"), flag.alias("oauth_state"))
+    return state.session_view(s).join(s.select("session_id", F.col("oauth_state").alias("flag")), "session_id")
+
+
+@_query(f"SELECT event_id, user_id FROM events WHERE NOT ts + INTERVAL 24 HOUR < TIMESTAMP '{'2024-01-15 12:00:00'}'")
+def expired_kept(spark, sf_dir):
+    return state.purge(_sessions(spark, sf_dir), _NOW(F.lit(_AT)))[0].select("event_id", "user_id")
+
+
 @_query("""
 WITH t AS (SELECT c_custkey, c_name, c_acctbal, 'old' AS created FROM customer WHERE c_custkey % 4 <> 0),
 s AS (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE upper(c_name) END AS c_name, c_acctbal, 'new' AS created FROM customer WHERE c_custkey % 3 = 0)
@@ -316,14 +442,77 @@ def rows_as_text(spark, sf_dir):
     return sqltext.rows_as_text(_read(spark, sf_dir, "nation"))
 
 
-@_query("SELECT EXISTS (SELECT 1 FROM nation WHERE n_nationkey = 3) AS found")
+@_query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def json_lines(spark, sf_dir):
+    return sqltext.json_lines(sqltext.rows_as_json(_read(spark, sf_dir, "nation")), "n_nationkey int, n_name string, n_regionkey int")
+
+
+@_query("""SELECT o_orderkey, '{"' || o_orderstatus || '","' || o_orderpriority || '"}' AS literal FROM orders""")
+def array_text(spark, sf_dir):
+    return _read(spark, sf_dir, "orders").select("o_orderkey", parsing.array_literal(F.array("o_orderstatus", "o_orderpriority")).alias("literal"))
+
+
+@_query("SELECT k, EXISTS (SELECT 1 FROM nation WHERE n_nationkey = k) AS found FROM (VALUES (3), (99)) t(k)")
 def row_exists(spark, sf_dir):
-    return sqltext.row_exists(_read(spark, sf_dir, "nation").where("n_nationkey = 3"))
+    nation = _read(spark, sf_dir, "nation")
+    some, none = (sqltext.row_exists(nation.where(F.col("n_nationkey") == k)).select(F.lit(k).alias("k"), "found") for k in (3, 99))
+    return some.unionByName(none)
 
 
-@_query("SELECT false AS found")
+@_query("SELECT * FROM (VALUES ('driftline_nation', true), ('no_such_table', false)) t(name, found)")
 def table_exists(spark, sf_dir):
-    return spark.range(1).select(F.lit(sqltext.table_exists(spark, "no_such_table")).alias("found"))
+    _read(spark, sf_dir, "nation").createOrReplaceTempView("driftline_nation")
+    found = [(name, sqltext.table_exists(spark, name)) for name in ("driftline_nation", "no_such_table")]
+    return spark.createDataFrame(found, "name string, found boolean")
+
+
+@_query("SELECT n_regionkey, count(*) AS n FROM nation WHERE n_nationkey < 20 GROUP BY n_regionkey")
+def statement(spark, sf_dir):
+    _read(spark, sf_dir, "nation").createOrReplaceTempView("driftline_nation")
+    sqltext.execute(spark, "CREATE OR REPLACE TEMPORARY VIEW driftline_small AS SELECT * FROM driftline_nation WHERE n_nationkey < 20")
+    return sqltext.rows(spark, "SELECT n_regionkey, count(*) AS n FROM driftline_small WHERE n_nationkey >= :low GROUP BY n_regionkey", {"low": 0})
+
+
+# -- sources: fixtures are written to the shared folder and read back ------------
+
+
+def _folder(spark: SparkSession) -> str:
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{(root or tempfile.mkdtemp(prefix='driftline-')).rstrip('/')}/fixture-{uuid.uuid4().hex}"
+
+
+@_query("""SELECT event_id AS ordinal, event_type AS title, ts::DATE AS start_date, strftime(ts, '%H:%M:%S') AS start_time,
+  CASE WHEN event_id % 3 = 0 THEN NULL ELSE 'room' || chr(10) || user_id END AS location FROM events WHERE event_id % 5 <> 0""")
+def grid_ingest(spark, sf_dir):
+    e = _read(spark, sf_dir, "events")
+    place = F.when(F.col("event_id") % 3 == 0, " ").otherwise(F.concat(F.lit("room\n"), F.col("user_id").cast("string")))
+    grid_ = e.select(
+        F.col("event_id").alias("_row_no"),
+        F.when(F.col("event_id") % 5 != 0, F.col("event_type")).alias("Event"),
+        F.date_format("ts", "M/d/yyyy").alias("Start Date"),
+        F.date_format("ts", "yyyy-MM-dd").alias("End\tDate"),
+        F.date_format("ts", "h:mm:ss a").alias("start-time"),
+        place.alias("Where"),
+    )
+    path = _folder(spark)
+    grid_.write.csv(path, header=True)
+    back = grid.csv_grid(spark, path)
+    events = ingest.sheet_events(back.withColumn("_row_no", F.col("_row_no").cast("long")), "events")[0]
+    return events.select("ordinal", "title", "start_date", "start_time", "location")
+
+
+@_query("""SELECT n_name AS title, DATE '2026-09-01' + n_regionkey AS start_date, 'S' || (n_regionkey % 2) AS sheet_name, printf('%02d:30:00', n_nationkey % 24) AS start_time
+FROM nation WHERE n_nationkey <> 7""")
+def xlsx_ingest(spark, sf_dir):
+    # At most a few hundred rows by the table's nature; a workbook is small.
+    rows = _read(spark, sf_dir, "nation").orderBy("n_nationkey").collect()
+    sheets = {f"S{i}": [["Title", "From", "To", "Start Time"]] + [["" if r.n_nationkey == 7 else r.n_name, 46266 + r.n_regionkey, "9/30/2026", f"{r.n_nationkey % 24}:30"] for r in rows if r.n_regionkey % 2 == i] for i in (0, 1)}
+    path = _folder(spark)
+    out = spark.createDataFrame([("book.xlsx", xlsx.write_workbook(sheets)), ("damaged.xlsx", b"PK no workbook")], "name string, content binary")
+    xlsx.save(out, path)
+    cells, _ = xlsx.xlsx_scan(spark, path)
+    events = ingest.workbook_events(xlsx.sheet_grids(cells))[0]
+    return events.select("title", "start_date", "sheet_name", "start_time")
 
 
 @_query("SELECT (row_number() OVER (ORDER BY event_id) - 1) // 50 AS batch_no, event_id FROM events")
@@ -333,4 +522,4 @@ def chunk_batches(spark, sf_dir):
 
 @_query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey > 500 ORDER BY o_orderkey LIMIT 250")
 def keyset_page(spark, sf_dir):
-    return _read(spark, sf_dir, "orders").where("o_orderkey > 500").orderBy("o_orderkey").limit(250).select("o_orderkey", "o_totalprice")
+    return state.keyset_page(_read(spark, sf_dir, "orders"), "o_orderkey", 500).select("o_orderkey", "o_totalprice")

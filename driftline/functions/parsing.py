@@ -7,12 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The order decides, month first where both readings exist.
-DATE_FORMATS = (
-    "yyyy-M-d", "yyyy/M/d", "M/d/yyyy", "M-d-yyyy", "d/M/yyyy", "d-M-yyyy", "yyyy.M.d", "M.d.yyyy", "d.M.yyyy", "yyyyMMdd", "yyyy-M-d H:m:s", "M/d/yy",
-)
-TIME_FORMATS = ("H:m:s", "H:m", "h:m a", "h:m:s a")
+# Accepted dates are, in this order, yyyy-M-d (also with / or .),
+# yyyyMMdd, M-d-yyyy and where that is no date d-M-yyyy (also with / or .),
+# yyyy-M-d H:m:s, offset text from its own wall date, and M/d/yy.
+_YEAR_FIRST = r"^\d{4}([-/.])\d{1,2}\1\d{1,2}$"
+_YEAR_LAST = r"^\d{1,2}([-/.])\d{1,2}\1\d{4}$"
+_COMPACT = r"^\d{8}$"
+_STAMP = r"^\d{4}-\d{1,2}-\d{1,2} ([01]?\d|2[0-3]):[0-5]?\d:[0-5]?\d$"
 _ISO = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}"
+_SHORT = r"^\d{1,2}/\d{1,2}/\d{2}$"
+# Times of 24 hours, with seconds or not, or of 12 with AM or PM.
+_TIME_24 = r"^([01]?\d|2[0-3]):([0-5]?\d)(?::([0-5]?\d))?$"
+_TIME_12 = r"^(0?[1-9]|1[0-2]):([0-5]?\d)(?::([0-5]?\d))? ([AP]M)$"
 
 
 def _once(c: Column, f: Callable[[Column], Column]) -> Column:
@@ -22,8 +28,8 @@ def _once(c: Column, f: Callable[[Column], Column]) -> Column:
 
 
 def strip(c: Column) -> Column:
-    """Without white space, Unicode's included, at either end."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Without white space, Unicode's and separators included, at either end."""
+    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
 
 def text(c: Column) -> Column:
@@ -35,21 +41,27 @@ def optional(c: Column) -> Column:
     return F.nullif(text(c), F.lit(""))
 
 
-def _try_date(c: Column, pattern: str) -> Column:
-    return F.to_date(F.try_to_timestamp(c, F.lit(pattern)))
+def _day(year: Column, month: Column, day: Column) -> Column:
+    """The date, or null where there is none such; a cast, so nothing is thrown."""
+    return F.when(year != "0000", F.concat_ws("-", year, month, day).try_cast("date"))
 
 
 def date(c: Column) -> Column:
-    """The first format that fits; offset text keeps its own wall date; a
+    """The date of a cell. The shape of the text decides how it is read; month
+    first where both readings exist; offset text keeps its own wall date; a
     trailing .0 of an all-digit value is dropped; null if nothing fits."""
     s = F.regexp_replace(text(c), r"^(\d+)\.0$", "$1")
 
     def read(s: Column) -> Column:
-        tries = [_try_date(s, f) for f in DATE_FORMATS[:-1]]
-        tries.append(F.when(s.rlike(_ISO), _try_date(F.substring(s, 1, 10), "yyyy-M-d")))
-        tries.append(_try_date(s, DATE_FORMATS[-1]))
-        # Five-digit years would pass for shorter ones.
-        return F.when(~s.rlike(r"^\d{5,}[-/.]"), F.coalesce(*tries))
+        piece = F.split(F.substring_index(s, " ", 1), "[-/.]")
+        at = lambda i: F.get(piece, F.lit(i))
+        return (
+            F.when(s.rlike(_YEAR_FIRST) | s.rlike(_STAMP), _day(at(0), at(1), at(2)))
+            .when(s.rlike(_YEAR_LAST), F.coalesce(_day(at(2), at(0), at(1)), _day(at(2), at(1), at(0))))
+            .when(s.rlike(_COMPACT), _day(F.substring(s, 1, 4), F.substring(s, 5, 2), F.substring(s, 7, 2)))
+            .when(s.rlike(_ISO), _day(F.substring(s, 1, 4), F.substring(s, 6, 2), F.substring(s, 9, 2)))
+            .when(s.rlike(_SHORT), _day(F.concat(F.lit("20"), at(2)), at(0), at(1)))
+        )
 
     return _once(s, read)
 
@@ -58,7 +70,16 @@ def time(c: Column) -> Column:
     """HH:mm:ss, or null where no format fits."""
     s = F.upper(F.regexp_replace(text(c), r"\s+", " "))
     s = F.regexp_replace(s, r"(\d)([AP]M)$", "$1 $2")
-    return _once(s, lambda t: F.date_format(F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in TIME_FORMATS]), "HH:mm:ss"))
+
+    def shown(s: Column, pattern: str) -> Column:
+        two = lambda i: F.lpad(F.regexp_extract(s, pattern, i), 2, "0")
+        hour = two(1)
+        if pattern == _TIME_12:
+            h = F.regexp_extract(s, pattern, 1).try_cast("int") % 12
+            hour = F.lpad((h + F.when(s.endswith("PM"), 12).otherwise(0)).cast("string"), 2, "0")
+        return F.concat_ws(":", hour, two(2), two(3))  # no seconds: 00
+
+    return _once(s, lambda t: F.when(t.rlike(_TIME_24), shown(t, _TIME_24)).when(t.rlike(_TIME_12), shown(t, _TIME_12)))
 
 
 def people(c: Column) -> Column:
@@ -79,6 +100,11 @@ def valid_email(c: Column) -> Column:
     return F.coalesce(c.rlike(r"^[a-zA-Z0-9@._+-]+\z"), F.lit(False))
 
 
+def boolean_text(c: Column) -> Column:
+    """TRUE or FALSE, as SQL text has it; a missing flag is FALSE."""
+    return F.when(F.coalesce(c, F.lit(False)), "TRUE").otherwise("FALSE")
+
+
 def sql_escape(c: Column) -> Column:
     """Text for a quoted literal: no NUL, doubled backslash and quote, line
     breaks as spaces. Parameters of ``spark.sql`` are the better way."""

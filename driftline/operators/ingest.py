@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.functions import headers, parsing
@@ -81,5 +81,14 @@ def accepted(events: DataFrame, rejects: DataFrame) -> DataFrame:
     return events
 
 
-def empty_events(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], EVENT)
+def messages(rejects: DataFrame) -> DataFrame:
+    """All rejects as text, as a result page lists them."""
+    row = F.when(F.col("row_no").isNotNull(), F.concat(F.lit(" Row "), F.col("row_no").cast("string"))).otherwise("")
+    return rejects.select(F.concat(F.lit("Sheet '"), "sheet_name", F.lit("'"), row, F.lit(": "), "reason").alias("error"))
+
+
+def outcome(events: DataFrame, rejects: DataFrame) -> DataFrame:
+    """One row: success (events and no reject), events_processed, errors."""
+    both = events.select(F.lit(1).alias("e"), F.lit(0).alias("r")).unionByName(rejects.select(F.lit(0).alias("e"), F.lit(1).alias("r")))
+    n = both.agg(F.coalesce(F.sum("e"), F.lit(0)).alias("events_processed"), F.coalesce(F.sum("r"), F.lit(0)).alias("errors"))
+    return n.select(((F.col("errors") == 0) & (F.col("events_processed") > 0)).alias("success"), "events_processed", "errors")

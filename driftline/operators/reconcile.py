@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftline.functions.parsing import strip
 from driftline.operators.keys import KEY, event_key, last_write_wins, remote_key
 
 DAY_START, DAY_END = "00:00:00", "23:59:59"
@@ -29,7 +30,7 @@ def same_content() -> Column:
     blank = F.lit("")
 
     def texts(name: str) -> Column:
-        return F.trim(F.coalesce(F.col(f"ex.{name}"), blank)) == F.trim(F.coalesce(F.col(f"nw.{name}"), blank))
+        return strip(F.coalesce(F.col(f"ex.{name}"), blank)) == strip(F.coalesce(F.col(f"nw.{name}"), blank))
 
     def times(moment: str, name: str, default: str) -> Column:
         at = F.coalesce(F.col(f"ex.{moment}.dateTime"), blank)
@@ -115,15 +116,34 @@ def display(events: DataFrame) -> DataFrame:
     )
 
 
-def batches(df: DataFrame, order: Sequence[str], size: int = 50) -> DataFrame:
-    """Numbers chunks of ``size`` rows in order, without one task for all: rows
-    are range-partitioned and partition offsets added."""
-    spread = df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
-    numbered = spread.withColumn("_p", F.spark_partition_id())
-    from pyspark.sql import Window
+def missing_from(df: DataFrame, other: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Rows whose key the other side lacks: inserts one way round, deletes the
+    other. Only the other side's key is read."""
+    return df.join(other.select(*key), list(key), "left_anti").select(*df.columns)
+
 
-    counts = numbered.groupBy("_p").agg(F.count("*").alias("_n"))
+def batches(df: DataFrame, order: Sequence[str], size: int = 50) -> DataFrame:
+    """Numbers chunks of ``size`` rows in order, without one task for all.
+
+    ``order`` must tell rows apart. Rows are cut into ranges at values from a
+    small sample, which the driver holds; a row's range is a function of the
+    row alone, so counting ranges and numbering rows always agree.
+    """
+    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n = min(n, 1024)
+    sample = df.select(*order).orderBy(F.xxhash64(*order), *order).limit(16 * n)
+    sample = sample.orderBy(*order).collect()
+    cuts = [sample[i] for i in range(16, len(sample), 16)]
+    kinds = dict(df.select(*order).dtypes)
+    part: Column = F.lit(0)
+    if cuts:
+        row = F.struct(*[F.col(c) for c in order])
+        array = F.array(*[F.struct(*[F.lit(cut[c]).cast(kinds[c]).alias(c) for c in order]) for cut in cuts])
+        part = F.size(F.filter(array, lambda c: c <= row))
+    ranged = df.withColumn("_p", part)
+    counts = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
+    # One row a range: at most as many as shuffle partitions.
     before = counts.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     nth = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
-    rows = numbered.withColumn("_nth", nth).join(F.broadcast(before), "_p")
+    rows = ranged.withColumn("_nth", nth).join(F.broadcast(before), "_p")
     return rows.withColumn("batch_no", F.floor((F.col("_before") + F.col("_nth") - 1) / size)).drop("_p", "_nth", "_before")

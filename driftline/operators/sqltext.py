@@ -19,6 +19,11 @@ def rows_as_json(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))
 
 
+def json_lines(lines: DataFrame, schema: str, column: str = "json") -> DataFrame:
+    """Rows of the schema from lines of JSON; a line that is none gives nulls."""
+    return lines.select(F.from_json(F.col(column), schema).alias("row")).select("row.*")
+
+
 def row_exists(df: DataFrame) -> DataFrame:
     """One row: whether there is any."""
     return df.limit(1).agg((F.count("*") > 0).alias("found"))

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 def upsert(target: DataFrame, source: DataFrame, key: str, keep: Sequence[str] = ()) -> DataFrame:
     """Rows of the source replace those of the target with their key; columns
-    in ``keep`` stay as the target has them. The source's keys are unique."""
+    in ``keep`` stay as the target has them. The source's keys are unique; a
+    null key equals none, so its rows stay or come in as they are."""
     t, s = target.select(F.struct("*").alias("t")), source.select(F.struct("*").alias("s"))
     joined = t.join(s, F.col(f"t.{key}") == F.col(f"s.{key}"), "full_outer")
-    hit, old = F.col(f"s.{key}").isNotNull(), F.col(f"t.{key}").isNotNull()
+    hit, old = F.col("s").isNotNull(), F.col("t").isNotNull()
     pick = lambda c: F.when(hit & ~(old & F.lit(c in keep)), F.col(f"s.{c}")).otherwise(F.col(f"t.{c}")).alias(c)
     return joined.select(*[pick(c) for c in target.columns])
 
@@ -37,6 +38,17 @@ def point_lookup(df: DataFrame, key: str, value: object) -> DataFrame:
     return df.where(F.col(key) == F.lit(value)).limit(1)
 
 
+def keyset_page(df: DataFrame, key: str, after: object = None, size: int = 250) -> DataFrame:
+    """The next ``size`` rows in the order of a unique key, after a key."""
+    rest = df if after is None else df.where(F.col(key) > F.lit(after))
+    return rest.orderBy(key).limit(size)
+
+
+def session_view(sessions: DataFrame) -> DataFrame:
+    """What of a session is handed out: who it is, not its secrets."""
+    return sessions.select("session_id", "user_id", "email", "name")
+
+
 def live(df: DataFrame, now: Column) -> DataFrame:
     return df.where(F.col("expires_at") > now)
 

@@ -12,6 +12,7 @@ import zipfile
 from collections.abc import Iterator
 from datetime import datetime, timedelta
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape, quoteattr
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -72,28 +73,76 @@ def read_workbook(data: bytes) -> Iterator[tuple[int, str, int, list[str | None]
                 yield number, sheet.get("name"), int(row.get("r", 0)), cells
 
 
+def write_workbook(sheets: dict[str, list[list]]) -> bytes:
+    """A workbook of (name -> rows); numbers in the second column are dates."""
+    name = "http://schemas.openxmlformats.org/"
+    kinds = f'xmlns="{_NS["m"]}" xmlns:r="{_NS["r"]}"'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
+        listed = "".join(f'<sheet name={quoteattr(s)} sheetId="{i}" r:id="r{i}"/>' for i, s in enumerate(sheets, 1))
+        book.writestr("xl/workbook.xml", f"<workbook {kinds}><sheets>{listed}</sheets></workbook>")
+        links = "".join(f'<Relationship Id="r{i}" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(sheets) + 1))
+        book.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{name}package/2006/relationships">{links}</Relationships>')
+        book.writestr("xl/styles.xml", f'<styleSheet {kinds}><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>')
+        for i, rows in enumerate(sheets.values(), 1):
+            body = "".join(f'<row r="{n}">{"".join(_cell(n, j, c) for j, c in enumerate(row) if c is not None)}</row>' for n, row in enumerate(rows, 1))
+            book.writestr(f"xl/worksheets/sheet{i}.xml", f"<worksheet {kinds}><sheetData>{body}</sheetData></worksheet>")
+    return out.getvalue()
+
+
+def _cell(row: int, column: int, value: object) -> str:
+    at = f"{chr(65 + column)}{row}"
+    if isinstance(value, (int, float)):
+        return f'<c r="{at}" s="{int(column == 1)}"><v>{value}</v></c>'
+    return f'<c r="{at}" t="inlineStr"><is><t>{escape(str(value))}</t></is></c>'
+
+
+def save(files: DataFrame, folder: str) -> None:
+    """Write (name, content) rows as files of a folder, by Hadoop's file system."""
+    sc = files.sparkSession.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path
+    for f in files.collect():
+        at = path(f"{folder}/{f.name}")
+        stream = at.getFileSystem(sc._jsc.hadoopConfiguration()).create(at, True)
+        stream.write(bytes(f.content))
+        stream.close()
+
+
 def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = ["path", "sheet_no", "sheet_name", "row_no", "cells", "error"]
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"], strict=True):
-            rows = [(path, *row) for row in read_workbook(bytes(content))]
-            yield pd.DataFrame(rows, columns=["path", "sheet_no", "sheet_name", "row_no", "cells"])
+            try:
+                rows = [(path, *row, None) for row in read_workbook(bytes(content))]
+            except Exception as e:  # any damage: one workbook fails, not the load
+                rows = [(path, None, None, None, None, f"unreadable workbook: {type(e).__name__}: {e}")]
+            yield pd.DataFrame(rows, columns=columns).astype({"sheet_no": "Int32", "row_no": "Int32"})
 
 
-def xlsx_cells(spark: SparkSession, path: str, sheet_name: str | None = None) -> DataFrame:
-    """(path, sheet_no, sheet_name, row_no, cells array<string>): all sheets,
-    or one (None and "all": all)."""
+def xlsx_scan(spark: SparkSession, path: str, sheet_name: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(cells, rejects): (path, sheet_no, sheet_name, row_no, cells
+    array<string>) of all sheets, or of one (None and "all": all), and a reject
+    for every workbook that can't be read, with its path as the sheet."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    rows = files.mapInPandas(_cells, "path string, sheet_no int, sheet_name string, row_no int, cells array<string>")
-    return rows if sheet_name in (None, "all") else rows.where(F.col("sheet_name") == sheet_name)
+    rows = files.mapInPandas(_cells, "path string, sheet_no int, sheet_name string, row_no int, cells array<string>, error string")
+    good = rows.where("error is null").drop("error")
+    rejects = rows.where("error is not null").select(F.col("path").alias("sheet_name"), F.lit(None).cast("int").alias("row_no"), F.col("error").alias("reason"))
+    return good if sheet_name in (None, "all") else good.where(F.col("sheet_name") == sheet_name), rejects
+
+
+def xlsx_cells(spark: SparkSession, path: str, sheet_name: str | None = None) -> DataFrame:
+    return xlsx_scan(spark, path, sheet_name)[0]
 
 
 def sheet_grids(cells: DataFrame) -> list[tuple[str, DataFrame]]:
-    """(sheet name, grid) of one workbook's sheets, in order. The driver gets
-    the header rows only."""
-    first = cells.groupBy("sheet_no", "sheet_name").agg(F.min_by("cells", "row_no").alias("header"), F.min("row_no").alias("row")).orderBy("sheet_no")
+    """(sheet name, grid) of the sheets of all workbooks, by path and in order.
+    Cells are kept by Spark, so that no workbook is parsed once a sheet. The
+    driver gets the header rows only."""
+    cells = cells.persist()
+    first = cells.groupBy("path", "sheet_no", "sheet_name").agg(F.min_by("cells", "row_no").alias("header"), F.min("row_no").alias("row")).orderBy("path", "sheet_no")
     out = []
     for s in first.collect():
-        rows = cells.where((F.col("sheet_no") == s.sheet_no) & (F.col("row_no") > s.row))
+        rows = cells.where((F.col("path") == s.path) & (F.col("sheet_no") == s.sheet_no) & (F.col("row_no") > s.row))
         named = [F.try_element_at("cells", F.lit(i + 1)).alias(h if h is not None else f"_{i}") for i, h in enumerate(s.header)]
         out.append((s.sheet_name, rows.select(F.col("row_no").alias("_row_no"), *named)))
     return out

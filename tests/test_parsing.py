@@ -63,6 +63,7 @@ def test_headers():
     assert headers.map_headers(["title", "date"])[1] == ["missing required columns: end_date"]
     assert headers.map_headers(["subject", "title", "from", "to"])[1] == ["duplicate column for title: title"]
     assert headers.map_headers(["title", "from", "to", "colour"])[1] == []
+    assert [headers.normalise(h) for h in ("Start\nDate", " START - date\u3000", "end\u00a0 time", None, 3)] == ["start_date", "start_date", "end_time", "none", "3"]
 
 
 def _grid(spark):

@@ -38,6 +38,7 @@ CASES = {
     "two old": ([remote("1"), remote("2")], [], ["delete"]),
     "two new": ([remote()], [event(), event(location="R2", ordinal=2)], ["update"]),
     "trimmed key": ([remote(title=" M ")], [event()], ["noop"]),
+    "any white space": ([remote(title="\tM\u00a0\n", description="\u2003d\r", location="\x1fR1 ")], [event(description="d")], ["noop"]),
     "null summary": ([remote(title=None)], [], ["delete"]),
     "nothing": ([], [], []),
 }

@@ -31,6 +31,12 @@ def test_upsert(spark):
     got = {tuple(r) for r in state.upsert(target, source, "user_id", keep=["created"]).collect()}
     assert got == {("u", "t9", "", 1), ("v", "t2", "r2", 2), ("w", "t3", "r3", 9)}
     assert state.upsert(target, source.limit(0), "user_id").count() == 2
+    null = spark.createDataFrame([(None, "x", "y", 3)], target.schema)
+    got = {tuple(r) for r in state.upsert(target, null, "user_id").collect()}
+    assert got == {("u", "t1", "r1", 1), ("v", "t2", "r2", 2), (None, "x", "y", 3)}
+    assert {tuple(r) for r in state.upsert(null, target, "user_id", keep=["created"]).collect()} == got
+    assert [r.user_id for r in state.keyset_page(target, "user_id", size=1).collect()] == ["u"]
+    assert [r.user_id for r in state.keyset_page(target, "user_id", "u").collect()] == ["v"]
     assert state.delete_by_key(target, "user_id", "u").count() == 1
     assert state.point_lookup(target, "user_id", "v").first().access == "t2"
     assert state.update_by_key(target, "user_id", "v", {"access": "x"}).where("access = 'x'").count() == 1
@@ -56,6 +62,11 @@ def test_sql_text(spark):
 def test_batches(spark):
     got = batches(spark.range(0, 230, 1, 7), ["id"]).collect()
     assert all(r.batch_no == r.id // 50 for r in got) and len(got) == 230
+    pairs = spark.createDataFrame([("ab"[i % 2] if i % 5 else None, i) for i in range(500)], "a string, b int").repartition(5)
+    order = sorted(((r.a is not None, r.a or "", r.b) for r in pairs.collect()))
+    got = {((r.a is not None), r.a or "", r.b): r.batch_no for r in batches(pairs, ["a", "b"], 7).collect()}
+    assert got == {x: i // 7 for i, x in enumerate(order)}
+    assert batches(pairs.limit(0), ["a", "b"]).count() == 0
 
 
 def _xlsx() -> bytes:
@@ -83,3 +94,28 @@ def test_xlsx(spark, tmp_path):
     (e,) = events.collect()
     assert (e.title, str(e.start_date), str(e.end_date), e.row_no) == ("M2", "2026-09-01", "2026-09-01", 3)
     assert rejects.count() == 0
+
+
+def test_workbooks_of_a_folder(spark, tmp_path):
+    """Two workbooks with sheets of one name, a damaged one and one without a
+    number where there should be one."""
+    from driftline.operators.ingest import messages, outcome, workbook_events
+    from driftline.sources.xlsx import write_workbook, xlsx_scan
+
+    head = ["title", "from", "to"]
+    for name, title in (("a", "A"), ("b", "B")):
+        (tmp_path / f"{name}.xlsx").write_bytes(write_workbook({"S": [head, [title, 46266, "2026-09-02"]], "T": [head, [f"{title}2", 46267, "2026-09-03"]]}))
+    (tmp_path / "c.xlsx").write_bytes(b"PK damaged")
+    bad = io.BytesIO(write_workbook({"S": [head]}))
+    with zipfile.ZipFile(bad, "a") as z:
+        z.writestr("xl/worksheets/sheet1.xml", '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData><row r="1"><c r="A1"><v>x</v></c></row></sheetData></worksheet>')
+    (tmp_path / "d.xlsx").write_bytes(bad.getvalue())
+    cells, rejects = xlsx_scan(spark, str(tmp_path))
+    events, others = workbook_events(sheet_grids(cells))
+    assert sorted((r.title, str(r.start_date)) for r in events.collect()) == [("A", "2026-09-01"), ("A2", "2026-09-02"), ("B", "2026-09-01"), ("B2", "2026-09-02")]
+    all_ = rejects.unionByName(others)
+    assert sorted(r.sheet_name[-6:] for r in all_.collect()) == ["c.xlsx", "d.xlsx"]
+    assert all("unreadable workbook" in r.error for r in messages(all_).collect())
+    assert tuple(outcome(events, all_).first()) == (False, 4, 2) and tuple(outcome(events, others).first()) == (True, 4, 0)
+    assert tuple(outcome(events.limit(0), others).first()) == (False, 0, 0)
+    assert {r.sheet_name for r in xlsx_cells(spark, str(tmp_path), "T").collect()} == {"T"}
