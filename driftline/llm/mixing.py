@@ -23,14 +23,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftline.llm.common import WORD, materialize, pieces_of
+from driftline.llm.common import WORD, materialize, partitions, pieces_of
 
 WEIGHTS = (3, 1, 2)
 BUDGET_PERCENT = 150
 EPOCHS = 2
 SEED = "mix-1"
 _HASH_BITS = 48
-RANGE = 20_000  # rows of a bucket of the hash order, and of a range of the queue
+#: Rows of a bucket of the hash order, and of a range of the queue, at most on
+#: the average; buckets of small inputs have fewer, so that all tasks share them.
+RANGE, LEAST = 20_000, 64
 
 
 def order_key(id_col: str, text_col: str = "text", seed: str = SEED) -> Column:
@@ -41,10 +43,10 @@ def order_key(id_col: str, text_col: str = "text", seed: str = SEED) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, budget_percent: int = BUDGET_PERCENT) -> DataFrame:
-    """(source, source_size, weight, rank, target) from (source, size): one row
-    a source. Targets in proportion to the weights stop at twice the source's
+    """(source, source_size, weight, rank, rows, target) from (source, size): one
+    row a source. Targets in proportion to the weights stop at twice the source's
     size; the excess goes to the others by weight until none is above."""
-    by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     # One row a source: these windows and the totals are as long as that list.
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     pick = F.element_at(F.array(*[F.lit(int(w)) for w in weights]), (rank % len(weights) + 1).cast("int"))
@@ -62,7 +64,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, budget_pe
     filled = filled.withColumn("time", time)
     ends = F.min(F.when(F.col("time") <= F.col("fill"), F.struct("fill", "rank", "time"))).over(Window.partitionBy())
     return filled.withColumn("end", F.coalesce(ends["time"], F.lit(0.0))).select(
-        "source", "source_size", "weight", "rank", F.least(full.cast("double"), F.col("weight") * F.col("end")).alias("target")
+        "source", "source_size", "weight", "rank", "rows", F.least(full.cast("double"), F.col("weight") * F.col("end")).alias("target")
     )
 
 
@@ -116,25 +118,29 @@ def weighted_fair_queue(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # The light columns, written once: everything but the last join reads these.
     light = materialize(rows.select("id", "source", "size", "place"), "mix-sizes")
     targets = materialize(source_targets(light), "mix-targets").withColumnRenamed("source", "s")
-    n_sources = targets.count()
-    shown = light.groupBy("source").count().agg(F.max("count"), F.sum("count")).first()
-    largest, n = shown[0] or 0, shown[1] or 0
+    shown = targets.agg(F.count("*"), F.coalesce(F.sum("rows"), F.lit(0))).first()
+    n_sources, n = shown[0], shown[1]
+    per = max(LEAST, min(RANGE, n // (16 * partitions(docs.sparkSession))))
+    targets = targets.withColumn("buckets", F.greatest(F.lit(1), F.ceil(F.col("rows") / per))).drop("rows")
+    # Rows of a few dozen bytes: sent to all tasks only up to this many.
+    hint = lambda df, rows: F.broadcast(df) if rows <= 200_000 else df
+    same = F.col("source").eqNullSafe(F.col("s"))
+
+    def bucketed(rows: DataFrame) -> DataFrame:
+        rows = rows.join(hint(targets, n_sources), same).drop("s")
+        return rows.withColumn("bucket", F.floor(F.col("place") * (F.col("buckets") / float(1 << _HASH_BITS))).cast("long")).drop("buckets")
 
-    bits = max(4, (largest // RANGE).bit_length())
-    bucket = F.shiftright("place", _HASH_BITS - bits)
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = light.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("within"))
+    offsets = bucketed(light).groupBy("source", "bucket").agg(F.sum("size").alias("within"))
     offsets = offsets.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("within").over(before), F.lit(0)).alias("offset"))
     offsets = materialize(offsets, "mix-offsets")
+    n_offsets = offsets.count()
     own = Window.partitionBy("source", "bucket").orderBy("place", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # Rows of a few dozen bytes: sent to all tasks only up to this many.
-    hint = F.broadcast if n_sources << bits <= 200_000 else (lambda x: x)
-    same = F.col("source").eqNullSafe(F.col("s"))
 
     def placed(rows: DataFrame) -> DataFrame:
-        rows = rows.withColumn("bucket", bucket).withColumn("run", F.sum("size").over(own))
-        rows = rows.join(hint(offsets), same & (F.col("bucket") == F.col("b"))).drop("s", "b")
-        return rows.join(hint(targets), same).drop("s").withColumn("start", F.col("offset") + F.col("run") - F.col("size"))
+        rows = bucketed(rows).withColumn("run", F.sum("size").over(own))
+        rows = rows.join(hint(offsets, n_offsets), same & (F.col("bucket") == F.col("b"))).drop("s", "b")
+        return rows.withColumn("start", F.col("offset") + F.col("run") - F.col("size"))
 
     light = materialize(placed(light).drop("bucket", "run", "offset"), "mix-queue")
     budget = (light.agg(F.sum("size")).first()[0] or 0) * BUDGET_PERCENT / 100.0
