@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import io
 import os
 import re
@@ -9,6 +11,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
+from functools import partial
 from pathlib import Path
 
 import numpy as np
@@ -151,7 +154,18 @@ def map_batches(
     module, or a partial of one: it's sent by name, so that what its module
     keeps (tokenizers, caches) lasts from task to task."""
     ship(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(partial(_run, fn), schema)
+
+
+def _run(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task, and afterwards its free memory back to the system: workers wait
+    for their next task beside others that need it."""
+    try:
+        yield from fn(batches)
+    finally:
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # a C library without it
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 def slices(batches: Iterable[pa.RecordBatch], text: str, limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
@@ -275,9 +289,9 @@ class HashTable:
 
     EMPTY = np.uint64(_MASK)
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+    def __init__(self, keys: np.ndarray, values: np.ndarray, room: int = 0) -> None:
         self.size = 0
-        self._room(len(keys), values.dtype)
+        self._room(max(len(keys), room), values.dtype)
         self.add(keys, values)
 
     def _room(self, n: int, dtype: np.dtype) -> None:

@@ -44,7 +44,7 @@ DEPTH = 6  # context bytes; a pair fits 8 * (DEPTH + 1) bits
 BLOCK = 4_000_000
 #: Contexts of two bytes with more than this part of all pairs are dealt finer.
 SPLIT = 512
-TASK = 500_000  # pairs in a task, on the average, at most
+TASK = 150_000  # pairs in a task, on the average, at most
 FOLDS, HELD_OUT = 5, 1
 _END = b"\n"
 _LOG10 = np.log(10.0)
@@ -103,7 +103,7 @@ def code_parts(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 class _Tally:
     """Counts of keys, merged whenever they fill the buffer."""
 
-    def __init__(self, limit: int = 750_000) -> None:
+    def __init__(self, limit: int = 500_000) -> None:
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
         self.held, self.limit = 0, limit
 
@@ -174,7 +174,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 flush(out)
             buffers[out].append(text)
             held[out] += len(text)
-            if held[out] > 1 << 20:
+            if held[out] > 1 << 19:
                 flush(out)
         for kind in tallies:
             if tallies[kind].full():
@@ -285,7 +285,6 @@ def _read(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
 
 
 _SUMS = pa.schema([("depth", pa.int32()), ("context", pa.int32()), ("prefix", pa.int32()), ("zeros", pa.float64()), ("ones", pa.float64()), ("weighted", pa.float64())])
-_TABLES = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("value", pa.float64())])
 _SCORES = pa.schema([("key", pa.int64()), ("logp", pa.float64())])
 
 
@@ -386,16 +385,20 @@ _SUMMED = ("n_known", "base", "score")
 
 def _load(files: tuple[str, ...]) -> tuple[HashTable, HashTable]:
     """Pairs and words of one block, from the shared folder."""
-    parts_ = []
+    none = np.zeros(0, np.uint64)
+    room = 0
     for f in files:
         with open_read(f) as stream:
-            parts_.append(pq.ParquetFile(stream).read(["kind", "key", "value"]))
-    got = pa.concat_tables(parts_) if parts_ else _TABLES.empty_table()
-    kind, key, value = (got[c].to_numpy() for c in ("kind", "key", "value"))
-    key, pair, word = key.view(np.uint64), kind == _PAIR, kind == _WORD
-    counts = value[word]
-    counts = counts.astype(np.int32) if counts.max(initial=0) < 1 << 31 else counts
-    return HashTable(key[pair], value[pair].astype(np.float32)), HashTable(key[word], counts)
+            room += pq.ParquetFile(stream).metadata.num_rows
+    pairs, counts = HashTable(none, np.zeros(0, np.float32), room), HashTable(none, np.zeros(0, np.int64))
+    for f in files:  # a file at a time: only the tables grow
+        with open_read(f) as stream:
+            for got in pq.ParquetFile(stream).iter_batches(1 << 18, columns=["kind", "key", "value"]):
+                kind, key, value = (c.to_numpy(zero_copy_only=False) for c in got.columns)
+                key, pair, word = key.view(np.uint64), kind == _PAIR, kind == _WORD
+                pairs.add(key[pair], value[pair].astype(np.float32))
+                counts.add(key[word], value[word].astype(np.int64))
+    return pairs, counts
 
 
 def _lookup(files: tuple[str, ...], ends: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
