@@ -24,7 +24,7 @@ The chance that a pair right at the threshold shares no band is
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial, reduce
 
 import numpy as np
@@ -151,13 +151,13 @@ def _with_sets(sets: DataFrame | None, pairs: DataFrame, docs: DataFrame, k: int
     return new if sets is None else sets.unionByName(new)
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, materialize: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """Of the distinct pairs (a, b), those similar on their full sets.
 
     Pairs are dealt by b and a block of its partners, so no key holds more than
     a few hundred sets, however many partners a leader has.
     """
-    fan = pairs.groupBy("b").agg(F.count("*").alias("fan"))
+    fan = materialize(pairs.groupBy("b").agg(F.count("*").alias("fan")), "dedup-fans")
     blocked = pairs.join(fan, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.ceil(F.col("fan") / 256)).alias("part"))
     left = blocked.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
     leaders = blocked.select("b", "part").distinct().join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
@@ -196,14 +196,17 @@ def _tile_links(percent: int):
 
 def _components(docs: DataFrame, k: int, percent: int, rounds: int = 2) -> DataFrame:
     """(id, n, component) of documents (id, text) with ids of their own."""
+    # What a hot key's rows are joined with is written first: it's then small
+    # enough to be sent to all tasks, or both sides of the join are plain
+    # shuffles, which adaptive execution splits.
     scratch = Scratch()
     materialize = scratch.write
     signatures = materialize(map_batches(docs, partial(_signatures, k), "id long, n long, d0 long, d1 long, keys array<long>, sketch array<long>"), "dedup-signatures")
 
     # Classes of equal sets.
     classes = signatures.where("n > 0").groupBy("n", "d0", "d1").agg(F.min("id").alias("first"), F.count("*").alias("copies"))
-    several = classes.where("copies > 1")
-    member = signatures.select("id", "n", "d0", "d1").join(several.drop("copies"), ["n", "d0", "d1"], "left").select("id", "n", F.coalesce("first", "id").alias("first"))
+    several = materialize(classes.where("copies > 1").drop("copies"), "dedup-several")
+    member = signatures.select("id", "n", "d0", "d1").join(several, ["n", "d0", "d1"], "left").select("id", "n", F.coalesce("first", "id").alias("first"))
     member = materialize(member, "dedup-classes")
     firsts = signatures.where("n > 0").join(member.where("id = first").select("id"), "id", "left_semi")
 
@@ -211,6 +214,7 @@ def _components(docs: DataFrame, k: int, percent: int, rounds: int = 2) -> DataF
     # A key holds its band's number, so keys of two bands don't meet.
     entries = firsts.select("id", F.explode("keys").alias("key"))
     crowded = entries.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    crowded = materialize(crowded, "dedup-crowded")
     entries = materialize(entries.join(crowded, "key"), "dedup-buckets")
     centre = entries.groupBy("id").agg(F.sum("members").alias("centre"))
     sketches = materialize(firsts.select("id", "sketch").join(centre, "id"), "dedup-sketches")
@@ -235,7 +239,7 @@ def _components(docs: DataFrame, k: int, percent: int, rounds: int = 2) -> DataF
         if pairs.isEmpty():
             return
         sets = _with_sets(sets, pairs, docs, k, materialize)
-        join_up(materialize(_confirmed(pairs, sets, percent), "dedup-links"))
+        join_up(materialize(_confirmed(pairs, sets, percent, materialize), "dedup-links"))
 
     def join_up(found: DataFrame) -> None:
         nonlocal links, component
@@ -249,6 +253,7 @@ def _components(docs: DataFrame, k: int, percent: int, rounds: int = 2) -> DataF
     met = entries.select(*bucket, "id", "centre", F.col("id").alias("component"))
     for _ in range(rounds):
         leader = met.groupBy(*bucket).agg(F.max_by(F.struct("id", "component"), F.struct("centre", -F.col("id"))).alias("leader"))
+        leader = materialize(leader, "dedup-leaders")
         led = met.join(leader, bucket)
         pairs = led.where("component <> leader.component").select(F.greatest("id", "leader.id").alias("a"), F.least("id", "leader.id").alias("b")).distinct()
         meet(pairs)
@@ -256,6 +261,7 @@ def _components(docs: DataFrame, k: int, percent: int, rounds: int = 2) -> DataF
         # within one component is settled.
         left = led.where("id <> leader.id").select(*bucket, "id", "centre").join(component, "id")
         open_ = left.groupBy(*bucket).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select(*bucket)
+        open_ = materialize(open_, "dedup-open")
         met = materialize(left.join(open_, bucket, "left_semi").select(*bucket, "id", "centre", "component"), "dedup-met")
         if met.isEmpty():
             break
@@ -265,6 +271,7 @@ def _components(docs: DataFrame, k: int, percent: int, rounds: int = 2) -> DataF
         # group, members outside that component (strays) meet all members.
         sizes = met.groupBy(*bucket, "component").agg(F.count("*").alias("size"))
         main = sizes.groupBy(*bucket).agg(F.max_by("component", F.struct("size", -F.col("component"))).alias("main"))
+        main = materialize(main, "dedup-mains")
         group = met.join(main, bucket).select("main", "id", "component").distinct().withColumn("stray", F.col("component") != F.col("main"))
         group = materialize(group.join(firsts.select("id", "n"), "id"), "dedup-groups")
         named = materialize(group.select("id").distinct(), "dedup-ends")
@@ -274,7 +281,7 @@ def _components(docs: DataFrame, k: int, percent: int, rounds: int = 2) -> DataF
         wide = group.groupBy("main").agg(
             F.ceil(F.sum("n") / TILE).alias("xs"), F.ceil(F.sum(F.when(F.col("stray"), F.col("n"))) / TILE).alias("ys")
         )
-        spread = group.join(wide, "main").withColumn("deal", F.xxhash64("id"))
+        spread = group.join(materialize(wide, "dedup-tiles"), "main").withColumn("deal", F.xxhash64("id"))
         every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
         # Tile (x, y) holds the members of block x and the strays of block y.
         hosts = spread.select("main", "id", "component", F.lit(False).alias("stray"), F.pmod("deal", "xs").alias("x"), every("ys").alias("y"))
