@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftline.llm import decontaminate, embedding_dedup, html_text, lm_ctw, mixing, near_dedup, quality_crf, token_counts, token_files, toxicity_fm
+from driftline.llm import decontaminate, embedding_dedup, html_text, lm_ctw, merkle, mixing, near_dedup, quality_crf, token_counts, token_files, toxicity_fm
 from driftline.llm.common import table
 
 
@@ -58,6 +58,10 @@ def op10_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_fm.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.merkle_manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_weighted_fair_mix,
         op9_bm25_decontamination,
         op10_toxicity_fm,
+        op12_merkle_manifest,
     )
 }
 ORACLE_SQL: dict[str, str] = {
@@ -78,4 +83,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_sorted_projections": embedding_dedup.ORACLE_SQL,
     "op8_weighted_fair_mix": mixing.ORACLE_SQL,
     "op9_bm25_decontamination": decontaminate.ORACLE_SQL,
+    "op12_merkle_manifest": merkle.ORACLE_SQL,
 }
