@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftline.llm import decontaminate, embedding_dedup, html_text, lm_ctw, merkle, mixing, near_dedup, quality_crf, token_counts, token_files, toxicity_fm
+from driftline.llm import decontaminate, embedding_dedup, html_text, lm_ctw, merkle, mixing, near_dedup, quality_crf, suffix_dedup, token_counts, token_files, toxicity_fm
 from driftline.llm.common import table
 
 
@@ -62,6 +62,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.merkle_manifest(table(spark, sf_dir, "documents"))
 
 
+def op13_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_bm25_decontamination,
         op10_toxicity_fm,
         op12_merkle_manifest,
+        op13_suffix_repeats,
     )
 }
 ORACLE_SQL: dict[str, str] = {
