@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftline.llm import decontaminate, embedding_dedup, html_text, lm_ctw, merkle, mixing, near_dedup, quality_crf, suffix_dedup, token_counts, token_files, toxicity_fm
+from driftline.llm import collocations, decontaminate, embedding_dedup, html_text, lm_ctw, merkle, mixing, near_dedup, quality_crf, suffix_dedup, token_counts, token_files, toxicity_fm
 from driftline.llm.common import table
 
 
@@ -58,6 +58,10 @@ def op10_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_fm.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.merkle_manifest(table(spark, sf_dir, "documents"))
 
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_weighted_fair_mix,
         op9_bm25_decontamination,
         op10_toxicity_fm,
+        op11_collocations,
         op12_merkle_manifest,
         op13_suffix_repeats,
     )
@@ -88,5 +93,6 @@ ORACLE_SQL: dict[str, str] = {
     "op7_sorted_projections": embedding_dedup.ORACLE_SQL,
     "op8_weighted_fair_mix": mixing.ORACLE_SQL,
     "op9_bm25_decontamination": decontaminate.ORACLE_SQL,
+    "op11_collocations": collocations.ORACLE_SQL,
     "op12_merkle_manifest": merkle.ORACLE_SQL,
 }
