@@ -9,10 +9,15 @@
    only containers within it (lists, tables, sections, divs) are put to the
    vote: a paragraph or heading that many articles share is still theirs. What
    holds declared content is never deleted.
-3. What the vote can't see, as a host of few pages or an advert that is on one
-   page only, goes by name: by tag, by role, or by a class or id that as a whole
-   is a known name (a part of one decides nothing), if it holds no declared
-   content.
+3. What the vote can't see, as a host of few pages, an advert that is on one
+   page only or readers' comments, goes by name: by tag, by role, or by a class
+   or id that is a known name, or one made of known names and words for places
+   only (``inline-ad``, but not ``notice-period``). An article in such a block is
+   a teaser or a comment and declares nothing; a block that holds the declared
+   content stays whatever its name.
+4. Where what is declared by ``article`` is small beside the text around it that
+   is neither template nor named nor a link, it's a teaser and goes, and the text
+   around it is the content.
 
 Blocks are joined in page order by one space, white space within a block is one
 space, character references are decoded.
@@ -58,6 +63,18 @@ CUT_NAMES = frozenset(
     "cookie cookies cookie-notice cookie-banner cookie-consent consent gdpr notice notices newsletter newsletter-signup subscribe subscription signup sign-up login popup modal overlay "
     "share sharing share-buttons social social-links social-share related related-posts related-articles recommended toolbar pagination pager widget widgets skip skip-link".split()
 )
+#: Words that make up such a name, and words that may stand beside them.
+CUT_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promos promotion nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar sidenav masthead "
+    "comment comments disqus reply replies respond cookie cookies consent gdpr notice notices newsletter subscribe subscription signup login popup modal overlay "
+    "share sharing social related recommended recommendation recommendations toolbar pagination pager widget widgets skip banner teaser teasers".split()
+)
+PLACE_WORDS = frozenset(
+    "area bar block body bottom box container content first footer group header inline inner item items last left list main outer panel post posts article articles reader readers right "
+    "row section sections slot top unit user users wrap wrapper zone form thread links buttons stories story".split()
+)
+#: Text around declared articles that makes them teasers: so many times theirs, and characters.
+AROUND, AROUND_CHARS = 2, 200
 #: What is put to the vote inside declared content.
 CONTAINERS = frozenset("aside center details div dl fieldset figure footer form header menu nav ol section table ul".split())
 _P_CLOSERS = frozenset(
@@ -151,6 +168,19 @@ def _hidden(node: Node) -> bool:
     return "hidden" in a or a.get("aria-hidden", "").lower() == "true" or bool(re.search(r"display\s*:\s*none", a.get("style", ""), re.I))
 
 
+def _cut_name(name: str) -> bool:
+    words_ = re.split(r"[-_]+", name)
+    return name in CUT_NAMES or any(w in CUT_WORDS for w in words_) and all(w in CUT_WORDS or w in PLACE_WORDS for w in words_)
+
+
+def _other_block(node: Node) -> bool:
+    """By role, class or id something else than the article, whatever it holds."""
+    if not node.attributes or node.tag in ("html", "body", "main"):
+        return False
+    a = _attributes(node.attributes)
+    return a.get("role", "").lower() in CUT_ROLES or any(map(_cut_name, f"{a.get('class', '')} {a.get('id', '')}".lower().split()))
+
+
 def _is_named(node: Node, inside: bool) -> bool:
     """Named as something else than the article."""
     tag = node.tag
@@ -163,35 +193,50 @@ def _is_named(node: Node, inside: bool) -> bool:
     if not node.attributes:
         return False
     a = _attributes(node.attributes)
-    if a.get("role", "").lower() in CUT_ROLES:
-        return True
-    names = f"{a.get('class', '')} {a.get('id', '')}".lower().split()
-    return any(n in CUT_NAMES or n == "header" and not inside for n in names)
+    return _other_block(node) or not inside and "header" in f"{a.get('class', '')} {a.get('id', '')}".lower().split()
 
 
 def tree(html: str) -> tuple[Node, list[Node]]:
     """The page without what has no text, and its declared content: outermost
-    article and main elements, but for those of asides, menus and the like."""
+    article and main elements, but for those of asides, menus and the like, and
+    but for articles of blocks whose name says that they are something else,
+    unless the page has no other text."""
     root = parse(html)
     content: list[Node] = []
-    todo: list[tuple[Node, tuple]] = [(root, ())]
+    doubtful: list[tuple[Node, tuple]] = []
+    elsewhere = False
+    todo: list[tuple[Node, tuple | None, bool, bool]] = [(root, (), False, False)]
+
+    def declare(node: Node, above: tuple) -> None:
+        # Every ancestor of declared content is marked, once.
+        content.append(node)
+        node.holds = True
+        while above and not above[0].holds:
+            above[0].holds = True
+            above = above[1]
+
     while todo:
-        node, above = todo.pop()
+        node, above, other, doubted = todo.pop()
         node.children = [c for c in node.children if isinstance(c, str) or c.tag not in NO_TEXT]
-        # Every ancestor of declared content is marked, once.
-        if node.tag in ("article", "main"):
-            content.append(node)
-            node.holds = True
-            while above and not above[0].holds:
-                above[0].holds = True
-                above = above[1]
-            above = None  # what is inside is content already
+        if above is not None and node.tag in ("article", "main"):
+            if node.tag == "main" or not other:
+                declare(node, above)
+                above = None  # what is inside is content already
+            elif not doubted:
+                doubtful.append((node, above))
+                doubted = True
+        elsewhere = elsewhere or above is not None and not other and any(isinstance(c, str) and not c.isspace() for c in node.children)
         for c in reversed(node.children):
             if isinstance(c, Node):
                 out = above is None or c.tag in CUT_TAGS or _hidden(c)
-                todo.append((c, None if out else (node, above)))
-                if out and c.tag in ("article", "main"):
+                todo.append((c, None if out else (node, above), other or _other_block(c), doubted))
+                if above is not None and out and c.tag in ("article", "main"):
                     c.tag = "section"
+    for node, above in doubtful:
+        if content or elsewhere:
+            node.tag = "section"  # so that names decide on it
+        else:
+            declare(node, above)
     return root, content
 
 
@@ -250,6 +295,23 @@ def _text(roots: list[Node], gone: set[int], named: bool = True) -> tuple[str, i
     return " ".join("".join(parts).split()), voted, cut
 
 
+def _around(root: Node, content: list[Node], gone: set[int]) -> int:
+    """Characters of text outside the declared content, but for links and for
+    what the vote or its name deletes."""
+    inner, size = {id(c) for c in content}, 0
+    todo: list[Node] = [root]
+    while todo:
+        n = todo.pop()
+        if id(n) in inner or id(n) in gone or n.tag == "a" or _is_named(n, False):
+            continue
+        for c in n.children:
+            if isinstance(c, Node):
+                todo.append(c)
+            else:
+                size += len(" ".join(c.split()))
+    return size
+
+
 def extract(html: str, is_template: Callable[[np.ndarray], np.ndarray], seed: int = 0, named: bool = True) -> tuple[str, int, int]:
     """The article's text, the template elements deleted from the page by the
     vote (outermost ones), and the elements of what was left that went by name."""
@@ -258,6 +320,10 @@ def extract(html: str, is_template: Callable[[np.ndarray], np.ndarray], seed: in
     hit = is_template(np.array([h for _, h in voted], dtype=np.int64))
     gone = {id(n) for (n, _), t in zip(voted, hit.tolist(), strict=True) if t}
     text, _, cut = _text(content or [root], gone, named)
+    if content and all(c.tag == "article" for c in content):
+        around = _around(root, content, gone)
+        if around >= AROUND_CHARS and around > AROUND * len(text):
+            text, _, cut = _text([root], gone | {id(c) for c in content}, named)
     outer, todo = 0, [root]
     while todo:
         n = todo.pop()

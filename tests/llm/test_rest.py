@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import os
 import random
+import re
 from collections import defaultdict
 
 import duckdb
@@ -176,11 +177,49 @@ def test_main_text():
     ('<p class="notice-period">Three months<p>x', "Three months x"),
     ('<table class="related-data"><tr><td>1<td>2', "1 2"),
     ('<p>x<div class="wide Notice">gone</div><div id="comments">gone</div><aside><article>teaser</article></aside>', "x"),
+    # Teasers, comments and adverts are judged before an article in them counts.
+    ('<div class="related-posts"><article><h3>Other teaser</h3></article></div><div class="entry"><p>Real body', "Real body"),
+    ('<article><p>Story</p></article><div id="comments"><ol class="comment-list"><li><article class="comment-body"><p>reader says hi</article></ol></div>', "Story"),
+    ('<article><p>Story</p></article><article class="comment"><p>hi</article>', "Story"),
+    ('<article><p>Story</p><section class="comments-section"><article><p>hi</article></section></article>', "Story"),
+    ('<main><p>Story</p><div class="user-comments"><article><p>hi</article></div></main>', "Story"),
+    ('<article><p>One</p><div class="inline-ad">Buy</div><p>two</p><div class="promo-box">Now</div></article>', "One two"),
+    ('<main><p>One</p><div class="widget-area"><p>w</p></div></main>', "One"),
+    ('<article><p>Story</p></article><section class="recommended"><article><h3>Next</h3></article></section>', "Story"),
+    ('<main><div class="teaser-list"><article>T</article></div><article><p>Story</article></main>', "Story"),
+    ('<div class="overlay"><article><p>All there is</article></div>', "All there is"),
+    ('<div><article><h3>One</h3></article><article><h3>Two</h3></article></div><div><p>' + "Real body. " * 30 + "</div>", ("Real body. " * 30).strip()),
+    ('<article><p>Short.</article><div><a href="/">' + "Link " * 60 + "</a></div>", "Short."),
 ])
 def test_names(html, text):
     assert html_text.main_text(html) == text
 
 
+def _plain_article(html: str) -> str:
+    """The text of a page of the test tables, by patterns: they have one article
+    of headings and paragraphs."""
+    from html import unescape
+
+    inner = re.search("<article>(.*?)</article>", html, re.S)[1]
+    inner = re.sub(r"<!--.*?-->|<script.*?</script>", "", inner, flags=re.S)
+    return " ".join(unescape(re.sub("</?(?:b|i|em|a|span)(?: [^>]*)?>", "", re.sub("</?(?:h1|h2|p|br|div|ul|li)(?: [^>]*)?>", " ", inner))).split())
+
+
+def test_whole_extraction_against_patterns(spark):
+    """All pages as they are, and with neither articles nor names, where site
+    blocks in plain divs go by the vote alone."""
+    rows = table(spark, SF, "pages").collect()
+    got = {r.page_id: r.text for r in html_text.extract_text(table(spark, SF, "pages")).collect()}
+    assert got == {r.page_id: _plain_article(r.html) for r in rows}
+    top, end = "<div><div><p>Daily of the <b>town</b></div><p>All stories</p></div>", "<div><p>Imprint and so on, the same on every page of this site, at some length</div>"
+    bare = [(r.page_id, f"http://h{r.page_id % 2}.example/{r.page_id}", f"<body>{top}<div>{re.search('<article>(.*?)</article>', r.html, re.S)[1]}</div>{end}") for r in rows]
+    out = html_text.extract_text(spark.createDataFrame(bare, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in out} == got
+    assert all(r.n_template >= 2 for r in out)
+    unvoted = {i: html_text.main_text(h) for i, _, h in bare}
+    assert sum(unvoted[i] != got[i] for i in got) == len(rows)
+
+
 def test_templates(spark):
     page = lambda i: f"<body><div class=x1>Site {'name' * 2}</div><div class=x2><p>text {i} of page</p><p>more {i}</p></div><div>Imprint</div></body>"
     rows = [(i, f"http://h.example/{i}", page(i), "t") for i in range(20)]
