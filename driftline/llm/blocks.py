@@ -60,6 +60,11 @@ def read_block(path: str) -> pa.Table:
         return pa.ipc.open_file(f).read_all()
 
 
+def read_bytes(path: str) -> bytes:
+    with open_read(path) as f:
+        return f.read()
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays as one compressed piece, by Arrow."""
     rows = pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.large_binary()) for a in arrays], names=[str(i) for i in range(len(arrays))])

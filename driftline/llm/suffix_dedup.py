@@ -34,11 +34,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.blocks import BLOCK, pack, read_block, unpack, write_blocks
-from driftline.llm.common import Scratch, partitions, runs, ship
+from driftline.llm.blocks import BLOCK, pack, read_block, read_bytes, unpack, write_blocks
+from driftline.llm.common import Scratch, open_write, partitions, runs, ship
 
 WINDOW = 50
 CORE = 24
@@ -88,6 +89,10 @@ class Chunk:
         self.end = np.cumsum(sizes)
         self.start = self.end - sizes
         self.buf = b"".join(p[2] for p in pieces) + _PAD
+        self.strings_of = sizes - WINDOW + 1
+
+    def scan(self) -> None:
+        """Find the anchors."""
         w, n = _words(self.buf), int(self.end[-1])
         h = w[:n] * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(31)
@@ -95,15 +100,30 @@ class Chunk:
             h = (h ^ w[at : n + at]) * np.uint64(0xC4CEB9FE1A85EC53)
             h ^= h >> np.uint64(31)
         h = _least((h & ~_LOW) | np.arange(n, dtype=np.uint64), WINDOW - CORE + 1)
-        strings = sizes - WINDOW + 1
-        at = np.repeat(self.start, strings) + runs(strings)
-        piece = np.repeat(np.arange(len(sizes)), strings)
+        at = np.repeat(self.start, self.strings_of) + runs(self.strings_of)
+        piece = np.repeat(np.arange(len(self.start)), self.strings_of)
         least = h[at] & _LOW
         new = np.flatnonzero(np.append(True, (least[1:] != least[:-1]) | (piece[1:] != piece[:-1])))
         self.anchor, self.first = least[new].astype(np.int64), at[new]
         self.last = np.append(at[new[1:] - 1], at[-1])
         self.piece = piece[new]
 
+    def shown(self) -> tuple[np.ndarray, np.ndarray]:
+        """The anchors in two bytes each: more strings, and from the last to it."""
+        return (self.last - self.first).astype(np.uint8), (self.anchor - self.last).astype(np.uint8)
+
+    def restore(self, more: np.ndarray, gap: np.ndarray) -> int:
+        """The anchors from what was shown of them; how many are this chunk's."""
+        total = np.append(0, np.cumsum(self.strings_of))
+        end = np.cumsum(more[: int(total[-1])].astype(np.int64) + 1)
+        n = int(np.searchsorted(end, total[-1])) + 1
+        begin = np.append(0, end[: n - 1])
+        self.piece = np.searchsorted(total, begin, side="right") - 1
+        self.first = self.start[self.piece] + begin - total[self.piece]
+        self.last = self.first + more[:n]
+        self.anchor = self.last + gap[:n]
+        return n
+
     def cores(self) -> np.ndarray:
         w = _words(self.buf)
         return np.stack([w[self.anchor + i] for i in range(0, CORE, 8)], axis=1)
@@ -153,12 +173,20 @@ def _chunks(ids: list, texts: list) -> Iterator[Chunk]:
 class Block:
     """A block's texts, and its suffixes in each merge, always in the same order."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, notes: list[str]) -> None:
         rows = read_block(path)
         self.given = rows.column(0)
         self.ids = self.given.cast(pa.int64()).to_pylist()
         self.texts = rows.column(1).cast(pa.large_binary()).to_pylist()
         self.chunks = list(_chunks(self.ids, self.texts))
+        if notes:
+            more, gap = unpack(read_bytes(notes[0]), np.uint8, np.uint8)
+            at = 0
+            for c in self.chunks:
+                at += c.restore(more[at:], gap[at:])
+        else:
+            for c in self.chunks:
+                c.scan()
         self.numbers = np.array([0 if i is None else i for i in self.ids], dtype=np.int64)
         self.anchors = sum(len(c.anchor) for c in self.chunks)
 
@@ -202,18 +230,46 @@ def _common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.where(first == 0, 8 * x.shape[1], 8 * word + 8 - np.searchsorted(_STEPS, first, side="right"))
 
 
+def _order(keys: np.ndarray) -> np.ndarray:
+    """The order of rows of words: by the first, then equal ones by five bytes
+    more at a time."""
+    order = np.argsort(keys[:, 0], kind="stable")
+    first = keys[order, 0]
+    same = np.flatnonzero(first[1:] == first[:-1])
+    group = np.cumsum(np.append(True, first[1:] != first[:-1])) if len(same) else None
+    width = 8 * keys.shape[1]
+    for at in range(8, width, 5):
+        if not len(same):
+            break
+        among = np.zeros(len(order), dtype=bool)
+        among[same] = among[same + 1] = True
+        tied = np.flatnonzero(among)
+        rows, word, bits = order[tied], at >> 3, np.uint64(8 * (at & 7))
+        part = keys[rows, word] << bits
+        if at & 7 > 3 and word + 1 < keys.shape[1]:
+            part |= keys[rows, word + 1] >> (np.uint64(64) - bits)
+        new = np.cumsum(np.append(True, np.diff(group[tied]) != 0)).astype(np.uint64)
+        part = (new << np.uint64(40)) | (part >> np.uint64(24))
+        by = np.argsort(part, kind="stable")
+        order[tied], part = rows[by], part[by]
+        equal = part[1:] == part[:-1]
+        group[tied] = np.cumsum(np.append(True, ~equal))
+        same = tied[:-1][equal]
+    return order
+
+
 def _sorted_run(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys in order, common prefixes with the one before, the least
     and the greatest id of each, and for every row which key it has."""
-    order = np.lexsort((ids, *keys.T[::-1]))
+    order = _order(keys)
     keys, ids = keys[order], ids[order]
     new = np.append(True, (keys[1:] != keys[:-1]).any(axis=1))
     at = np.flatnonzero(new)
-    of_row = np.empty(len(order), dtype=np.int64)
+    of_row = np.empty(len(order), dtype=np.int32)
     of_row[order] = np.cumsum(new) - 1
     own = keys[at]
     common = np.append(0, _common(own[1:], own[:-1])).astype(np.uint8)
-    return own, common, ids[at], ids[np.append(at[1:], len(ids)) - 1], of_row
+    return own, common, np.minimum.reduceat(ids, at), np.maximum.reduceat(ids, at), of_row
 
 
 def _texts(keys: np.ndarray) -> np.ndarray:
@@ -385,87 +441,100 @@ def _reply(block: list, round_: list, run: list, part: list, data: list) -> pa.T
     return pa.table([pa.array(c, k) for c, k in zip((block, round_, run, part, data), kinds, strict=True)], names=["block", "round", "run", "part", "data"])
 
 
-def _answers(block: Block, round_: int, chosen: np.ndarray, replies: dict[int, list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """For every suffix of the second or third merge the least id that has it,
-    and whether its core has others, in the block's order."""
-    values, more = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=bool)]
-    for number, (keys, ids) in enumerate(block.suffixes(round_, chosen)):
-        of_row = _sorted_run(keys, ids)[4]
-        said = [unpack(d, np.int64, np.uint8) for d in replies[number]]
-        values.append(np.concatenate([v for v, _ in said])[of_row])
-        more.append(np.concatenate([np.unpackbits(f, count=len(v)).astype(bool) for v, f in said])[of_row])
-    return np.concatenate(values), np.concatenate(more)
+class Notes:
+    """What a block's tasks keep for later merges, in files beside the block: the
+    anchors, then for each merge the state of the anchors before it and which
+    key of its run every suffix has. A task that runs again writes new files."""
 
+    def __init__(self, block: int, path: str, files: list[str]) -> None:
+        self.block, self.path, self.files = block, path, files
 
-def _shared(block: Block, replies: dict[int, list[bytes]]) -> np.ndarray:
-    """State of each anchor after the first merge: 2 where another text has its
-    core, else 0."""
-    state = [np.empty(0, dtype=np.uint8)]
-    for number, (keys, ids) in enumerate(block.suffixes(1, None)):
-        of_row = _sorted_run(keys, ids)[4]
-        said = [unpack(d, np.uint8, np.int64) for d in replies[number]]
-        state.append(2 * np.concatenate([np.unpackbits(b, count=int(n[0])) for b, n in said])[of_row])
-    return np.concatenate(state)
+    def keep(self, round_: int, *arrays: np.ndarray) -> bytes:
+        file = f"{self.path}-{round_}-{TaskContext.get().taskAttemptId()}"
+        with open_write(file) as f:
+            f.write(pack(*arrays))
+        return "\n".join([*self.files, file]).encode()
 
+    def last(self) -> tuple[np.ndarray, list[np.ndarray]]:
+        anchors = [np.uint8, np.uint8] if len(self.files) == 1 else []
+        state, of_row, sizes = unpack(read_bytes(self.files[-1]), *anchors, np.uint8, np.int32, np.int64)[-3:]
+        return state, np.split(of_row, np.cumsum(sizes)[:-1]) if len(sizes) else []
 
-def _state(rows: pa.Table) -> tuple[int, str, dict[int, list[bytes]], np.ndarray | None]:
-    """Of one block: number, path, replies by run in the order of parts, and what
-    its task kept."""
+
+def _state(rows: pa.Table) -> tuple[Notes, dict[int, list[bytes]]]:
+    """Of one block: what was kept, and replies by run in the order of parts."""
     path = next(p for p in rows["path"].to_pylist() if p is not None)
-    found = sorted(zip(rows["run"].to_pylist(), rows["part"].to_pylist(), rows["round"].to_pylist(), rows["data"].to_pylist(), strict=True), key=lambda r: (r[0] or 0, r[1] or 0))
-    replies: dict[int, list[bytes]] = {}
-    kept = None
-    for run, part, round_, data in found:
+    files: list[str] = []
+    found = []
+    for run, part, data in zip(rows["run"].to_pylist(), rows["part"].to_pylist(), rows["data"].to_pylist(), strict=True):
         if data is None:
             continue
         if part < 0:
-            kept = unpack(data, np.uint8)[0]
+            files = data.decode().split("\n")
         else:
-            replies.setdefault(run, []).append(data)
-    return rows["block"][0].as_py(), path, replies, kept
+            found.append((run, part, data))
+    replies: dict[int, list[bytes]] = {}
+    for run, _, data in sorted(found, key=lambda r: r[:2]):
+        replies.setdefault(run, []).append(data)
+    return Notes(rows["block"][0].as_py(), path, files), replies
 
 
-def _after(block: Block, round_: int, replies: dict[int, list[bytes]], kept: np.ndarray | None) -> tuple[np.ndarray, np.ndarray | None]:
+def _after(block: Block, round_: int, notes: Notes, replies: dict[int, list[bytes]]) -> tuple[np.ndarray, np.ndarray | None]:
     """State of each anchor after a merge (0: no string of it is to go, 1: all
     are, 2: open) and, after the third, the least id of each open string."""
     if round_ == 0:
         return np.full(block.anchors, 2, dtype=np.uint8), None
+    state, of_rows = notes.last()
+    none = np.empty(0, dtype=np.int64)
     if round_ == 1:
-        return _shared(block, replies), None
-    open_ = np.flatnonzero(kept == 2)
-    least, more = _answers(block, round_, kept == 2, replies)
+        shared = [none.astype(np.uint8)]
+        for run, of_row in enumerate(of_rows):
+            said = [unpack(d, np.uint8, np.int64) for d in replies[run]]
+            shared.append(np.concatenate([np.unpackbits(b, count=int(n[0])) for b, n in said])[of_row])
+        return 2 * np.concatenate(shared), None
+    least, more = [none], [none.astype(bool)]
+    for run, of_row in enumerate(of_rows):
+        said = [unpack(d, np.int64, np.uint8) for d in replies[run]]
+        least.append(np.concatenate([v for v, _ in said])[of_row])
+        more.append(np.concatenate([np.unpackbits(f, count=len(v)).astype(bool) for v, f in said])[of_row])
+    least, more = np.concatenate(least), np.concatenate(more)
     if round_ == 3:
-        return kept, least
-    owner = np.concatenate([np.empty(0, dtype=np.int64), *[block.numbers[c.row[c.piece]] for c in block.chunks]])
-    state = np.zeros(block.anchors, dtype=np.uint8)
+        return state, least
+    open_ = np.flatnonzero(state == 2)
+    owner = np.concatenate([none, *[block.numbers[c.row[c.piece]] for c in block.chunks]])
     gone = owner[open_] > least
+    state = np.zeros(block.anchors, dtype=np.uint8)
     state[open_[gone]] = 1
     state[open_[~gone & more]] = 2
     return state, None
 
 
 def _sort_block(round_: int, splitters: list[bytes], rows: pa.Table) -> pa.Table:
-    """The runs of one block for a merge, and the state of its anchors."""
-    number, path, replies, kept = _state(rows)
-    block = Block(path)
-    state, _ = _after(block, round_ - 1, replies, kept)
-    out = [(-1 - ((number >> 32) + number) % (1 << 30), number, -1, pack(state))] if round_ > 1 else []
-    chosen = None if round_ == 1 else state == 2
-    for run, (keys, ids) in enumerate(block.suffixes(round_, chosen)):
-        out.extend(_send(number, run, round_, _sorted_run(keys, ids), splitters))
+    """The runs of one block for a merge, and where its task kept what."""
+    notes, replies = _state(rows)
+    block = Block(notes.path, notes.files)
+    state, _ = _after(block, round_ - 1, notes, replies)
+    out, of_rows = [], []
+    for run, (keys, ids) in enumerate(block.suffixes(round_, None if round_ == 1 else state == 2)):
+        sorted_ = _sorted_run(keys, ids)
+        out.extend(_send(notes.block, run, round_, sorted_, splitters))
+        of_rows.append(sorted_[-1])
+    shown = [c.shown() for c in block.chunks] if round_ == 1 else []
+    anchors = [np.concatenate([np.empty(0, np.uint8), *x]) for x in zip(*shown, strict=True)] if shown else [np.empty(0, np.uint8)] * 2 if round_ == 1 else []
+    kept = notes.keep(round_, *anchors, state, np.concatenate([np.empty(0, np.int32), *of_rows]), np.array([len(o) for o in of_rows], dtype=np.int64))
+    out.append((-1 - ((notes.block >> 32) + notes.block) % (1 << 30), notes.block, -1, kept))
     kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary())
-    columns = zip(*out, strict=True) if out else [[]] * 4
-    return pa.table([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["part", "block", "run", "data"])
+    return pa.table([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["part", "block", "run", "data"])
 
 
 def _finish(id_kind: pa.DataType, rows: pa.Table) -> pa.Table:
     """What is left of the texts of one block."""
-    number, path, replies, kept = _state(rows)
-    block = Block(path)
-    _, least = _after(block, 3, replies, kept)
+    notes, replies = _state(rows)
+    block = Block(notes.path, notes.files)
+    states, least = _after(block, 3, notes, replies)
     covered: dict[int, np.ndarray] = {}
     at = 0
-    for c, state in block.cut(kept if kept is not None else np.empty(0, dtype=np.uint8)):
+    for c, state in block.cut(states):
         sure, open_ = np.flatnonzero(state == 1), np.flatnonzero(state == 2)
         begin, end = [c.first[sure]], [c.last[sure] + WINDOW]
         if len(open_):
@@ -505,6 +574,7 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = rows.take(np.arange(0, rows.num_rows, max(1, rows.num_rows // 64)))
             texts = [t and t[: 1 << 15] for t in rows.column(1).cast(pa.large_binary()).to_pylist()]
             for c in _chunks(rows.column(0).to_pylist(), texts):
+                c.scan()
                 some = np.arange(0, len(c.anchor), max(1, len(c.anchor) // 512))
                 stretches += _texts(c.stretches(some)).tolist()
                 strings += _texts(c.strings(c.first[some])).tolist()
@@ -532,16 +602,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     scratch = Scratch()
     blocks = write_blocks(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), "text", "suffix-blocks", block_bytes)
     sample = scratch.write(blocks.repartition(partitions(spark), "block").select("path").mapInArrow(_sample, "stretch binary, string binary"), "suffix-sample")
-    size = blocks.agg(F.sum("n_bytes")).first()[0] or 0
+    n_blocks, size = blocks.agg(F.count("*"), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
+    tasks = max(partitions(spark), n_blocks)
     expected = {1: size // 14, 2: size // 40, 3: size // 20}
     replies = None
     for round_ in (1, 2, 3):
         parts = max(-(-expected[round_] // part_rows), 2 * partitions(spark))
         column = "string" if round_ == 3 else "stretch"
         splitters = _splitters(sample, column, WIDTH[round_], parts)
-        runs_ = _of_block(blocks, replies).applyInArrow(_by_group(_sort_block, round_, splitters), "part int, block long, run int, data binary")
+        runs_ = _of_block(blocks, replies, tasks).applyInArrow(_by_group(_sort_block, round_, splitters), "part int, block long, run int, data binary")
         replies = scratch.write(runs_.groupBy("part").applyInArrow(_by_group(_merge_part, round_), _REPLY), f"suffix-replies-{round_}")
-    out = _of_block(blocks, replies).applyInArrow(_by_group(_finish, _arrow(docs, id_col)), f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    out = _of_block(blocks, replies, tasks).applyInArrow(_by_group(_finish, _arrow(docs, id_col)), f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     out = scratch.write(out, "suffix-result")
     scratch.close(out)
     return out.withColumnRenamed("id", id_col)
@@ -562,10 +633,10 @@ def _arrow(docs: DataFrame, column: str) -> pa.DataType:
     return to_arrow_type(docs.schema[column].dataType)
 
 
-def _of_block(blocks: DataFrame, replies: DataFrame | None):
-    """Each block with the replies to it."""
+def _of_block(blocks: DataFrame, replies: DataFrame | None, tasks: int):
+    """Each block with the replies to it; few rows, but each is much work."""
     none = lambda t, n: F.lit(None).cast(t).alias(n)
     own = blocks.select("block", "path", none("int", "round"), none("int", "run"), none("int", "part"), none("binary", "data"))
     if replies is not None:
         own = own.unionByName(replies.select("block", none("string", "path"), "round", "run", "part", "data"))
-    return own.groupBy("block")
+    return own.repartition(tasks, "block").groupBy("block")
