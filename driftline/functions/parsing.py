@@ -2,31 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accepted dates are, in this order, yyyy-M-d (also with / or .),
-# yyyyMMdd, M-d-yyyy and where that is no date d-M-yyyy (also with / or .),
-# yyyy-M-d H:m:s, offset text from its own wall date, and M/d/yy.
-_YEAR_FIRST = r"^\d{4}([-/.])\d{1,2}\1\d{1,2}$"
-_YEAR_LAST = r"^\d{1,2}([-/.])\d{1,2}\1\d{4}$"
-_COMPACT = r"^\d{8}$"
-_STAMP = r"^\d{4}-\d{1,2}-\d{1,2} ([01]?\d|2[0-3]):[0-5]?\d:[0-5]?\d$"
-_ISO = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}"
-_SHORT = r"^\d{1,2}/\d{1,2}/\d{2}$"
+from driftline.functions.dates import once, recognise
+
 # Times of 24 hours, with seconds or not, or of 12 with AM or PM.
 _TIME_24 = r"^([01]?\d|2[0-3]):([0-5]?\d)(?::([0-5]?\d))?$"
 _TIME_12 = r"^(0?[1-9]|1[0-2]):([0-5]?\d)(?::([0-5]?\d))? ([AP]M)$"
 
 
-def _once(c: Column, f: Callable[[Column], Column]) -> Column:
-    """f of a column that is evaluated once, however often f mentions it: the
-    plan and its generated code stay small."""
-    return F.transform(F.array(c), f)[0]
-
-
 def strip(c: Column) -> Column:
     """Without white space, Unicode's and separators included, at either end."""
     return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
@@ -41,29 +26,10 @@ def optional(c: Column) -> Column:
     return F.nullif(text(c), F.lit(""))
 
 
-def _day(year: Column, month: Column, day: Column) -> Column:
-    """The date, or null where there is none such; a cast, so nothing is thrown."""
-    return F.when(year != "0000", F.concat_ws("-", year, month, day).try_cast("date"))
-
-
 def date(c: Column) -> Column:
-    """The date of a cell. The shape of the text decides how it is read; month
-    first where both readings exist; offset text keeps its own wall date; a
-    trailing .0 of an all-digit value is dropped; null if nothing fits."""
-    s = F.regexp_replace(text(c), r"^(\d+)\.0$", "$1")
-
-    def read(s: Column) -> Column:
-        piece = F.split(F.substring_index(s, " ", 1), "[-/.]")
-        at = lambda i: F.get(piece, F.lit(i))
-        return (
-            F.when(s.rlike(_YEAR_FIRST) | s.rlike(_STAMP), _day(at(0), at(1), at(2)))
-            .when(s.rlike(_YEAR_LAST), F.coalesce(_day(at(2), at(0), at(1)), _day(at(2), at(1), at(0))))
-            .when(s.rlike(_COMPACT), _day(F.substring(s, 1, 4), F.substring(s, 5, 2), F.substring(s, 7, 2)))
-            .when(s.rlike(_ISO), _day(F.substring(s, 1, 4), F.substring(s, 6, 2), F.substring(s, 9, 2)))
-            .when(s.rlike(_SHORT), _day(F.concat(F.lit("20"), at(2)), at(0), at(1)))
-        )
-
-    return _once(s, read)
+    """The date of a cell, see ``dates.recognise``; a trailing .0 of an
+    all-digit value is dropped; null if nothing fits."""
+    return recognise(F.regexp_replace(text(c), r"^(\d+)\.0$", "$1"))
 
 
 def time(c: Column) -> Column:
@@ -79,13 +45,13 @@ def time(c: Column) -> Column:
             hour = F.lpad((h + F.when(s.endswith("PM"), 12).otherwise(0)).cast("string"), 2, "0")
         return F.concat_ws(":", hour, two(2), two(3))  # no seconds: 00
 
-    return _once(s, lambda t: F.when(t.rlike(_TIME_24), shown(t, _TIME_24)).when(t.rlike(_TIME_12), shown(t, _TIME_12)))
+    return once(s, lambda t: F.when(t.rlike(_TIME_24), shown(t, _TIME_24)).when(t.rlike(_TIME_12), shown(t, _TIME_12)))
 
 
 def people(c: Column) -> Column:
     """Addresses of a list cell: stripped, with an @; none: null."""
     parts = F.filter(F.transform(F.split(text(c), r"[,\n;]+"), strip), lambda x: x.contains("@"))
-    return _once(parts, lambda p: F.when(F.size(p) > 0, p))
+    return once(parts, lambda p: F.when(F.size(p) > 0, p))
 
 
 def spreadsheet_id(url: Column) -> Column:

@@ -20,7 +20,14 @@ DATES = {
     "3000-01-01": dt.date(3000, 1, 1),
     "20260901.0": SEP1,
     " 2026-09-01　": SEP1,
-    **dict.fromkeys(["2026-02-30", "45000", "2026년 9월 1일", "today", "10:30", "2026", "Sep 1 2026", "", None, "02026-09-01"]),
+    **dict.fromkeys(["2026-09-01 09:00", "2026-09-01 09:00:00.000", "2026/09/01 09:00:00", "9/1/2026 10:00", "01-Sep-2026", "1 Sep 2026", "September 1, 2026"], SEP1),
+    **dict.fromkeys(["Sep 1 2026", "sept. 1, 2026", "1st September 2026", "Sep 1st, 2026", "Tuesday, September 1, 2026", "Tue 1 Sep 2026 9:30 PM", "1/Sep/26", "2026 Sep 1"], SEP1),
+    **dict.fromkeys(["2026-9-1T9:05Z", "2026-09-01T00:00:00.123456+0900", "2026.09.01 23:59:59 UTC", "20260901T101500", "2026-09-01, 09:00", "9-1-26"], SEP1),
+    **dict.fromkeys(["2026-09", "2026/9", "Sep 2026", "September, 2026", "9/1/2026 12:30 AM"], SEP1),
+    "31 Dec 1999": dt.date(1999, 12, 31),
+    "12/31/99": dt.date(1999, 12, 31),
+    **dict.fromkeys(["2026-02-30", "45000", "2026년 9월 1일", "today", "10:30", "2026", "", None, "02026-09-01", "1 Foo 2026", "2026-09-01 24:00", "2026-09-01 10:60"]),
+    **dict.fromkeys(["2026-09-01 13:00 PM", "2026-09-01 0:30 AM", "2026-09-01x", "1 Sep", "Sep 1", "2026--09-01", "31 Feb 2026", "0000-01-01", "2026-09-01T"]),
 }
 TIMES = {
     "09:00:00": "09:00:00",
