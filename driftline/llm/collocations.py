@@ -208,11 +208,12 @@ def _score(scale: int, rows: pa.Table) -> pa.Table:
     return pa.table([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=["kind", "lang", "key", "phrase", "a", "l", "r", "score"])
 
 
-def _on_blocks(blocks: DataFrame, replies: DataFrame | None):
+def _on_blocks(blocks: DataFrame, replies: DataFrame | None, tasks: int):
+    """Each block with the replies to it; few rows, but each is much work."""
     own = blocks.select("block", "path", F.lit(None).cast("int").alias("length"), F.lit(None).cast("binary").alias("data"))
     if replies is not None:
         own = own.unionByName(replies.select("block", F.lit(None).cast("string").alias("path"), "length", "data"))
-    return own.groupBy("block")
+    return own.repartition(tasks, "block").groupBy("block")
 
 
 def _tables(f: Callable[..., pa.Table], *args: object) -> Callable[[pa.Table], pa.Table]:
@@ -242,14 +243,15 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     scratch = Scratch()
     blocks = write_blocks(distinct_pieces(docs, text_col, lang_col), "piece", "phrase-blocks", block_bytes)
     scratch.tables.append(blocks)
-    size = blocks.agg(F.sum("n_bytes")).first()[0] or 0
+    n_blocks, size = blocks.agg(F.count("*"), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
+    tasks = max(partitions(spark), n_blocks)
     all_replies, last = None, None
     for k in range(1, LONGEST + 1):
-        buckets = max(-(-size // (_EXPECTED[k] * _BUCKET)), 2 * partitions(spark))
-        asked = _on_blocks(blocks, last).applyInArrow(_tables(_ask, k, buckets), "bucket int, block long, data binary")
+        buckets = max(1, -(-size // (_EXPECTED[k] * _BUCKET)), min(partitions(spark), n_blocks))
+        asked = _on_blocks(blocks, last, tasks).applyInArrow(_tables(_ask, k, buckets), "bucket int, block long, data binary")
         last = scratch.write(asked.groupBy("bucket").applyInArrow(_batches(_add_up, k, least), "block long, length int, data binary"), f"phrase-replies-{k}")
         all_replies = last if all_replies is None else all_replies.unionByName(last)
-    found = scratch.write(_on_blocks(blocks, all_replies).applyInArrow(_tables(_score, scale), _FOUND), "phrase-scores")
+    found = scratch.write(_on_blocks(blocks, all_replies, tasks).applyInArrow(_tables(_score, scale), _FOUND), "phrase-scores")
     scratch.close(found)
     candidates = found.where("kind = 0")
     n = found.where("kind = 2").groupBy("lang").agg(F.sum("a").alias("n"))
