@@ -607,7 +607,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     expected = {1: size // 14, 2: size // 40, 3: size // 20}
     replies = None
     for round_ in (1, 2, 3):
-        parts = max(-(-expected[round_] // part_rows), 2 * partitions(spark))
+        parts = max(1, -(-expected[round_] // part_rows), min(partitions(spark), 4 * n_blocks))
         column = "string" if round_ == 3 else "stretch"
         splitters = _splitters(sample, column, WIDTH[round_], parts)
         runs_ = _of_block(blocks, replies, tasks).applyInArrow(_by_group(_sort_block, round_, splitters), "part int, block long, run int, data binary")
