@@ -5,15 +5,15 @@ The tables hold no calendar, so every operator runs on an analogous column.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftline import files
 from driftline.functions import parsing
-from driftline.operators import apply, ingest, keys, reconcile, sqltext, state
+from driftline.operators import apply, ingest, keys, reconcile, recurrence, sqltext, state, store
 from driftline.plans import sync
 from driftline.schemas import SyncMode
 from driftline.sources import grid, xlsx
@@ -144,7 +144,7 @@ def _calendar(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         F.lit("09:00:00").alias("start_time"),
         F.when(F.col("k") % 11 == 0, "11:00:00").otherwise("10:00:00").alias("end_time"),
         F.lit("orders").alias("sheet_name"),
-        F.col("k").cast("int").alias("row_no"),
+        F.col("k").alias("row_no"),
         F.col("k").alias("ordinal"),
     )
     return remote, events
@@ -189,9 +189,16 @@ def full_replace_range(spark, sf_dir):
     return sync.full_replace(sync.remote_in_range(remote, "1995-06-01", "1996-06-30"), events).groupBy("action").agg(F.count("*").alias("n"))
 
 
-@_query(_CALENDAR + """SELECT title, day || ' 09:00 ~ ' || day || ' ' || left(end_time, 5) AS period, coalesce(nullif(location, ''), '-') AS location, mail AS attendees FROM event""")
+@_query(_CALENDAR + """SELECT title, day AS start_date, day AS end_date, CASE k % 5 WHEN 0 THEN '' WHEN 1 THEN left(end_time, 5) WHEN 2 THEN '09:00' ELSE '09:00 ~ ' || left(end_time, 5) END AS time,
+  coalesce(nullif(location, ''), '-') AS location, CASE WHEN k % 3 = 0 THEN '-' ELSE mail || ', b@x' END AS attendees FROM event""")
 def display_rows(spark, sf_dir):
-    return reconcile.display(_calendar(spark, sf_dir)[1])
+    k = F.col("row_no") % 5
+    events = _calendar(spark, sf_dir)[1].withColumns({
+        "start_time": F.when(~k.isin(0, 1), F.col("start_time")),
+        "end_time": F.when(k == 0, "").when(k != 2, F.col("end_time")),
+        "attendees": F.when(F.col("row_no") % 3 != 0, F.array_append("attendees", F.lit("b@x"))),
+    })
+    return reconcile.display(events)
 
 
 @_query("SELECT '1996-05-01' AS range_start, strftime(max(o_orderdate), '%Y-%m-%d') AS range_end FROM orders")
@@ -200,6 +207,52 @@ def range_defaults(spark, sf_dir):
     return reconcile.range_defaults(orders, "1996-05-01", "")
 
 
+@_query("""WITH o AS (SELECT o_orderkey AS k, o_custkey % 100 AS c, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders),
+remote AS (SELECT 'r' || lpad(k::VARCHAR, 9, '0') AS id, 'C' || c AS title, left(day, 7) || '-01' AS start_day,
+  left(day, 7) || '-01T' || CASE k % 3 WHEN 0 THEN '08' WHEN 1 THEN '09' ELSE '10' END || ':00:00+09:00' AS began FROM o),
+last AS (SELECT * FROM remote QUALIFY row_number() OVER (PARTITION BY title, start_day ORDER BY began DESC, id DESC) = 1)
+SELECT 'delete' AS action, title, start_day AS start_date, id AS remote_id FROM last""")
+def last_of_remote(spark, sf_dir):
+    o = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") % 100).cast("string").alias("c"), F.date_format("o_orderdate", "yyyy-MM").alias("month"))
+    hour = F.when(F.col("k") % 3 == 0, "08").when(F.col("k") % 3 == 1, "09").otherwise("10")
+    moment = F.struct(F.concat("month", F.lit("-01T"), hour, F.lit(":00:00+09:00")).alias("dateTime"), F.lit(None).cast("string").alias("date"), F.lit("Asia/Seoul").alias("timeZone"))
+    none = F.lit(None).cast("string")
+    remote = o.select(F.concat(F.lit("r"), F.lpad(F.col("k").cast("string"), 9, "0")).alias("id"), F.concat(F.lit("C"), "c").alias("summary"), none.alias("description"), none.alias("location"), moment.alias("start"), moment.alias("end"), F.array().cast("array<struct<email:string>>").alias("attendees"))
+    events = _calendar(spark, sf_dir)[1].where("false")
+    return reconcile.event_plan(remote, events).select("action", "title", "start_date", "remote_id")
+
+
+@_query(_SNAPSHOTS + "SELECT o_orderkey, action, old_priority, new_priority FROM plan")
+def reconcile_by_digest(spark, sf_dir):
+    p = reconcile.diff_by_digest(*_snapshots(spark, sf_dir), ["o_orderkey"], ["o_orderpriority", "o_totalprice"], 64)
+    return p.select("o_orderkey", "action", F.col("ex.o_orderpriority").alias("old_priority"), F.col("nw.o_orderpriority").alias("new_priority"))
+
+
+_SERIES = """
+WITH RECURSIVE series AS (SELECT o_orderkey AS id, o_orderdate::DATE AS first, ['daily', 'weekly', 'monthly', 'yearly'][(o_orderkey % 4 + 1)::INT] AS freq, (o_custkey % 3 + 1)::INT AS every,
+  CASE WHEN o_orderkey % 5 = 0 THEN DATE '1998-03-15' END AS until, CASE WHEN o_orderkey % 3 = 0 THEN 20 END AS times FROM orders WHERE o_orderdate < TIMESTAMP '1998-06-01'),
+step AS (
+  SELECT id, first, freq, every, until, times, 0 AS n, first AS day, 1 AS nth FROM series
+  UNION ALL
+  SELECT id, first, freq, every, until, times, n + 1, d, nth + CASE WHEN dayofmonth(d) = dayofmonth(first) OR freq IN ('daily', 'weekly') THEN 1 ELSE 0 END
+  FROM (SELECT *, CASE freq WHEN 'daily' THEN first + ((n + 1) * every)::INT WHEN 'weekly' THEN first + ((n + 1) * every * 7)::INT
+          WHEN 'monthly' THEN (first + to_months((n + 1) * every))::DATE ELSE (first + to_months((n + 1) * every * 12))::DATE END AS d FROM step)
+  WHERE d <= DATE '1998-06-30' AND d <= coalesce(until, DATE '1998-06-30'))
+"""
+
+
+@_query(_SERIES + """SELECT id, day AS occurrence FROM step WHERE day BETWEEN DATE '1998-01-01' AND DATE '1998-06-30' AND day <= coalesce(until, day)
+  AND (freq IN ('daily', 'weekly') OR dayofmonth(day) = dayofmonth(first)) AND nth <= coalesce(times, nth) AND NOT (id % 2 = 0 AND dayofmonth(day) = 7)""")
+def recurring_in_range(spark, sf_dir):
+    o = _read(spark, sf_dir, "orders").where("o_orderdate < timestamp_ntz'1998-06-01 00:00:00'")
+    k = F.col("o_orderkey")
+    freq = F.element_at(F.array(*map(F.lit, recurrence.EVERY)), (k % 4 + 1).cast("int"))
+    series = o.select(k.alias("id"), F.to_date("o_orderdate").alias("first"), freq.alias("freq"), (F.col("o_custkey") % 3 + 1).cast("int").alias("every"), F.when(k % 5 == 0, F.lit("1998-03-15").cast("date")).alias("until"), F.when(k % 3 == 0, 20).alias("times"))
+    sevenths = F.array(*[F.lit(f"1998-0{m}-07").cast("date") for m in range(1, 7)])
+    off = o.where("o_orderkey % 2 = 0").select(k.alias("id"), F.explode(sevenths).alias("occurrence"))
+    return recurrence.occurrences(series, "1998-01-01", "1998-06-30", off).select("id", "occurrence")
+
+
 @_query(_CALENDAR + f"SELECT id FROM remote WHERE {_OVERLAP.format('1998-01-01', '1998-12-31')}")
 def range_scan(spark, sf_dir):
     return sync.remote_in_range(_calendar(spark, sf_dir)[0], "1998-01-01", "1998-12-31").select("id")
@@ -262,13 +315,15 @@ def parse_dates(spark, sf_dir):
     orders = _read(spark, sf_dir, "orders")
     # Month first wins, so day-first forms are used where they can't be misread.
     late = F.dayofmonth("o_orderdate") > 12
-    forms = ["yyyy-M-d", "yyyy/MM/dd", "MM/dd/yyyy", "M-d-yyyy", "yyyy.M.d", "yyyyMMdd", "yyyy-MM-dd HH:mm:ss", "MM.dd.yyyy"]
+    forms = ["yyyy-M-d", "yyyy/MM/dd", "MM/dd/yyyy", "M-d-yyyy", "yyyy.M.d", "yyyyMMdd", "yyyy-MM-dd HH:mm:ss", "MM.dd.yyyy", "yyyy-MM-dd HH:mm", "yyyy-MM-dd HH:mm:ss.SSS", "yyyy/MM/dd HH:mm:ss", "M/d/yyyy H:mm"]
+    forms += ["dd-MMM-yyyy", "d MMM yyyy", "MMMM d, yyyy", "MMM d yyyy", "EEEE, MMMM d, yyyy", "EEE d MMM yyyy h:mm a", "yyyy-MM-dd'T'HH:mm:ss'+0900'", "yyyy-MM-dd'T'HH:mm'Z'", "M/d/yy", "d/MMM/yy", "yyyy-MMM-dd", "yyyyMMdd'T'HHmmss"]
+    n = F.col("o_orderkey") % (len(forms) + 3)
     shown: Column = F.date_format("o_orderdate", "yyyy-MM-dd")
     for i, f in enumerate(forms):
-        shown = F.when(F.col("o_orderkey") % 11 == i, F.date_format("o_orderdate", f)).otherwise(shown)
-    shown = F.when((F.col("o_orderkey") % 11 == 8) & late, F.date_format("o_orderdate", "d/M/yyyy")).otherwise(shown)
-    shown = F.when((F.col("o_orderkey") % 11 == 9) & late, F.date_format("o_orderdate", "d.M.yyyy")).otherwise(shown)
-    return orders.select("o_orderkey", parsing.date(F.concat(F.lit(" "), shown, F.lit(" "))).alias("parsed"))
+        shown = F.when(n == i, F.date_format("o_orderdate", f)).otherwise(shown)
+    shown = F.when((n == len(forms)) & late, F.date_format("o_orderdate", "d/M/yyyy")).otherwise(shown)
+    shown = F.when((n == len(forms) + 1) & late, F.date_format("o_orderdate", "d.M.yyyy")).otherwise(shown)
+    return orders.select("o_orderkey", parsing.date(F.concat(F.lit(" "), shown, F.lit(" "))).alias("parsed"))
 
 
 @_query("SELECT event_id, CASE event_id % 4 WHEN 1 THEN strftime(ts, '%H:%M:00') WHEN 3 THEN strftime(ts, '%H:%M:00') ELSE strftime(ts, '%H:%M:%S') END AS parsed FROM events")
@@ -299,6 +354,8 @@ def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_id") % 5 != 0, F.col("event_type")).alias("제목"),
         F.when(F.col("event_id") % 7 != 0, F.date_format("ts", "yyyy-MM-dd")).otherwise("soon").alias("Start-Date"),
         F.when(F.col("event_id") % 11 != 0, F.date_format("ts", "MM/dd/yyyy")).alias("종료일"),
+        F.lit("not read").alias("Name"),
+        F.lit("nor this").alias("to"),
         F.col("event_id").alias("_row_no"),
     )
 
@@ -310,13 +367,14 @@ _REJECTS = """WITH r AS (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'title
 @_query(_REJECTS + "SELECT 'Sheet ''events'' Row ' || event_id || ': ' || reason AS error FROM r WHERE reason IS NOT NULL UNION ALL SELECT 'Sheet ''bare'': missing required columns: start_date, end_date'")
 def reject_list(spark, sf_dir):
     bare = ingest.sheet_events(_read(spark, sf_dir, "nation").select(F.col("n_name").alias("title"), F.col("n_nationkey").alias("_row_no")), "bare", 1)[1]
-    rejects = ingest.sheet_events(_grid(spark, sf_dir), "events")[1].unionByName(bare)
+    empty = ingest.sheet_events(_read(spark, sf_dir, "nation").where("n_nationkey < 0").select(F.col("n_name").alias("title"), F.col("n_nationkey").alias("_row_no")), "empty", 2)[1]
+    rejects = ingest.sheet_events(_grid(spark, sf_dir), "events")[1].unionByName(bare).unionByName(empty)
     return ingest.messages(rejects)
 
 
 @_query(_REJECTS + "SELECT false AS success, count(*) FILTER (reason IS NULL) AS events_processed, count(reason) AS errors FROM r")
 def sheet_outcome(spark, sf_dir):
-    return ingest.outcome(*ingest.sheet_events(_grid(spark, sf_dir), "events"))
+    return ingest.judged_outcome(ingest.sheet_rows(_grid(spark, sf_dir), "events")[0])
 
 
 @_query("""SELECT event_id AS ordinal, event_type AS title, ts::DATE AS start_date, ts::DATE AS end_date FROM events WHERE event_id % 5 <> 0""")
@@ -324,7 +382,61 @@ def sheet_ingest(spark, sf_dir):
     e = _read(spark, sf_dir, "events")
     day = F.date_format("ts", "yyyy.MM.dd")
     grid = e.select(F.when(F.col("event_id") % 5 != 0, F.concat(F.lit(" "), "event_type")).alias("Subject"), day.alias("FROM"), day.alias("to"), F.col("event_id").alias("_row_no"))
-    return ingest.sheet_events(grid, "events")[0].select("ordinal", "title", "start_date", "end_date")
+    return ingest.sheet_events(grid, "events")[0].select(F.col("ordinal.row").alias("ordinal"), "title", "start_date", "end_date")
+
+
+# Every customer as a sheet with two rows: four kinds of headers, one plan.
+
+_HEADS = [["Title", "From", "to", "Name"], ["메모", "종료일", " Start-Date ", "제목", "details"], ["subject", "date", "date", "Where"], ["Event", "from", "까지"]]
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), "c_name", "c_mktsegment")
+    row = lambda n, cells: F.struct(F.lit(n).cast("long").alias("row_no"), cells.alias("cells"))
+    text = lambda cells: F.array(*[x if isinstance(x, Column) else F.lit(x) for x in cells])
+    kind = F.col("k") % 4
+    head = F.when(kind == 0, text(_HEADS[0])).when(kind == 1, text(_HEADS[1])).when(kind == 2, text(_HEADS[2])).otherwise(text(_HEADS[3]))
+    one = F.when(kind == 0, text([F.col("c_name"), "2026-09-01", "9/2/2026", "not read"])).when(kind == 1, text([F.col("c_mktsegment"), "2026-09-02", "2026-09-01", F.col("c_name"), "not read"])).otherwise(text([F.col("c_name"), "1 Sep 2026", "2026-09-02"]))
+    two = F.when(kind == 0, text(["", "2026-09-01"])).otherwise(text([F.col("c_name")]))
+    rows = F.when(F.col("k") % 20 == 3, F.array(row(1, head))).otherwise(F.array(row(1, head), row(2, one), row(3, two)))
+    return c.select(F.concat(F.lit("b"), (F.col("k") % 10).cast("string")).alias("path"), F.col("k").cast("int").alias("sheet_no"), F.concat(F.lit("s"), F.col("k").cast("string")).alias("sheet_name"), F.inline(rows))
+
+
+@_query("""SELECT 's' || k AS sheet_name, field, pos::INT AS position FROM (SELECT c_custkey AS k, unnest(CASE c_custkey % 4 WHEN 0 THEN ['title', 'start_date', 'end_date'] WHEN 1 THEN ['title', 'start_date', 'end_date', 'description']
+    WHEN 2 THEN ['title', 'start_date', 'location'] ELSE ['title', 'start_date', 'end_date'] END) AS field,
+  unnest(CASE c_custkey % 4 WHEN 0 THEN [0, 1, 2] WHEN 1 THEN [3, 2, 1, 0] WHEN 2 THEN [0, 1, 3] ELSE [0, 1, 2] END) AS pos FROM customer)""")
+def header_positions(spark, sf_dir):
+    return ingest.field_positions(ingest.sheet_heads(_cells(spark, sf_dir))).select("sheet_name", "field", "position")
+
+
+@_query("""SELECT 's' || c_custkey AS sheet_name, CASE c_custkey % 4 WHEN 0 THEN 'further column for title: Name' ELSE 'further column for description: details' END AS warning
+FROM customer WHERE c_custkey % 4 < 2""")
+def header_warnings(spark, sf_dir):
+    return ingest.cell_rows(_cells(spark, sf_dir))[1]
+
+
+@_query("""SELECT 's' || c_custkey AS sheet_name, 2 AS row_no, c_name AS title, DATE '2026-09-01' AS start_date, DATE '2026-09-02' AS end_date, CASE WHEN c_custkey % 4 = 1 THEN c_mktsegment END AS description
+FROM customer WHERE c_custkey % 4 <> 2 AND c_custkey % 20 <> 3""")
+def cell_ingest(spark, sf_dir):
+    return ingest.cell_events(_cells(spark, sf_dir))[0].select("sheet_name", "row_no", "title", "start_date", "end_date", "description")
+
+
+@_query("""SELECT 'Sheet ' || chr(39) || 's' || c_custkey || chr(39) || CASE c_custkey % 4 WHEN 0 THEN ' Row 3: title is required' WHEN 2 THEN ': missing required columns: end_date' WHEN 1 THEN ' Row 3: title is required' ELSE ' Row 3: bad start_date' END AS error
+FROM customer WHERE c_custkey % 20 <> 3""")
+def cell_rejects(spark, sf_dir):
+    return ingest.messages(ingest.cell_events(_cells(spark, sf_dir))[1])
+
+
+@_query(_REJECTS + """SELECT 'dirty' AS sheet, false AS accepted, count(*) FILTER (reason IS NULL) AS events, count(reason) AS rejects, 0 AS published FROM r
+  UNION ALL SELECT 'clean', true, count(*) FILTER (reason IS NULL), 0, count(*) FILTER (reason IS NULL) FROM r""")
+def staged_outcomes(spark, sf_dir):
+    grid = _grid(spark, sf_dir)
+    folder = files.shared_folder(spark, "publish")
+    dirty = ingest.stage(ingest.sheet_rows(grid, "dirty")[0])
+    clean = ingest.stage(ingest.sheet_rows(grid.where("_row_no % 5 <> 0 and _row_no % 7 <> 0 and _row_no % 11 <> 0"), "clean")[0])
+    published = ingest.publish(clean, f"{folder}/events")
+    said = lambda name, s: spark.range(1).select(F.lit(name).alias("sheet"), F.lit(s.accepted).alias("accepted"), F.lit(s.events).alias("events"), F.lit(s.rejects).alias("rejects"))
+    return said("dirty", dirty).withColumn("published", F.lit(0).cast("long")).unionByName(published.agg(F.count("*").alias("published")).join(said("clean", clean)).select("sheet", "accepted", "events", "rejects", "published"))
 
 
 @_query("""SELECT c_custkey, regexp_full_match(u, '[a-zA-Z0-9@._-]+') AS user_ok, regexp_full_match(u, '[a-zA-Z0-9@._+-]+') AS mail_ok
@@ -359,13 +471,31 @@ def session_insert(spark, sf_dir):
     return state.insert_session(old, e.where("event_id % 2 = 1").select("session_id", "user_id"), _NOW(F.lit(_AT)))
 
 
-@_query("""SELECT 's' || event_id AS session_id, 'u' || user_id AS user_id, user_id || '@x' AS email, event_type AS name, CASE WHEN value > 50 THEN 'TRUE' ELSE 'FALSE' END AS flag FROM events""")
-def session_subset(spark, sf_dir):
+def _web_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _read(spark, sf_dir, "events")
     u = F.col("user_id").cast("string")
-    flag = parsing.boolean_text(F.col("value") > 50)
-    s = e.select(F.concat(F.lit("s"), F.col("event_id").cast("string")).alias("session_id"), F.concat(F.lit("u"), u).alias("user_id"), F.concat(u, F.lit("@x")).alias("email"), F.col("event_type").alias("name"), flag.alias("oauth_state"))
-    return state.session_view(s).join(s.select("session_id", F.col("oauth_state").alias("flag")), "session_id")
+    ids = F.concat(F.lit("s"), F.col("event_id").cast("string"))
+    return e.select(ids.alias("session_id"), F.concat(F.lit("u"), u).alias("user_id"), F.concat(u, F.lit("@x")).alias("email"), F.col("event_type").alias("name"), F.md5(ids).alias("oauth_state"), (F.col("value") > 50).alias("sheets_mode"), F.col("ts").alias("created_at"), (F.col("ts") + F.expr("INTERVAL '24' HOUR")).alias("expires_at"))
+
+
+@_query("""SELECT 'u' || user_id AS user_id, user_id || '@x' AS email, event_type AS name, md5('s' || event_id) AS oauth_state, value > 50 AS sheets_mode FROM events""")
+def session_subset(spark, sf_dir):
+    return state.session_view(_web_sessions(spark, sf_dir))
+
+
+@_query("""WITH s AS (SELECT 's' || event_id AS session_id, 'u' || user_id AS user_id, user_id || '@x' AS email, event_type AS name, md5('s' || event_id) AS oauth_state, value > 50 AS sheets_mode, ts + INTERVAL 24 HOUR AS expires_at, ts FROM events)
+SELECT user_id, email, name, oauth_state, sheets_mode FROM s WHERE expires_at > TIMESTAMP '2024-01-15 12:00:00' AND session_id IN ('s' || (SELECT max(event_id) FROM events WHERE ts > TIMESTAMP '2024-01-20'), 's' || (SELECT min(event_id) FROM events WHERE ts < TIMESTAMP '2024-01-10'))""")
+def session_live(spark, sf_dir):
+    # One session that is live, and one that has expired: found by its id, not given out.
+    e = _read(spark, sf_dir, "events")
+    found = e.agg(F.max(F.when(F.col("ts") > F.lit("2024-01-20").cast("timestamp_ntz"), F.col("event_id"))), F.min(F.when(F.col("ts") < F.lit("2024-01-10").cast("timestamp_ntz"), F.col("event_id")))).first()
+    live, gone = (state.session(_web_sessions(spark, sf_dir), f"s{i}", _NOW(F.lit(_AT))) for i in found)
+    return live.unionByName(gone)
+
+
+@_query("SELECT event_id, CASE WHEN value > 50 THEN 'TRUE' ELSE 'FALSE' END AS flag FROM events")
+def boolean_text(spark, sf_dir):
+    return _read(spark, sf_dir, "events").select("event_id", parsing.boolean_text(F.col("value") > 50).alias("flag"))
 
 
 @_query(f"SELECT event_id, user_id FROM events WHERE NOT ts + INTERVAL 24 HOUR < TIMESTAMP '{'2024-01-15 12:00:00'}'")
@@ -429,6 +559,40 @@ def repeated_keys(spark, sf_dir):
     return state.repeated_keys(_read(spark, sf_dir, "events"), "user_id")
 
 
+# -- keyed tables: buckets of files, rewritten where they are touched ---------------
+
+
+@_query("""
+WITH t AS (SELECT c_custkey, c_name, c_acctbal, 'old' AS created FROM customer WHERE c_custkey % 4 <> 0),
+s AS (SELECT c_custkey, upper(c_name) AS c_name, c_acctbal, 'new' AS created FROM customer WHERE c_custkey % 100 = 0)
+SELECT coalesce(s.c_custkey, t.c_custkey) AS c_custkey, coalesce(s.c_name, t.c_name) AS c_name, coalesce(s.c_acctbal, t.c_acctbal) AS c_acctbal, coalesce(t.created, s.created) AS created
+FROM t FULL OUTER JOIN s ON t.c_custkey = s.c_custkey WHERE coalesce(s.c_custkey, t.c_custkey) % 100 <> 7""")
+def keyed_table(spark, sf_dir):
+    c = _read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
+    t = store.KeyedTable(spark, files.shared_folder(spark, "table")).create(c.where("c_custkey % 4 <> 0").withColumn("created", F.lit("old")), "c_custkey", 16, unique=["c_name"])
+    source = c.where("c_custkey % 100 = 0").withColumn("c_name", F.upper("c_name")).withColumn("created", F.lit("new"))
+    for _ in range(2):  # the second time changes nothing
+        t.upsert(source, keep=["created"], token="one")
+    t.delete(c.where("c_custkey % 100 = 7").select("c_custkey"))
+    return t.read()
+
+
+@_query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (5, 77, 140)")
+def keyed_lookup(spark, sf_dir):
+    t = store.KeyedTable(spark, files.shared_folder(spark, "table")).create(_read(spark, sf_dir, "customer"), "c_custkey", 16)
+    return t.lookup(5, 77, 140, -1).select("c_custkey", "c_name")
+
+
+@_query(_CALENDAR + """SELECT r.id, CASE WHEN action = 'update' THEN new_location ELSE location END AS location FROM remote r JOIN plan ON r.id = remote_id WHERE action <> 'delete'
+UNION ALL SELECT sha256(title || chr(31) || day || chr(31) || day), new_location FROM plan WHERE action = 'insert'""")
+def applied_table(spark, sf_dir):
+    remote, plan = _incremental(spark, sf_dir)
+    t = store.KeyedTable(spark, files.shared_folder(spark, "table")).create(remote, "id", 16)
+    for _ in range(2):  # applying the same plan again changes nothing
+        t.apply(plan)
+    return t.read().select("id", "location")
+
+
 # -- SQL text, chunks, pages ---------------------------------------------------
 
 
@@ -459,11 +623,12 @@ def row_exists(spark, sf_dir):
     return some.unionByName(none)
 
 
-@_query("SELECT * FROM (VALUES ('driftline_nation', true), ('no_such_table', false)) t(name, found)")
+@_query("SELECT name, name IN ('nation', 'customer', 'orders') AS found, n FROM (SELECT 'driftline_' || t AS label, t AS name, n FROM (SELECT 'nation' AS t, count(*) AS n FROM nation UNION ALL SELECT 'customer', count(*) FROM customer UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'absent', NULL))")
 def table_exists(spark, sf_dir):
-    _read(spark, sf_dir, "nation").createOrReplaceTempView("driftline_nation")
-    found = [(name, sqltext.table_exists(spark, name)) for name in ("driftline_nation", "no_such_table")]
-    return spark.createDataFrame(found, "name string, found boolean")
+    names = ["nation", "customer", "orders", "absent"]
+    for name in names[:-1]:
+        _read(spark, sf_dir, name).createOrReplaceTempView(f"driftline_{name}")
+    return reduce(DataFrame.unionByName, [sqltext.table_rows(spark, f"driftline_{n}").select(F.lit(n).alias("name"), "found", "n") for n in names])
 
 
 @_query("SELECT n_regionkey, count(*) AS n FROM nation WHERE n_nationkey < 20 GROUP BY n_regionkey")
@@ -476,11 +641,6 @@ def statement(spark, sf_dir):
 # -- sources: fixtures are written to the shared folder and read back ------------
 
 
-def _folder(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{(root or tempfile.mkdtemp(prefix='driftline-')).rstrip('/')}/fixture-{uuid.uuid4().hex}"
-
-
 @_query("""SELECT event_id AS ordinal, event_type AS title, ts::DATE AS start_date, strftime(ts, '%H:%M:%S') AS start_time,
   CASE WHEN event_id % 3 = 0 THEN NULL ELSE 'room' || chr(10) || user_id END AS location FROM events WHERE event_id % 5 <> 0""")
 def grid_ingest(spark, sf_dir):
@@ -494,25 +654,59 @@ def grid_ingest(spark, sf_dir):
         F.date_format("ts", "h:mm:ss a").alias("start-time"),
         place.alias("Where"),
     )
-    path = _folder(spark)
+    path = files.shared_folder(spark, "fixture")
     grid_.write.csv(path, header=True)
     back = grid.csv_grid(spark, path)
     events = ingest.sheet_events(back.withColumn("_row_no", F.col("_row_no").cast("long")), "events")[0]
-    return events.select("ordinal", "title", "start_date", "start_time", "location")
+    return events.select(F.col("ordinal.row").alias("ordinal"), "title", "start_date", "start_time", "location")
+
+
+@_query("SELECT o_orderkey AS row_no, 'T' || o_custkey AS title, o_orderdate::DATE AS start_date, o_orderdate::DATE + 1 AS end_date FROM orders WHERE o_orderkey % 9 <> 0")
+def parquet_ingest(spark, sf_dir):
+    o = _read(spark, sf_dir, "orders")
+    path = files.shared_folder(spark, "fixture")
+    title = F.when(F.col("o_orderkey") % 9 != 0, F.concat(F.lit("T"), F.col("o_custkey").cast("string")))
+    o.select(F.col("o_orderkey").alias("_row_no"), title.alias("일정"), F.to_date("o_orderdate").alias("From"), F.date_add("o_orderdate", 1).alias("End Date")).write.parquet(path)
+    back = grid.parquet_grid(spark, path)
+    return ingest.sheet_events(back.withColumn("_row_no", F.col("_row_no").cast("long")), "orders")[0].select("row_no", "title", "start_date", "end_date")
 
 
-@_query("""SELECT n_name AS title, DATE '2026-09-01' + n_regionkey AS start_date, 'S' || (n_regionkey % 2) AS sheet_name, printf('%02d:30:00', n_nationkey % 24) AS start_time
-FROM nation WHERE n_nationkey <> 7""")
+def _workbooks(spark: SparkSession, sf_dir: str) -> str:
+    """Four workbooks, written by tasks, of sheets with different headers, one
+    without rows, and a damaged file beside them."""
+    e = _read(spark, sf_dir, "events")
+    k, day = F.col("event_id"), F.datediff("ts", F.lit("1904-01-01").cast("date")).cast("string")
+    sheet = lambda kind: F.concat(F.lit("B"), (k % 4).cast("string"), F.lit(kind))
+    texts = lambda *x: F.array(*[c if isinstance(c, Column) else F.lit(c) for c in x])
+    title = F.when(k % 7 != 0, F.concat("event_type", F.lit(" <&>")))
+    one = e.where("event_id % 3 = 0").select(sheet("one").alias("sheet_name"), k.alias("n"), texts(title, day, "9/30/2026", F.date_format("ts", "H:mm")).alias("cells"), texts("s", "d", "s", "s").alias("kinds"))
+    two = e.where("event_id % 3 > 0").select(sheet("two").alias("sheet_name"), k.alias("n"), texts(day, F.col("event_type"), day, F.col("user_id").cast("string"), "x").alias("cells"), texts("d", "s", "d", "n", "s").alias("kinds"))
+    heads = []
+    for kind, names in (("one", ["Title", "From", "To", "Start Time"]), ("two", ["종료일", "제목", "DATE", "where", "Name"]), ("three", ["Title", "date"])):
+        heads.append(spark.range(4).select(F.concat(F.lit("B"), F.col("id").cast("string"), F.lit(kind)).alias("sheet_name"), F.lit(-1).cast("long").alias("n"), texts(*names).alias("cells"), texts(*["s"] * len(names)).alias("kinds")))
+    rows = reduce(DataFrame.unionByName, [one, two, *heads])
+    path = files.shared_folder(spark, "fixture")
+    xlsx.save_workbooks(rows.repartitionByRange(4, "sheet_name").sortWithinPartitions("sheet_name", "n").select("sheet_name", "cells", "kinds"), path, from_1904=True)
+    with files.open_write(f"{path}/damaged.xlsx") as f:
+        f.write(b"PK no workbook")
+    return path
+
+
+@_query("""SELECT event_type || CASE WHEN event_id % 3 = 0 THEN ' <&>' ELSE '' END AS title, ts::DATE AS start_date, 'B' || (event_id % 4) || CASE WHEN event_id % 3 = 0 THEN 'one' ELSE 'two' END AS sheet_name,
+  CASE WHEN event_id % 3 = 0 THEN strftime(ts, '%H:%M:00') END AS start_time, CASE WHEN event_id % 3 > 0 THEN user_id::VARCHAR END AS location FROM events WHERE event_id % 21 <> 0""")
 def xlsx_ingest(spark, sf_dir):
-    # At most a few hundred rows by the table's nature; a workbook is small.
-    rows = _read(spark, sf_dir, "nation").orderBy("n_nationkey").collect()
-    sheets = {f"S{i}": [["Title", "From", "To", "Start Time"]] + [["" if r.n_nationkey == 7 else r.n_name, 46266 + r.n_regionkey, "9/30/2026", f"{r.n_nationkey % 24}:30"] for r in rows if r.n_regionkey % 2 == i] for i in (0, 1)}
-    path = _folder(spark)
-    out = spark.createDataFrame([("book.xlsx", xlsx.write_workbook(sheets)), ("damaged.xlsx", b"PK no workbook")], "name string, content binary")
-    xlsx.save(out, path)
-    cells, _ = xlsx.xlsx_scan(spark, path)
-    events = ingest.workbook_events(xlsx.sheet_grids(cells))[0]
-    return events.select("title", "start_date", "sheet_name", "start_time")
+    path = _workbooks(spark, sf_dir)
+    events = ingest.cell_events(xlsx.xlsx_cells(spark, path), xlsx.xlsx_heads(spark, path))[0]
+    return events.select("title", "start_date", "sheet_name", "start_time", "location")
+
+
+@_query("""SELECT 'B' || b || 'two' AS sheet_name, count(*) + 1 AS n FROM (SELECT event_id % 4 AS b FROM events WHERE event_id % 3 > 0) WHERE b = 2 GROUP BY b
+UNION ALL SELECT 'unreadable', 1""")
+def xlsx_one_sheet(spark, sf_dir):
+    path = _workbooks(spark, sf_dir)
+    cells, _ = xlsx.xlsx_scan(spark, path, "B2two")
+    bad = xlsx.xlsx_scan(spark, path)[1].agg(F.count("*").alias("n")).select(F.lit("unreadable").alias("sheet_name"), "n")
+    return cells.groupBy("sheet_name").agg(F.count("*").alias("n")).unionByName(bad)
 
 
 @_query("SELECT (row_number() OVER (ORDER BY event_id) - 1) // 50 AS batch_no, event_id FROM events")

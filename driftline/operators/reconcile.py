@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftline.files import shared_folder
 from driftline.functions.parsing import strip
 from driftline.operators.keys import KEY, event_key, last_write_wins, remote_key
 
@@ -105,12 +107,15 @@ def message(created: Column, updated: Column, deleted: Column) -> Column:
 
 
 def display(events: DataFrame) -> DataFrame:
-    """Events as a result page shows them: HH:MM, a range, people in a line."""
+    """Events as a result page shows them: two dates, times as HH:MM with a tilde
+    between if there are two, people in a line, a dash for what is missing."""
     dash = lambda c: F.coalesce(F.nullif(c, F.lit("")), F.lit("-"))
-    day = lambda d, t: F.concat_ws(" ", F.col(d).cast("string"), F.substring(t, 1, 5))
+    clock = lambda c: F.nullif(F.substring(c, 1, 5), F.lit(""))
     return events.select(
         "title",
-        F.concat(day("start_date", "start_time"), F.lit(" ~ "), day("end_date", "end_time")).alias("period"),
+        F.col("start_date").cast("string").alias("start_date"),
+        F.col("end_date").cast("string").alias("end_date"),
+        F.concat_ws(" ~ ", clock("start_time"), clock("end_time")).alias("time"),
         dash(F.col("location")).alias("location"),
         dash(F.concat_ws(", ", "attendees")).alias("attendees"),
     )
@@ -125,25 +130,51 @@ def missing_from(df: DataFrame, other: DataFrame, key: Sequence[str]) -> DataFra
 def batches(df: DataFrame, order: Sequence[str], size: int = 50) -> DataFrame:
     """Numbers chunks of ``size`` rows in order, without one task for all.
 
-    ``order`` must tell rows apart. Rows are cut into ranges at values from a
-    small sample, which the driver holds; a row's range is a function of the
-    row alone, so counting ranges and numbering rows always agree.
+    ``order`` must tell rows apart. Rows are sorted by ranges and written once to
+    the shared folder with their place in their range; the rows of the ranges
+    before are added from the counts of ranges, which the driver holds.
     """
-    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    n = min(n, 1024)
-    sample = df.select(*order).orderBy(F.xxhash64(*order), *order).limit(16 * n)
-    sample = sample.orderBy(*order).collect()
-    cuts = [sample[i] for i in range(16, len(sample), 16)]
-    kinds = dict(df.select(*order).dtypes)
-    part: Column = F.lit(0)
-    if cuts:
-        row = F.struct(*[F.col(c) for c in order])
-        array = F.array(*[F.struct(*[F.lit(cut[c]).cast(kinds[c]).alias(c) for c in order]) for cut in cuts])
-        part = F.size(F.filter(array, lambda c: c <= row))
-    ranged = df.withColumn("_p", part)
-    counts = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
-    # One row a range: at most as many as shuffle partitions.
-    before = counts.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    nth = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
-    rows = ranged.withColumn("_nth", nth).join(F.broadcast(before), "_p")
-    return rows.withColumn("batch_no", F.floor((F.col("_before") + F.col("_nth") - 1) / size)).drop("_p", "_nth", "_before")
+    spark = df.sparkSession
+    path = shared_folder(spark, "batches")
+    columns = [F.col(c).asc_nulls_first() for c in order]
+    pieces = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) >> 26
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(pieces, 100_000))
+    placed = df.repartitionByRange(n, *columns).sortWithinPartitions(*columns).withColumn("_at", F.monotonically_increasing_id())
+    placed.write.parquet(path)
+    placed = spark.read.schema(placed.schema).parquet(path)
+    part = F.shiftright("_at", 33).alias("_part")
+    before, ranges = 0, []
+    for r in sorted(placed.groupBy(part).agg(F.count("*").alias("n")).collect()):
+        ranges.append((r[0], before))
+        before += r["n"]
+    known = F.broadcast(spark.createDataFrame(ranges, "_part bigint, _before bigint"))
+    nth = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.withColumn("_part", part).join(known, "_part").withColumn("batch_no", F.floor(nth / size)).select(*df.columns, "batch_no")
+
+
+def diff_by_digest(existing: DataFrame, new: DataFrame, key: Sequence[str], compared: Sequence[str], buckets: int = 4096) -> DataFrame:
+    """``diff`` of snapshots that mostly agree: (key, ex, nw, action), where ex
+    and nw hold the compared columns.
+
+    Both sides are summed up by buckets of the key's hash, in any order: rows,
+    and two sums of hashes of key and compared columns. Rows of buckets with
+    equal sums are no-ops as they stand; only the others are shuffled and joined.
+    That buckets differ and all sums agree has a probability of 2^-128 or so.
+    """
+    bucket = F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
+    row = [*key, *compared]
+
+    def sums(side: DataFrame, name: str) -> DataFrame:
+        h = F.xxhash64(*row)
+        wide = [F.sum(x.cast("decimal(20,0)")).cast("decimal(38,0)") for x in (h, F.xxhash64(h, *row, F.lit(1)))]
+        return side.groupBy(bucket.alias("_bucket")).agg(F.struct(F.count("*").alias("n"), *[w.alias(f"s{i}") for i, w in enumerate(wide)]).alias(name))
+
+    both = sums(existing, "a").join(sums(new, "b"), "_bucket", "full_outer")
+    # At most one row for each bucket, a parameter.
+    changed = F.broadcast(both.where(~F.col("a").eqNullSafe(F.col("b"))).select("_bucket"))
+    content = F.struct(*row)
+    of = lambda side: side.select(*row, bucket.alias("_bucket")).join(changed, "_bucket", "left_semi").drop("_bucket")
+    same = reduce(Column.__and__, [F.col(f"ex.{c}").eqNullSafe(F.col(f"nw.{c}")) for c in compared], F.lit(True))
+    joined = diff(of(existing), of(new), key, same)
+    equal = existing.select(*row, bucket.alias("_bucket")).join(changed, "_bucket", "left_anti")
+    return joined.unionByName(equal.select(*key, content.alias("ex"), content.alias("nw"), F.lit("noop").alias("action")))

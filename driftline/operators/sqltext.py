@@ -33,6 +33,13 @@ def table_exists(spark: SparkSession, name: str) -> bool:
     return spark.catalog.tableExists(name)
 
 
+def table_rows(spark: SparkSession, name: str) -> DataFrame:
+    """One row: whether there is the table, and its rows (null: no table)."""
+    if table_exists(spark, name):
+        return spark.table(name).agg(F.lit(True).alias("found"), F.count("*").alias("n"))
+    return spark.range(1).select(F.lit(False).alias("found"), F.lit(None).cast("long").alias("n"))
+
+
 def execute(spark: SparkSession, statement: str, args: dict | None = None) -> None:
     """Runs a statement; errors are raised, not turned into a flag."""
     spark.sql(statement, args=args or {}).collect()

@@ -45,8 +45,13 @@ def keyset_page(df: DataFrame, key: str, after: object = None, size: int = 250)
 
 
 def session_view(sessions: DataFrame) -> DataFrame:
-    """What of a session is handed out: who it is, not its secrets."""
-    return sessions.select("session_id", "user_id", "email", "name")
+    """What of a session its reader gets."""
+    return sessions.select("user_id", "email", "name", "oauth_state", "sheets_mode")
+
+
+def session(sessions: DataFrame, session_id: object, now: Column) -> DataFrame:
+    """The session of an id, if it is live: one row or none."""
+    return session_view(point_lookup(live(sessions, now), "session_id", session_id))
 
 
 def live(df: DataFrame, now: Column) -> DataFrame:

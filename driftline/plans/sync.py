@@ -20,9 +20,15 @@ class SyncConfig:
 
 
 def remote_in_range(remote: DataFrame, low: str, high: str) -> DataFrame:
-    """Remote events that overlap the range; all-day ends are exclusive days."""
+    """Remote events that overlap the range; all-day ends are exclusive days.
+
+    Texts of times order like times, so a comparison of texts comes first: it
+    reaches the scan and prunes by the files' statistics. The exact test stays.
+    """
     at = lambda m: F.coalesce(F.try_to_timestamp(F.substring(F.nullif(F.col(f"{m}.dateTime"), F.lit("")), 1, 19), F.lit("yyyy-MM-dd'T'HH:mm:ss")), F.try_to_timestamp(F.col(f"{m}.date"), F.lit("yyyy-MM-dd"))).cast("timestamp_ntz")
-    return remote.where(in_range(at("start"), at("end"), low, high))
+    begins = (F.col("start.dateTime") < f"{high}T23:59:59") | (F.col("start.date") <= high)
+    ends = (F.col("end.dateTime") > f"{low}T00:00:00") | (F.col("end.date") > low)
+    return remote.where(begins).where(ends).where(in_range(at("start"), at("end"), low, high))
 
 
 def full_replace(remote: DataFrame, events: DataFrame) -> DataFrame:
@@ -33,11 +39,19 @@ def full_replace(remote: DataFrame, events: DataFrame) -> DataFrame:
     return new.unionByName(gone.withColumn("payload", F.col("payload").cast(new.schema["payload"].dataType)))
 
 
-def sync(remote: DataFrame, events: DataFrame, config: SyncConfig) -> DataFrame:
-    """The plan of a sync in the mode that is set. The range, two values, is
-    what the driver collects."""
-    r = range_defaults(events, config.date_range_start, config.date_range_end).first()
-    if r.range_start is None or r.range_end is None:
+def sync_range(events: DataFrame, config: SyncConfig) -> tuple[str, str]:
+    """First and last day of a sync. Where both are set no event is read; else
+    two dates are what the driver collects."""
+    low, high = config.date_range_start or None, config.date_range_end or None
+    if low is None or high is None:
+        r = range_defaults(events, low, high).first()
+        low, high = r.range_start, r.range_end
+    if low is None or high is None:
         raise ValueError("no range: no events and no setting")
-    scoped = remote_in_range(remote, r.range_start, r.range_end)
+    return low, high
+
+
+def sync(remote: DataFrame, events: DataFrame, config: SyncConfig) -> DataFrame:
+    """The plan of a sync in the mode that is set."""
+    scoped = remote_in_range(remote, *sync_range(events, config))
     return full_replace(scoped, events) if SyncMode(config.mode) is SyncMode.FULL_REPLACE else event_plan(scoped, events)

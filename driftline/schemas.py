@@ -12,13 +12,14 @@ class SyncMode(Enum):
 
 EVENT = (
     "title string not null, start_date date not null, end_date date not null, description string, location string, "
-    "attendees array<string>, start_time string, end_time string, sheet_name string, row_no int, ordinal bigint"
+    "attendees array<string>, start_time string, end_time string, sheet_name string, row_no bigint, ordinal struct<book:string,sheet:int,row:bigint>"
 )
 _MOMENT = "struct<dateTime:string,date:string,timeZone:string>"
 REMOTE_EVENT = (
     f"id string not null, summary string, description string, location string, start {_MOMENT}, end {_MOMENT}, attendees array<struct<email:string>>"
 )
-REJECT = "sheet_name string, row_no int, reason string"
+REJECT = "sheet_name string, row_no bigint, reason string"
+WARNING = "sheet_name string, warning string"
 USER_TOKENS = (
     "user_id string not null, email string not null, access_token string not null, refresh_token string, token_expiry timestamp not null, "
     "scopes array<string> not null, created_at timestamp not null, updated_at timestamp not null"
