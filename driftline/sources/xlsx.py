@@ -20,6 +20,7 @@ import zipfile
 from array import array
 from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import ExitStack
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 from xml.etree import ElementTree
@@ -306,7 +307,7 @@ def write_workbook(target, rows: Iterator[tuple[str, list, list | None]], from_1
     """A workbook of (sheet, cells, kinds) rows, streamed, sheet after sheet."""
     kinds = f'xmlns="{_MAIN}" xmlns:r="{_LINKS}"'
     names: list[str] = []
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as book:
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as book, ExitStack() as open_part:
         part, number = None, 0
         for sheet, cells, kind in rows:
             if not names or names[-1] != sheet:
@@ -314,16 +315,16 @@ def write_workbook(target, rows: Iterator[tuple[str, list, list | None]], from_1
                     raise ValueError(f"rows of sheet {sheet} are not together")
                 if part is not None:
                     part.write(b"</sheetData></worksheet>")
-                    part.close()
+                    open_part.close()
                 names.append(sheet)
-                part, number = book.open(f"xl/worksheets/sheet{len(names)}.xml", "w"), 0
+                part, number = open_part.enter_context(book.open(f"xl/worksheets/sheet{len(names)}.xml", "w")), 0
                 part.write(f"<worksheet {kinds}><sheetData>".encode())
             number += 1
             body = "".join(_cell(number, j, c, kind[j] if kind else "s") for j, c in enumerate(cells) if c is not None)
             part.write(f'<row r="{number}">{body}</row>'.encode())
         if part is not None:
             part.write(b"</sheetData></worksheet>")
-            part.close()
+            open_part.close()
         listed = "".join(f'<sheet name={quoteattr(s)} sheetId="{i}" r:id="r{i}"/>' for i, s in enumerate(names, 1))
         book.writestr("xl/workbook.xml", f'<workbook {kinds}><workbookPr date1904="{int(from_1904)}"/><sheets>{listed}</sheets></workbook>')
         links = "".join(f'<Relationship Id="r{i}" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(names) + 1))

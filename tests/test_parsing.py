@@ -64,15 +64,44 @@ def test_literals(spark):
     assert [tuple(r) for r in rows] == [("ab\\\\c''d  e", '{"x","y"}'), ("", "{}")]
 
 
+HEADS = [
+    ["제목", "시작일", "종료일"],
+    [" Start-Date ", "END DATE", "Title"],
+    ["title", "date"],
+    ["subject", "title", "from", "to"],
+    ["title", "from", "to", "colour"],
+    ["title", "name", "date", "to"],
+    ["title", "from", "to", "memo", "details", "Memo"],
+    ["Start\nDate", " START - date\u3000", "end\u00a0 time", None, "3"],
+    [],
+]
+
+
 def test_headers():
-    assert headers.map_headers(["제목", "시작일", "종료일"]) == ({"title": 0, "start_date": 1, "end_date": 2}, [])
-    assert headers.map_headers([" Start-Date ", "END DATE", "Title"]) == ({"start_date": 0, "end_date": 1, "title": 2}, [])
-    assert headers.map_headers(["title", "date"])[1] == ["missing required columns: end_date"]
-    assert headers.map_headers(["subject", "title", "from", "to"])[1] == ["duplicate column for title: title"]
-    assert headers.map_headers(["title", "from", "to", "colour"])[1] == []
+    found = [headers.map_headers(h) for h in HEADS]
+    assert found[0] == ({"title": 0, "start_date": 1, "end_date": 2}, [], [])
+    assert found[1] == ({"start_date": 0, "end_date": 1, "title": 2}, [], [])
+    assert found[2][1] == ["missing required columns: end_date"]
+    assert found[3] == ({"title": 0, "start_date": 2, "end_date": 3}, [], ["further column for title: title"])
+    assert found[4][1:] == ([], [])
+    assert found[5] == ({"title": 0, "start_date": 2, "end_date": 3}, [], ["further column for title: name"])
+    assert found[6][2] == ["further column for description: details", "further column for description: Memo"]
     assert [headers.normalise(h) for h in ("Start\nDate", " START - date\u3000", "end\u00a0 time", None, 3)] == ["start_date", "start_date", "end_time", "none", "3"]
 
 
+def test_headers_as_data(spark):
+    """The expressions say what the driver's mapping says."""
+    df = spark.createDataFrame([(i, h) for i, h in enumerate(HEADS)], "i int, h array<string>")
+    at = headers.positions(F.col("h"))
+    rows = df.select("i", at.alias("at")).select("i", "at", headers.missing(F.col("at")).alias("missing"))
+    rows = rows.join(df, "i").select("i", "at", "missing", headers.further(F.col("h"), F.col("at")).alias("further"))
+    for r in rows.collect():
+        found, reasons, further = headers.map_headers([h for h in HEADS[r.i] if h is not None] if r.i != 7 else HEADS[7])
+        assert {k: v for k, v in r["at"].asDict().items() if v is not None} == found
+        assert ([r.missing] if r.missing else []) == reasons
+        assert r.further == further
+
+
 def _grid(spark):
     rows = [(1, " A ", "2026-09-01", "9/2/2026", "a@x", "red"), (2, "", "2026-09-01", "2026-09-01", None, None), (3, "B", "soon", "2026-09-01", None, None), (4, "C", "2026-09-01", None, None, None)]
     return spark.createDataFrame(rows, "_row_no int, title string, `from` string, to string, guests string, colour string")
@@ -81,7 +110,7 @@ def _grid(spark):
 def test_ingest(spark):
     events, rejects = ingest.sheet_events(_grid(spark), "s", 1)
     (row,) = events.collect()
-    assert (row.title, row.start_date, row.end_date, row.attendees, row.ordinal) == ("A", SEP1, dt.date(2026, 9, 2), ["a@x"], (1 << 32) + 1)
+    assert (row.title, row.start_date, row.end_date, row.attendees, tuple(row.ordinal)) == ("A", SEP1, dt.date(2026, 9, 2), ["a@x"], (None, 1, 1))
     assert {(r.row_no, r.reason) for r in rejects.collect()} == {(2, "title is required"), (3, "bad start_date"), (4, "bad end_date")}
     assert ingest.sheet_events(_grid(spark), "s", strict_sheet=True)[0].count() == 0
     with pytest.raises(ValueError, match="Row 2"):
@@ -90,3 +119,71 @@ def test_ingest(spark):
     events, rejects = ingest.workbook_events([sheets[0]])
     assert ingest.accepted(events, rejects).count() == 1
     assert [r.row_no for r in ingest.sheet_events(sheets[1][1], "bad", row_no=F.lit(1))[1].collect()] == [None]
+
+
+def test_two_columns_and_empty_sheets(spark):
+    grid = spark.createDataFrame([(3_000_000_000, "A", "B", "2026-09-01", "9/2/2026", "m", "d")], "_row_no long, title string, name string, date string, to string, memo string, details string")
+    rows, warnings = ingest.sheet_rows(grid, "s")
+    (r,) = rows.collect()
+    assert (r.title, r.description, r.row_no, r.ordinal.row, r.reason) == ("A", "m", 3_000_000_000, 3_000_000_000, None)
+    assert {w.warning for w in warnings.collect()} == {"further column for title: name", "further column for description: details"}
+    notes = spark.createDataFrame([(1, "x")], "_row_no int, `to do` string")
+    assert ingest.sheet_events(notes.limit(0), "Notes")[1].count() == 0
+    assert [r.reason for r in ingest.sheet_events(notes, "Notes")[1].collect()] == ["missing required columns: title, start_date, end_date"]
+
+
+def _cells(spark, n, rows=2):
+    """n sheets of one workbook, with columns in an order of their own."""
+    names, values = ["Title", "From", "To", "Where", "x"], ["T", "2026-09-01", "9/2/2026", "R", "-"]
+    out = []
+    for i in range(n):
+        turn = i % 5
+        at = lambda x: x[turn:] + x[:turn]  # noqa: B023, E731
+        out += [("b", i, f"s{i}", 1, at(names))] + [("b", i, f"s{i}", 2 + r, at(values)) for r in range(rows)]
+    return spark.createDataFrame(out, "path string, sheet_no int, sheet_name string, row_no long, cells array<string>")
+
+
+def test_a_thousand_sheets_in_one_plan(spark):
+    def plan(df):
+        return df._jdf.queryExecution().analyzed().toString().count("\n")
+
+    many, few = ingest.cell_rows(_cells(spark, 1000))[0], ingest.cell_rows(_cells(spark, 3))[0]
+    assert plan(many) == plan(few)
+    assert {(r.title, str(r.start_date), str(r.end_date), r.location, r.reason) for r in many.collect()} == {("T", "2026-09-01", "2026-09-02", "R", None)}
+    assert many.count() == 2000
+
+
+def test_cells_of_odd_sheets(spark):
+    cells = [("b", 0, "empty", 1, ["title", "from", "to"]), ("b", 1, "notes", 1, ["memo"]), ("b", 1, "notes", 5, ["x"]), ("b", 2, "short", 4, ["a", "title", "from", "to"]), ("b", 2, "short", 7, ["a"]), ("c", 0, "none", 1, None)]
+    df = spark.createDataFrame(cells, "path string, sheet_no int, sheet_name string, row_no long, cells array<string>")
+    events, rejects = ingest.cell_events(df)
+    assert events.count() == 0
+    assert {tuple(r) for r in rejects.collect()} == {("notes", None, "missing required columns: title, start_date, end_date"), ("short", 7, "title is required")}
+    assert ingest.cell_events(df.limit(0))[1].count() == 0
+    strict = ingest.cell_events(_cells(spark, 2).withColumn("path", F.lit("z")).unionByName(df), strict_sheet=True)[0]
+    assert {r.sheet_name for r in strict.collect()} == {"s0", "s1"}
+
+
+def test_staged_once(spark, tmp_path):
+    """The grid is read once, and shows under its name all or not at all."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    grid = _grid(spark)
+    counted_grid = grid.mapInArrow(counted, grid.schema)
+    staged = ingest.stage(ingest.sheet_rows(counted_grid, "s")[0], str(tmp_path))
+    assert (staged.accepted, staged.events, staged.rejects, seen.value) == (False, 1, 3, 4)
+    with pytest.raises(ValueError, match="Sheet 's' Row 2: title is required; .*Row 4: bad end_date"):
+        ingest.publish(staged, f"{tmp_path}/events")
+    more = spark.createDataFrame([("book.xlsx", None, "unreadable workbook")], "sheet_name string, row_no long, reason string")
+    assert ingest.stage(ingest.sheet_rows(grid, "s")[0], more_rejects=more).rejects == 4
+    good = ingest.stage(ingest.sheet_rows(grid.where("_row_no = 1"), "s")[0], str(tmp_path))
+    assert [r.title for r in ingest.publish(good, f"{tmp_path}/events").collect()] == ["A"]
+    with pytest.raises(FileExistsError):
+        ingest.publish(ingest.stage(ingest.sheet_rows(grid.where("_row_no = 1"), "s")[0], str(tmp_path)), f"{tmp_path}/events")
+    with pytest.raises(ValueError, match="no events"):
+        ingest.publish(ingest.stage(ingest.sheet_rows(grid.where("_row_no < 0"), "s")[0]), f"{tmp_path}/none")

@@ -19,7 +19,7 @@ def remote(id="1", title="M", start="09:00:00", end="10:00:00", location="R1", d
 
 
 def event(title="M", start="09:00:00", end="10:00:00", location="R1", description=None, people=None, end_date=DAY, ordinal=1):
-    return (title, DAY, end_date, description, location, people, start, end, "s", ordinal, ordinal)
+    return (title, DAY, end_date, description, location, people, start, end, "s", ordinal, (None, 0, ordinal))
 
 
 CASES = {

@@ -1,14 +1,10 @@
 from __future__ import annotations
 
-import io
-import zipfile
-
 from pyspark.sql import functions as F
 
 from driftline.operators import state
 from driftline.operators.reconcile import batches
 from driftline.operators.sqltext import execute, row_exists, rows, rows_as_json, rows_as_text, table_exists
-from driftline.sources.xlsx import sheet_grids, xlsx_cells
 
 def now():
     return F.lit("2026-01-01 00:00:00").cast("timestamp_ntz")
@@ -49,6 +45,15 @@ def test_insert_session(spark):
     assert str(row.expires_at) == "2026-01-02 00:00:00"
 
 
+def test_session(spark):
+    rows = [("a", "u", "e", "n", "o", True, "2026-01-01 00:00:01"), ("b", "v", None, None, "p", None, "2026-01-01 00:00:00")]
+    df = spark.createDataFrame(rows, "session_id string, user_id string, email string, name string, oauth_state string, sheets_mode boolean, expires string")
+    df = df.withColumn("expires_at", F.col("expires").cast("timestamp_ntz"))
+    assert [tuple(r) for r in state.session(df, "a", now()).collect()] == [("u", "e", "n", "o", True)]
+    assert state.session(df, "b", now()).count() == state.session(df, "c", now()).count() == 0
+    assert state.session_view(df).columns == ["user_id", "email", "name", "oauth_state", "sheets_mode"]
+
+
 def test_sql_text(spark):
     df = rows(spark, "SELECT id, nullif(id, 1) AS x FROM range(3) WHERE id < :n", {"n": 2})
     assert [r.line for r in rows_as_text(df).collect()] == ["0|0", "1|"]
@@ -67,55 +72,3 @@ def test_batches(spark):
     got = {((r.a is not None), r.a or "", r.b): r.batch_no for r in batches(pairs, ["a", "b"], 7).collect()}
     assert got == {x: i // 7 for i, x in enumerate(order)}
     assert batches(pairs.limit(0), ["a", "b"]).count() == 0
-
-
-def _xlsx() -> bytes:
-    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
-    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as z:
-        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="S1" sheetId="1" r:id="r1"/></sheets></workbook>')
-        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="x"><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>')
-        z.writestr("xl/styles.xml", f'<styleSheet xmlns="{main}"><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>')
-        z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{main}"><si><t>title</t></si><si><r><t>M</t></r><r><t>2</t></r></si></sst>')
-        sheet = '<row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="inlineStr"><is><t>from</t></is></c><c r="C1" t="str"><v>to</v></c></row>'
-        sheet += '<row r="3"><c r="A3" t="s"><v>1</v></c><c r="B3" s="1"><v>46266</v></c><c r="C3"><v>20260901</v></c></row>'
-        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{main}"><sheetData>{sheet}</sheetData></worksheet>')
-    return out.getvalue()
-
-
-def test_xlsx(spark, tmp_path):
-    from driftline.operators.ingest import workbook_events
-
-    (tmp_path / "book.xlsx").write_bytes(_xlsx())
-    cells = xlsx_cells(spark, str(tmp_path / "book.xlsx"))
-    assert [r.cells for r in cells.orderBy("row_no").collect()] == [["title", "from", "to"], ["M2", "2026-09-01 00:00:00", "20260901"]]
-    events, rejects = workbook_events(sheet_grids(cells))
-    (e,) = events.collect()
-    assert (e.title, str(e.start_date), str(e.end_date), e.row_no) == ("M2", "2026-09-01", "2026-09-01", 3)
-    assert rejects.count() == 0
-
-
-def test_workbooks_of_a_folder(spark, tmp_path):
-    """Two workbooks with sheets of one name, a damaged one and one without a
-    number where there should be one."""
-    from driftline.operators.ingest import messages, outcome, workbook_events
-    from driftline.sources.xlsx import write_workbook, xlsx_scan
-
-    head = ["title", "from", "to"]
-    for name, title in (("a", "A"), ("b", "B")):
-        (tmp_path / f"{name}.xlsx").write_bytes(write_workbook({"S": [head, [title, 46266, "2026-09-02"]], "T": [head, [f"{title}2", 46267, "2026-09-03"]]}))
-    (tmp_path / "c.xlsx").write_bytes(b"PK damaged")
-    bad = io.BytesIO(write_workbook({"S": [head]}))
-    with zipfile.ZipFile(bad, "a") as z:
-        z.writestr("xl/worksheets/sheet1.xml", '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData><row r="1"><c r="A1"><v>x</v></c></row></sheetData></worksheet>')
-    (tmp_path / "d.xlsx").write_bytes(bad.getvalue())
-    cells, rejects = xlsx_scan(spark, str(tmp_path))
-    events, others = workbook_events(sheet_grids(cells))
-    assert sorted((r.title, str(r.start_date)) for r in events.collect()) == [("A", "2026-09-01"), ("A2", "2026-09-02"), ("B", "2026-09-01"), ("B2", "2026-09-02")]
-    all_ = rejects.unionByName(others)
-    assert sorted(r.sheet_name[-6:] for r in all_.collect()) == ["c.xlsx", "d.xlsx"]
-    assert all("unreadable workbook" in r.error for r in messages(all_).collect())
-    assert tuple(outcome(events, all_).first()) == (False, 4, 2) and tuple(outcome(events, others).first()) == (True, 4, 0)
-    assert tuple(outcome(events.limit(0), others).first()) == (False, 0, 0)
-    assert {r.sheet_name for r in xlsx_cells(spark, str(tmp_path), "T").collect()} == {"T"}
