@@ -222,12 +222,28 @@ class Block:
 # -- runs --------------------------------------------------------------------------
 
 
+def _bytes(x: np.ndarray) -> np.ndarray:
+    """How many bytes a number above zero has."""
+    n = np.ones(len(x), dtype=np.int16)
+    for step in _STEPS[1:]:
+        n += x >= step
+    return n
+
+
 def _common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Bytes that rows of words have in common from the left."""
-    diff = x ^ y
-    word = (diff != 0).argmax(axis=1)
-    first = diff[np.arange(len(diff)), word]
-    return np.where(first == 0, 8 * x.shape[1], 8 * word + 8 - np.searchsorted(_STEPS, first, side="right"))
+    words = x.shape[1]
+    out = np.full(len(x), 8 * words, dtype=np.int16)
+    left: np.ndarray | slice = slice(None)
+    for word in range(words):
+        diff = x[left, word] ^ y[left, word]
+        differ = np.flatnonzero(diff)
+        rows = differ if word == 0 else left[differ]
+        out[rows] = 8 * word + 8 - _bytes(diff[differ])
+        left = np.flatnonzero(diff == 0) if word == 0 else left[diff == 0]
+        if not len(left):
+            break
+    return out
 
 
 def _order(keys: np.ndarray) -> np.ndarray:
@@ -263,13 +279,12 @@ def _sorted_run(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarr
     and the greatest id of each, and for every row which key it has."""
     order = _order(keys)
     keys, ids = keys[order], ids[order]
-    new = np.append(True, (keys[1:] != keys[:-1]).any(axis=1))
+    common = np.append(0, _common(keys[1:], keys[:-1])).astype(np.uint8)
+    new = common < 8 * keys.shape[1]
     at = np.flatnonzero(new)
     of_row = np.empty(len(order), dtype=np.int32)
     of_row[order] = np.cumsum(new) - 1
-    own = keys[at]
-    common = np.append(0, _common(own[1:], own[:-1])).astype(np.uint8)
-    return own, common, np.minimum.reduceat(ids, at), np.maximum.reduceat(ids, at), of_row
+    return keys[at], common[at], np.minimum.reduceat(ids, at), np.maximum.reduceat(ids, at), of_row
 
 
 def _texts(keys: np.ndarray) -> np.ndarray:
@@ -303,8 +318,14 @@ def _received(data: list[bytes], round_: int) -> tuple[np.ndarray, np.ndarray, n
     flat = np.zeros((len(common), width), dtype=np.uint8)
     flat[np.arange(width) >= common[:, None]] = np.concatenate([g[1] for g in got])
     column, row = np.ascontiguousarray(flat.T), np.arange(len(common), dtype=np.int32)
+    # A byte that a row shares is that of the last row before that brings its own.
     for j in range(int(common.max())):
-        column[j] = column[j, np.maximum.accumulate(np.where(common <= j, row, 0))]
+        shares = np.flatnonzero(common > j)
+        if 8 * len(shares) > len(row):
+            column[j] = column[j, np.maximum.accumulate(np.where(common <= j, row, 0))]
+        else:
+            own = np.flatnonzero(common <= j)
+            column[j, shares] = column[j, own[np.searchsorted(own, shares) - 1]]
     return np.ascontiguousarray(column.T).view(">u8").astype(np.uint64), common, starts, said
 
 
@@ -320,7 +341,7 @@ def merge(keys: np.ndarray, common: np.ndarray, starts: np.ndarray) -> tuple[np.
     """
     n, n_runs = len(keys), len(starts) - 1
     if n_runs == 1:
-        return np.arange(n), common.astype(np.int64)
+        return np.arange(n), common.astype(np.int16)
     leaves = 1 << (n_runs - 1).bit_length()
     n_trees = max(1, min(n // 256, 4096, (1 << 22) // leaves))
     names = _texts(keys)
@@ -333,25 +354,26 @@ def merge(keys: np.ndarray, common: np.ndarray, starts: np.ndarray) -> tuple[np.
     large = large[total[large] > 0]
     total, written, n_trees = total[large], written[large], len(large)
     # Heads of the runs; a run that has ended has -1 in common with anything.
-    head = np.zeros((n_trees, leaves), dtype=np.int64)
-    stop = np.zeros((n_trees, leaves), dtype=np.int64)
+    head = np.zeros((n_trees, leaves), dtype=np.int32)
+    stop = np.zeros((n_trees, leaves), dtype=np.int32)
     head[:, :n_runs], stop[:, :n_runs] = edge[:-1][large], edge[1:][large]
     head, stop = head.ravel(), stop.ravel()
-    base = np.arange(n_trees) * leaves
+    base = np.arange(n_trees, dtype=np.int32) * np.int32(leaves)
     flat, words = keys.ravel(), keys.shape[1]
+    common = common.astype(np.int16)
 
     def compare(a: np.ndarray, b: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether b is less than a, and what they have in common, of which
         ``known`` bytes are known: nothing before is looked at."""
-        word = known >> 3
-        less, both = np.zeros(len(a), dtype=bool), np.full(len(a), 8 * words)
+        word = known.astype(np.int32) >> 3
+        less, both = np.zeros(len(a), dtype=bool), np.full(len(a), 8 * words, dtype=np.int16)
         left = np.flatnonzero(word < words)
         while len(left):
-            x, y = flat[a[left] * words + word[left]], flat[b[left] * words + word[left]]
+            x, y = flat.take(a[left] * words + word[left]), flat.take(b[left] * words + word[left])
             differ = x != y
             done = left[differ]
             less[done] = y[differ] < x[differ]
-            both[done] = 8 * word[done] + 8 - np.searchsorted(_STEPS, x[differ] ^ y[differ], side="right")
+            both[done] = 8 * word[done] + 8 - _bytes(x[differ] ^ y[differ])
             left = left[~differ]
             word[left] += 1
             left = left[word[left] < words]
@@ -368,10 +390,10 @@ def merge(keys: np.ndarray, common: np.ndarray, starts: np.ndarray) -> tuple[np.
             swap[same], keep[same] = less, both
         return np.where(swap, b, a), np.maximum(la, lb), np.where(swap, a, b), keep
 
-    loser = np.zeros((n_trees, leaves), dtype=np.int64)
-    shares = np.zeros((n_trees, leaves), dtype=np.int64)
-    runner = np.broadcast_to(np.arange(leaves), (n_trees, leaves))
-    prefix = np.where((head < stop).reshape(n_trees, leaves), 0, -1)
+    loser = np.zeros((n_trees, leaves), dtype=np.int32)
+    shares = np.zeros((n_trees, leaves), dtype=np.int16)
+    runner = np.broadcast_to(np.arange(leaves, dtype=np.int32), (n_trees, leaves))
+    prefix = np.where((head < stop).reshape(n_trees, leaves), np.int16(0), np.int16(-1))
     size = leaves
     while size > 1:
         size //= 2
@@ -381,7 +403,7 @@ def merge(keys: np.ndarray, common: np.ndarray, starts: np.ndarray) -> tuple[np.
         loser[:, size : 2 * size], shares[:, size : 2 * size] = lost.reshape(n_trees, size), kept.reshape(n_trees, size)
     runner, prefix, loser, shares = runner.ravel(), prefix.ravel(), loser.ravel(), shares.ravel()
 
-    order, out = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
+    order, out = np.empty(n, dtype=np.int32), np.empty(n, dtype=np.int16)
     live = n_trees
     for step in range(int(total[0])):
         while total[live - 1] <= step:
@@ -391,7 +413,7 @@ def merge(keys: np.ndarray, common: np.ndarray, starts: np.ndarray) -> tuple[np.
         row = head[at]
         order[written[:live] + step], out[written[:live] + step] = row, prefix
         head[at] = row + 1
-        prefix = np.where(row + 1 < stop[at], common[np.minimum(row + 1, n - 1)].astype(np.int64), -1)
+        prefix = np.where(row + 1 < stop[at], common.take(row + 1, mode="clip"), np.int16(-1))
         node = (runner + leaves) >> 1
         for _ in range(leaves.bit_length() - 1):
             where = tree + node
