@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import io
 import os
 import re
 import tempfile
@@ -20,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from driftline.files import open_read, open_write, qualified  # noqa: F401  used by the operators
+
 #: Bytes that separate words: the space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
 WHITE = np.zeros(256, dtype=bool)
@@ -47,7 +48,8 @@ def scratch_root(spark: SparkSession) -> str:
     folder takes its place; on a cluster that is an error.
     """
     if root := spark.conf.get("spark.checkpoint.dir", None):
-        return root.rstrip("/")
+        # With its scheme, so that Python opens what Spark opens.
+        return qualified(spark, root.rstrip("/"))
     sc = spark.sparkContext
     if not re.fullmatch(r"local(\[.*\])?", sc.master):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
@@ -359,33 +361,3 @@ def list_column(flat: np.ndarray, width: int) -> pa.Array:
     """A list column of fixed-width rows."""
     n = len(flat) // width if width else 0
     return pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * width, width, dtype=np.int32)), pa.array(flat))
-
-
-# -- files in the shared folder ------------------------------------------------
-
-
-def _local(path: str) -> str | None:
-    if path.startswith("file:"):
-        return "/" + path[5:].lstrip("/")
-    return path if path.startswith("/") else None
-
-
-def open_write(path: str) -> io.IOBase:
-    """Open a file of the shared folder for writing, by its scheme."""
-    if local := _local(path):
-        os.makedirs(os.path.dirname(local), exist_ok=True)
-        return open(local, "wb")
-    from pyarrow import fs
-
-    system, inner = fs.FileSystem.from_uri(path)
-    system.create_dir(os.path.dirname(inner), recursive=True)
-    return system.open_output_stream(inner)
-
-
-def open_read(path: str) -> io.IOBase:
-    if local := _local(path):
-        return open(local, "rb")
-    from pyarrow import fs
-
-    system, inner = fs.FileSystem.from_uri(path)
-    return system.open_input_file(inner)
