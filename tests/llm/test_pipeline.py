@@ -58,9 +58,21 @@ def test_stages(spark):
 
 
 def test_odd_documents(spark):
+    """Nulls, repeated rows, ids that are missing or shared, ties, a text beyond a
+    megabyte, and columns with names that operators use."""
     rows = [(1, None, None, None, None), (1, None, None, None, None), (None, "a b c", "en", "s", 5), (2, "", "en", "s", 0), (3, "x " * 60_000, None, "s", None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    story = "the town council met again on a rainy evening to talk about the old bridge over the river"
+    rows += [(i, story + f" and of {i}", "en", "t", 1) for i in (7, 8, 8)] + [(9, f"{story} in other words of my own. " * 15_000, "en", "t", 1), (None, story, "en", None, 1)]
+    names = ["node", "component", "kept", "size", "start", "rank", "finish", "place", "target", "copies", "epoch", "score", "label", "id", "hash", "b"]
+    docs = spark.createDataFrame([(*r, *names) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
     for part in (docs, docs.limit(0)):
-        for _, stage in pipeline.STAGES:
+        for name, stage in pipeline.STAGES:
             part = stage(spark, part, SF)
-        part.collect()
+            part = spark.createDataFrame(part.collect(), part.schema)
+            if name != "token-ID output":
+                assert part.columns == docs.columns
+                assert all(tuple(r)[5:] == tuple(names) for r in part.collect())
+            if name == "MinHash near-dedup":
+                kept = Counter(r.doc_id for r in part.collect())
+                assert kept[8] == 0 and kept[7] <= 1 and max(kept.values(), default=0) <= 2
+        assert part.columns[:4] == ["doc_id", "start", "n_tokens", "ids_crc32"]
