@@ -10,13 +10,14 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from driftline import files
 from driftline.functions import parsing
 from driftline.operators import apply, ingest, keys, reconcile, recurrence, sqltext, state, store
 from driftline.plans import sync
-from driftline.schemas import SyncMode
-from driftline.sources import grid, xlsx
+from driftline.schemas import USER_TOKENS, SyncMode
+from driftline.sources import grid, outbox, xlsx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -172,6 +173,23 @@ def applied_snapshot(spark, sf_dir):
     return apply.apply_plan(remote, plan).select("id", "summary", "location", F.col("end.dateTime").alias("end_at"))
 
 
+_SENT = _CALENDAR + """, sent AS (SELECT *, title LIKE '%7' AND action IN ('insert', 'update') AS blank, regexp_extract(title, '[0-9]+')::BIGINT % 100 = 3 AND action IN ('update', 'delete') AS lost FROM plan WHERE action <> 'noop')
+"""
+
+
+@_query(_SENT + """SELECT action, title, NOT blank AND NOT lost AS ok, CASE WHEN lost THEN action || ' without an id' WHEN blank THEN action || ' without a summary' END AS error FROM sent""")
+def sent_outcomes(spark, sf_dir):
+    plan = _incremental(spark, sf_dir)[1]
+    blank = F.col("title").endswith("7") & F.col("action").isin("insert", "update")
+    lost = (F.regexp_extract("title", "[0-9]+", 0).cast("long") % 100 == 3) & F.col("action").isin("update", "delete")
+    payload = F.when(blank, F.col("payload").withField("summary", F.lit(" "))).otherwise(F.col("payload"))
+    plan = plan.withColumn("payload", payload).withColumn("remote_id", F.when(~lost, F.col("remote_id")))
+    folder = files.shared_folder(spark, "outbox")
+    for _ in range(2):  # the second run of a token sends nothing
+        outcomes = outbox.send(plan, folder, "run-1")
+    return outcomes.select("action", "title", "ok", "error")
+
+
 _OVERLAP = """((all_day AND day > '{0}' AND day <= '{1}') OR (NOT all_day AND day >= '{0}' AND day <= '{1}'))"""
 
 
@@ -593,6 +611,23 @@ def applied_table(spark, sf_dir):
     return t.read().select("id", "location")
 
 
+@_query("""SELECT 'u' || c_custkey AS user_id, 'u' || c_custkey || '@x' AS email, CASE WHEN c_custkey % 50 = 0 THEN '' ELSE 'r' || c_custkey END AS refresh_token, c_custkey % 50 = 0 AS renewed FROM customer WHERE c_custkey % 3 <> 1""")
+def stored_tokens(spark, sf_dir):
+    """The tokens of users: a key, a unique e-mail, and an upsert that keeps when
+    a row was made but not its refresh token."""
+    c, at = _read(spark, sf_dir, "customer").where("c_custkey % 3 <> 1"), lambda text: F.lit(text).cast("timestamp")
+    user = F.concat(F.lit("u"), F.col("c_custkey").cast("string"))
+
+    def rows(of: DataFrame, refresh: Column, when: str) -> DataFrame:
+        cells = [user.alias("user_id"), F.concat(user, F.lit("@x")).alias("email"), F.lit("a").alias("access_token"), refresh.alias("refresh_token"), at("2026-01-01 00:00:00").alias("token_expiry"), F.array(F.lit("calendar")).alias("scopes"), at(when).alias("created_at"), at(when).alias("updated_at")]
+        return of.select(*cells).to(StructType.fromDDL(USER_TOKENS.replace(" not null", "")))
+
+    t = store.KeyedTable(spark, files.shared_folder(spark, "tokens")).create(rows(c, F.concat(F.lit("r"), F.col("c_custkey").cast("string")), "2025-01-01"), "user_id", 16, unique=["email"])
+    t.upsert(rows(c.where("c_custkey % 50 = 0"), F.lit(""), "2025-06-01"), keep=["created_at"])
+    renewed = (F.col("updated_at") > F.col("created_at")) & (F.col("created_at") == at("2025-01-01"))
+    return t.read().select("user_id", "email", "refresh_token", renewed.alias("renewed"))
+
+
 # -- SQL text, chunks, pages ---------------------------------------------------
 
 
