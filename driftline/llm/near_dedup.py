@@ -9,9 +9,11 @@
    map-side aggregate.
 3. Band buckets choose a leader: the member whose bands meet most others. All
    members meet the leader, not one another, so a bucket of n gives n - 1
-   candidates. A second leader follows for buckets still of several components.
-   Where components still share a bucket, the members outside its largest one
-   meet all others in tiles of bounded size, which return links only.
+   candidates. Further leaders follow for buckets still of several components:
+   two in any case, and more, each in linear time, while they find links and what
+   is left would take many tiles. Where components still share a bucket, the
+   members outside its largest one meet all others in tiles of bounded size,
+   which return links only.
 4. The population count of the XOR of two odd sketches estimates the
    similarity sharply where it is high, and drops candidates far below the
    threshold (six standard deviations of slack).
@@ -26,6 +28,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import partial, reduce
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +42,8 @@ BANDS, ROWS = 28, 4
 SKETCH_WORDS = 8  # of 64 bits
 #: Shingles on either side of a tile, where leaders left members unmet.
 TILE = 400_000
+#: Tiles of one group beyond which more leaders are chosen first.
+MANY_TILES = 64
 _GOLD = 0x9E3779B97F4A7C15
 
 _rng = np.random.RandomState(20240601)
@@ -226,8 +231,9 @@ def _components(docs: DataFrame, k: int, percent: int, rounds: int = 2) -> DataF
     limit = widest_xor(percent / 100)
     component = sketches.select("id", F.col("id").alias("component"))
 
-    def meet(pairs: DataFrame) -> None:
-        """Filter by sketch, confirm, and renew the components."""
+    def meet(pairs: DataFrame) -> bool:
+        """Filter by sketch, confirm, and renew the components; whether any pair
+        was confirmed."""
         nonlocal sets, done
         sa = sketches.select(F.col("id").alias("a"), F.col("sketch").alias("ka"))
         sb = sketches.select(F.col("id").alias("b"), F.col("sketch").alias("kb"))
@@ -237,9 +243,11 @@ def _components(docs: DataFrame, k: int, percent: int, rounds: int = 2) -> DataF
         pairs = materialize(pairs, "dedup-candidates")
         done = pairs if done is None else done.unionByName(pairs)
         if pairs.isEmpty():
-            return
+            return False
         sets = _with_sets(sets, pairs, docs, k, materialize)
-        join_up(materialize(_confirmed(pairs, sets, percent, materialize), "dedup-links"))
+        found = materialize(_confirmed(pairs, sets, percent, materialize), "dedup-links")
+        join_up(found)
+        return not found.isEmpty()
 
     def join_up(found: DataFrame) -> None:
         nonlocal links, component
@@ -251,12 +259,12 @@ def _components(docs: DataFrame, k: int, percent: int, rounds: int = 2) -> DataF
 
     bucket = ["key"]
     met = entries.select(*bucket, "id", "centre", F.col("id").alias("component"))
-    for _ in range(rounds):
+    for turn in count(1):
         leader = met.groupBy(*bucket).agg(F.max_by(F.struct("id", "component"), F.struct("centre", -F.col("id"))).alias("leader"))
         leader = materialize(leader, "dedup-leaders")
         led = met.join(leader, bucket)
         pairs = led.where("component <> leader.component").select(F.greatest("id", "leader.id").alias("a"), F.least("id", "leader.id").alias("b")).distinct()
-        meet(pairs)
+        fell = meet(pairs)
         # The leader has met all others, so it leaves its bucket; a bucket
         # within one component is settled.
         left = led.where("id <> leader.id").select(*bucket, "id", "centre").join(component, "id")
@@ -265,7 +273,8 @@ def _components(docs: DataFrame, k: int, percent: int, rounds: int = 2) -> DataF
         met = materialize(left.join(open_, bucket, "left_semi").select(*bucket, "id", "centre", "component"), "dedup-met")
         if met.isEmpty():
             break
-    else:
+        if turn < rounds:
+            continue
         # What is left of the buckets meets in tiles. Buckets with the same
         # largest component are one group, so no pair meets once a band. In a
         # group, members outside that component (strays) meet all members.
@@ -274,20 +283,24 @@ def _components(docs: DataFrame, k: int, percent: int, rounds: int = 2) -> DataF
         main = materialize(main, "dedup-mains")
         group = met.join(main, bucket).select("main", "id", "component").distinct().withColumn("stray", F.col("component") != F.col("main"))
         group = materialize(group.join(firsts.select("id", "n"), "id"), "dedup-groups")
+        wide = group.groupBy("main").agg(
+            F.ceil(F.sum("n") / TILE).alias("xs"), F.ceil(F.sum(F.when(F.col("stray"), F.col("n"))) / TILE).alias("ys")
+        )
+        wide = materialize(wide, "dedup-tiles")
+        if fell and (wide.agg(F.max(F.col("xs") * F.col("ys"))).first()[0] or 0) > MANY_TILES:
+            continue
         named = materialize(group.select("id").distinct(), "dedup-ends")
         sets = _with_sets(sets, named.select(F.col("id").alias("a"), F.col("id").alias("b")), docs, k, materialize)
         # Only these members' sets are dealt out.
         needed = sets.join(F.broadcast(named) if named.count() <= 2_000_000 else named, "id", "left_semi")
-        wide = group.groupBy("main").agg(
-            F.ceil(F.sum("n") / TILE).alias("xs"), F.ceil(F.sum(F.when(F.col("stray"), F.col("n"))) / TILE).alias("ys")
-        )
-        spread = group.join(materialize(wide, "dedup-tiles"), "main").withColumn("deal", F.xxhash64("id"))
+        spread = group.join(wide, "main").withColumn("deal", F.xxhash64("id"))
         every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
         # Tile (x, y) holds the members of block x and the strays of block y.
         hosts = spread.select("main", "id", "component", F.lit(False).alias("stray"), F.pmod("deal", "xs").alias("x"), every("ys").alias("y"))
         guests = spread.where("stray").select("main", "id", "component", "stray", every("xs").alias("x"), F.pmod("deal", "ys").alias("y"))
         tiles = hosts.unionByName(guests).join(needed, "id").groupBy("main", "x", "y")
         join_up(materialize(tiles.applyInArrow(_tile_links(percent), "a long, b long"), "dedup-links"))
+        break
 
     result = member.join(component.select(F.col("id").alias("first"), "component"), "first", "left")
     # The smallest id of a component is the smallest of its classes' first ids.

@@ -34,8 +34,12 @@ def _texts(seed: int) -> dict[int, str | None]:
     return {3 * i + 1: t for i, t in enumerate(out)}
 
 
-@pytest.mark.parametrize(("seed", "k", "percent"), [(1, 3, 85), (2, 5, 80)])
-def test_against_all_pairs(spark, seed, k, percent):
+@pytest.mark.parametrize(("seed", "k", "percent", "tile", "many"), [(1, 3, 85, m.TILE, m.MANY_TILES), (2, 5, 80, m.TILE, m.MANY_TILES), (3, 3, 85, 500, 0)])
+def test_against_all_pairs(spark, monkeypatch, seed, k, percent, tile, many):
+    """With leaders and tiles as they come, and with small tiles and as many
+    leader rounds as find links."""
+    monkeypatch.setattr(m, "TILE", tile)
+    monkeypatch.setattr(m, "MANY_TILES", many)
     texts = _texts(seed)
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {r.doc_id: r for r in m.near_duplicates(df, k=k, percent=percent).collect()}
