@@ -453,8 +453,9 @@ def staged_outcomes(spark, sf_dir):
     dirty = ingest.stage(ingest.sheet_rows(grid, "dirty")[0])
     clean = ingest.stage(ingest.sheet_rows(grid.where("_row_no % 5 <> 0 and _row_no % 7 <> 0 and _row_no % 11 <> 0"), "clean")[0])
     published = ingest.publish(clean, f"{folder}/events")
-    said = lambda name, s: spark.range(1).select(F.lit(name).alias("sheet"), F.lit(s.accepted).alias("accepted"), F.lit(s.events).alias("events"), F.lit(s.rejects).alias("rejects"))
-    return said("dirty", dirty).withColumn("published", F.lit(0).cast("long")).unionByName(published.agg(F.count("*").alias("published")).join(said("clean", clean)).select("sheet", "accepted", "events", "rejects", "published"))
+    said = lambda rows, name, s: rows.select(F.lit(name).alias("sheet"), F.lit(s.accepted).alias("accepted"), F.lit(s.events).alias("events"), F.lit(s.rejects).alias("rejects"), "published")
+    none = spark.range(1).select(F.lit(0).cast("long").alias("published"))
+    return said(none, "dirty", dirty).unionByName(said(published.agg(F.count("*").alias("published")), "clean", clean))
 
 
 @_query("""SELECT c_custkey, regexp_full_match(u, '[a-zA-Z0-9@._-]+') AS user_ok, regexp_full_match(u, '[a-zA-Z0-9@._+-]+') AS mail_ok

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from driftline import files
 from driftline.functions import headers, parsing
-from driftline.schemas import EVENT, FIELDS, LINEAGE, REJECT, WARNING
+from driftline.schemas import EVENT, FIELDS, LINEAGE, WARNING
 
 _SHEET = ("path", "sheet_no")
 
