@@ -44,14 +44,14 @@ def _shapes() -> dict[str, str]:
             out[first + sep + year] = first.replace("m", "M").replace("n", "D") + sep + "Y"
     for first, sep in product(("no m", "n m", "n m."), (" ", ", ", ",")):
         out[first + sep + "y"] = first.replace("m", "M").replace("n", "D") + sep + "Y"
-    out |= {"y-n": "Y-M", "y/n": "Y/M", "m y": "M Y", "m, y": "M, Y"}
-    return out | {lead + shape: "." * len(lead) + roles for lead in ("w ", "w, ", "w,") for shape, roles in out.items()}
+    return out | {"y-n": "Y-M", "y/n": "Y/M", "m y": "M Y", "m, y": "M, Y"}
 
 
 SHAPES = _shapes()
 _TIME = r"n:n(?::n(?:\.[nyscd])?)?(?: ?p)?|n ?p|s"
 _ZONE = r" ?z| ?z?[-+](?:n:n|n|y)"
 _WHOLE = "^(" + "|".join(re.escape(s) for s in sorted(SHAPES, key=len, reverse=True)) + rf")(?:(?:t|,? )(?:{_TIME})(?:{_ZONE})?)?$"
+_LEAD = r"^w(?:, ?| )"  # a weekday, which says nothing more
 _TOKENS = r"\d+|[A-Za-z]+|\s+|."
 _CLOCK = r"(\d{1,2})(?::(\d{1,2}))?(?::(\d{1,2}))?(?:\.\d+)?\s*([AaPp][Mm])?"
 
@@ -95,8 +95,13 @@ def recognise(text: Column) -> Column:
     zone moves the date; a short year is of 1969 to 2068."""
     tokens = F.transform(F.regexp_extract_all(text, F.lit(f"({_TOKENS})"), F.lit(1)), lambda x: F.struct(x.alias("text"), _class(x).alias("kind")))
 
-    def read(t: Column) -> Column:
-        shape = F.regexp_extract(F.array_join(F.transform(t, lambda x: x["kind"]), ""), _WHOLE, 1)
+    def led(t: Column) -> Column:
+        kinds = F.array_join(F.transform(t, lambda x: x["kind"]), "")
+        lead = F.length(F.regexp_extract(kinds, _LEAD, 0))
+        return once(F.struct(F.slice(t, lead + 1, F.size(t)).alias("t"), F.regexp_extract(F.substr(kinds, lead + 1), _WHOLE, 1).alias("shape")), read)
+
+    def read(s: Column) -> Column:
+        t, shape = s["t"], s["shape"]
         # Every class is one letter, so a place in the shape is a token's place.
         tail = F.array_join(F.transform(F.slice(t, F.length(shape) + 1, F.size(t)), lambda x: x["text"]), "")
         return once(F.struct(F.try_element_at(_table(SHAPES), shape).alias("roles"), t.alias("t"), _clock_fits(tail).alias("fits")), build)
@@ -115,4 +120,4 @@ def recognise(text: Column) -> Column:
         date = F.when(s["roles"].contains("C"), whole).when(s["roles"].contains("A"), either).otherwise(_day(year, named, day))
         return F.when(s["fits"], date)
 
-    return once(tokens, read)
+    return once(tokens, led)
