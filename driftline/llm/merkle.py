@@ -5,7 +5,8 @@ holds most rows is spread over many tasks; a leaf's place follows from the
 counts of the ranges before it. The trees are then built by supersteps over an
 RDD of messages: children message their parents, parents with all children hash
 and forward. Reverse supersteps send the siblings' digests down, one path for
-each run of eight leaves, and every leaf folds its own and its altered digest.
+each run of eight leaves, and every leaf, altered or not, is folded with them
+up to the root.
 
 Defined cases: a null is hashed as ``-``; rows without an id come first in
 their group and are never altered; repeated ids are ordered by digest; each row
@@ -195,7 +196,7 @@ def _proof(path: tuple) -> str:
 
 def _row(leaf: bytes, own: tuple, subroot: bytes, root: bytes, path: tuple) -> tuple:
     id_, altered = own
-    folded = root if altered == leaf else _fold(altered, path)
+    folded = _fold(altered, path)
     return id_, leaf.hex(), subroot.hex(), root.hex(), _proof(path), folded.hex(), folded == root
 
 

@@ -8,7 +8,7 @@ import zlib
 
 import pytest
 
-from driftline.llm.merkle import FIELDS, merkle_manifest
+from driftline.llm.merkle import FIELDS, _row, merkle_manifest
 
 
 def _h(text: str) -> str:
@@ -88,3 +88,11 @@ def test_repeated_and_missing_ids_and_other_columns(spark):
 
 def test_no_rows(spark):
     assert merkle_manifest(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_leaves_that_nobody_altered_are_folded_too():
+    leaf, other, wrong = (hashlib.sha256(x).digest() for x in (b"a", b"b", b"c"))
+    root = bytes.fromhex(_h(leaf.hex() + other.hex()))
+    assert _row(leaf, (1, leaf), root, root, ((0, [leaf, other]),))[-2:] == (root.hex(), True)
+    # A sibling that doesn't lead to the root shows, whether the leaf was altered or not.
+    assert _row(leaf, (1, leaf), root, root, ((0, [leaf, wrong]),))[-2:] == (_h(leaf.hex() + wrong.hex()), False)
