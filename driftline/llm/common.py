@@ -90,6 +90,12 @@ class Scratch:
         self.tables.append(materialize(df, label))
         return self.tables[-1]
 
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete some that no later plan reads."""
+        for t in tables:
+            discard(t)
+        self.tables = [t for t in self.tables if not any(t is x for x in tables)]
+
     def close(self, *needed: DataFrame) -> None:
         for t in self.tables:
             if not any(t is n for n in needed):

@@ -6,10 +6,12 @@ vectors by it and compares every vector, in double precision, with the
 each other. Links of all passes are united. In a dense region the order goes on
 with further signs, so a window never opens to all vectors of a prefix.
 
-A pair at the threshold is seen in a pass if it shares as many signs as leave no
-more than half a window of other vectors. How many these are is measured between
-sampled vectors, for each of them, and window and passes are chosen together:
-the cheapest of those that find ``RECALL`` of the pairs at the threshold.
+How many signs a pair must share to be seen in a pass is measured for every
+vector in every pass, by the first vector beyond its window: what shares more
+signs than that one stands within the window. Vectors tied to it by links already
+don't count, as they are of its component. From these figures follows each
+vector's chance to have missed a pair at the threshold; passes go on, with the
+cheapest window, until ``RECALL`` of such pairs is found over all vectors.
 
 Components come out whole, and within a component links are then counted
 exactly. Members of large ones are dealt to blocks by their angle to the
@@ -22,8 +24,9 @@ vector with a count from the start.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import partial, reduce
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +34,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import Scratch, map_batches, numbered, partitions, pieces_of
+from driftline.llm.common import Scratch, list_column, map_batches, numbered, partitions, pieces_of
 from driftline.llm.components import connected_components
 
 THRESHOLD = 0.95
@@ -42,12 +45,15 @@ BLOCK = 4096  # vectors of small components in a task's table
 WINDOWS = [1 << i for i in range(5, 14)]
 ROW_COST = 2048  # sorting a vector in a pass costs as much as so many products
 ROWS_AT_ONCE = 1 << 24  # vectors, once for each pass, that are sorted in one go
-SAMPLE = 1024  # vectors between which angles are measured
+TRIED = WINDOWS[::2]  # windows for which every pass is measured
+FIRST_WINDOW, FIRST_PASSES = 512, 4
+MORE = [1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 256, 512, 1024, 4096]  # passes to come that are weighed
 
 
 def plan(n: int, samples: list[np.ndarray], threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[int, int]:
-    """(window, passes) for n vectors like those sampled, a matrix for each
-    length: those of different lengths never meet.
+    """(window, passes) that n vectors like those given would need, a matrix for
+    each length: an estimate beforehand. ``near_vectors`` doesn't use it, but
+    measures all vectors as it goes.
 
     Vectors that are linked anyway don't count as standing between a pair: they
     tie it to their component, in which all links are counted.
@@ -128,63 +134,110 @@ def _roots(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             root = up
 
 
-def _window_links(ids: np.ndarray, u: np.ndarray, window: int, threshold: float, begin: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def _window_links(u: np.ndarray, window: int, threshold: float, begin: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Links of each row from ``begin`` on with the ``window`` rows before it:
-    (a, b) for each row that a link ties to another, so that a dense group gives
-    a row a vector and not a row a link."""
-    root = np.arange(len(ids))
+    places (a, b) for each row that a link ties to another, so that a dense group
+    gives a row a vector and not a row a link."""
+    root = np.arange(len(u))
     step = max(64, min(512, window))
-    for at in range(begin, len(ids), step):
+    for at in range(begin, len(u), step):
         low = max(0, at - window)
         a, b = np.nonzero(u[at : at + step] @ u[low : at + step].T >= threshold)
         a, b = a + at, b + low
         close = (b < a) & (a - b <= window)
         if close.any():
             root = _roots(root, a[close], b[close])
-    tied = np.flatnonzero(root != np.arange(len(ids)))
-    return ids[root[tied]], ids[tied]
+    tied = np.flatnonzero(root != np.arange(len(u)))
+    return root[tied], tied
 
 
-_EDGE = "kind int, a long, b long, task int, before long, after long, dim int, pass int, v {}"
+def _shared(high: np.ndarray, low: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many signs rows a and b share before the first that differs."""
+    x, y = high[a] ^ high[b], low[a] ^ low[b]
+    one, two = ((np.where(z >> 32 > 0, 32 + np.frexp((z >> 32).astype(float))[1], np.frexp((z & 0xFFFFFFFF).astype(float))[1])) for z in (x, y))
+    return np.where(x > 0, SIGNS - one, 2 * SIGNS - two)
 
 
-def _same(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, pa.Array]]:
-    """(dim, pass, ids, vectors, their column) for each run of one length and pass."""
+def signs_needed(high: np.ndarray, low: np.ndarray, root: np.ndarray, windows: Sequence[int], begins: bool = True, ends: bool = True) -> np.ndarray:
+    """For each row of a sorted pass, or of a part of it, and each window: how
+    many signs a vector must share with it to be in its window, or to be of its
+    group already (rows of one root).
+
+    ``begins`` and ``ends`` tell whether the pass does where the part does. A
+    side that goes on in another part counts as the side that is seen, or, where
+    that has no end either, as if the part's outermost row stood beyond the window.
+    """
+    n, i = len(high), np.arange(len(high))
+    edges = np.concatenate([[0], np.flatnonzero(root[1:] != root[:-1]) + 1, [n]])
+    stretch = np.searchsorted(edges, i, side="right") - 1
+    start, stop = edges[stretch], edges[stretch + 1]
+    out = np.zeros((n, len(windows)), dtype=np.int8)
+    for k, w in enumerate(windows):
+        sides = []
+        for step, edge, whole in ((1, stop, ends), (-1, start - 1, begins)):
+            j = i + step * (w + 1)
+            at = np.clip(j, 0, n - 1)
+            j = np.where((at == j) & (root[at] == root[i]), edge[at], j)
+            at = np.clip(j, 0, n - 1)
+            bits = _shared(high, low, i, at) + 1
+            seen = at == j
+            sides.append((np.where(seen, bits, 0 if whole else bits), seen, seen | whole))
+        (a, a_seen, a_known), (b, b_seen, b_known) = sides
+        need = np.where(~a_known & b_seen, b, np.where(~b_known & a_seen, a, np.maximum(a, b)))
+        out[:, k] = np.minimum(need, 2 * SIGNS)
+    return out
+
+
+_EDGE = "kind int, a long, b long, task int, before long, after long, dim int, pass int, v {}, need array<tinyint>"
+
+
+def _same(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, pa.Array, tuple | None]]:
+    """(dim, pass, ids, vectors, their column, their signs if they are there) for
+    each run of one length and pass."""
     dim, number = batch.column(0).to_numpy(), batch.column(1).to_numpy()
     edges = [0, *(np.flatnonzero((dim[1:] != dim[:-1]) | (number[1:] != number[:-1])) + 1).tolist(), len(dim)]
     for at, end in zip(edges[:-1], edges[1:], strict=True):
         column = batch.column(3).slice(at, end - at)
-        yield int(dim[at]), int(number[at]), batch.column(2).slice(at, end - at).to_numpy(), _unit(_matrix(column).astype(float)), column
+        signs = tuple(batch.column(i).slice(at, end - at).to_numpy() for i in (4, 5)) if batch.num_columns > 4 else None
+        yield int(dim[at]), int(number[at]), batch.column(2).slice(at, end - at).to_numpy(), _unit(_matrix(column).astype(float)), column, signs
 
 
 def _windows(window: int, threshold: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of a sorted range: links in windows (kind 0), its first and last
-    ``window`` rows (1) with how many rows stand before and after them, and how
-    many rows it has (2)."""
+    ``window`` rows (1) with how many rows stand before and after them, how
+    many rows it has (2), and where rows come with their signs, how many of them
+    each row needs (3): for that, ids and signs of the range are held."""
     from pyspark import TaskContext
 
     task, seen = TaskContext.get().partitionId(), 0
+    keys: list[tuple] = []  # (dim, pass, ids, two words of signs)
+    ties: list[tuple[np.ndarray, np.ndarray]] = []  # places in the range
     tail: list[tuple] = []  # the last rows: (dim, pass, ids, unit vectors, column)
     kind = None
 
     def rows(kind: int, n: int, *columns: object) -> pa.RecordBatch:
-        types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), v_type)
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), v_type, pa.list_(pa.int8()))
+        columns = (*columns, None)[: len(types)]
         full = [pa.array(np.full(n, kind, dtype=np.int32))]
         full += [c if isinstance(c, pa.Array) else pa.nulls(n, t) if c is None else pa.array(np.broadcast_to(c, n), t) for c, t in zip(columns, types, strict=True)]
-        return pa.RecordBatch.from_arrays(full, names=["kind", "a", "b", "task", "before", "after", "dim", "pass", "v"])
+        return pa.RecordBatch.from_arrays(full, names=["kind", "a", "b", "task", "before", "after", "dim", "pass", "v", "need"])
 
     v_type = None
     for batch in (b.slice(i, 8192) for b in batches for i in range(0, b.num_rows, 8192)):
         v_type = batch.schema.field(3).type
-        for dim, number, ids, u, column in _same(batch):
+        for dim, number, ids, u, column, signs in _same(batch):
             if seen < window:
                 n = min(window - seen, len(ids))
                 yield rows(1, n, ids[:n], None, task, seen + np.arange(n), None, dim, number, column.slice(0, n))
             back = [t for t in tail if t[:2] == (dim, number)]
             held = np.concatenate([*[t[2] for t in back], ids]), np.concatenate([*[t[3] for t in back], u])
-            a, b = _window_links(*held, window, threshold, len(held[0]) - len(ids))
+            a, b = _window_links(held[1], window, threshold, len(held[0]) - len(ids))
             if len(a):
-                yield rows(0, len(a), a, b, *[None] * 6)
+                yield rows(0, len(a), held[0][a], held[0][b], *[None] * 6)
+            if signs is not None:
+                shift = seen - (len(held[0]) - len(ids))
+                ties.append((a + shift, b + shift))
+                keys.append((dim, number, ids, *signs))
             seen += len(ids)
             tail.append((dim, number, ids, u, column))
             while sum(len(t[2]) for t in tail[1:]) >= window:
@@ -197,6 +250,16 @@ def _windows(window: int, threshold: float, batches: Iterator[pa.RecordBatch]) -
         after += n
     if seen:
         yield rows(2, 1, None, None, task, seen, None, None, None, None)
+    if keys:
+        root = _roots(np.arange(seen), *(np.concatenate(x) for x in zip(*ties, strict=True)))
+        at = 0
+        for (dim, number), parts in groupby(keys, key=lambda k: k[:2]):
+            ids, high, low = (np.concatenate(x) for x in list(zip(*parts, strict=True))[2:])
+            need = signs_needed(high, low, root[at : at + len(ids)], TRIED, at > 0 or task == 0, at + len(ids) < seen)
+            at += len(ids)
+            for i in range(0, len(ids), 8192):
+                n = len(ids[i : i + 8192])
+                yield rows(3, n, ids[i : i + n], None, None, None, None, dim, number, None, list_column(need[i : i + n].ravel(), len(TRIED)))
 
 
 def _edges(window: int, counts: list[int], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,31 +290,72 @@ def _edge_links(window: int, threshold: float):
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.take(np.argsort(rows["place"].to_numpy(), kind="stable"))
         ids, u = rows["id"].to_numpy(), _unit(_matrix(rows["v"].combine_chunks()).astype(float))
-        a, b = _window_links(ids, u, window, threshold, int((rows["place"].to_numpy() < 0).sum()))
-        return pa.table({"a": a, "b": b})
+        a, b = _window_links(u, window, threshold, int((rows["place"].to_numpy() < 0).sum()))
+        return pa.table({"a": ids[a], "b": ids[b]})
 
     return run
 
 
-def _sorted_links(firsts: DataFrame, kind: str, passes: list[int], window: int, threshold: float, write: Callable[[DataFrame, str], DataFrame]) -> list[DataFrame]:
-    """Links found by some passes."""
+def _sorted_links(firsts: DataFrame, n: int, kind: str, passes: list[int], window: int, threshold: float, write: Callable[[DataFrame, str], DataFrame]) -> tuple[list[DataFrame], DataFrame]:
+    """Links found by some passes, and all that their ranges gave."""
     keyed = map_batches(firsts.select("id", F.col("v").cast(kind).alias("v")), partial(_keys, passes), f"pass int, high long, low long, id long, v {kind}")
     keyed = keyed.withColumn("dim", F.size("v"))
     order = ["dim", "pass", "high", "low", "id"]
     ranges = max(partitions(firsts.sparkSession), pieces_of(firsts, -(-(64 << 20) // len(passes))))
-    return range_links(keyed.repartitionByRange(ranges, *order).sortWithinPartitions(*order).select("dim", "pass", "id", "v"), kind, window, threshold, write)
+    ranges = max(1, min(ranges, n * len(passes) // (16 * window)))  # most rows see both ends of their windows
+    ordered = keyed.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    return _range_links(ordered.select("dim", "pass", "id", "v", "high", "low"), kind, window, threshold, write)
 
 
 def range_links(ordered: DataFrame, kind: str, window: int, threshold: float, write: Callable[[DataFrame, str], DataFrame]) -> list[DataFrame]:
     """Links of sorted vectors (dim, pass, id, v) in ranges: within them, and
     over their ends. The driver holds a number for each range."""
+    return _range_links(ordered, kind, window, threshold, write)[0]
+
+
+def _range_links(ordered: DataFrame, kind: str, window: int, threshold: float, write: Callable[[DataFrame, str], DataFrame]) -> tuple[list[DataFrame], DataFrame]:
     found = write(map_batches(ordered, partial(_windows, window, threshold), _EDGE.format(kind)), "vector-windows")
     sizes = {r["task"]: r["before"] for r in found.where("kind = 2").select("task", "before").collect()}
     counts = [sizes.get(i, 0) for i in range(max(sizes, default=-1) + 1)]
     near = found.where("kind = 1").select("task", "before", "after", "dim", "pass", F.col("a").alias("id"), "v")
     near = map_batches(near, partial(_edges, window, counts), f"edge int, place long, dim int, pass int, id long, v {kind}")
     over = near.groupBy("edge", "dim", "pass").applyInArrow(_edge_links(window, threshold), "a long, b long")
-    return [found.where("kind = 0").select("a", "b"), over]
+    return [found.where("kind = 0").select("a", "b"), over], found
+
+
+def _passes(firsts: DataFrame, n: int, kind: str, threshold: float, scratch: Scratch) -> tuple[DataFrame, int]:
+    """Links of as many passes as find ``RECALL`` of the pairs at the threshold,
+    and the number of passes.
+
+    ``missed`` is a row a vector: the logarithm of its chance to have missed such
+    a pair in all passes so far, and what each window would have added to it. The
+    driver reads means over all of them.
+    """
+    near = 1 - math.acos(threshold) / math.pi
+    usable = [k for k, w in enumerate(TRIED) if w <= n // 8] or [0]
+    k = max(x for x in usable if TRIED[x] <= max(FIRST_WINDOW, TRIED[usable[0]]))
+    columns = [f"m{x}" for x in usable]
+    links, missed, done, more = [], None, 0, FIRST_PASSES
+    while n > 1 and more:
+        # Some passes at a time, so that few copies of the vectors are on disk at once.
+        more = max(1, min(more, max(FIRST_PASSES, done), ROWS_AT_ONCE // n))
+        of_group, found = _sorted_links(firsts, n, kind, list(range(done, done + more)), TRIED[k], threshold, scratch.write)
+        links.append(scratch.write(reduce(DataFrame.unionByName, of_group).distinct(), "vector-links"))
+        log = lambda x: F.greatest(F.lit(-50.0), F.log1p(-F.pow(F.lit(near), F.get("need", F.lit(x)))))
+        now = found.where("kind = 3").select(F.col("a").alias("id"), log(k).alias("missed"), *[log(x).alias(f"m{x}") for x in usable])
+        whole = now if missed is None else now.unionByName(missed)
+        old, missed = missed, scratch.write(whole.groupBy("id").agg(*[F.sum(c).alias(c) for c in ["missed", *columns]]), "vector-missed")
+        scratch.drop(found, *([] if old is None else [old]))
+        done += more
+        means = [F.avg(F.exp("missed")).alias("now")]
+        means += [F.avg(F.exp(F.col("missed") + F.col(f"m{x}") * (q / done))).alias(f"{x}-{q}") for x in usable for q in MORE]
+        mean = missed.agg(*means).first()
+        if mean["now"] <= 1 - RECALL:
+            break
+        cost = [(q * (TRIED[x] + ROW_COST), x, q) for x in usable for q in MORE if mean[f"{x}-{q}"] <= 1 - RECALL]
+        _, k, more = min(cost, default=(0, usable[-1], MORE[-1]))
+    none = firsts.sparkSession.createDataFrame([], "a long, b long")
+    return reduce(DataFrame.unionByName, links, none), done
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -364,15 +468,11 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     firsts = write(good.join(member.where("id = first"), "id").select("id", "v", "copies"), "vector-firsts")
 
     n = firsts.count()
-    sample = firsts.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow()["v"].combine_chunks()
-    window, passes = plan(n, [_matrix(b.column(0)) for b in _by_length(pa.record_batch([sample], names=["v"]), 0)], threshold)
     # Single precision where the input has no more, to move half the bytes.
     kind = vectors.schema[vector_col].dataType.simpleString()
     kind = kind if kind == "array<float>" else "array<double>"
-    # Some passes at a time, so that few copies of the vectors are on disk at once.
-    at_once = max(1, ROWS_AT_ONCE // max(1, n))
-    links = [x for at in range(0, passes, at_once) for x in _sorted_links(firsts, kind, list(range(at, min(passes, at + at_once))), window, threshold, write)]
-    links = write(reduce(DataFrame.unionByName, links).distinct(), "vector-links")
+    links = _passes(firsts, n, kind, threshold, scratch)[0]
+    links = write(links.distinct(), "vector-links")
     component = connected_components(links)
     linked = _link_counts(firsts, component, threshold, write)
 

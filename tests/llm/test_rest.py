@@ -394,3 +394,28 @@ def test_vectors_of_two_lengths(spark):
     got = {g.vec_id: (g.n_links, g.component_id) for g in embedding_dedup.near_vectors(df).collect()}
     assert linked[60:].sum() > 0
     assert got == {i: (int(linked[i].sum()), union.root(i)) for i in range(len(rows))}
+
+
+def test_passes_are_measured_over_all_vectors(spark, monkeypatch):
+    """No sample decides: what each row needs is taken from the sorted order."""
+    r = np.random.RandomState(6)
+    bits = r.randint(0, 2, (300, 126))
+    bits[:200, :5] = 0
+    bits = bits[np.lexsort(bits.T[::-1])]
+    weights = np.int64(1) << np.arange(63, dtype=np.int64)[::-1]
+    shared = lambda a, b: int(np.append(np.flatnonzero(bits[a] != bits[b]), 126)[0])
+    group = np.where(np.arange(300) // 40 % 2, 40, np.arange(300))  # stretches of one group between rows of their own
+    for root in (np.arange(300), group):
+        got = embedding_dedup.signs_needed(bits[:, :63] @ weights, bits[:, 63:] @ weights, root, [10, 400])
+        for i in range(300):
+            beyond = [next((j for j in side if root[j] != root[i] or root[i] == i), None) for side in (range(i + 11, 300), range(i - 11, -1, -1))]
+            assert got[i].tolist() == [max((shared(i, j) + 1 for j in beyond if j is not None), default=0), 0]
+    monkeypatch.setattr(embedding_dedup, "plan", None)
+    x = r.normal(size=(400, 32))
+    off = r.normal(size=(200, 32))
+    off -= (off * x[:200]).sum(axis=1, keepdims=True) / (x[:200] ** 2).sum(axis=1, keepdims=True) * x[:200]
+    off *= np.linalg.norm(x[:200], axis=1, keepdims=True) / np.linalg.norm(off, axis=1, keepdims=True)
+    rows = np.concatenate([x, x[:200] * 0.952 + off * np.sqrt(1 - 0.952**2)])
+    df = spark.createDataFrame(list(enumerate(rows.tolist())), "vec_id long, embedding array<double>")
+    got = {g.vec_id: (g.n_links, g.component_id) for g in embedding_dedup.near_vectors(df).collect()}
+    assert sum(got[400 + i] == (1, i) for i in range(200)) >= 198
