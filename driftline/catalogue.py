@@ -707,22 +707,30 @@ def parquet_ingest(spark, sf_dir):
     return ingest.sheet_events(back.withColumn("_row_no", F.col("_row_no").cast("long")), "orders")[0].select("row_no", "title", "start_date", "end_date")
 
 
+#: Rows of a workbook: its sheets stay far below the million rows that Excel
+#: has room for, and workbooks, each written by a task, grow in number with the table.
+WORKBOOK_ROWS = 125_000
+
+
 def _workbooks(spark: SparkSession, sf_dir: str) -> str:
-    """Four workbooks, written by tasks, of sheets with different headers, one
-    without rows, and a damaged file beside them."""
+    """Four workbooks, or four of every so many rows, written by tasks, of sheets
+    with different headers, one without rows, and a damaged file beside them. A
+    sheet's name is in every fourth workbook, with its header."""
     e = _read(spark, sf_dir, "events")
+    fours = max(1, -(-e.count() // (4 * WORKBOOK_ROWS)))
     k, day = F.col("event_id"), F.datediff("ts", F.lit("1904-01-01").cast("date")).cast("string")
     sheet = lambda kind: F.concat(F.lit("B"), (k % 4).cast("string"), F.lit(kind))
     texts = lambda *x: F.array(*[c if isinstance(c, Column) else F.lit(c) for c in x])
     title = F.when(k % 7 != 0, F.concat("event_type", F.lit(" <&>")))
-    one = e.where("event_id % 3 = 0").select(sheet("one").alias("sheet_name"), k.alias("n"), texts(title, day, "9/30/2026", F.date_format("ts", "H:mm")).alias("cells"), texts("s", "d", "s", "s").alias("kinds"))
-    two = e.where("event_id % 3 > 0").select(sheet("two").alias("sheet_name"), k.alias("n"), texts(day, F.col("event_type"), day, F.col("user_id").cast("string"), "x").alias("cells"), texts("d", "s", "d", "n", "s").alias("kinds"))
+    book = (F.pmod(F.xxhash64(k), F.lit(fours)) * 4 + k % 4).cast("int").alias("book")
+    one = e.where("event_id % 3 = 0").select(book, sheet("one").alias("sheet_name"), k.alias("n"), texts(title, day, "9/30/2026", F.date_format("ts", "H:mm")).alias("cells"), texts("s", "d", "s", "s").alias("kinds"))
+    two = e.where("event_id % 3 > 0").select(book, sheet("two").alias("sheet_name"), k.alias("n"), texts(day, F.col("event_type"), day, F.col("user_id").cast("string"), "x").alias("cells"), texts("d", "s", "d", "n", "s").alias("kinds"))
     heads = []
     for kind, names in (("one", ["Title", "From", "To", "Start Time"]), ("two", ["종료일", "제목", "DATE", "where", "Name"]), ("three", ["Title", "date"])):
-        heads.append(spark.range(4).select(F.concat(F.lit("B"), F.col("id").cast("string"), F.lit(kind)).alias("sheet_name"), F.lit(-1).cast("long").alias("n"), texts(*names).alias("cells"), texts(*["s"] * len(names)).alias("kinds")))
+        heads.append(spark.range(4 * fours).select(F.col("id").cast("int").alias("book"), F.concat(F.lit("B"), (F.col("id") % 4).cast("string"), F.lit(kind)).alias("sheet_name"), F.lit(-1).cast("long").alias("n"), texts(*names).alias("cells"), texts(*["s"] * len(names)).alias("kinds")))
     rows = reduce(DataFrame.unionByName, [one, two, *heads])
     path = files.shared_folder(spark, "fixture")
-    xlsx.save_workbooks(rows.repartitionByRange(4, "sheet_name").sortWithinPartitions("sheet_name", "n").select("sheet_name", "cells", "kinds"), path, from_1904=True)
+    xlsx.save_workbooks(rows.repartitionById(4 * fours, F.col("book")).sortWithinPartitions("sheet_name", "n").select("sheet_name", "cells", "kinds"), path, from_1904=True)
     with files.open_write(f"{path}/damaged.xlsx") as f:
         f.write(b"PK no workbook")
     return path
@@ -742,7 +750,9 @@ def xlsx_one_sheet(spark, sf_dir):
     path = _workbooks(spark, sf_dir)
     cells, _ = xlsx.xlsx_scan(spark, path, "B2two")
     bad = xlsx.xlsx_scan(spark, path)[1].agg(F.count("*").alias("n")).select(F.lit("unreadable").alias("sheet_name"), "n")
-    return cells.groupBy("sheet_name").agg(F.count("*").alias("n")).unionByName(bad)
+    # All rows, and the header that the workbooks share once.
+    n = F.count_if(F.col("row_no") > 1) + F.count_distinct(F.when(F.col("row_no") == 1, F.col("cells")))
+    return cells.groupBy("sheet_name").agg(n.alias("n")).unionByName(bad)
 
 
 @_query("SELECT (row_number() OVER (ORDER BY event_id) - 1) // 50 AS batch_no, event_id FROM events")

@@ -187,3 +187,17 @@ def test_staged_once(spark, tmp_path):
         ingest.publish(ingest.stage(ingest.sheet_rows(grid.where("_row_no = 1"), "s")[0], str(tmp_path)), f"{tmp_path}/events")
     with pytest.raises(ValueError, match="no events"):
         ingest.publish(ingest.stage(ingest.sheet_rows(grid.where("_row_no < 0"), "s")[0]), f"{tmp_path}/none")
+
+
+def test_plain_dates_need_no_tokens(spark):
+    """The short way gives what the table of shapes gives, and is taken."""
+    from itertools import product
+
+    from driftline.functions import dates
+
+    days = [f"{y}{s}{m}{s}{d}" for y, m, d, s in product(("2026", "0000", "0001", "2024", "26"), ("02", "2", "13", "00", "12"), ("29", "30", "1", "00", "07"), "-/")]
+    days += [f"{a}/{b}/{y}" for a, b, y in product(("02", "2", "13", "31", "0"), ("29", "30", "1", "12"), ("2026", "2024", "0000", "26"))]
+    texts = [d + t for d in days for t in ("", " 00:00:00", " 23:59:59", " 24:00:00", " 12:60:00", "T10:00", " 1:02:03", "\n", " x")] + ["", "x", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", dates.recognise(F.col("t")).alias("a"), dates.by_shape(F.col("t")).alias("b"))
+    got = df.collect()
+    assert [r for r in got if r.a != r.b and not (r.t or "").endswith("\n")] == [] and sum(r.a is not None for r in got) > 100

@@ -147,3 +147,33 @@ def test_a_long_sheet_in_bounded_memory(tmp_path):
     code = "import resource, sys; from driftline.sources.xlsx import _book_rows; before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss; n = sum(1 for _ in _book_rows('p', open(sys.argv[1], 'rb'), None, None, False)); print(n, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before)"
     n, grown = map(int, subprocess.run([sys.executable, "-c", code, str(path)], capture_output=True, text=True, check=True).stdout.split())
     assert n == 1_000_000 and grown < 60_000 and resource.RUSAGE_SELF == 0  # kB
+
+
+@pytest.mark.parametrize("name", ["xlsx_ingest", "xlsx_one_sheet"])
+def test_workbooks_grow_in_number_with_the_table(spark, monkeypatch, name):
+    import duckdb
+
+    from driftline import catalogue
+
+    monkeypatch.setattr(catalogue, "WORKBOOK_ROWS", 100)
+    folder, made = "/root/testdata/sf0.001", []
+    make = catalogue._workbooks
+    monkeypatch.setattr(catalogue, "_workbooks", lambda *x: made.append(make(*x)) or made[-1])
+    duckdb.sql(f"CREATE OR REPLACE VIEW events AS FROM '{folder}/events.parquet'")
+    events = duckdb.sql("SELECT count(*) FROM events").fetchall()[0][0]
+    got = sorted(map(str, (tuple(r) for r in catalogue.QUERIES[name](spark, folder).collect())))
+    assert got == sorted(map(str, duckdb.sql(catalogue.ORACLE_SQL[name]).fetchall()))
+    books = [Workbook(open(f, "rb")) for f in (x.removeprefix("file:") for x in xlsx.files.list_files(spark, made[0])) if "damaged" not in f]
+    assert len(books) == 4 * -(-events // 400) > 4
+    assert all(sum(1 for _, _, part in b.sheets for _ in b.rows(part)) < 200 for b in books)
+
+
+def test_parts_of_a_cell_that_are_no_value():
+    """Formulas, phonetic readings, runs, second values and elements outside the rows."""
+    M = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    cells = """<c r="B1" t="inlineStr"><f>1</f><v>no</v><is><r><rPr/><t>a &lt;</t></r><rPh sb="0" eb="1"><t>no</t></rPh><r><t>b</t></r></is></c>
+      <c t="n"><f>2+2</f><v>4.0</v><v>5</v></c><c r="AA1" t="str"><v>x</v><is><t>no</t></is></c><c t="inlineStr"/><c t="n"><v/></c>"""
+    sheet = f'<worksheet {M}><row r="9"><c><v>8</v></c></row><sheetData><row r="1">{cells}</row><row><c t="b"><v>1</v></c></row><row r="5"><c t="inlineStr"><is><t> </t></is></c></row></sheetData></worksheet>'
+    got = xlsx._Sheet(lambda kind, style, text: f"{kind}:{text}")
+    got.feed(sheet.encode()), got.feed(b"")
+    assert got.found == [(1, [None, "a <b", "n:4.0", *[None] * 23, "str:x", None, None]), (2, ["b:1"])]
