@@ -78,6 +78,12 @@ def rename(spark: SparkSession, source: str, target: str) -> None:
         raise FileExistsError(target)
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(conf).delete(p, True)
+
+
 def scheme(path: str) -> str:
     m = re.match(r"([A-Za-z][A-Za-z0-9+.-]*):", path)
     return m[1].lower() if m else "file"

@@ -95,8 +95,9 @@ class KeyedTable:
     def _written(self, m: Manifest, rows: DataFrame, touched: Sequence[int]) -> Manifest:
         """The manifest with new folders for the touched buckets."""
         version = f"{self.root}/data/{m.number:012d}-{uuid.uuid4().hex}"
-        placed = rows.withColumn(_BUCKET, self._bucket(m, F.col(m.key)))
-        placed = placed.repartition(_BUCKET).sortWithinPartitions(_BUCKET, m.key)
+        if _BUCKET not in rows.columns:  # else they are dealt already
+            rows = rows.withColumn(_BUCKET, self._bucket(m, F.col(m.key))).repartition(_BUCKET)
+        placed = rows.sortWithinPartitions(_BUCKET, m.key)
         placed.write.partitionBy(_BUCKET).option(f"parquet.bloom.filter.enabled#{m.key}", "true").parquet(version)
         full = {int(p.split(f"{_BUCKET}=")[1].split("/")[0]) for p in self._below(version)}
         folders = {b: f for b, f in m.folders.items() if int(b) not in set(touched)}
@@ -114,8 +115,10 @@ class KeyedTable:
         if not rows.where(F.col(m.key).isNull()).isEmpty():
             raise NotUnique(f"{m.key}: null")
 
-    def _rewrite(self, keys: DataFrame, change: Callable[[DataFrame], DataFrame], token: str | None, check: bool = True) -> bool:
-        """``change`` the buckets that the keys fall in; False if the token was seen."""
+    def _rewrite(self, keys: DataFrame, change: Callable[[DataFrame], DataFrame], token: str | None, check: bool = True, repeats: bool = True) -> bool:
+        """``change`` the buckets that the keys fall in; False if the token was
+        seen. Where the change can't repeat a key, ``repeats`` is False, and only
+        the unique columns are checked."""
         m = self.manifest()
         if token is not None and token in m.tokens:
             return False
@@ -125,7 +128,8 @@ class KeyedTable:
         if touched:
             rows = change(self._read(m, touched))
             if check:
-                self._check(m, rows, [m.key])
+                if repeats:
+                    self._check(m, rows, [m.key])
                 if m.unique:  # the other buckets' values are read, not their rows
                     rest = self._read(m, [b for b in range(m.buckets) if b not in set(touched)])
                     self._check(m, rows.select(m.key, *m.unique).unionByName(rest.select(m.key, *m.unique)), m.unique)
@@ -146,11 +150,36 @@ class KeyedTable:
 
     def apply(self, plan: DataFrame, token: str | None = None) -> bool:
         """A sync's plan on a snapshot of remote events: inserts, updates and
-        deletes, in the buckets of their ids only."""
-        from driftline.operators.apply import apply_plan, new_id
+        deletes, in the buckets of their ids only.
 
-        keys = plan.where("action in ('insert', 'update', 'delete')").select(F.when(F.col("action") == "insert", new_id()).otherwise(F.col("remote_id")).alias("id"))
-        return self._rewrite(keys, lambda old: apply_plan(old, plan).dropDuplicates(["id"]), token)
+        The plan is evaluated once, into a folder that goes afterwards. Rows of
+        the table and of the plan then meet in their bucket, by one shuffle that
+        also serves the write; of several rows with an id the plan's counts.
+        """
+        from driftline.operators.apply import new_id
+
+        m = self.manifest()
+        if token is not None and token in m.tokens:
+            return False
+        staged = f"{self.root}/plans/{uuid.uuid4().hex}"
+        acts = plan.where("action = 'insert' or (action in ('update', 'delete') and remote_id is not null)")
+        acts = acts.select(F.when(F.col("action") == "insert", new_id()).otherwise(F.col("remote_id")).alias("id"), F.when(F.col("action") != "delete", F.col("payload")).alias("payload"))
+        acts.write.parquet(staged)
+        acts = self.spark.read.schema(acts.schema).parquet(staged)
+
+        def change(old: DataFrame) -> DataFrame:
+            shown = [c for c in old.columns if c != "id"]
+            kept = old.select("id", F.struct(*shown).alias("row"), F.lit(0).alias("rank"))
+            new = acts.select("id", F.when(F.col("payload").isNotNull(), F.struct(*[F.col(f"payload.{c}").alias(c) for c in shown])).alias("row"), F.when(F.col("payload").isNotNull(), 2).otherwise(1).alias("rank"))
+            met = kept.unionByName(new).withColumn(_BUCKET, self._bucket(m, F.col("id"))).repartition(_BUCKET)
+            # Rows of an id are in one task already: no shuffle.
+            last = met.groupBy(_BUCKET, "id").agg(F.max_by("row", "rank").alias("row"), F.max("rank").alias("rank"))
+            return last.where("rank <> 1").select("id", "row.*", _BUCKET)
+
+        try:
+            return self._rewrite(acts.select("id"), change, token, repeats=False)
+        finally:
+            files.delete_folder(self.spark, staged)
 
     # -- reads ------------------------------------------------------------------------
 

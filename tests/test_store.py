@@ -115,3 +115,26 @@ def test_occurrences(spark):
     assert got["few"] == {"2026-01-01", "2026-01-02"}
     assert set(got) == {"day", "end", "four", "until", "few"}
     assert {r.occurrence.year for r in recurrence.occurrences(series.where("id = 'leap'"), "2024-01-01", "2033-01-01").collect()} == {2024, 2028, 2032}
+
+
+def test_a_plan_is_evaluated_once(spark, tmp_path):
+    """However often an application reads it; and what it does with ids that meet."""
+    payload = "struct<summary:string, location:string>"
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(x: int) -> int:
+        seen.add(1)
+        return x
+
+    t = store.KeyedTable(spark, str(tmp_path)).create(spark.createDataFrame([(f"r{i}", f"s{i}", "here") for i in range(20)], "id string, summary string, location string"), "id", 4)
+    rows = [(i, "update" if i < 5 else "delete" if i < 10 else "noop", f"t{i}", f"r{i}", (f"new{i}", None)) for i in range(15)]
+    rows += [(20, "insert", "t20", None, ("in", "there")), (21, "delete", "t21", None, None), (22, "delete", "t1", "r1", None)]
+    plan = spark.createDataFrame(rows, f"n int, action string, title string, remote_id string, payload {payload}").withColumns({"start_date": F.lit("2026-01-01"), "end_date": F.lit("2026-01-01")})
+    plan = plan.where(F.udf(count, "int")("n") >= 0)
+    want = {(f"r{i}", f"new{i}" if i < 5 else f"s{i}", None if i < 5 else "here") for i in range(20) if not 5 <= i < 10}
+    for run in (1, 2):
+        t.apply(plan)
+        got = {(r.id, r.summary, r.location) for r in t.read().collect()}
+        assert seen.value == run * 12  # those that act
+        assert {g for g in got if g[0][0] == "r" and len(g[0]) < 4} == want and {g[1:] for g in got - want} == {("in", "there")} and len(got) == 16
+    assert not list((tmp_path / "plans").iterdir())
