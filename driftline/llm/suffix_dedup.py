@@ -11,25 +11,30 @@ what they say of one another goes back to their blocks as replies.
 
 Suffixes begin at anchors, so that one in fourteen is sorted, not all. The
 anchor of a 50-byte string is its 24-byte string (core) of least hash: equal
-strings have equal anchors. Three merges, each over what the last left open:
+strings have equal anchors. Three rounds, each over what the last left open:
 
-1. cores. Strings whose core no other text has can't occur elsewhere.
-2. for shared cores the whole stretch of the strings that have this anchor. If a
-   text with a smaller id has the stretch, all its strings are found; if there
-   is one stretch only for a core, none else is.
-3. for the others, at the ends of matches, every single 50-byte string.
+1. cores. Strings whose core no other text has can't occur elsewhere, and need
+   no sorting: a core whose fingerprint no other text has is left out.
+2. for the others the whole stretch of the strings that have this anchor goes
+   through the merge. If a text with a smaller id has the stretch, all its
+   strings are found. Stretches of one core leave the trees side by side, and
+   their single strings are compared there, by what they share left and right.
+3. where a core's stretches fill more than a part, its single 50-byte strings
+   go through a merge of their own. Most inputs have no such core.
 
-Nothing is decided by hashes: they choose anchors, and results compare bytes.
+Nothing is found by hashes: they choose anchors, and equal fingerprints only let
+cores through to the merge, where results compare bytes.
 
 Defined cases: null and empty texts have nothing to remove; rows without an id
 neither remove nor lose anything; rows with the same id don't remove from one
 another; an empty table gives no rows; other columns are ignored. A text longer
-than a block is a block by itself and is worked on a megabyte at a time.
+than a block is a block by itself and is worked on a quarter of a megabyte at a time.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -43,16 +48,23 @@ from driftline.llm.common import Scratch, open_write, partitions, runs, ship
 
 WINDOW = 50
 CORE = 24
-CHUNK = 1 << 20
+#: Bytes scanned at a time: arrays of its positions stay in the cache.
+CHUNK = 1 << 18
 #: Suffixes in a sorted run, and in a part, at most but for equal ones.
 RUN = 1 << 20
 PART = 1 << 20
 #: Bytes of a key in each merge: whole words.
-WIDTH = {1: 24, 2: 80, 3: 56}
+WIDTH = {2: 80, 3: 56}
+#: Bytes of a core's fingerprint.
+PRINT = 6
+#: States of an anchor: a bit for each string that is to go, by the bytes it has
+#: before the core; all of them; what the next round has to tell.
+_SIDE = WINDOW - CORE
+_ALL = np.uint32((1 << (_SIDE + 1)) - 1)
+_OPEN = np.uint32(1 << 31)
 _LOW = np.uint64((1 << 24) - 1)
 _PAD = b"\0" * 96
-_REPLY = "block long, round int, run int, part int, data binary"
-_STEPS = np.uint64(1) << (np.arange(8, dtype=np.uint64) * np.uint64(8))
+_REPLY = "block long, round int, run int, part int, open long, data binary"
 
 
 # -- anchors -----------------------------------------------------------------------
@@ -99,6 +111,7 @@ class Chunk:
         for at in range(8, CORE, 8):
             h = (h ^ w[at : n + at]) * np.uint64(0xC4CEB9FE1A85EC53)
             h ^= h >> np.uint64(31)
+        whole = h
         h = _least((h & ~_LOW) | np.arange(n, dtype=np.uint64), WINDOW - CORE + 1)
         at = np.repeat(self.start, self.strings_of) + runs(self.strings_of)
         piece = np.repeat(np.arange(len(self.start)), self.strings_of)
@@ -107,6 +120,8 @@ class Chunk:
         self.anchor, self.first = least[new].astype(np.int64), at[new]
         self.last = np.append(at[new[1:] - 1], at[-1])
         self.piece = piece[new]
+        h = whole[self.anchor] * np.uint64(0x9FB21C651E98DF25)
+        self.prints = (h ^ (h >> np.uint64(32))) >> np.uint64(64 - 8 * PRINT)
 
     def shown(self) -> tuple[np.ndarray, np.ndarray]:
         """The anchors in two bytes each: more strings, and from the last to it."""
@@ -124,15 +139,11 @@ class Chunk:
         self.anchor = self.last + gap[:n]
         return n
 
-    def cores(self) -> np.ndarray:
-        w = _words(self.buf)
-        return np.stack([w[self.anchor + i] for i in range(0, CORE, 8)], axis=1)
-
     def stretches(self, which: np.ndarray) -> np.ndarray:
         """The core, then what stands right and left of it in the strings."""
         a, s, e = self.anchor[which], self.first[which], self.last[which] + WINDOW
         data = np.frombuffer(self.buf, np.uint8)
-        side = np.arange(WINDOW - CORE)
+        side = np.arange(_SIDE)
         key = np.zeros((len(a), WIDTH[2]), dtype=np.uint8)
         key[:, :CORE] = data[a[:, None] + np.arange(CORE)]
         key[:, CORE], key[:, CORE + 1] = e - a, a - s
@@ -204,7 +215,7 @@ class Block:
             which = np.flatnonzero(which)
             owner = self.numbers[c.row[c.piece[which]]]
             if round_ == 1:
-                keys.append(c.cores())
+                keys.append(c.prints)
             elif round_ == 2:
                 keys.append(c.stretches(which))
             else:
@@ -224,10 +235,9 @@ class Block:
 
 def _bytes(x: np.ndarray) -> np.ndarray:
     """How many bytes a number above zero has."""
-    n = np.ones(len(x), dtype=np.int16)
-    for step in _STEPS[1:]:
-        n += x >= step
-    return n
+    # The highest bit and no bit after it: no rounding reaches the next power.
+    power = (x & ~(x >> np.uint64(1))).astype(np.float64).view(np.int64) >> 52
+    return (((power - 1023) >> 3) + 1).astype(np.int16)
 
 
 def _common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -303,18 +313,17 @@ def _send(block: int, number: int, round_: int, run: tuple, splitters: list[byte
     at = np.append(0, np.cumsum(width - common.astype(np.int64)))
     for part, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
         if a < b:
-            said = np.packbits(low[a:b] != high[a:b]) if round_ == 1 else low[a:b]
-            yield part, block, number, pack(common[a:b], rest[at[a] : at[b]], said)
+            yield part, block, number, pack(common[a:b], rest[at[a] : at[b]], low[a:b])
 
 
 def _received(data: list[bytes], round_: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Keys of runs one after another, common prefixes, where runs begin, and
-    what was said of each key (1: texts differ; else: the least id)."""
+    the least id of each key."""
     width = WIDTH[round_]
-    got = [unpack(d, np.uint8, np.uint8, np.uint8 if round_ == 1 else np.int64) for d in data]
+    got = [unpack(d, np.uint8, np.uint8, np.int64) for d in data]
     common = np.concatenate([g[0] for g in got])
     starts = np.append(0, np.cumsum([len(g[0]) for g in got]))
-    said = np.concatenate([np.unpackbits(g[2], count=len(g[0])).astype(bool) if round_ == 1 else g[2] for g in got])
+    said = np.concatenate([g[2] for g in got])
     flat = np.zeros((len(common), width), dtype=np.uint8)
     flat[np.arange(width) >= common[:, None]] = np.concatenate([g[1] for g in got])
     column, row = np.ascontiguousarray(flat.T), np.arange(len(common), dtype=np.int32)
@@ -329,6 +338,51 @@ def _received(data: list[bytes], round_: int) -> tuple[np.ndarray, np.ndarray, n
     return np.ascontiguousarray(column.T).view(">u8").astype(np.uint64), common, starts, said
 
 
+# -- fingerprints ------------------------------------------------------------------
+
+
+def _send_prints(block: int, number: int, prints: np.ndarray, ids: np.ndarray, parts: int) -> tuple[list[tuple], np.ndarray]:
+    """The distinct fingerprints of a run in equal ranges, as differences and
+    whether texts with several ids have each; and which of them every row has."""
+    order = np.argsort(prints)
+    prints, ids = prints[order], ids[order]
+    new = np.append(True, prints[1:] != prints[:-1])
+    at = np.flatnonzero(new)
+    of_row = np.empty(len(order), dtype=np.int32)
+    of_row[order] = np.cumsum(new) - 1
+    prints, several = prints[at], np.minimum.reduceat(ids, at) != np.maximum.reduceat(ids, at)
+    inner = [(i << 8 * PRINT) // parts for i in range(1, parts)]
+    bounds = [0, *np.searchsorted(prints, np.array(inner, dtype=np.uint64)).tolist(), len(prints)]
+    out = []
+    for part, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+        if a < b:
+            steps = np.diff(prints[a:b], prepend=np.uint64(0))
+            out.append((part, block, number, pack(steps.view(np.uint8).reshape(-1, 8)[:, :PRINT].T, np.packbits(several[a:b]))))
+    return out, of_row
+
+
+def _shared_prints(data: list[bytes]) -> list[bytes]:
+    """For each run, which of its fingerprints texts with several ids have."""
+    prints, several = [], []
+    for d in data:
+        steps, said = unpack(d, np.uint8, np.uint8)
+        n = len(steps) // PRINT
+        raw = np.zeros((n, 8), dtype=np.uint8)
+        raw[:, :PRINT] = steps.reshape(PRINT, n).T
+        prints.append(np.cumsum(raw.view(np.uint64).ravel(), dtype=np.uint64))
+        several.append(np.unpackbits(said, count=n).astype(bool))
+    starts = np.append(0, np.cumsum([len(x) for x in prints]))
+    prints, several = np.concatenate(prints), np.concatenate(several)
+    order = np.argsort(prints)
+    prints = prints[order]
+    equal = prints[1:] == prints[:-1]
+    # Of equal ones in different runs the ids may be the same: the merge will tell.
+    found = several[order] | np.append(equal, False) | np.append(False, equal)
+    back = np.empty_like(found)
+    back[order] = found
+    return [pack(np.packbits(back[a:b]), np.array([b - a])) for a, b in zip(starts[:-1], starts[1:], strict=True)]
+
+
 # -- loser trees -------------------------------------------------------------------
 
 
@@ -365,19 +419,16 @@ def merge(keys: np.ndarray, common: np.ndarray, starts: np.ndarray) -> tuple[np.
     def compare(a: np.ndarray, b: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether b is less than a, and what they have in common, of which
         ``known`` bytes are known: nothing before is looked at."""
-        word = known.astype(np.int32) >> 3
-        less, both = np.zeros(len(a), dtype=bool), np.full(len(a), 8 * words, dtype=np.int16)
-        left = np.flatnonzero(word < words)
-        while len(left):
-            x, y = flat.take(a[left] * words + word[left]), flat.take(b[left] * words + word[left])
-            differ = x != y
-            done = left[differ]
-            less[done] = y[differ] < x[differ]
-            both[done] = 8 * word[done] + 8 - _bytes(x[differ] ^ y[differ])
-            left = left[~differ]
-            word[left] += 1
-            left = left[word[left] < words]
-        return less, both
+        word = np.minimum(known.astype(np.int32) >> 3, words - 1)
+        x, y = flat.take(a * words + word), flat.take(b * words + word)
+        again = np.flatnonzero(x == y)
+        if len(again):  # all words at once
+            rows, others = keys[a[again]], keys[b[again]]
+            next_ = (rows != others).argmax(axis=1).astype(np.int32)
+            at = np.arange(len(again))
+            x[again], y[again], word[again] = rows[at, next_], others[at, next_], next_
+        diff = x ^ y
+        return y < x, np.where(diff == 0, 8 * words, 8 * word + 8 - _bytes(np.maximum(diff, np.uint64(1)))).astype(np.int16)
 
     def play(tree: np.ndarray, a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray) -> tuple[np.ndarray, ...]:
         """Winner and loser of runs a and b, each with its common prefix: the
@@ -428,39 +479,106 @@ def merge(keys: np.ndarray, common: np.ndarray, starts: np.ndarray) -> tuple[np.
 # -- merges and replies --------------------------------------------------------------
 
 
-def _merge_part(round_: int, rows: pa.Table) -> pa.Table:
+def _sides(group: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order of rows by group and the bytes beside the core, the bytes each
+    row has in common with the one before, and the most with any of its group."""
+    words = np.zeros((len(group), 32), dtype=np.uint8)
+    words[:, :_SIDE] = side
+    keys = np.column_stack([group.astype(np.uint64), words.view(">u8").astype(np.uint64)])
+    order = _order(keys)
+    common = np.minimum(np.append(0, _common(keys[order[1:]], keys[order[:-1]])) - 8, _SIDE)
+    most = np.empty(len(order), dtype=np.int64)
+    most[order] = np.maximum(common, np.append(common[1:], -8))
+    return order, common, most
+
+
+def _found(keys: np.ndarray, group: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Which single strings of different stretches texts with smaller ids have
+    than the stretch: a bit for each, by its bytes before the core.
+
+    ``group`` numbers the cores. A string is the same in two stretches of a core
+    if they share its bytes right of the core and left of it.
+    """
+    out = np.zeros(len(keys), dtype=np.uint32)
+    raw = keys.astype(">u8").view(np.uint8).reshape(len(keys), WIDTH[2])
+    right, left = raw[:, CORE].astype(np.int64) - CORE, raw[:, CORE + 1].astype(np.int64)
+    # Only rows that share enough bytes with any other go on, first by the right side.
+    rows = np.flatnonzero(np.minimum(right, _sides(group, raw[:, 26:52])[2]) + left >= _SIDE)
+    if not len(rows):
+        return out
+    group, raw, right, left, least = group[rows], raw[rows], right[rows], left[rows], least[rows]
+    away = left[:, None] - 1 - np.arange(_SIDE)  # left bytes from the core on
+    back = np.where(away >= 0, np.take_along_axis(raw, 52 + np.maximum(away, 0), axis=1), 0)
+    order_r, common_r, most_r = _sides(group, raw[:, 26:52])
+    order_l, common_l, most_l = _sides(group, back)
+    right, left = np.minimum(right, most_r), np.minimum(left, most_l)
+
+    def classes(order: np.ndarray, common: np.ndarray, depth: int) -> np.ndarray:
+        number = np.empty(len(order), dtype=np.int64)
+        number[order] = np.cumsum(common < depth)
+        return number
+
+    found = np.zeros(len(rows), dtype=np.uint32)
+    for before in range(_SIDE + 1):
+        has = np.flatnonzero((left >= before) & (right >= _SIDE - before))
+        if not len(has):
+            continue
+        pair = (classes(order_l, common_l, before)[has] << 32) | classes(order_r, common_r, _SIDE - before)[has]
+        order = np.argsort(pair)
+        pair, has = pair[order], has[order]
+        new = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+        first = np.repeat(np.minimum.reduceat(least[has], new), np.diff(np.append(new, len(pair))))
+        found[has] |= (first < least[has]).astype(np.uint32) << np.uint32(before)
+    out[rows] = found
+    return out
+
+
+def _merge_part(round_: int, splitters: list[bytes], rows: pa.Table) -> pa.Table:
     """Replies to every run of a part. What tasks keep for themselves passes."""
     part = rows["part"][0].as_py()
     blocks, numbers, data = (rows[c].to_pylist() for c in ("block", "run", "data"))
     if part < 0:
-        return _reply(blocks, [0] * len(blocks), numbers, [part] * len(blocks), data)
+        return _reply(blocks, [0] * len(blocks), numbers, [part] * len(blocks), [0] * len(blocks), data)
     by_run = sorted(range(len(blocks)), key=lambda i: (blocks[i], numbers[i]))
     blocks, numbers, data = ([x[i] for i in by_run] for x in (blocks, numbers, data))
-    keys, common, starts, said = _received(data, round_)
-    order, shared = merge(keys, common, starts)
-    new = np.flatnonzero(np.append(True, shared[1:] < WIDTH[round_]))
-    size = np.diff(np.append(new, len(order)))
+    open_ = [0] * len(blocks)
     if round_ == 1:
-        value = np.repeat((size > 1) | np.logical_or.reduceat(said[order], new), size)
+        pieces = _shared_prints(data)
     else:
-        value = np.repeat(np.minimum.reduceat(said[order], new), size)
-    back = np.empty_like(value)
-    back[order] = value
-    more = np.ones(len(order), dtype=bool)
-    if round_ == 2:  # whether a core has several stretches; at the part's ends it may
-        core = np.cumsum(np.append(True, shared[1:] < CORE)) - 1
-        several = np.bincount(core[new]) > 1
-        several[[0, -1]] = True
-        more[order] = several[core]
-    pieces = []
-    for a, b in zip(starts[:-1], starts[1:], strict=True):
-        pieces.append(pack(np.packbits(back[a:b]), np.array([b - a])) if round_ == 1 else pack(back[a:b], np.packbits(more[a:b])))
-    return _reply(blocks, [round_] * len(blocks), numbers, [part] * len(blocks), pieces)
-
-
-def _reply(block: list, round_: list, run: list, part: list, data: list) -> pa.Table:
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-    return pa.table([pa.array(c, k) for c, k in zip((block, round_, run, part, data), kinds, strict=True)], names=["block", "round", "run", "part", "data"])
+        keys, common, starts, said = _received(data, round_)
+        order, shared = merge(keys, common, starts)
+        new = np.flatnonzero(np.append(True, shared[1:] < WIDTH[round_]))
+        size = np.diff(np.append(new, len(order)))
+        least = np.minimum.reduceat(said[order], new)
+        back = np.empty_like(said)
+        back[order] = np.repeat(least, size)
+        pieces = []
+        if round_ == 2:
+            core = np.cumsum(np.append(True, shared[1:] < CORE))[new] - 1
+            several = np.bincount(core) > 1
+            # Of a core that is cut by the part's ends the strings stay open.
+            cut = np.zeros(len(several), dtype=bool)
+            for end, at in ((part - 1, 0), (part, -1)):
+                if 0 <= end < len(splitters) and len(splitters[end]) > CORE:
+                    cut[at] |= _texts(keys[order[at : at + 1 or None]])[0][:CORE].ljust(CORE, b"\0") == splitters[end][:CORE]
+            state = np.where(cut[core], _OPEN, np.uint32(0))
+            among = np.flatnonzero((several & ~cut)[core])
+            if len(among):
+                state[among] = _found(keys[order[new[among]]], core[among], least[among])
+            of = np.empty(len(order), dtype=np.uint32)
+            of[order] = np.repeat(state, size)
+        for i, (a, b) in enumerate(zip(starts[:-1], starts[1:], strict=True)):
+            if round_ == 2:
+                pieces.append(pack(back[a:b], of[a:b]))
+                open_[i] = int((of[a:b] == _OPEN).sum())
+            else:
+                pieces.append(pack(back[a:b]))
+    return _reply(blocks, [round_] * len(blocks), numbers, [part] * len(blocks), open_, pieces)
+
+
+def _reply(block: list, round_: list, run: list, part: list, open_: list, data: list) -> pa.Table:
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+    return pa.table([pa.array(c, k) for c, k in zip((block, round_, run, part, open_, data), kinds, strict=True)], names=["block", "round", "run", "part", "open", "data"])
 
 
 class Notes:
@@ -479,7 +597,7 @@ class Notes:
 
     def last(self) -> tuple[np.ndarray, list[np.ndarray]]:
         anchors = [np.uint8, np.uint8] if len(self.files) == 1 else []
-        state, of_row, sizes = unpack(read_bytes(self.files[-1]), *anchors, np.uint8, np.int32, np.int64)[-3:]
+        state, of_row, sizes = unpack(read_bytes(self.files[-1]), *anchors, np.uint32, np.int32, np.int64)[-3:]
         return state, np.split(of_row, np.cumsum(sizes)[:-1]) if len(sizes) else []
 
 
@@ -502,10 +620,10 @@ def _state(rows: pa.Table) -> tuple[Notes, dict[int, list[bytes]]]:
 
 
 def _after(block: Block, round_: int, notes: Notes, replies: dict[int, list[bytes]]) -> tuple[np.ndarray, np.ndarray | None]:
-    """State of each anchor after a merge (0: no string of it is to go, 1: all
-    are, 2: open) and, after the third, the least id of each open string."""
+    """State of each anchor after a round and, after the third, the least id of
+    each open string."""
     if round_ == 0:
-        return np.full(block.anchors, 2, dtype=np.uint8), None
+        return np.full(block.anchors, _OPEN), None
     state, of_rows = notes.last()
     none = np.empty(0, dtype=np.int64)
     if round_ == 1:
@@ -513,34 +631,37 @@ def _after(block: Block, round_: int, notes: Notes, replies: dict[int, list[byte
         for run, of_row in enumerate(of_rows):
             said = [unpack(d, np.uint8, np.int64) for d in replies[run]]
             shared.append(np.concatenate([np.unpackbits(b, count=int(n[0])) for b, n in said])[of_row])
-        return 2 * np.concatenate(shared), None
-    least, more = [none], [none.astype(bool)]
+        return np.where(np.concatenate(shared), _OPEN, np.uint32(0)), None
+    least, found = [none], [none.astype(np.uint32)]
     for run, of_row in enumerate(of_rows):
-        said = [unpack(d, np.int64, np.uint8) for d in replies[run]]
+        said = [unpack(d, np.int64, np.uint32) if round_ == 2 else (*unpack(d, np.int64), none.astype(np.uint32)) for d in replies[run]]
         least.append(np.concatenate([v for v, _ in said])[of_row])
-        more.append(np.concatenate([np.unpackbits(f, count=len(v)).astype(bool) for v, f in said])[of_row])
-    least, more = np.concatenate(least), np.concatenate(more)
+        if round_ == 2:
+            found.append(np.concatenate([f for _, f in said])[of_row])
+    least, found = np.concatenate(least), np.concatenate(found)
     if round_ == 3:
         return state, least
-    open_ = np.flatnonzero(state == 2)
+    open_ = np.flatnonzero(state == _OPEN)
     owner = np.concatenate([none, *[block.numbers[c.row[c.piece]] for c in block.chunks]])
-    gone = owner[open_] > least
-    state = np.zeros(block.anchors, dtype=np.uint8)
-    state[open_[gone]] = 1
-    state[open_[~gone & more]] = 2
+    state = np.zeros(block.anchors, dtype=np.uint32)
+    state[open_] = np.where(owner[open_] > least, _ALL, found)
     return state, None
 
 
-def _sort_block(round_: int, splitters: list[bytes], rows: pa.Table) -> pa.Table:
+def _sort_block(round_: int, parts: int, splitters: list[bytes], rows: pa.Table) -> pa.Table:
     """The runs of one block for a merge, and where its task kept what."""
     notes, replies = _state(rows)
     block = Block(notes.path, notes.files)
     state, _ = _after(block, round_ - 1, notes, replies)
     out, of_rows = [], []
-    for run, (keys, ids) in enumerate(block.suffixes(round_, None if round_ == 1 else state == 2)):
-        sorted_ = _sorted_run(keys, ids)
-        out.extend(_send(notes.block, run, round_, sorted_, splitters))
-        of_rows.append(sorted_[-1])
+    for run, (keys, ids) in enumerate(block.suffixes(round_, None if round_ == 1 else state == _OPEN)):
+        if round_ == 1:
+            sent, of_row = _send_prints(notes.block, run, keys, ids, parts)
+        else:
+            sorted_ = _sorted_run(keys, ids)
+            sent, of_row = _send(notes.block, run, round_, sorted_, splitters), sorted_[-1]
+        out.extend(sent)
+        of_rows.append(of_row)
     shown = [c.shown() for c in block.chunks] if round_ == 1 else []
     anchors = [np.concatenate([np.empty(0, np.uint8), *x]) for x in zip(*shown, strict=True)] if shown else [np.empty(0, np.uint8)] * 2 if round_ == 1 else []
     kept = notes.keep(round_, *anchors, state, np.concatenate([np.empty(0, np.int32), *of_rows]), np.array([len(o) for o in of_rows], dtype=np.int64))
@@ -549,16 +670,19 @@ def _sort_block(round_: int, splitters: list[bytes], rows: pa.Table) -> pa.Table
     return pa.table([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["part", "block", "run", "data"])
 
 
-def _finish(id_kind: pa.DataType, rows: pa.Table) -> pa.Table:
-    """What is left of the texts of one block."""
+def _finish(id_kind: pa.DataType, last: int, rows: pa.Table) -> pa.Table:
+    """What is left of the texts of one block after the last round."""
     notes, replies = _state(rows)
     block = Block(notes.path, notes.files)
-    states, least = _after(block, 3, notes, replies)
+    states, least = _after(block, last, notes, replies)
     covered: dict[int, np.ndarray] = {}
     at = 0
     for c, state in block.cut(states):
-        sure, open_ = np.flatnonzero(state == 1), np.flatnonzero(state == 2)
-        begin, end = [c.first[sure]], [c.last[sure] + WINDOW]
+        sure, open_ = np.flatnonzero(state == _ALL), np.flatnonzero(state == _OPEN)
+        some = np.flatnonzero((state > 0) & (state < _ALL))
+        which, before = np.nonzero(state[some, None] >> np.arange(_SIDE + 1, dtype=np.uint32) & np.uint32(1))
+        single = c.anchor[some[which]] - before
+        begin, end = [c.first[sure], single], [c.last[sure] + WINDOW, single + WINDOW]
         if len(open_):
             places = c.places(open_)
             owner = np.repeat(block.numbers[c.row[c.piece[open_]]], c.last[open_] - c.first[open_] + 1)
@@ -611,6 +735,13 @@ def _splitters(sample: DataFrame, column: str, width: int, parts: int) -> list[b
     return sorted({got[len(got) * i // parts].rstrip(b"\0") for i in range(1, parts)}) if got else []
 
 
+def _at_cores(splitters: list[bytes]) -> list[bytes]:
+    """Splitters where cores begin, except within those that fill more than a part."""
+    core = [s[:CORE].ljust(CORE, b"\0") for s in splitters]
+    times = Counter(core)
+    return sorted({c.rstrip(b"\0") if times[c] == 1 else s for c, s in zip(core, splitters, strict=True)})
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK, part_rows: int = PART) -> DataFrame:
     """Per row: id, n_bytes, n_removed, n_spans (maximal removed runs) and
     kept_sha256 of the bytes that stay.
@@ -626,15 +757,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sample = scratch.write(blocks.repartition(partitions(spark), "block").select("path").mapInArrow(_sample, "stretch binary, string binary"), "suffix-sample")
     n_blocks, size = blocks.agg(F.count("*"), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
     tasks = max(partitions(spark), n_blocks)
-    expected = {1: size // 14, 2: size // 40, 3: size // 20}
-    replies = None
+    # Fingerprints are few bytes each: twice the keys make a part.
+    expected = {1: size // 28, 2: size // 40, 3: 0}
+    replies, last = None, 0
     for round_ in (1, 2, 3):
+        if round_ == 3:
+            expected[3] = (_SIDE + 1) * (replies.agg(F.sum("open")).first()[0] or 0)
+            if not expected[3]:
+                break
         parts = max(1, -(-expected[round_] // part_rows), min(partitions(spark), 4 * n_blocks))
-        column = "string" if round_ == 3 else "stretch"
-        splitters = _splitters(sample, column, WIDTH[round_], parts)
-        runs_ = _of_block(blocks, replies, tasks).applyInArrow(_by_group(_sort_block, round_, splitters), "part int, block long, run int, data binary")
-        replies = scratch.write(runs_.groupBy("part").applyInArrow(_by_group(_merge_part, round_), _REPLY), f"suffix-replies-{round_}")
-    out = _of_block(blocks, replies, tasks).applyInArrow(_by_group(_finish, _arrow(docs, id_col)), f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        splitters = [] if round_ == 1 else _splitters(sample, "string" if round_ == 3 else "stretch", WIDTH[round_], parts)
+        if round_ == 2:
+            splitters = _at_cores(splitters)
+        runs_ = _of_block(blocks, replies, tasks).applyInArrow(_by_group(_sort_block, round_, parts, splitters), "part int, block long, run int, data binary")
+        replies = scratch.write(runs_.groupBy("part").applyInArrow(_by_group(_merge_part, round_, splitters), _REPLY), f"suffix-replies-{round_}")
+        last = round_
+    out = _of_block(blocks, replies, tasks).applyInArrow(_by_group(_finish, _arrow(docs, id_col), last), f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     out = scratch.write(out, "suffix-result")
     scratch.close(out)
     return out.withColumnRenamed("id", id_col)

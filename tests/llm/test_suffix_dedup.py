@@ -98,3 +98,73 @@ def test_loser_trees(runs):
     assert names == sorted(names) and sorted(order) == list(range(starts[-1]))
     for a, b, h in zip(names[:-1], names[1:], shared[1:].tolist(), strict=True):
         assert h == next((j for j in range(24) if a[j] != b[j]), 24)
+
+
+@pytest.fixture
+def written(monkeypatch):
+    """Labels of the scratch tables that a call writes."""
+    labels: list[str] = []
+    write = suffix_dedup.Scratch.write
+    monkeypatch.setattr(suffix_dedup.Scratch, "write", lambda self, df, label: labels.append(label) or write(self, df, label))
+    return labels
+
+
+def test_single_strings_need_no_merge_of_their_own(spark, written):
+    """Ends of matches are told where the stretches of their core meet."""
+    rows = _corpus(11, 300)
+    got = remove_repeats(spark.createDataFrame(rows, SCHEMA).repartition(5), block_bytes=6000)
+    assert sorted(map(tuple, got.collect()), key=repr) == _plain(rows)
+    assert "suffix-replies-2" in written and "suffix-replies-3" not in written
+
+
+def test_a_core_with_more_stretches_than_a_part(spark, written):
+    """Such a core is cut, and its strings go through the third merge."""
+    pick = random.Random(12)
+    passage = "a passage of sixty bytes that stands between sides of two letters"
+    side = lambda: "".join(pick.choice("ab") for _ in range(pick.randint(0, 12)))
+    rows = [(i, side() + passage + side()) for i in pick.sample(range(3000), 600)]
+    got = remove_repeats(spark.createDataFrame(rows, SCHEMA).repartition(4), block_bytes=8000, part_rows=40)
+    assert sorted(map(tuple, got.collect()), key=repr) == _plain(rows)
+    assert "suffix-replies-3" in written
+
+
+def test_cores_are_exchanged_as_fingerprints():
+    """A core takes no more than seven bytes; equal ones of several texts are found."""
+    rng = np.random.RandomState(3)
+    prints = rng.randint(0, 1 << 48, size=(2, 20_000)).astype(np.uint64)
+    prints[1, :500] = prints[0, :500]
+    prints[0, 1000:1100] = prints[0, 2000:2100]
+    sent = [suffix_dedup._send_prints(r, 0, prints[r], np.arange(20_000) + 20_000 * r, 3) for r in range(2)]
+    assert sum(len(x[3]) for out, _ in sent for x in out) < 7 * prints.size
+    found = [[], []]
+    for part in range(3):
+        pieces = [x for out, _ in sent for x in out if x[0] == part]
+        for x, said in zip(pieces, suffix_dedup._shared_prints([x[3] for x in pieces]), strict=True):
+            bits, n = suffix_dedup.unpack(said, np.uint8, np.int64)
+            found[x[1]].append(np.unpackbits(bits, count=int(n[0])))
+    shared = [np.concatenate(f)[of_row] for f, (_, of_row) in zip(found, sent, strict=True)]
+    assert np.flatnonzero(shared[0]).tolist() == [*range(500), *range(1000, 1100), *range(2000, 2100)]
+    assert np.flatnonzero(shared[1]).tolist() == [*range(500)]
+
+
+def test_single_strings_of_stretches():
+    pick = random.Random(4)
+    keys, groups, spans = [], [], []
+    for _ in range(400):
+        left, right = pick.randint(0, 26), pick.randint(0, 26)
+        if left + right < 26:
+            left = 26 - right
+        core = bytes([97 + pick.randrange(3)]) * 24
+        text = [bytes(pick.choice(b"aaaaaaaaaaab\0") for _ in range(n)) for n in (left, right)]
+        keys.append(core + bytes([24 + right, left]) + text[1].ljust(26, b"\0") + text[0].ljust(26, b"\0") + b"\0\0")
+        groups.append(core[0]), spans.append((text[0] + core + text[1], left))
+    least = np.array([pick.randrange(300) for _ in keys])
+    words = np.frombuffer(b"".join(keys), ">u8").reshape(len(keys), 10).astype(np.uint64)
+    found = suffix_dedup._found(words, np.array(groups), least)
+    owner: dict[tuple, int] = {}
+    strings = [[(g, b, t[n - b : n - b + 50]) for b in range(27) if b <= n and n - b + 50 <= len(t)] for (t, n), g in zip(spans, groups, strict=True)]
+    for of, i in zip(strings, least.tolist(), strict=True):
+        for x in of:
+            owner[x] = min(i, owner.get(x, i))
+    want = [sum(1 << x[1] for x in of if owner[x] < i) for of, i in zip(strings, least.tolist(), strict=True)]
+    assert found.tolist() == want and any(want)
